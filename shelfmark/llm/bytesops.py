@@ -100,3 +100,28 @@ def lower(raw: np.ndarray) -> np.ndarray:
     """A-Z in lower case."""
     up = (raw >= 65) & (raw <= 90)
     return np.where(up, raw + np.uint8(32), raw)
+
+
+def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, rolling: Rolling, block: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word, in blocks of about block bytes, so that long texts need no more memory."""
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + block, side="right")))
+        begin = starts[i]
+        sums = rolling.sums(raw[begin : ends[j - 1]].astype(U64) + U64(1))
+        out[i:j] = rolling.ranges(sums, starts[i:j] - begin, ends[i:j] - begin)
+        i = j
+    return out
+
+
+def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of values between bounds."""
+    total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def texts(raw: np.ndarray, at: np.ndarray) -> Iterator[bytes]:
+    data = raw.tobytes()
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield data[a:b]
