@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import mixing, quality
+from shelfmark.llm import licenses, mixing, quality
 from shelfmark.shared import ship
 
-MODULES = [mixing, quality]
+MODULES = [licenses, mixing, quality]
 
 
 def _shipped(query):
