@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import licenses, mixing, quality, simhash, tokenstore
+from shelfmark.llm import licenses, mixing, quality, simhash, substrings, tokenstore
 from shelfmark.shared import ship
 
-MODULES = [tokenstore, licenses, simhash, mixing, quality]
+MODULES = [substrings, tokenstore, licenses, simhash, mixing, quality]
 
 
 def _shipped(query):
