@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import licenses, mixing, orderhash, quality, simhash, substrings, tokenstore
+from shelfmark.llm import langid, licenses, mixing, orderhash, quality, simhash, substrings, tokenstore
 from shelfmark.shared import ship
 
-MODULES = [substrings, tokenstore, licenses, simhash, mixing, quality, orderhash]
+MODULES = [substrings, tokenstore, licenses, simhash, mixing, quality, orderhash, langid]
 
 
 def _shipped(query):
