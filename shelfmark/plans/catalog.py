@@ -13,9 +13,9 @@ from shelfmark.operators import requests as R
 from shelfmark.operators import seo
 from shelfmark.plans import fixtures as X
 from shelfmark.shared import ship, table
+from shelfmark.streaming import state
 
 QUERIES, SQL = {}, {}
-NOW = F.to_timestamp(F.lit(X.NOW))
 NOW_SQL = f"TIMESTAMP '{X.NOW}'"
 
 
@@ -142,7 +142,7 @@ def resume_all(spark, sf):
 
 @query(f"WITH {X.JOBS}, l AS (SELECT *, status = 'running' AND {NOW_SQL} - started_at > INTERVAL 45 MINUTE AS late FROM jobs) SELECT id, CASE WHEN late THEN 'failed' ELSE status END AS status, CASE WHEN late THEN 'Job timed out after 45 minutes' ELSE error END AS error FROM l")
 def expire_overdue(spark, sf):
-    return J.expire_overdue(X.jobs(spark, sf), NOW).select("id", "status", "error")
+    return J.expire_overdue(X.jobs(spark, sf), F.to_timestamp(F.lit(X.NOW))).select("id", "status", "error")
 
 
 @query(f"WITH {X.JOBS} SELECT id, CASE WHEN CAST(user_id AS BIGINT) % 10 = 0 THEN 'failed' ELSE status END AS status, CASE WHEN CAST(user_id AS BIGINT) % 10 = 0 THEN 'Stopped by user' ELSE error END AS error FROM jobs")
@@ -205,7 +205,7 @@ def transitions(spark, sf):
 
 @query(f"""WITH {X.UPDATES}, d AS (SELECT id, max(CASE WHEN status = 'completed' THEN seq END) AS done FROM updates GROUP BY id),
 s AS (SELECT u.id, min(updated_at) AS started_at FROM updates u JOIN d USING (id) WHERE status = 'running' AND (done IS NULL OR seq > done) GROUP BY u.id)
-SELECT id, started_at, CAST(floor((epoch_ms(TIMESTAMP '2025-01-01') - epoch_ms(started_at)) / 1000) AS BIGINT) AS seconds FROM s""")
+SELECT id, started_at, CAST(floor(((epoch_us(TIMESTAMP '2025-01-01') // 1000) - (epoch_us(started_at) // 1000)) / 1000) AS BIGINT) AS seconds FROM s""")
 def elapsed(spark, sf):
     return J.elapsed(X.updates(spark, sf), F.to_timestamp(F.lit("2025-01-01")))
 
@@ -274,7 +274,7 @@ def job_images(spark, sf):
 
 @query(f"WITH {X.IMAGES} SELECT job_id, count(*) FILTER (WHERE created_at IS NOT NULL AND {NOW_SQL} - created_at > INTERVAL 24 HOUR) AS removed, count(*) FILTER (WHERE created_at IS NULL OR {NOW_SQL} - created_at <= INTERVAL 24 HOUR) AS kept FROM images GROUP BY 1")
 def retention(spark, sf):
-    return I.retention_report(X.images(spark, sf), NOW)
+    return I.retention_report(X.images(spark, sf), F.to_timestamp(F.lit(X.NOW)))
 
 
 @query(f"WITH {X.IMAGES} SELECT job_id, position, url FROM images i WHERE NOT EXISTS (SELECT 1 FROM images p WHERE p.product_index = 0 AND p.job_id = i.job_id AND p.url = i.url)")
@@ -383,6 +383,34 @@ def missing_pages(spark, sf):
     return P.missing_pages(items, X.product_pages(spark, sf))
 
 
+@query("""WITH RECURSIVE h AS (SELECT CAST(user_id AS VARCHAR) AS host, ts, event_id AS seq, (epoch_us(ts) // 1000) AS ms FROM events WHERE floor(100 * floor(value) / 500 + 0.5) >= 60),
+f AS (SELECT host, ms, seq FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ms, seq) AS k FROM h) WHERE k = 1
+  UNION ALL SELECT n.host, n.ms, n.seq FROM f, LATERAL (SELECT host, ms, seq FROM h WHERE h.host = f.host AND h.ms >= f.ms + 86400000 ORDER BY ms, seq LIMIT 1) n)
+SELECT host, seq, ms FROM f""")
+def alerts_cooldown(spark, sf):
+    high = X.metrics(spark, sf).filter("floor(100 * heap_used_mb / heap_total_mb + 0.5) >= 60").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    return state.throttle(high.select("host", "ms", "seq"), 86_400_000, "host")
+
+
+@query(f"""WITH {X.UPDATES}, r AS (SELECT *, (epoch_us(updated_at) // 1000) AS ms, status = 'running' AS run FROM updates),
+n AS (SELECT *, CASE WHEN run IS DISTINCT FROM lag(run) OVER w THEN 1 ELSE 0 END AS new, lead(ms) OVER w AS until FROM r WINDOW w AS (PARTITION BY id ORDER BY ms, seq)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY ms, seq ROWS UNBOUNDED PRECEDING) AS k FROM n),
+s AS (SELECT id, min(ms) AS started_ms, max(coalesce(until, ms)) AS until FROM g WHERE run GROUP BY id, k)
+SELECT id, started_ms, started_ms + 2700000 AS overdue_ms FROM s WHERE until - started_ms > 2700000""")
+def overdue_runs(spark, sf):
+    return state.overdue_stream(X.updates(spark, sf).select("id", "status", F.unix_millis(F.col("updated_at").cast("timestamp")).alias("ms"), "seq"))
+
+
+@query(f"WITH {X.REQUESTS} SELECT job_id, min(seq) AS seq FROM requests GROUP BY 1")
+def dedup_requests(spark, sf):
+    return state.dedup_requests(X.requests(spark, sf)).select("job_id", "seq")
+
+
+@query(f"WITH {X.LOGS} SELECT source AS feed, max(time) AS last, (epoch_us(TIMESTAMP '2024-02-01') // 1000) - (epoch_us(max(time)) // 1000) > 7000 AS stale FROM logs GROUP BY 1")
+def stale_feeds(spark, sf):
+    return state.stale_feeds(X.logs(spark, sf).select(F.col("source").alias("feed"), "time"), F.to_timestamp(F.lit("2024-02-01")))
+
+
 def _shipped(run):
     def shipped(spark, sf):
         ship(spark)

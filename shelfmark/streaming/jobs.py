@@ -1,4 +1,4 @@
-"""Latest state and live views of job updates."""
+"""Latest state and live figures of job updates; continuous page extraction."""
 
 from __future__ import annotations
 
@@ -6,10 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators.jobs import job_stats
-from shelfmark.shared import table  # noqa: F401  re-exported for callers that read update tables
+from shelfmark.operators.pages import page_candidates, parse_pages
 
 
 def latest(updates: DataFrame) -> DataFrame:
     """updates (id, updated_at, seq, ...), batch or stream -> the newest row of each id (on a stream in update mode)."""
     rest = [c for c in updates.columns if c != "id"]
     return updates.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("updated_at", "seq")).alias("s")).select("id", "s.*")
+
+
+def live_overview(snapshot: DataFrame) -> DataFrame:
+    """Counts and success rate over a table of latest states, for each micro-batch of state.upsert_latest."""
+    return job_stats(snapshot)
+
+
+def snapshot_then(snapshot: DataFrame, live: DataFrame) -> DataFrame:
+    """A batch of the state so far and the rows after it, as one table to start from: rows of the snapshot first (origin 0), then live ones (origin 1)."""
+    return snapshot.withColumn("origin", F.lit(0)).unionByName(live.withColumn("origin", F.lit(1)), allowMissingColumns=True)
+
+
+def extract_stream(pages: DataFrame) -> DataFrame:
+    """pages, batch or stream -> (page_id, url, seq, candidate): gated candidates or the source scan. Stateless, for append mode."""
+    return page_candidates(parse_pages(pages))
