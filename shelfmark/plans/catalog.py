@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.functions import urls as U
+from shelfmark.functions import values as V
 from shelfmark.operators import images as I
 from shelfmark.operators import jobs as J
 from shelfmark.operators import logs as L
@@ -383,6 +384,57 @@ def missing_pages(spark, sf):
     return P.missing_pages(items, X.product_pages(spark, sf))
 
 
+@query(f"WITH {X.JOBS} SELECT id, url, status FROM jobs WHERE id = '42'")
+def get_job(spark, sf):
+    jobs = X.jobs(spark, sf)
+    return J.get_job(jobs, "42", jobs.filter("status = 'queued' AND id <> '42'")).select("id", "url", "status")
+
+
+@query(f"WITH {X.JOBS} SELECT status, count(*) AS n FROM jobs WHERE status IN ('queued', 'running', 'paused') GROUP BY 1")
+def active_jobs(spark, sf):
+    return J.active_jobs(X.jobs(spark, sf)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {X.JOBS} SELECT status, count(*) AS n FROM jobs WHERE status <> 'failed' GROUP BY 1 UNION ALL SELECT 'requested', count(*) FROM jobs WHERE status = 'failed'")
+def retry_failed(spark, sf):
+    left, again = R.retry_failed(X.jobs(spark, sf))
+    return left.groupBy("status").agg(F.count("*").alias("n")).union(again.select(F.lit("requested").alias("status")).groupBy("status").agg(F.count("*").alias("n")))
+
+
+@query(f"WITH {X.IMAGES} SELECT id, CASE WHEN converted THEN '{X.SHOP}/api/jobs/' || job_id || '/images/' || id ELSE '{X.SHOP}' || url END AS shown FROM images")
+def display_urls(spark, sf):
+    image = F.struct("id", "converted", F.lit("").alias("original_url"), "url")
+    return X.images(spark, sf).select("id", I.display_url(image, F.col("job_id"), "/api", F.lit(f"{X.SHOP}/")).alias("shown"))
+
+
+@query(f"WITH {X.IMAGES} SELECT id, url FROM images WHERE url NOT LIKE '%0_0.jpg'")
+def drop_images(spark, sf):
+    images = X.images(spark, sf)
+    return I.drop_images(images, images.filter(F.col("url").endswith("0_0.jpg"))).select("id", "url")
+
+
+@query(f"WITH {X.IMAGES} SELECT job_id, product_index, position, url FROM images WHERE id = '70_1_0'")
+def image_by_id(spark, sf):
+    return I.image_by_id(X.images(spark, sf).withColumn("jpg_data", F.lit("")), "70", "70_1_0").select("job_id", "product_index", "position", "url")
+
+
+@query(f"WITH {X.IMAGES} SELECT id, url FROM images WHERE created_at IS NULL OR {NOW_SQL} - created_at <= INTERVAL 24 HOUR")
+def kept_images(spark, sf):
+    return I.expire_images(X.images(spark, sf), F.to_timestamp(F.lit(X.NOW))).select("id", "url")
+
+
+@query(f"WITH {X.PRODUCTS} SELECT job_id, product_index, n <= 2 AS same FROM products")
+def same_images(spark, sf):
+    # a list without repeats is the same as its distinct form
+    return X.products(spark, sf).select("job_id", "product_index", I.same_images(F.col("images"), F.array_distinct("images")).alias("same"))
+
+
+@query("SELECT event_type AS message, CASE event_type WHEN 'error' THEN 'blocked' WHEN 'view' THEN 'timeout' ELSE 'other' END AS kind, count(*) AS n FROM events GROUP BY 1, 2")
+def error_kinds(spark, sf):
+    text = F.when(F.col("message") == "error", "HTTP 403").when(F.col("message") == "view", "Navigation timeout of 30 s").otherwise("odd")
+    return X.logs(spark, sf).withColumn("kind", V.error_kind(text)).groupBy("message", "kind").agg(F.count("*").alias("n"))
+
+
 @query("""WITH RECURSIVE h AS (SELECT CAST(user_id AS VARCHAR) AS host, ts, event_id AS seq, (epoch_us(ts) // 1000) AS ms FROM events WHERE floor(100 * floor(value) / 500 + 0.5) >= 60),
 f AS (SELECT host, ms, seq FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ms, seq) AS k FROM h) WHERE k = 1
   UNION ALL SELECT n.host, n.ms, n.seq FROM f, LATERAL (SELECT host, ms, seq FROM h WHERE h.host = f.host AND h.ms >= f.ms + 86400000 ORDER BY ms, seq LIMIT 1) n)
