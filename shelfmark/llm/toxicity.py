@@ -68,6 +68,19 @@ def _vectors(vocabulary: dict[str, int]):
     return run
 
 
+def _held(n_terms: int):
+    """(term, n): the documents of a task that have each term."""
+
+    def run(batches):
+        n = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column("terms").flatten().to_numpy(), minlength=n_terms)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["term", "n"])
+
+    return run
+
+
 class BlockMaxIndex:
     """Posting lists of unit vectors in blocks of examples, with the largest weight of each term in each block."""
 
@@ -216,8 +229,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
     vectors = written(docs.mapInArrow(_vectors(vocabulary), "doc_id long, terms array<int>, counts array<int>"), "vectors")
     n = vectors.count()
     df = np.zeros(len(vocabulary))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():
-        df[r.t] = r.n
+    if vocabulary:
+        for r in vectors.select("terms").mapInArrow(_held(len(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+            df[r.term] = r.n
     rows = sorted({(r.doc_id, tuple(r.terms), tuple(r.counts), r.toxic) for r in vectors.join(F.broadcast(sample), "doc_id").collect()})
     by_class = Counter(r[3] for r in rows)
     model = Model([r[1:] for r in rows], np.log((1 + n) / (1 + df)) + 1, tuple(sizes.get(c, 0) / max(1, by_class[c]) for c in (0, 1)), k)
