@@ -24,7 +24,8 @@ RATE, SEED, VARIANTS = 0.1, 1, 4
 BLANK, NONE = "▁", 1 << 30
 #: Stands for a character of the text that looks like the model's blank. No UTF-8 text holds it.
 LOOKALIKE = "\udfff"
-CACHE = 600_000
+#: Segments that an encoder remembers, in two generations: the older one goes when the younger is full.
+CACHE = 1_600_000
 _codecs: dict[str, Codec] = {}
 
 
@@ -56,6 +57,11 @@ class Codec:
         table_ = np.array(sorted(pairs), np.int64).reshape(-1, 3)
         self.n, self.keys, self.ranks, self.merged = n, table_[:, 0], table_[:, 1], table_[:, 2]
         self.byte = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.char = np.full(0x110000, -1, np.int64)
+        for text, i in self.piece.items():
+            if len(text) == 1:
+                self.char[ord(text)] = i
+        self.rolling = B.Rolling()
 
     def _look(self, a: np.ndarray, b: np.ndarray, where: np.ndarray, keyed: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged id) of each pair, NONE where there is none or its merge is skipped. where: the pair's places in its segment."""
@@ -68,15 +74,16 @@ class Codec:
             rank = np.where(skip, NONE, rank)
         return rank, out
 
-    def merge(self, segments: list[str], keyed: np.ndarray, rate: float) -> list[list[int]]:
-        """The ids of each segment; keyed: a 64-bit key each. Segments of like length together waste least."""
-        limit = int(rate * (1 << 64)) if rate < 1 else (1 << 64) - 1
-        n, width = len(segments), max(map(len, segments))
+    def merge(self, segments: list[str], rate: float, salt: int) -> list[bytes]:
+        """The ids of each segment (little-endian unsigned 32-bit). A segment's key comes from its characters and the salt. Segments of like length together waste least."""
+        limit = int(rate * (1 << 64))
+        size = np.array(list(map(len, segments)))
+        n, width = len(segments), int(size.max())
+        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(size)
+        keyed = B.mix(self.rolling.ranges(self.rolling.sums(codes.astype(np.uint64) + np.uint64(1)), ends - size, ends) ^ np.uint64(salt))
         ids = np.full((n, width + 1), -1, np.int64)
-        get = self.piece.get
-        for i, s in enumerate(segments):
-            ids[i, : len(s)] = [get(c, -1) for c in s]
-        size = np.array([len(s) for s in segments])
+        ids[:, :width][np.arange(width)[None] < size[:, None]] = self.char[codes]
         at = np.tile(np.arange(width + 1), (n, 1))  # each symbol's first character
         rank = np.full((n, width), NONE, np.int64)
         into = np.zeros((n, width), np.int64)
@@ -105,13 +112,12 @@ class Codec:
                 if shift == 0:
                     rank[row, np.minimum(col, width - 1)] = NONE
             live = live[rank[live].min(axis=1) < NONE]
-        out = []
-        for i, s in enumerate(segments):
-            k = size[i]
-            own = ids[i, :k].tolist()
-            if min(own, default=0) < 0:
-                own = [x for j, v in enumerate(own) for x in ((v,) if v >= 0 else [self.byte[b] for b in s[at[i, j]].replace(LOOKALIKE, BLANK).encode("utf-8")])]
-            out.append(own)
+        held = cols[None] < size[:, None]
+        data, at_byte = ids[held].astype("<u4").tobytes(), np.concatenate(([0], 4 * np.cumsum(size))).tolist()
+        out = [data[a:b] for a, b in zip(at_byte, at_byte[1:], strict=False)]
+        for i in np.flatnonzero(((ids < 0) & held).any(axis=1)).tolist():  # characters without a piece go to bytes
+            own, text = ids[i, : size[i]].tolist(), segments[i]
+            out[i] = np.array([x for j, v in enumerate(own) for x in ((v,) if v >= 0 else [self.byte[b] for b in text[at[i, j]].replace(LOOKALIKE, BLANK).encode("utf-8")])], "<u4").tobytes()
         return out
 
     def segments(self, text: str) -> list[str]:
@@ -145,10 +151,8 @@ class Encoder:
             raise ValueError("rate must be at least 0 and less than 1")
         self.codec, self.rate, self.seed = codec(path), rate, seed
         self.variants, self.most = (variants if rate else 1), most
-        self.seen: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def key(self, segment: str, variant: int) -> int:
-        return int.from_bytes(hashlib.blake2b(f"{self.seed}:{variant}:{segment}".encode(), digest_size=8).digest(), "little")
+        self.young: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
 
     def encode_all(self, texts: list[str], epochs: list[int]) -> list[bytes]:
         """The ids (little-endian unsigned 32-bit) of each text. epoch: which of the repeats of the document this is."""
@@ -160,27 +164,29 @@ class Encoder:
             for v in range(V):
                 fresh[v].update(own[(v - s) % V :: V])
         for v in range(V):
-            new = sorted(fresh[v].difference(self.seen[v]), key=lambda x: (len(x), x))
+            young, old = self.young[v], self.old[v]
+            wanted = fresh[v].difference(young)
+            young.update((x, old[x]) for x in wanted.intersection(old))
+            new = sorted(wanted.difference(old), key=len)
+            salt = int.from_bytes(hashlib.blake2b(f"{self.seed}:{v}".encode(), digest_size=8).digest(), "little")
             i = 0
             while i < len(new):
                 j = min(len(new), i + max(1, min(8192, 200_000 // (len(new[i]) + 1))))
                 while j > i + 1 and len(new[j - 1]) > 2 * len(new[i]) + 8:
                     j = i + (j - i + 1) // 2
-                keyed = np.array([self.key(x, v) for x in new[i:j]], np.uint64)
                 marked = [x.replace(BLANK, LOOKALIKE).replace(" ", BLANK) for x in new[i:j]]
-                for x, own in zip(new[i:j], self.codec.merge(marked, keyed, self.rate), strict=True):
-                    self.seen[v][x] = np.array(own, "<u4").tobytes()
+                young.update(zip(new[i:j], self.codec.merge(marked, self.rate, salt), strict=True))
                 i = j
         out = []
         for own, s in zip(cut, step, strict=True):
             parts = [b""] * len(own)
             for v in range(V):
                 begin = (v - s) % V
-                parts[begin::V] = map(self.seen[v].__getitem__, own[begin::V])
+                parts[begin::V] = map(self.young[v].__getitem__, own[begin::V])
             out.append(b"".join(parts))
-        for held in self.seen:
-            if len(held) > self.most // V:
-                held.clear()
+        for v in range(V):
+            if len(self.young[v]) > self.most // (2 * V):
+                self.old[v], self.young[v] = self.young[v], {}
         return out
 
 
