@@ -106,12 +106,12 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select("id", "text", F.coalesce("id", F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(F.col("id").isNull(), "text").alias("key"))  # keys without nulls join on plain equality
-    base = docs.groupBy("doc_id", "key").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count("*").cast("int").alias("copies"))
-    lengths = written(docs.select("doc_id", "key", F.length("text").alias("n_chars")).distinct(), "lengths")
+    base = docs.groupBy("doc_id", "key").agg(F.first(F.struct("id", "text")).alias("row"))  # shuffled once for both of its joins
+    lengths = written(docs.groupBy("doc_id", "key", F.length("text").alias("n_chars")).agg(F.count("*").cast("int").alias("copies")), "lengths")
     wanted = successors(lengths.select("doc_id", "key")).join(lengths, ["doc_id", "key"]).withColumn("half", F.expr("CAST(n_chars div 2 AS INT)"))
-    heads = base.select(F.col("doc_id").alias("next_id"), F.col("key").alias("next_key"), "text").join(wanted, ["next_id", "next_key"])
-    heads = heads.select("doc_id", "key", "n_chars", "half", "next_id", "next_key", F.expr("substring(text, 1, half)").alias("head"))
-    both = base.join(heads, ["doc_id", "key"]).withColumn("edited", F.expr("concat(substring(text, 1, CAST(n_chars - half AS INT)), head)"))
+    heads = base.select(F.col("doc_id").alias("next_id"), F.col("key").alias("next_key"), "row").join(wanted, ["next_id", "next_key"])
+    heads = heads.select("doc_id", "key", "n_chars", "copies", "half", "next_id", "next_key", F.expr("substring(row.text, 1, half)").alias("head"))
+    both = base.join(heads, ["doc_id", "key"]).select("*", "row.id", "row.text").withColumn("edited", F.expr("concat(substring(text, 1, CAST(n_chars - half AS INT)), head)"))
     marked = with_fingerprints(both, {"fingerprint": "text", "edited_fingerprint": "edited"})
     marked = written(marked.select("id", "doc_id", "key", "copies", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "next_id", "next_key"), "fingerprints")
     nexts = marked.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("fingerprint").alias("_next"))
