@@ -176,6 +176,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) ->
     # 1, 2: pieces at repeated anchors, and their distinct bodies with the first source
     every = written(source.mapInArrow(_pieces(length, kmer), PIECES), "pieces")
     anchors = every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
+    anchors = written(anchors, "anchors")  # both sides of the join are then dealt for it, and Spark can split a hot anchor
     pieces = written(every.join(anchors, "anchor", "left_semi"), "repeated")
     drop_written(every)
     release(spark)
