@@ -6,6 +6,7 @@ import functools
 import hashlib
 import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -19,11 +20,13 @@ from shelfmark.shared import drop_written, scratch, table, width, written
 
 END_ID = 1
 #: A chunk ends where the hash of WINDOW ids has its low CUT_BITS bits 0, and after LONGEST ids at the latest.
-WINDOW, CUT_BITS, LONGEST = 8, 8, 2048
-CACHE = 600_000
+WINDOW, CUT_BITS, LONGEST = 8, 10, 8192
+#: Words and parts of words that an encoder remembers.
+WORDS, PARTS = 500_000, 1_200_000
 
-CORE = re.compile(r"([(\"\[]*)([a-zß-öø-ÿ]+)([.,;:!?)\"\]|]*)")
+CORE = re.compile(r"([(\"\[]*)([a-zß-öø-ÿÀ-ÖØ-Þ]+)([.,;:!?)\"\]|]*)")
 _encoders: dict[str, Encoder] = {}
+_rolling = B.Rolling()
 
 
 def default_tokenizer() -> str:
@@ -41,11 +44,11 @@ class Encoder:
     more: the letters then go to the library's model directly. Whatever else goes through the whole library call.
     """
 
-    def __init__(self, path: str, most: int = CACHE):
+    def __init__(self, path: str, words: int = WORDS, parts: int = PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole, self.most = Tokenizer.from_file(path), most
+        self.whole, self.most, self.most_parts = Tokenizer.from_file(path), words, parts
         self.model, self.seen, self.parts = self.whole.model, {}, {}
         self.split_ok = self._split_ok()
         self.bytes_as = self._byte_letters()
@@ -71,27 +74,35 @@ class Encoder:
                 ids = [t.id for t in self.model.tokenize(text if text.isascii() else "".join(map(self.bytes_as.__getitem__, text.encode())))]
             else:
                 ids = self._ids(text)
-            out = np.array(ids, "<u4").tobytes()
-            if len(self.parts) < self.most:
+            out = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.parts) < self.most_parts:
                 self.parts[text] = out
         return out
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
         if m := CORE.fullmatch(text):
-            return b"".join(self._part(m[g], g == 2) for g in (1, 2, 3) if m[g])
-        return np.array(self._ids(text), "<u4").tobytes()
+            a, core, z = m.groups()
+            out = self._part(core.lower(), True)
+            return (self._part(a, False) if a else b"") + out + (self._part(z, False) if z else b"")
+        ids = self._ids(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: bytes) -> bytes:
         if not self.split_ok:
             return np.array(self._ids(text.decode("utf-8")), "<u4").tobytes()
         own, seen = text.lower().split(), self.seen
-        for w in set(own).difference(seen):
-            seen[w] = self._word(w)
-        out = b"".join([seen[w] for w in own])
-        if len(seen) > self.most:
-            seen.clear()
-        return out
+        found = list(map(seen.get, own))
+        if None in found:
+            for i, x in enumerate(found):
+                if x is None:
+                    w = own[i]
+                    if w not in seen:
+                        seen[w] = self._word(w)
+                    found[i] = seen[w]
+            if len(seen) > self.most:
+                seen.clear()
+        return b"".join(found)
 
 
 def encoder(path: str) -> Encoder:
@@ -103,13 +114,9 @@ def encoder(path: str) -> Encoder:
 def cuts(ids: np.ndarray, window: int = WINDOW, bits: int = CUT_BITS, longest: int = LONGEST) -> np.ndarray:
     """The ends of the chunks. A cut depends on the window before it only, so equal passages have equal chunks inside."""
     n = len(ids)
-    with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
-        v = B.mix(ids.astype(np.uint64) + np.uint64(1))
-        for _ in range(window):
-            h = h * B.SEQ_P + v
-            v = np.concatenate((np.zeros(1, np.uint64), v[:-1]))
-    ends = np.flatnonzero(B.mix(h) & np.uint64((1 << bits) - 1) == 0) + 1
+    at = np.arange(1, n + 1)
+    h = _rolling.ranges(_rolling.sums(B.mix(ids.astype(np.uint64) + np.uint64(1))), np.maximum(at - window, 0), at)
+    ends = np.flatnonzero(h & np.uint64((1 << bits) - 1) == 0) + 1
     out, last = [], 0
     for e in [*ends[ends < n].tolist(), n]:
         while e - last > longest:
