@@ -113,6 +113,18 @@ def test_a_damaged_chunk_shows(spark, docs):
     assert {r.verified for r in tokenstore.verify_store(spark, path).collect()} == {True, False}
 
 
+def test_repeated_passages_share_chunks():
+    rng = np.random.default_rng(5)
+    passages = [rng.integers(0, 49_000, 800) for _ in range(20)]
+    total, stored = 0, {}
+    for i in range(200):
+        ids = np.concatenate((rng.integers(0, 49_000, 300), passages[i % 20], rng.integers(0, 49_000, 300))).astype("<u4")
+        for x, y in zip([0, *(ends := tokenstore.cuts(ids).tolist())], ends, strict=False):
+            total += y - x
+            stored[ids[x:y].tobytes()] = y - x
+    assert total - sum(stored.values()) > 0.25 * 180 * 800  # of the ids in second and later copies of a passage
+
+
 def test_licenses(spark, docs, empty):
     out = licenses.scan_licenses(docs)
     assert out.count() == len(ROWS)
