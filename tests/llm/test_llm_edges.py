@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.llm import graph, langid, licenses, mixing, orderhash, pieces, quality, simhash, substrings, tokenstore, toxicity
+from shelfmark.llm import graph, langid, licenses, mixing, nearcopies, orderhash, pieces, quality, simhash, substrings, tokenstore, toxicity
 from shelfmark.shared import scratch
 
 LONG = " ".join(f"w{i}" for i in range(60))
@@ -150,6 +150,13 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_copies(docs, empty):
+    got = by_id(nearcopies.near_copies(docs), "component_id")
+    assert len(got) == len(ROWS)
+    assert {c for i, c in got if i in (3, 4, 5)} == {3} and {c for i, c in got if i in (1, 2, None)} == {1} and {c for i, c in got if i == 8} == {8}
+    assert nearcopies.near_copies(empty).count() == 0
+
+
 @pytest.mark.parametrize("most", [0, 1, 2])
 def test_near_prints_against_brute_force(spark, most):
     rng = np.random.default_rng(most)

@@ -136,6 +136,27 @@ def test_op10_accuracy(spark):
     assert (held.lang == held.lang_pred).mean() > 0.98
 
 
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline as C
+
+    sf = "/root/testdata/sf0.01" if os.path.isdir("/root/testdata/sf0.01") else SF
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    held = []
+    for _, text in rows:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+        held.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, x in enumerate(held):
+        for j, y in enumerate(held[:i]):
+            if x == y or (5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y)):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r.doc_id for r in C.simhash(spark, docs, sf).select("doc_id").collect()}
+    assert got == {doc_id for i, (doc_id, _) in enumerate(rows) if find(i) == i}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 
