@@ -14,8 +14,10 @@ from shelfmark.llm import bytesops as B
 from shelfmark.shared import table, written
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-#: A line is common from over LINE_DOCS documents and over LINE_SHARE of the host's documents; over DEPLETED of its words in such lines reject a document.
-LINE_DOCS, LINE_SHARE, DEPLETED = 10, 0.1, 0.5
+#: A line is common from over LINE_DOCS documents of a host; over DEPLETED of its words in such lines reject a document.
+LINE_DOCS, DEPLETED = 10, 0.5
+#: The query's SQL also asks for over this share of the host's documents.
+QUERY_SHARE = 0.1
 
 FACTS = "doc_id long, host string, text_key binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h: long, w: int>>"
 
@@ -62,12 +64,12 @@ def _facts(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("host").cast(pa.string()), pa.array([x[0] for x in facts], pa.binary()), pa.array(np.diff(first)), pa.array(B.per_text(head[raw], at)), pa.array(B.per_text(symbol[raw], at)), pa.array([x[1] for x in facts], pa.int64()), pa.array(repeat_words(hashes, first)), pa.array([x[2] for x in facts], schema.field("lines").type)], schema=schema)
 
 
-def quality(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, depleted: float = DEPLETED) -> DataFrame:
+def quality(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, line_docs: int = LINE_DOCS, line_share: float = 0.0, depleted: float = DEPLETED) -> DataFrame:
     """docs (doc_id, text, host) -> one row each: doc_id, the base counts, base_failed, n_common_words, kept.
 
     Lines are normalised (A-Z lowered, white space as one blank) and hashed. A host's line is common if more than line_docs
-    and more than line_share of the host's distinct texts hold it; texts count once, so exact copies don't make their own
-    lines common. A document goes if it fails the base rules, or if over the share depleted of its words is in common lines.
+    of the host's distinct texts hold it, whatever the host's size; texts count once, so exact copies don't make their own
+    lines common. line_share: a line must also be in over this share of them, which grows with the host. A document goes if it fails the base rules, or if over the share depleted of its words is in common lines.
 
     Null and empty texts have no words and fail. Null hosts are one host. Repeated rows and null doc_ids get a row each.
     An empty table gives an empty table. Only the columns named are read; others in docs are ignored.
@@ -87,7 +89,7 @@ def quality(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, r
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"))
+    return quality(table(spark, sf_dir, "documents"), line_share=QUERY_SHARE)
 
 
 SQL = {

@@ -220,6 +220,12 @@ def test_quality(spark, docs, empty):
     assert got[0] == (True, 3) and got[1] == (False, 83)
 
 
+def test_a_line_is_common_at_every_host_size(spark):
+    rows = [(n * 1000 + i, f"own {n} {i}" + "\nthe same line" * (i < 11) + "\nten only" * (i < 10), f"host {n}") for n in (20, 400) for i in range(n)]
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("n_common_words > 0").collect()
+    assert sorted((r.doc_id, r.n_common_words) for r in got) == sorted((n * 1000 + i, 3) for n in (20, 400) for i in range(11))
+
+
 def test_order_minhash(docs, empty):
     out = orderhash.edit_fingerprints(docs).collect()
     assert len(out) == len(ROWS)
