@@ -19,7 +19,7 @@ LINE_DOCS, DEPLETED = 10, 0.5
 #: The query's SQL also asks for over this share of the host's documents.
 QUERY_SHARE = 0.1
 
-FACTS = "doc_id long, host string, text_key binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h: long, w: int>>"
+FACTS = "doc_id long, host string, text_key binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h: long, w: int>>, text string"
 
 
 def repeat_words(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -38,13 +38,17 @@ def repeat_words(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return B.per_text(covered, first)
 
 
+def line_hash(own: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(own)) - (1 << 63)
+
+
 def line_facts(text: bytes) -> tuple[int, list[dict]]:
     """Lines equal to an earlier one, and the normalised lines with the words in all their places."""
     lines = [x for x in text.split(b"\n") if x.strip()]
     found: dict[int, int] = {}
     for x in lines:
         own = x.lower().split()
-        h = xxhash.xxh64_intdigest(b" ".join(own)) - (1 << 63)
+        h = line_hash(own)
         found[h] = found.get(h, 0) + len(own)
     return len(lines) - len(set(lines)), [{"h": h, "w": w} for h, w in found.items()]
 
@@ -55,37 +59,70 @@ def _facts(batches):
     symbol[list(b"#*$%&|<>")] = True
     head[0x80:0xC0] = False
     head &= ~B.SPACE
-    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("text_key", pa.binary()), *[(k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], ("lines", pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32())])))])
+    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("text_key", pa.binary()), *[(k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], ("lines", pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32())]))), ("text", pa.string())])
     for batch in B.groups(batches):
         raw, at = B.buffers(batch.column("text"))
         starts, ends, first = B.words(raw, at)
         hashes = B.hash_words(raw, starts, ends, rolling)
         facts = [(hashlib.md5(x).digest(), *line_facts(x)) for x in B.texts(raw, at)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("host").cast(pa.string()), pa.array([x[0] for x in facts], pa.binary()), pa.array(np.diff(first)), pa.array(B.per_text(head[raw], at)), pa.array(B.per_text(symbol[raw], at)), pa.array([x[1] for x in facts], pa.int64()), pa.array(repeat_words(hashes, first)), pa.array([x[2] for x in facts], schema.field("lines").type)], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("host").cast(pa.string()), pa.array([x[0] for x in facts], pa.binary()), pa.array(np.diff(first)), pa.array(B.per_text(head[raw], at)), pa.array(B.per_text(symbol[raw], at)), pa.array([x[1] for x in facts], pa.int64()), pa.array(repeat_words(hashes, first)), pa.array([x[2] for x in facts], schema.field("lines").type), batch.column("text").cast(pa.string())], schema=schema)
+
+
+DIGEST = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_words", "kept"]
+LEFT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_common_words long, kept boolean, kept_text string, left_failed boolean"
+
 
+def _left(min_words: int, repeat_percent: int):
+    """The text without its lines in common, and whether that fails the base rules."""
 
-def quality(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, line_docs: int = LINE_DOCS, line_share: float = 0.0, depleted: float = DEPLETED) -> DataFrame:
-    """docs (doc_id, text, host) -> one row each: doc_id, the base counts, base_failed, n_common_words, kept.
+    def run(batches):
+        rolling = B.Rolling(B.WORD_P)
+        for batch in B.groups(batches):
+            raw, at = B.buffers(batch.column("text"))
+            left = []
+            for text, common in zip(B.texts(raw, at), batch.column("common").to_pylist(), strict=True):
+                gone = set(common or ())
+                left.append(b"\n".join(x for x in text.split(b"\n") if line_hash(x.lower().split()) not in gone) if gone else text)
+            texts = pa.array(left, pa.binary()).cast(pa.string())
+            raw, at = B.buffers(texts)
+            starts, ends, first = B.words(raw, at)
+            n, again = np.diff(first), repeat_words(B.hash_words(raw, starts, ends, rolling), first)
+            failed = (n < min_words) | (100 * again > repeat_percent * n)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in DIGEST], texts, pa.array(failed)], names=[*DIGEST, "kept_text", "left_failed"])
+
+    return run
+
+
+def cleaned(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, line_docs: int = LINE_DOCS, line_share: float = 0.0, depleted: float = DEPLETED) -> DataFrame:
+    """docs (doc_id, text, host) -> one row each: doc_id, the base counts, base_failed, n_common_words, kept, kept_text, left_failed.
 
     Lines are normalised (A-Z lowered, white space as one blank) and hashed. A host's line is common if more than line_docs
     of the host's distinct texts hold it, whatever the host's size; texts count once, so exact copies don't make their own
     lines common. line_share: a line must also be in over this share of them, which grows with the host. A document goes if it fails the base rules, or if over the share depleted of its words is in common lines.
+    kept_text: the text without its common lines. left_failed: it fails the base rules; a kept document should go then.
 
     Null and empty texts have no words and fail. Null hosts are one host. Repeated rows and null doc_ids get a row each.
     An empty table gives an empty table. Only the columns named are read; others in docs are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    facts = written(docs.mapInArrow(_facts, FACTS), "quality-facts")
-    distinct = facts.filter("n_words > 0").select("host", "text_key", "lines").dropDuplicates(["host", "text_key"])
+    read = docs.mapInArrow(_facts, FACTS)
+    facts = written(read.filter("n_words > 0").select("host", "text_key", "lines"), "quality-facts")
+    distinct = facts.dropDuplicates(["host", "text_key"])
     lines = written(distinct.select("host", "text_key", F.explode("lines").alias("x")).select("host", "text_key", "x.h", "x.w"), "quality-lines")
     sizes = distinct.groupBy("host").agg(F.count("*").alias("n_texts"))
     often = lines.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > line_docs)
     often = often.alias("a").join(sizes.alias("b"), F.expr("a.host <=> b.host")).filter(F.col("n") > line_share * F.col("n_texts")).select("a.host", "h")
-    common = lines.alias("a").join(often.alias("b"), F.expr("a.host <=> b.host AND a.h = b.h")).groupBy("a.host", "text_key").agg(F.sum("w").alias("n_common_words"))
-    out = facts.drop("lines").alias("a").join(common.alias("b"), F.expr("a.host <=> b.host AND a.text_key = b.text_key"), "left")
+    common = lines.alias("a").join(often.alias("b"), F.expr("a.host <=> b.host AND a.h = b.h")).groupBy("a.host", "text_key").agg(F.sum("w").alias("n_common_words"), F.collect_list("a.h").alias("common"))
+    out = read.drop("lines").alias("a").join(common.alias("b"), F.expr("a.host <=> b.host AND a.text_key = b.text_key"), "left")
     failed = F.expr(f"n_words < {min_words} OR 100 * n_repeat_words > {repeat_percent} * n_words")
     shared = F.coalesce("n_common_words", F.lit(0)).cast("long")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), shared.alias("n_common_words"), (~failed & (shared <= depleted * F.col("n_words"))).alias("kept"))
+    out = out.select(*DIGEST[:6], failed.alias("base_failed"), shared.alias("n_common_words"), (~failed & (shared <= depleted * F.col("n_words"))).alias("kept"), "text", "common")
+    return out.mapInArrow(_left(min_words, repeat_percent), LEFT)
+
+
+def quality(docs: DataFrame, **limits) -> DataFrame:
+    """cleaned() without kept_text and left_failed."""
+    return cleaned(docs, **limits).select(DIGEST)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

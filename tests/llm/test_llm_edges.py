@@ -226,6 +226,18 @@ def test_a_line_is_common_at_every_host_size(spark):
     assert sorted((r.doc_id, r.n_common_words) for r in got) == sorted((n * 1000 + i, 3) for n in (20, 400) for i in range(11))
 
 
+def test_common_lines_go(spark, docs, empty):
+    own = lambda i, n: f"own {i} " + " ".join(f"u{i}x{j}" for j in range(n))
+    rows = [(i, f"{own(i, 60 if i % 2 else 48)}\nA common  LINE\n\nlast {i}", "h") for i in range(30)] + [(99, "a common line", "other")]
+    got = {r.doc_id: r for r in quality.cleaned(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].kept_text == f"{own(i, 60 if i % 2 else 48)}\n\nlast {i}" for i in range(30)) and got[99].kept_text == "a common line"
+    assert {(r.kept, r.left_failed) for r in got.values() if r.doc_id % 2} == {(True, False), (False, True)} and got[99].left_failed
+    assert (got[0].kept, got[0].n_words, got[0].left_failed) == (True, 55, False)
+    short = quality.cleaned(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_words=54).filter("doc_id = 0").first()
+    assert (short.kept, short.left_failed) == (True, True)
+    assert sorted(r.kept_text for r in quality.cleaned(docs).collect()) == sorted(t or "" for _, t, _, _ in ROWS) and quality.cleaned(empty).count() == 0
+
+
 def test_order_minhash(docs, empty):
     out = orderhash.edit_fingerprints(docs).collect()
     assert len(out) == len(ROWS)
