@@ -1,15 +1,14 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 Each text segment (blanks and the word after them) is merged on its own, best score first, as the model's merges never cross
-from a word into the blanks after it. A candidate merge is skipped if a hash of the key, the segment, its place and the pair
-falls under the dropout rate. Keys are `variants` in number and change from word to word, so that one text holds several segmentations of a
-word, and repeated epochs of a document others; all decode to the same text. Rate 0 gives the model's own segmentation.
+from a word into the blanks after it. A candidate merge is skipped if a hash of the seed, the document, the epoch, the segment's place in
+the text, the merge's place and its pair falls under the dropout rate, so that every place in every repeat has draws of its own. All
+segmentations decode to the same text. Rate 0 gives the model's own segmentation.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +19,12 @@ from pyspark.sql import types as T
 from shelfmark.llm import bytesops as B
 from shelfmark.shared import table
 
-RATE, SEED, VARIANTS = 0.1, 1, 4
+RATE, SEED = 0.1, 1
 BLANK, NONE = "▁", 1 << 30
 #: Stands for a character of the text that looks like the model's blank. No UTF-8 text holds it.
 LOOKALIKE = "\udfff"
-#: Segments that an encoder remembers, in two generations: the older one goes when the younger is full.
-CACHE = 1_600_000
+#: Segments whose plain ids and candidate merges an encoder remembers, in two generations: the older one goes when the younger is full.
+CACHE = 800_000
 _codecs: dict[str, Codec] = {}
 
 
@@ -61,34 +60,34 @@ class Codec:
         for text, i in self.piece.items():
             if len(text) == 1:
                 self.char[ord(text)] = i
-        self.rolling = B.Rolling()
 
-    def _look(self, a: np.ndarray, b: np.ndarray, where: np.ndarray, keyed: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    def _look(self, a: np.ndarray, b: np.ndarray, where: np.ndarray, keyed: np.ndarray, limit: int, row: np.ndarray, tried: list | None) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged id) of each pair, NONE where there is none or its merge is skipped. where: the pair's places in its segment."""
         key = np.where((a >= 0) & (b >= 0), a * self.n + b, -1)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         out, rank = self.merged[at], np.where(self.keys[at] == key, self.ranks[at], NONE)
-        if limit:
+        if limit or tried is not None:
             with np.errstate(over="ignore"):
-                skip = B.mix(keyed ^ B.mix(where.astype(np.uint64) * B.WORD_P + key.astype(np.uint64))) < np.uint64(limit)
-            rank = np.where(skip, NONE, rank)
+                drawn = B.mix(where.astype(np.uint64) * B.WORD_P + key.astype(np.uint64))
+            if tried is not None:
+                tried.append((row[rank < NONE], drawn[rank < NONE]))
+            if limit:
+                rank = np.where(B.mix(keyed ^ drawn) < np.uint64(limit), NONE, rank)
         return rank, out
 
-    def merge(self, segments: list[str], rate: float, salt: int) -> list[bytes]:
-        """The ids of each segment (little-endian unsigned 32-bit). A segment's key comes from its characters and the salt. Segments of like length together waste least."""
+    def merge(self, segments: list[str], rate: float, keyed: np.ndarray, tried: list | None = None) -> list[bytes]:
+        """The ids of each segment (little-endian unsigned 32-bit). keyed: a key each. tried gets (segment, hash) arrays of all candidate merges met. Segments of like length together waste least."""
         limit = int(rate * (1 << 64))
         size = np.array(list(map(len, segments)))
         n, width = len(segments), int(size.max())
         codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
-        ends = np.cumsum(size)
-        keyed = B.mix(self.rolling.ranges(self.rolling.sums(codes.astype(np.uint64) + np.uint64(1)), ends - size, ends) ^ np.uint64(salt))
         ids = np.full((n, width + 1), -1, np.int64)
         ids[:, :width][np.arange(width)[None] < size[:, None]] = self.char[codes]
         at = np.tile(np.arange(width + 1), (n, 1))  # each symbol's first character
         rank = np.full((n, width), NONE, np.int64)
         into = np.zeros((n, width), np.int64)
         r, c = np.nonzero(np.arange(width)[None] < (size - 1)[:, None])
-        rank[r, c], into[r, c] = self._look(ids[r, c], ids[r, c + 1], c * 4096 + c + 2, keyed[r], limit)
+        rank[r, c], into[r, c] = self._look(ids[r, c], ids[r, c + 1], c * 4096 + c + 2, keyed[r], limit, r, tried)
         live = np.flatnonzero(rank.min(axis=1) < NONE) if width else np.zeros(0, int)
         cols = np.arange(width + 1)
         while len(live):
@@ -107,7 +106,7 @@ class Codec:
                 ok = (left >= 0) & (left + 1 < size[live])
                 row, col = live[ok], left[ok]
                 end = np.where(col + 2 < size[row], at[row, np.minimum(col + 2, width)], 4095)
-                rank[row, col], into[row, col] = self._look(ids[row, col], ids[row, col + 1], at[row, col] * 4096 + end, keyed[row], limit)
+                rank[row, col], into[row, col] = self._look(ids[row, col], ids[row, col + 1], at[row, col] * 4096 + end, keyed[row], limit, row, tried)
                 row, col = live[~ok], np.maximum(left[~ok], 0)
                 if shift == 0:
                     rank[row, np.minimum(col, width - 1)] = NONE
@@ -146,77 +145,92 @@ def codec(path: str) -> Codec:
 
 
 class Encoder:
-    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, most: int = CACHE):
+    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, most: int = CACHE):
         if not 0 <= rate < 1:
             raise ValueError("rate must be at least 0 and less than 1")
-        self.codec, self.rate, self.seed = codec(path), rate, seed
-        self.variants, self.most = (variants if rate else 1), most
-        self.young: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.codec, self.rate, self.seed, self.most = codec(path), rate, seed, most
+        self.young: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
+
+    def _merged(self, segments: list[str], rate: float, keyed: np.ndarray, tried: list | None = None) -> list[bytes]:
+        """As Codec.merge, in pieces of like length. segments ascend in length."""
+        out, i = [], 0
+        while i < len(segments):
+            j = min(len(segments), i + max(1, min(8192, 200_000 // (len(segments[i]) + 1))))
+            while j > i + 1 and len(segments[j - 1]) > 2 * len(segments[i]) + 8:
+                j = i + (j - i + 1) // 2
+            found = None if tried is None else []
+            out += self.codec.merge([x.replace(BLANK, LOOKALIKE).replace(" ", BLANK) for x in segments[i:j]], rate, keyed[i:j], found)
+            if tried is not None:
+                row, drawn = (np.concatenate(x) for x in zip(*found, strict=True))
+                order, at = np.argsort(row, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(row, minlength=j - i)))).tolist()
+                drawn = drawn[order]
+                tried += [drawn[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+            i = j
+        return out
+
+    def encode_all(self, texts: list[str], epochs: list[int], names: list[str] | None = None) -> list[bytes]:
+        """The ids (little-endian unsigned 32-bit) of each text. epoch: which of the repeats of the document this is; name: the document.
 
-    def encode_all(self, texts: list[str], epochs: list[int]) -> list[bytes]:
-        """The ids (little-endian unsigned 32-bit) of each text. epoch: which of the repeats of the document this is."""
+        Plain ids are kept with the candidate merges that lead to them. Where none of those is skipped they are the result."""
         cut = [self.codec.segments(t) for t in texts]
-        step = [zlib.crc32(f"{self.seed}:{e}".encode()) for e in epochs]
-        V = self.variants
-        fresh: list[set[str]] = [set() for _ in range(V)]
-        for own, s in zip(cut, step, strict=True):
-            for v in range(V):
-                fresh[v].update(own[(v - s) % V :: V])
-        for v in range(V):
-            young, old = self.young[v], self.old[v]
-            wanted = fresh[v].difference(young)
-            young.update((x, old[x]) for x in wanted.intersection(old))
-            new = sorted(wanted.difference(old), key=len)
-            salt = int.from_bytes(hashlib.blake2b(f"{self.seed}:{v}".encode(), digest_size=8).digest(), "little")
-            i = 0
-            while i < len(new):
-                j = min(len(new), i + max(1, min(8192, 200_000 // (len(new[i]) + 1))))
-                while j > i + 1 and len(new[j - 1]) > 2 * len(new[i]) + 8:
-                    j = i + (j - i + 1) // 2
-                marked = [x.replace(BLANK, LOOKALIKE).replace(" ", BLANK) for x in new[i:j]]
-                young.update(zip(new[i:j], self.codec.merge(marked, self.rate, salt), strict=True))
-                i = j
-        out = []
-        for own, s in zip(cut, step, strict=True):
-            parts = [b""] * len(own)
-            for v in range(V):
-                begin = (v - s) % V
-                parts[begin::V] = map(self.young[v].__getitem__, own[begin::V])
-            out.append(b"".join(parts))
-        for v in range(V):
-            if len(self.young[v]) > self.most // (2 * V):
-                self.old[v], self.young[v] = self.young[v], {}
+        own = [x for c in cut for x in c]
+        wanted = set(own).difference(self.young)
+        self.young.update((x, self.old[x]) for x in wanted.intersection(self.old))
+        new = sorted(wanted.difference(self.old), key=len)
+        tried: list[bytes] = []
+        plain = self._merged(new, 0.0, np.zeros(len(new), np.uint64), tried)
+        self.young.update(zip(new, zip(plain, tried, strict=True), strict=True))
+        known = [self.young[x] for x in own]
+        parts = [x[0] for x in known]
+        if self.rate and own:
+            bases = [int.from_bytes(hashlib.blake2b(f"{self.seed}:{e}:{d}".encode(), digest_size=8).digest(), "little") for e, d in zip(epochs, names or [""] * len(texts), strict=True)]
+            places = np.concatenate([np.arange(1, len(c) + 1, dtype=np.uint64) for c in cut])
+            keyed = B.mix(np.repeat(np.array(bases, np.uint64), [len(c) for c in cut]) ^ B.mix(places))
+            limit = np.uint64(int(self.rate * (1 << 64)))
+            for i in range(0, len(own), 100_000):
+                some = known[i : i + 100_000]
+                row = np.repeat(np.arange(i, i + len(some)), [len(x[1]) // 8 for x in some])
+                skipped = np.unique(row[B.mix(keyed[row] ^ np.frombuffer(b"".join([x[1] for x in some]), np.uint64)) < limit]).tolist()
+                skipped.sort(key=lambda k: len(own[k]))
+                for k, ids in zip(skipped, self._merged([own[k] for k in skipped], self.rate, keyed[skipped]), strict=True):
+                    parts[k] = ids
+        out, at = [], 0
+        for c in cut:
+            out.append(b"".join(parts[at : at + len(c)]))
+            at += len(c)
+        if len(self.young) > self.most // 2:
+            self.old, self.young = self.young, {}
         return out
 
 
-def _encode(path: str, rate: float, seed: int, variants: int):
+def _encode(path: str, rate: float, seed: int):
     def run(batches):
-        own = Encoder(path, rate, seed, variants)
+        own = Encoder(path, rate, seed)
         for batch in B.groups(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            coded = own.encode_all(texts, batch.column("_epoch").cast(pa.int64()).fill_null(0).to_pylist())
+            coded = own.encode_all(texts, batch.column("_epoch").cast(pa.int64()).fill_null(0).to_pylist(), batch.column("_doc").to_pylist())
             decoded = own.codec.sp.decode([np.frombuffer(x, "<u4").tolist() for x in coded], num_threads=1) if texts else []
-            names = [c for c in batch.schema.names if c != "_epoch"]
+            names = [c for c in batch.schema.names if c not in ("_epoch", "_doc")]
             more = [pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(coded, pa.binary()), pa.array(decoded, pa.string()), pa.array([a == b for a, b in zip(texts, decoded, strict=True)])]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *more], names=[*names, "n_tokens", "ids", "decoded", "lossless"])
 
     return run
 
 
-def encode_pieces(docs: DataFrame, model: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, epoch: str | None = None) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, rate: float = RATE, seed: int = SEED, epoch: str | None = None, name: str = "doc_id") -> DataFrame:
     """docs (text, ...) with n_tokens, ids (little-endian unsigned 32-bit), decoded (the text that the ids decode to) and lossless.
 
-    epoch: a column that numbers the repeats of a document; repeats are cut with other keys. The same seed, text and epoch
-    always give the same ids.
+    epoch: a column that numbers the repeats of a document; each is cut with other keys. name: the column that names the
+    document; without it all rows are one document. The same seed, document, epoch and text always give the same ids.
 
     Null and empty texts have no ids and decode to an empty text, lossless. Rows are independent: repeated rows and null doc_ids get a row each. An
     empty table gives an empty table. Columns of docs stay; those named n_tokens, ids, decoded or lossless are replaced.
     """
-    docs = docs.drop("n_tokens", "ids", "decoded", "lossless", "_epoch").withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop("n_tokens", "ids", "decoded", "lossless", "_epoch", "_doc").withColumn("text", F.col("text").cast("string"))
     more = [("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("decoded", T.StringType()), ("lossless", T.BooleanType())]
     schema = T.StructType([*docs.schema.fields, *[T.StructField(*x) for x in more]])
-    return docs.withColumn("_epoch", F.col(epoch).cast("long") if epoch else F.lit(0).cast("long")).mapInArrow(_encode(model, rate, seed, variants), schema)
+    return docs.withColumn("_epoch", F.col(epoch).cast("long") if epoch else F.lit(0).cast("long")).withColumn("_doc", F.col(name).cast("string") if name in docs.columns else F.lit("")).mapInArrow(_encode(model, rate, seed), schema)
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:

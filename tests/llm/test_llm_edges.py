@@ -197,6 +197,26 @@ def test_pieces(spark, docs, empty):
     assert pieces.encode_pieces(empty, pieces.default_model()).count() == 0
 
 
+def test_dropout_differs_by_epoch_document_and_place():
+    text = " ".join(["recommendation"] * 200)
+    own = pieces.Encoder(pieces.default_model())
+    got = own.encode_all([text] * 9, [*range(8), 0], ["1"] * 8 + ["2"])
+    assert len(set(got)) == 9 and got == pieces.Encoder(pieces.default_model()).encode_all([text] * 9, [*range(8), 0], ["1"] * 8 + ["2"])
+    cuts, now = [], []
+    for i in np.frombuffer(got[0], "<u4").tolist():
+        if own.codec.sp.id_to_piece(i).startswith("▁") and now:
+            cuts.append(tuple(now))
+            now = []
+        now.append(i)
+    assert len(set(cuts)) > 4
+    keyed = np.arange(1, 201, dtype=np.uint64)
+    plain, tried = own.young[" recommendation"]
+    direct = own.codec.merge(["▁recommendation"] * 200, 0.1, keyed)
+    for k, ids in zip(keyed, direct, strict=True):
+        if not (pieces.B.mix(k ^ np.frombuffer(tried, np.uint64)) < np.uint64(int(0.1 * (1 << 64)))).any():
+            assert ids == plain
+
+
 def test_mixing(spark, docs, empty):
     sized = docs.withColumn("size", mixing.n_words(F.col("text")))
     out = mixing.mix_sources(sized)
