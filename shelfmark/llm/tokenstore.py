@@ -206,9 +206,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     placed = ranged.withColumn("_done", F.sum("n_tokens").over(inside) - F.col("n_tokens")).join(parts.select("part", F.col("start").alias("_start")), "part")
     placed = placed.select("part", "doc_id", (F.col("_start") + F.col("_done")).cast("long").alias("start"), "n_tokens", "root")
     placed.repartitionByRange(width(spark), "start").sortWithinPartitions("start").write.parquet(f"{path}/documents")
-    roots = spark.read.parquet(f"{path}/documents").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("start", "root"))).alias("x"))
-    roots = roots.select("part", F.sha2(F.concat_ws("", F.transform("x", lambda r: F.hex(r["root"]))), 256).alias("root"))
-    parts.join(roots, "part").orderBy("part").write.parquet(f"{path}/manifest")
+    parts.join(_parts(spark.read.parquet(f"{path}/documents")).select("part", "root"), "part").orderBy("part").write.parquet(f"{path}/manifest")
+
+
+def _parts(documents: DataFrame) -> DataFrame:
+    """part, n_docs, n_tokens, start, root: what the documents of each part come to."""
+    held = documents.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("start", "root"))).alias("x"))
+    return held.select("part", "n_docs", "n_tokens", "start", F.sha2(F.concat_ws("", F.transform("x", lambda r: F.hex(r["root"]))), 256).alias("root"))
 
 
 def _chunk_facts(batches):
@@ -269,30 +273,44 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
 
     Every chunk is read, unpacked and held against its digest once, where it lies; only its CRC-32 and length go on. A
     document's CRC-32 follows from those of its chunks in the recipe's order, and so no ids are shuffled. verified: all chunks are there
-    and sound, the digests have the recipe's Merkle root, and the number of ids is the document's.
+    and sound, the digests have the recipe's Merkle root, the number of ids is the document's, and the documents of its part have the
+    counts, start and roots of the manifest. A part without documents gives a row with a null doc_id that is not verified.
     """
     documents, recipes, chunks = (spark.read.parquet(f"{path}/{x}") for x in ("documents", "recipes", "chunks"))
     facts = chunks.mapInArrow(_chunk_facts, "digest binary, n_ids long, crc long, sound boolean")
     found = recipes.select("root", F.posexplode("digests").alias("at", "digest")).join(facts, "digest", "left")
     whole = found.groupBy("root").agg(F.collect_list(F.struct("at", "digest", "n_ids", "crc", F.coalesce("sound", F.lit(False)).alias("sound"))).alias("chunks"))
     whole = whole.mapInArrow(_document_facts, "root binary, n_ids long, ids_crc32 long, sound boolean")
-    out = documents.join(whole, "root")
-    return out.select("doc_id", "start", F.col("n_ids").alias("n_tokens"), "ids_crc32", (F.col("sound") & (F.col("n_ids") == F.col("n_tokens"))).alias("verified"))
+    manifest, parts = spark.read.parquet(f"{path}/manifest").select("part", "n_docs", "n_tokens", "start", "root"), _parts(documents)
+    held = manifest.join(parts, manifest.columns, "left_semi").select("part", F.lit(True).alias("held"))  # bounded: a row for each part
+    out = documents.join(whole, "root", "left").join(F.broadcast(held), "part", "left")
+    verified = F.coalesce(F.col("held") & F.col("sound") & (F.col("n_ids") == F.col("n_tokens")), F.lit(False))
+    out = out.select("doc_id", "start", F.col("n_ids").alias("n_tokens"), "ids_crc32", verified.alias("verified"))
+    lost = manifest.join(parts, "part", "left_anti")
+    return out.union(lost.select(F.lit(None).cast("long"), "start", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(False)))
 
 
 def _joined(batches):
     schema, press = pa.schema([("root", pa.binary()), ("ids", pa.binary())]), zstandard.ZstdDecompressor()
     for batch in batches:
-        rows = [{"root": r["root"], "ids": b"".join(unpacked(c["data"], c["wide"], press) for c in sorted(r["chunks"], key=lambda c: c["at"]))} for r in batch.to_pylist()]
+        rows = []
+        for r in batch.to_pylist():
+            own = sorted(r["chunks"] or (), key=lambda c: c["at"])
+            data = [b"" if c["data"] is None else unpacked(c["data"], c["wide"], press) for c in own]
+            if not own or [digest(x) for x in data] != [c["digest"] for c in own] or merkle([c["digest"] for c in own]) != r["root"]:
+                raise ValueError(f"recipe {r['root'].hex()}: missing or unsound chunks")
+            rows.append({"root": r["root"], "ids": b"".join(data)})
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of each document of a store."""
+    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of each document of a store. A missing recipe and missing or unsound chunks are errors."""
     documents, recipes, chunks = (spark.read.parquet(f"{path}/{x}") for x in ("documents", "recipes", "chunks"))
-    found = recipes.select("root", F.posexplode("digests").alias("at", "digest")).join(chunks, "digest")
-    whole = found.groupBy("root").agg(F.collect_list(F.struct("at", "wide", "data")).alias("chunks"))
-    return documents.join(whole.mapInArrow(_joined, "root binary, ids binary"), "root").select("doc_id", "start", "n_tokens", "ids")
+    found = recipes.select("root", F.posexplode("digests").alias("at", "digest")).join(chunks, "digest", "left")
+    whole = found.groupBy("root").agg(F.collect_list(F.struct("at", "digest", "wide", "data")).alias("chunks"))
+    out = documents.join(whole.mapInArrow(_joined, "root binary, ids binary"), "root", "left")
+    ids = F.coalesce("ids", F.raise_error(F.lit("a document without its recipe")).cast("binary"))
+    return out.select("doc_id", "start", "n_tokens", ids.alias("ids"))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

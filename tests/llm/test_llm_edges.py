@@ -113,6 +113,20 @@ def test_a_damaged_chunk_shows(spark, docs):
     assert {r.verified for r in tokenstore.verify_store(spark, path).collect()} == {True, False}
 
 
+@pytest.mark.parametrize("what,gone", [("chunks", "digest"), ("recipes", "root"), ("documents", "doc_id")])
+def test_a_lost_row_shows(spark, what, gone):
+    path, docs = scratch(spark, "test-store"), spark.createDataFrame([(i, f"{LONG} {i}") for i in range(6)], "doc_id long, text string")
+    tokenstore.write_store(docs, path, tokenstore.default_tokenizer())
+    rows = spark.read.parquet(f"{path}/{what}").orderBy(gone).collect()
+    schema = spark.read.parquet(f"{path}/{what}").schema
+    spark.createDataFrame(rows[1:], schema).write.mode("overwrite").parquet(f"{path}/{what}")
+    out = tokenstore.verify_store(spark, path).collect()
+    assert not all(r.verified for r in out) and (what == "documents" or len(out) == 6)
+    if what != "documents":
+        with pytest.raises(Exception, match="recipe"):
+            tokenstore.read_store(spark, path).collect()
+
+
 def test_repeated_passages_share_chunks():
     rng = np.random.default_rng(5)
     passages = [rng.integers(0, 49_000, 800) for _ in range(20)]
