@@ -1,13 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and the first letters of words. Learning rows give the examples (a bounded sample of each class) and the terms
-that tell the classes apart (by chi-square); document frequencies come from all documents. A text's score is the vote of its
-nearest examples, weighted by distance and by the sampling rate of their class, then calibrated on the examples themselves,
-each held out of its own vote.
+Terms are words. The examples are a bounded sample of the labelled rows of each class; all their terms are indexed, and document
+frequencies come from all documents. A term's weight is its TF-IDF times its relevance, chi2 / (chi2 + 20) of the classes in the
+sample: no term goes, but words that both classes use alike count little. A text's score is the vote of its nearest examples,
+weighted by distance and by the sampling rate of their class, then calibrated on the examples themselves, each held out of its
+own vote.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -17,32 +19,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bytesops as B
-from shelfmark.shared import table, written
+from shelfmark.shared import drop_written, table, width, written
 
-#: At most so many examples of each class, and terms; chi-square (1 degree of freedom) and examples that a term needs.
-EXAMPLES, TERMS, LEAST_CHI2, LEAST_DOCS = 2500, 1024, 20.0, 3
-PREFIXES = range(4, 9)
+#: At most so many examples of each class. Chi-square (1 degree of freedom) at which a term's relevance is a half.
+EXAMPLES, HALF_CHI2 = 2500, 20.0
 NEIGHBOURS, BLOCK, FAR, PRIOR_WEIGHT = 15, 64, 0.05, 0.2
-CACHE = 400_000
+#: Bytes of words that a task remembers; scores that it remembers (of fixed size); rows that a task scores.
+WORD_BYTES, SCORES, TASK_ROWS = 48 << 20, 50_000, 8192
 SEED = "examples"
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *("^" + word[:n] for n in PREFIXES if n < len(word))]
-
-
-def _term_counts(batches):
-    """(term, clean, toxic): the examples of a task that hold each term."""
-    schema = pa.schema([("term", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())])
-    found = (Counter(), Counter())
+def _terms(batches):
+    """(term): the distinct terms of a task's texts."""
+    found: set[str] = set()
     for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            found[toxic].update({t for w in set(WORD.findall((text or "").lower())) for t in terms_of(w)})
-    terms = list(found[0] | found[1])
+        for text in batch.column("text").to_pylist():
+            found.update(WORD.findall((text or "").lower()))
+    terms = sorted(found)
     for i in range(0, len(terms), 20_000):
-        some = terms[i : i + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *[pa.array([c[t] for t in some], pa.int64()) for c in found]], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(terms[i : i + 20_000], pa.string())], names=["term"])
 
 
 def _vectors(vocabulary: dict[str, int]):
@@ -50,19 +46,24 @@ def _vectors(vocabulary: dict[str, int]):
 
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
-        seen: dict[str, tuple[int, ...]] = {}
+        seen: dict[bytes, tuple[int, ...]] = {}
+        held = 0
         for batch in B.groups(batches):
             raw, at = B.buffers(batch.column("text"))
             terms, counts = [], []
             for text in B.texts(raw, at):
-                own = text.split()
-                for w in set(own).difference(seen):
-                    seen[w] = tuple(vocabulary[t] for x in WORD.findall(w.decode("utf-8").lower()) for t in terms_of(x) if t in vocabulary)
-                n = Counter(t for w in own if (held := seen[w]) for t in held)
+                n: dict[int, int] = {}
+                for w, k in Counter(text.split()).items():
+                    if (own := seen.get(w)) is None:
+                        own = seen[w] = tuple(vocabulary[x] for x in WORD.findall(w.decode("utf-8").lower()) if x in vocabulary)
+                        held += len(w) + 40 * len(own) + 120
+                    for t in own:
+                        n[t] = n.get(t, 0) + k
                 terms.append(sorted(n))
                 counts.append([n[t] for t in terms[-1]])
-            if len(seen) > CACHE:
+            if held > WORD_BYTES:
                 seen.clear()
+                held = 0
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], schema=schema)
 
     return run
@@ -81,82 +82,87 @@ def _held(n_terms: int):
     return run
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The whole numbers of each range start, start + 1, … of its size, one range after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+
+
 class BlockMaxIndex:
-    """Posting lists of unit vectors in blocks of examples, with the largest weight of each term in each block."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        """vectors: (terms, weights) of each example, of length 1, or empty."""
-        strongest = [int(t[w.argmax()]) if len(t) else n_terms for t, w in vectors]
-        order = np.lexsort((np.arange(len(vectors)), strongest))  # like with like, for tight bounds
-        self.order, self.block = order, block
-        self.n_blocks = -(-len(vectors) // block)
-        self.most = np.zeros((n_terms, max(1, self.n_blocks)), np.float32)
-        lists: dict[tuple[int, int], tuple[list, list]] = {}
-        for place, i in enumerate(order.tolist()):
-            b = place // block
-            for t, w in zip(vectors[i][0].tolist(), vectors[i][1].tolist(), strict=True):
-                at, weights = lists.setdefault((t, b), ([], []))
-                at.append(place % block)
-                weights.append(w)
-                self.most[t, b] = max(self.most[t, b], w)
-        self.lists = {k: (np.array(a), np.array(w)) for k, (a, w) in lists.items()}
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest cosine over 0 (exact; equal ones by place), and the cosines.
-
-        Blocks go in order of their bounds; the search ends at a bound under the k-th cosine so far."""
-        if not len(terms) or not self.n_blocks:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bounds = weights @ self.most[terms]
+    """Posting lists of vectors in blocks of examples, with the largest weight of each term in each block."""
+
+    def __init__(self, terms: np.ndarray, weights: np.ndarray, at: np.ndarray, n_terms: int, block: int = BLOCK):
+        """The vector of example i is terms and weights [at[i] : at[i + 1]]; weights are 0 or more."""
+        n = len(at) - 1
+        strongest = np.array([terms[a + weights[a:b].argmax()] if b > a else n_terms for a, b in zip(at, at[1:], strict=False)], np.int64)
+        self.order, self.block, self.n_blocks = np.lexsort((np.arange(n), strongest)), block, -(-n // block)  # like with like, for tight bounds
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        places = np.repeat(place, np.diff(at))
+        by = np.lexsort((places, terms))
+        self.places, self.weights, sorted_terms = places[by], weights[by], terms[by]
+        lists = sorted_terms * max(1, self.n_blocks) + self.places // block
+        self.start = np.append(np.flatnonzero(np.diff(lists, prepend=-1)), len(lists))  # of each posting list of a term in a block
+        self.list_block = self.places[self.start[:-1]] // block
+        self.list_most = np.maximum.reduceat(self.weights, self.start[:-1]) if len(lists) else np.zeros(0)
+        self.first = np.searchsorted(sorted_terms[self.start[:-1]], np.arange(n_terms + 1))  # list of each term
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples with the largest inner product over 0 (exact; equal ones by number), and the products.
+
+        Blocks go in order of their bounds, `step` at a time; the search ends at a bound under the k-th product so far."""
+        size = self.first[terms + 1] - self.first[terms]
+        lists, q = _ranges(self.first[terms], size), np.repeat(weights, size)
+        blocks = self.list_block[lists]
+        bounds = np.bincount(blocks, q * self.list_most[lists], minlength=self.n_blocks)
         ids, found, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(found) >= k and bounds[b] + 1e-5 < least):
+        order = np.argsort(-bounds, kind="stable")
+        for i in range(0, len(order), step):
+            some = order[i : i + step]
+            if bounds[some[0]] <= 0 or (len(found) >= k and bounds[some[0]] + 1e-9 < least):
                 break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                if (held := self.lists.get((t, b))) is not None:
-                    scores[held[0]] += w * held[1]
-            hit = np.flatnonzero(scores > 1e-9)
-            places = b * self.block + hit
-            if without >= 0:
-                keep = self.order[places] != without
-                hit, places = hit[keep], places[keep]
-            ids, found = np.concatenate((ids, places)), np.concatenate((found, scores[hit]))
-            top = np.lexsort((ids, -np.round(found, 9)))[:k]
+            own = np.isin(blocks, some)
+            start, n = self.start[lists[own]], self.start[lists[own] + 1] - self.start[lists[own]]
+            at = _ranges(start, n)
+            scores = np.round(np.bincount(self.places[at], np.repeat(q[own], n) * self.weights[at]), 9)
+            hit = np.flatnonzero(scores > 0)
+            examples, scores = self.order[hit], scores[hit]
+            keep = examples != without
+            ids, found = np.concatenate((ids, examples[keep])), np.concatenate((found, scores[keep]))
+            top = np.lexsort((ids, -found))[:k]
             ids, found = ids[top], found[top]
             least = found[-1] if len(found) >= k else 0.0
-        return self.order[ids], found
+        return ids, found
 
 
 class Model:
-    def __init__(self, rows: list[tuple[list[int], list[int], int]], idf: np.ndarray, rates: tuple[float, float], k: int = NEIGHBOURS):
-        """rows: (terms, counts, toxic) of each example; rates: learning rows for each example of class 0, 1."""
-        self.idf, self.k = idf, k
-        self.toxic = np.array([r[2] for r in rows], float)
-        self.share = np.where(self.toxic == 1, rates[1], rates[0]) if rows else np.zeros(0)
-        self.prior = float((self.toxic * self.share).sum() / self.share.sum()) if rows else 0.0
-        vectors = [self.vector(r[0], r[1]) for r in rows]
-        self.index = BlockMaxIndex(vectors, max(1, len(idf)))
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, at: np.ndarray, toxic: np.ndarray, weight: np.ndarray, rates: tuple[float, float], k: int = NEIGHBOURS):
+        """Example i has terms and counts [at[i] : at[i + 1]]. weight: of each term; rates: learning rows for each example of class 0, 1."""
+        self.weight, self.k, self.toxic = weight, k, toxic.astype(float)
+        self.share = np.where(toxic == 1, rates[1], rates[0])
+        self.prior = float((self.toxic * self.share).sum() / self.share.sum()) if len(toxic) else 0.0
+        vectors = [self.vector(terms[a:b], counts[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        self.index = BlockMaxIndex(terms, np.concatenate([np.zeros(0), *vectors]), at, len(weight))
         self.slope, self.shift = 1.0, 0.0
         if 0 < self.prior < 1:
-            votes = np.array([self.vote(*v, without=i)[0] for i, v in enumerate(vectors)])
+            votes = np.array([self.vote(terms[a:b], v, without=i)[0] for i, (a, b, v) in enumerate(zip(at, at[1:], vectors, strict=False))])
             self.slope, self.shift = calibration(votes, self.toxic, self.share)
 
-    def vector(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.asarray(terms, np.int64)
-        w = (1 + np.log(np.asarray(counts, float))) * self.idf[terms] if len(terms) else np.zeros(0)
-        return terms, w / np.sqrt((w * w).sum()) if len(terms) else w
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.weight[terms]
+        length = np.sqrt((w * w).sum())
+        return w / length if length else w
 
-    def vote(self, terms, weights, without: int = -1) -> tuple[float, list[tuple[int, float]]]:
+    def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, list[tuple[int, float]]]:
         ids, cosine = self.index.nearest(terms, weights, self.k, without)
         w = self.share[ids] / self.share.mean() / (FAR + 1 - np.minimum(cosine, 1)) * cosine
         raw = ((w * self.toxic[ids]).sum() + PRIOR_WEIGHT * self.prior) / (w.sum() + PRIOR_WEIGHT)
         return float(raw), list(zip(ids.tolist(), cosine.tolist(), strict=True))
 
-    def score(self, terms, counts) -> tuple[float, list[tuple[int, float]]]:
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
         if not 0 < self.prior < 1:
             return self.prior, []
-        raw, near = self.vote(*self.vector(terms, counts))
+        raw, near = self.vote(terms, self.vector(terms, counts))
         return float(1 / (1 + np.exp(-(self.slope * _logit(raw) + self.shift)))), near
 
 
@@ -183,15 +189,16 @@ def _scores(model: Model, ids: list[int]):
     def run(batches):
         near_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", near_type)])
-        seen: dict[tuple, tuple[float, list]] = {}
+        seen: dict[bytes, tuple[float, list]] = {}
         for batch in batches:
             scores, evidence = [], []
-            for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                key = (tuple(terms), tuple(counts))
+            for terms, counts in zip(batch.column("terms"), batch.column("counts"), strict=True):
+                terms, counts = terms.values.to_numpy(), counts.values.to_numpy()
+                key = hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest()
                 if key not in seen:
-                    if len(seen) > CACHE:
+                    if len(seen) >= SCORES:
                         seen.clear()
-                    score, near = model.score(terms, counts)
+                    score, near = model.score(terms.astype(np.int64), counts)
                     seen[key] = score, [{"doc_id": ids[i], "toxic": int(model.toxic[i]), "similarity": s} for i, s in near[:3]]
                 score, near = seen[key]
                 scores.append(score)
@@ -201,41 +208,55 @@ def _scores(model: Model, ids: list[int]):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, least_chi2: float = LEAST_CHI2, k: int = NEIGHBOURS) -> DataFrame:
+def relevance(terms: np.ndarray, at: np.ndarray, toxic: np.ndarray, n_terms: int, half: float = HALF_CHI2) -> np.ndarray:
+    """chi2 / (chi2 + half) of each term, over the examples that have it; 1 for all with half = 0, which leaves plain TF-IDF."""
+    if half == 0:
+        return np.ones(n_terms)
+    n = [max(1, int((toxic == c).sum())) for c in (0, 1)]
+    clean, bad = (np.bincount(terms[np.repeat(toxic == c, np.diff(at))], minlength=n_terms) for c in (0, 1))
+    held, odd = np.maximum(clean + bad, 1), bad / n[1] - clean / n[0]
+    chi2 = odd * odd * n[0] * n[1] / held * sum(n) / (sum(n) + 1 - held)
+    return chi2 / (chi2 + half)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, half_chi2: float = HALF_CHI2, k: int = NEIGHBOURS) -> DataFrame:
     """docs (doc_id, text), labels (doc_id, toxic) -> doc_id, score, predicted, evidence, a row for each row of docs.
 
     All rows of labels are learned from: leave out what must not be. The examples are, of each class, the `examples` rows with the
-    least hash of doc_id that have a document. evidence: the three nearest examples with their labels and cosines.
-
-    Null and empty texts have no terms; they and texts without a known term get the calibrated score of no neighbours. Null
-    doc_ids in labels and labels other than 0 and 1 are not learned from; a doc_id labelled both 0 and 1 counts as 1. Without labels of
-    both classes every score is the share of toxic ones (0 without any). Repeated rows and null doc_ids of docs get a row
-    each. An empty table gives an empty table. Other columns are ignored.
+    least hash of doc_id that have a document. half_chi2: the chi-square at which a term counts half; 0: plain TF-IDF. evidence: the
+    three nearest examples with their labels and cosines; of equally near ones the smaller doc_id.
+
+    Null and empty texts have no terms; they and texts without a known term get the calibrated score of no neighbours. Terms that no
+    example has weigh nothing, as they tell nothing of the classes. Null doc_ids in labels and labels other than 0 and 1 are not
+    learned from; a doc_id labelled both 0 and 1 counts as 1. Without labels of both classes every score is the share of toxic
+    ones (0 without any). Repeated rows and null doc_ids of docs get a row each. An empty table gives an empty table. Other
+    columns are ignored.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labels = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     labels = written(labels, "labels")
     sizes = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64(F.lit(SEED), "doc_id"), F.col("doc_id")]
     sample = written(labels.filter("toxic = 0").orderBy(*order).limit(examples).union(labels.filter("toxic = 1").orderBy(*order).limit(examples)), "examples")
-    # the sample is bounded: 2 * examples rows of 12 bytes
-    texts = docs.join(F.broadcast(sample), "doc_id")
-    counts = texts.select("text", "toxic").mapInArrow(_term_counts, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    n0, n1 = (max(1, min(examples, sizes.get(c, 0))) for c in (0, 1))
-    held, odd = F.col("clean") + F.col("toxic"), F.col("toxic") / n1 - F.col("clean") / n0
-    chi2 = odd * odd * n0 * n1 / held * (n0 + n1) / (n0 + n1 + 1 - held)
-    best = counts.filter(held >= LEAST_DOCS).withColumn("chi2", chi2).filter(F.col("chi2") >= least_chi2).orderBy(F.col("chi2").desc(), "term").limit(terms).collect()
-    vocabulary = {r.term: i for i, r in enumerate(best)}
+    # what goes to the driver is bounded by the sample: its terms, how many documents have each, its vectors
+    found = docs.join(F.broadcast(sample.select("doc_id")), "doc_id").select("text").mapInArrow(_terms, "term string").distinct().toArrow()
+    vocabulary = {t: i for i, t in enumerate(sorted(found.column("term").to_pylist()))}
     vectors = written(docs.mapInArrow(_vectors(vocabulary), "doc_id long, terms array<int>, counts array<int>"), "vectors")
-    n = vectors.count()
-    df = np.zeros(len(vocabulary))
-    if vocabulary:
-        for r in vectors.select("terms").mapInArrow(_held(len(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-            df[r.term] = r.n
-    rows = sorted({(r.doc_id, tuple(r.terms), tuple(r.counts), r.toxic) for r in vectors.join(F.broadcast(sample), "doc_id").collect()})
-    by_class = Counter(r[3] for r in rows)
-    model = Model([r[1:] for r in rows], np.log((1 + n) / (1 + df)) + 1, tuple(sizes.get(c, 0) / max(1, by_class[c]) for c in (0, 1)), k)
-    out = vectors.mapInArrow(_scores(model, [r[0] for r in rows]), "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, similarity: double>>")
+    n, df = vectors.count(), np.zeros(len(vocabulary))
+    held = vectors.select("terms").mapInArrow(_held(len(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df[held.column("term").to_numpy()] = held.column("n").to_numpy()
+    own = vectors.join(F.broadcast(sample), "doc_id").distinct().toArrow()
+    rows = sorted(zip(*(own.column(c).to_pylist() for c in ("doc_id", "terms", "counts", "toxic")), strict=True))
+    at = np.cumsum([0, *(len(r[1]) for r in rows)])
+    terms, counts = (np.fromiter((x for r in rows for x in r[i]), np.int64, at[-1]) for i in (1, 2))
+    toxic = np.array([r[3] for r in rows], np.int64)
+    weight = (np.log((1 + n) / (1 + df)) + 1) * relevance(terms, at, toxic, len(vocabulary), half_chi2)
+    model = Model(terms, counts, at, toxic, weight, tuple(sizes.get(c, 0) / max(1, int((toxic == c).sum())) for c in (0, 1)), k)
+    dealt = vectors.repartition(max(width(spark), n // TASK_ROWS))
+    out = dealt.mapInArrow(_scores(model, [r[0] for r in rows]), "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, similarity: double>>")
+    for x in (labels, sample):
+        drop_written(x)
     return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 

@@ -70,14 +70,54 @@ def test_block_max_index_is_exact():
         t = np.sort(rng.choice(60, rng.integers(0, 9), replace=False))
         w = rng.random(len(t)) + 0.1
         vectors.append((t, w / np.sqrt((w * w).sum()) if len(t) else w))
-    index = toxicity.BlockMaxIndex(vectors, 60, block=16)
+    vectors[100:120] = vectors[80:100]  # ties
+    index = toxicity.BlockMaxIndex(*(np.concatenate(x) for x in zip(*vectors, strict=True)), np.cumsum([0, *(len(t) for t, _ in vectors)]), 60, block=16)
     dense = np.zeros((500, 60))
     for row, (t, w) in zip(dense, vectors, strict=True):
         row[t] = w
-    for t, w in vectors[:100]:
-        want = np.sort((dense[:, t] @ w if len(t) else np.zeros(500)))[::-1][:10]
-        got = index.nearest(t, w, 10)[1]
-        assert np.allclose(got, want[want > 1e-9], atol=1e-6)
+    for i, (t, w) in enumerate(vectors[:120]):
+        for without in (-1, i):
+            product = np.round(dense[:, t] @ w if len(t) else np.zeros(500), 9)
+            want = [j for j in sorted(range(500), key=lambda j: (-product[j], j)) if product[j] > 0 and j != without][:10]
+            ids, found = index.nearest(t, w, 10, without)
+            assert np.allclose(found, product[want], atol=1e-8) and ids.tolist() == want
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    """Every step anew: weights, all cosines, votes without themselves, calibration, evidence with ties."""
+    rng = np.random.default_rng(2)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+    texts = [" ".join([*rng.choice(words, rng.integers(3, 25)), *(["vile"] * (i % 4 == 0))]) for i in range(60)]
+    texts[7], texts[9], texts[50] = texts[5], texts[5], texts[5]  # equal examples, and a document equal to them
+    label = {i: int(i % 4 == 0) for i in range(40)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, spark.createDataFrame(list(label.items()), "doc_id long, toxic int"), k=5).collect()}
+    count = lambda t: {w: t.split().count(w) for w in set(t.split())}
+    y = np.array([label[i] for i in range(40)])
+    vocabulary = sorted({w for i in range(40) for w in texts[i].split()})
+    weight = {}
+    for w in vocabulary:
+        clean, bad = (sum(w in texts[i].split() for i in range(40) if label[i] == c) for c in (0, 1))
+        n0, n1 = (y == 0).sum(), (y == 1).sum()
+        chi2 = (bad / n1 - clean / n0) ** 2 * n0 * n1 / (clean + bad) * (n0 + n1) / (n0 + n1 + 1 - clean - bad)
+        weight[w] = (np.log(61 / (1 + sum(w in t.split() for t in texts))) + 1) * chi2 / (chi2 + 20)
+    def vector(t):
+        v = np.array([(1 + np.log(count(t)[w])) * weight[w] if w in count(t) else 0 for w in vocabulary])
+        return v / (np.sqrt(v @ v) or 1)
+    v = np.array([vector(t) for t in texts])
+    prior = y.mean()
+    def vote(i, without=-1):
+        cosine = np.round(v[:40] @ v[i], 9)
+        near = [j for j in sorted(range(40), key=lambda j: (-cosine[j], j)) if cosine[j] > 0 and j != without][:5]
+        w = cosine[near] / (0.05 + 1 - np.minimum(cosine[near], 1))
+        return ((w * y[near]).sum() + 0.2 * prior) / (w.sum() + 0.2), near
+    a, b = toxicity.calibration(np.array([vote(i, i)[0] for i in range(40)]), y.astype(float), np.ones(40))
+    for i in range(60):
+        raw, near = vote(i)
+        odds = np.log(np.clip(raw, 1e-4, 1 - 1e-4) / (1 - np.clip(raw, 1e-4, 1 - 1e-4)))
+        assert abs(got[i].score - 1 / (1 + np.exp(-(a * odds + b)))) < 1e-6
+        assert [e.doc_id for e in got[i].evidence] == near[:3]
+    assert [e.doc_id for e in got[50].evidence] == [5, 7, 9]
 
 
 def test_token_store(spark, docs, empty):
