@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from shelfmark.llm import langid, licenses, mixing, orderhash, pieces, quality, simhash, substrings, tokenstore, toxicity
-from shelfmark.shared import ship
+from shelfmark.llm.session import ready
 
 MODULES = [substrings, toxicity, tokenstore, licenses, simhash, pieces, mixing, quality, orderhash, langid]
 
 
 def _shipped(query):
     def run(spark, sf_dir):
-        ship(spark)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        ready(spark)
         return query(spark, sf_dir)
 
     return run
