@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bytesops as B
-from shelfmark.shared import drop_written, table, width, written
+from shelfmark.shared import drop_written, table, written
 
 #: At most so many examples of each class. Chi-square (1 degree of freedom) at which a term's relevance is a half.
 EXAMPLES, HALF_CHI2 = 2500, 20.0
-NEIGHBOURS, BLOCK, FAR, PRIOR_WEIGHT = 15, 64, 0.05, 0.2
-#: Bytes of words that a task remembers; scores that it remembers (of fixed size); rows that a task scores.
-WORD_BYTES, SCORES, TASK_ROWS = 48 << 20, 50_000, 8192
+NEIGHBOURS, BLOCK, FREQUENT, FAR, PRIOR_WEIGHT = 15, 64, 16, 0.05, 0.2
+#: Bytes of words that a task remembers; scores that it remembers (of fixed size).
+WORD_BYTES, SCORES = 48 << 20, 50_000
 SEED = "examples"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -41,30 +40,57 @@ def _terms(batches):
         yield pa.RecordBatch.from_arrays([pa.array(terms[i : i + 20_000], pa.string())], names=["term"])
 
 
+class Reader:
+    """The terms of white-space words, over a vocabulary; words are remembered up to WORD_BYTES."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary, self.seen, self.several, self.held = vocabulary, {}, [], 0
+
+    def _code(self, word: bytes) -> int:
+        """The term of a word, -1 for none, -2 - the place in self.several for several."""
+        own = [self.vocabulary[x] for x in WORD.findall(word.decode("utf-8").lower()) if x in self.vocabulary]
+        if len(own) > 1:
+            self.several.append(own)
+        self.held += len(word) + 100 + 60 * len(own)
+        return -1 if not own else own[0] if len(own) == 1 else -1 - len(self.several)
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, count), by text and term."""
+        if self.held > WORD_BYTES:
+            self.seen, self.several, self.held = {}, [], 0
+        seen, sizes, codes = self.seen, [], []
+        for text in texts:
+            own = text.split()
+            found = list(map(seen.get, own))
+            if None in found:
+                for i, x in enumerate(found):
+                    if x is None:
+                        found[i] = seen.get(own[i])
+                        if found[i] is None:
+                            found[i] = seen[own[i]] = self._code(own[i])
+            sizes.append(len(found))
+            codes.append(np.array(found, np.int64))
+        code, text = np.concatenate([np.zeros(0, np.int64), *codes]), np.repeat(np.arange(len(texts)), sizes)
+        many = np.flatnonzero(code < -1)
+        lists = [self.several[i] for i in (-2 - code[many]).tolist()]
+        code = np.concatenate((code, np.array([t for x in lists for t in x], np.int64)))
+        text = np.concatenate((text, np.repeat(text[many], [len(x) for x in lists])))
+        n = max(1, len(self.vocabulary))
+        both, count = np.unique((text * n + code)[code >= 0], return_counts=True)
+        return both // n, both % n, count
+
+
 def _vectors(vocabulary: dict[str, int]):
     """(doc_id, terms, counts) of each text, over the vocabulary."""
 
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
-        seen: dict[bytes, tuple[int, ...]] = {}
-        held = 0
+        reader = Reader(vocabulary)
         for batch in B.groups(batches):
             raw, at = B.buffers(batch.column("text"))
-            terms, counts = [], []
-            for text in B.texts(raw, at):
-                n: dict[int, int] = {}
-                for w, k in Counter(text.split()).items():
-                    if (own := seen.get(w)) is None:
-                        own = seen[w] = tuple(vocabulary[x] for x in WORD.findall(w.decode("utf-8").lower()) if x in vocabulary)
-                        held += len(w) + 40 * len(own) + 120
-                    for t in own:
-                        n[t] = n.get(t, 0) + k
-                terms.append(sorted(n))
-                counts.append([n[t] for t in terms[-1]])
-            if held > WORD_BYTES:
-                seen.clear()
-                held = 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], schema=schema)
+            text, term, count = reader.read(list(B.texts(raw, at)))
+            offsets = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (term, count)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *lists], names=["doc_id", "terms", "counts"])
 
     return run
 
@@ -89,50 +115,56 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Posting lists of vectors in blocks of examples, with the largest weight of each term in each block."""
+    """Posting lists of vectors in blocks of examples, with the largest weight of each frequent term in each block.
+
+    The lists of terms that over a FREQUENT-th of the examples have are laid out in full, a weight for each place of a block."""
 
     def __init__(self, terms: np.ndarray, weights: np.ndarray, at: np.ndarray, n_terms: int, block: int = BLOCK):
         """The vector of example i is terms and weights [at[i] : at[i + 1]]; weights are 0 or more."""
         n = len(at) - 1
         strongest = np.array([terms[a + weights[a:b].argmax()] if b > a else n_terms for a, b in zip(at, at[1:], strict=False)], np.int64)
-        self.order, self.block, self.n_blocks = np.lexsort((np.arange(n), strongest)), block, -(-n // block)  # like with like, for tight bounds
-        place = np.empty(n, np.int64)
-        place[self.order] = np.arange(n)
-        places = np.repeat(place, np.diff(at))
-        by = np.lexsort((places, terms))
-        self.places, self.weights, sorted_terms = places[by], weights[by], terms[by]
-        lists = sorted_terms * max(1, self.n_blocks) + self.places // block
-        self.start = np.append(np.flatnonzero(np.diff(lists, prepend=-1)), len(lists))  # of each posting list of a term in a block
-        self.list_block = self.places[self.start[:-1]] // block
-        self.list_most = np.maximum.reduceat(self.weights, self.start[:-1]) if len(lists) else np.zeros(0)
-        self.first = np.searchsorted(sorted_terms[self.start[:-1]], np.arange(n_terms + 1))  # list of each term
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        self.order, self.n_blocks = np.lexsort((np.arange(n), strongest)), -(-n // block)  # like with like, for tight bounds
+        self.place = np.empty(n, np.int64)
+        self.place[self.order] = np.arange(n)
+        self.size, places = self.n_blocks * block, self.place[np.repeat(np.arange(n), np.diff(at))]
+        held = np.bincount(terms, minlength=n_terms)
+        frequent = np.flatnonzero(held * FREQUENT > n)
+        self.row = np.full(n_terms, -1)
+        self.row[frequent] = np.arange(len(frequent))
+        full = self.row[terms] >= 0
+        self.full = np.zeros((len(frequent), self.n_blocks, block))
+        self.full.reshape(len(frequent), self.size)[self.row[terms[full]], places[full]] = weights[full]
+        self.most = self.full.max(axis=2, initial=0)
+        by = np.lexsort((places[~full], terms[~full]))
+        self.places, self.weights = places[~full][by], weights[~full][by]
+        self.first = np.searchsorted(terms[~full][by], np.arange(n_terms + 1))  # posting of each term
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the largest inner product over 0 (exact; equal ones by number), and the products.
 
-        Blocks go in order of their bounds, `step` at a time; the search ends at a bound under the k-th product so far."""
+        Rare terms are added up over their lists. What the frequent ones can add is bounded by block: only blocks that may reach
+        the k-th sum so far are added up in full."""
         size = self.first[terms + 1] - self.first[terms]
-        lists, q = _ranges(self.first[terms], size), np.repeat(weights, size)
-        blocks = self.list_block[lists]
-        bounds = np.bincount(blocks, q * self.list_most[lists], minlength=self.n_blocks)
-        ids, found, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        order = np.argsort(-bounds, kind="stable")
-        for i in range(0, len(order), step):
-            some = order[i : i + step]
-            if bounds[some[0]] <= 0 or (len(found) >= k and bounds[some[0]] + 1e-9 < least):
-                break
-            own = np.isin(blocks, some)
-            start, n = self.start[lists[own]], self.start[lists[own] + 1] - self.start[lists[own]]
-            at = _ranges(start, n)
-            scores = np.round(np.bincount(self.places[at], np.repeat(q[own], n) * self.weights[at]), 9)
-            hit = np.flatnonzero(scores > 0)
-            examples, scores = self.order[hit], scores[hit]
-            keep = examples != without
-            ids, found = np.concatenate((ids, examples[keep])), np.concatenate((found, scores[keep]))
-            top = np.lexsort((ids, -found))[:k]
-            ids, found = ids[top], found[top]
-            least = found[-1] if len(found) >= k else 0.0
-        return ids, found
+        at = _ranges(self.first[terms], size)
+        sums = np.bincount(self.places[at], np.repeat(weights, size) * self.weights[at], minlength=self.size).astype(float)
+        if without >= 0:
+            sums[self.place[without]] = 0
+        frequent = self.row[terms] >= 0
+        if frequent.any():
+            rows, own = self.row[terms[frequent]], weights[frequent]
+            least = np.partition(sums, -k)[-k] if len(sums) > k else 0.0
+            by_block = sums.reshape(self.n_blocks, -1)
+            may = np.flatnonzero(by_block.max(axis=1) + own @ self.most[rows] >= least - 1e-8)
+            some = slice(None) if 4 * len(may) > self.n_blocks else may
+            for row, w in zip(rows.tolist(), own.tolist(), strict=True):
+                by_block[some] += w * self.full[row, some]
+            if without >= 0:
+                sums[self.place[without]] = 0
+        least = np.partition(sums, -k)[-k] if len(sums) > k else 0.0
+        near = np.flatnonzero((sums >= least - 1e-8) & (sums > 1e-9))
+        found, ids = np.round(sums[near], 9), self.order[near]
+        top = np.lexsort((ids, -found))[:k]
+        return ids[top], found[top]
 
 
 class Model:
@@ -154,7 +186,7 @@ class Model:
         return w / length if length else w
 
     def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, list[tuple[int, float]]]:
-        ids, cosine = self.index.nearest(terms, weights, self.k, without)
+        ids, cosine = self.index.nearest(terms, weights, self.k, without) if len(terms) else (np.zeros(0, np.int64), np.zeros(0))
         w = self.share[ids] / self.share.mean() / (FAR + 1 - np.minimum(cosine, 1)) * cosine
         raw = ((w * self.toxic[ids]).sum() + PRIOR_WEIGHT * self.prior) / (w.sum() + PRIOR_WEIGHT)
         return float(raw), list(zip(ids.tolist(), cosine.tolist(), strict=True))
@@ -232,7 +264,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
     ones (0 without any). Repeated rows and null doc_ids of docs get a row each. An empty table gives an empty table. Other
     columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labels = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     labels = written(labels, "labels")
@@ -253,8 +284,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
     toxic = np.array([r[3] for r in rows], np.int64)
     weight = (np.log((1 + n) / (1 + df)) + 1) * relevance(terms, at, toxic, len(vocabulary), half_chi2)
     model = Model(terms, counts, at, toxic, weight, tuple(sizes.get(c, 0) / max(1, int((toxic == c).sum())) for c in (0, 1)), k)
-    dealt = vectors.repartition(max(width(spark), n // TASK_ROWS))
-    out = dealt.mapInArrow(_scores(model, [r[0] for r in rows]), "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, similarity: double>>")
+    out = vectors.mapInArrow(_scores(model, [r[0] for r in rows]), "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, similarity: double>>")
     for x in (labels, sample):
         drop_written(x)
     return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
