@@ -1,84 +1,69 @@
 """Order MinHash fingerprints, in DataFrame functions only.
 
-k-mers of words are numbered by occurrence, each (k-mer, occurrence) has a 64-bit hash, and the hash's leading bits name one
-of SLOTS sketches. A sketch selects its TUPLE least hashes, puts them in the order of the text, and keeps a hash of that tuple.
-Two texts agree in a sketch if they have the same least k-mers in the same order, which edits and moves of text disturb.
+k-mers of words are numbered by occurrence, and each (k-mer, occurrence) has a 64-bit hash. From that hash each of SLOTS sketches
+makes a hash of its own by multiply and xor. It selects of all the text's k-mers the one with the least hash and the one with the
+least complement, which is the greatest hash, puts the two in the order of the text, and keeps a hash of that tuple. Two texts
+agree in a sketch if they have the same least k-mers in the same order, which edits and moves of text disturb.
+
+A text's k-mers are rows. They stay where the join has put their text: one sort numbers them, and one aggregate has all
+the least hashes, so that a long text spills instead of filling memory.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.shared import table, width, written
+from shelfmark.shared import drop_written, release, table, width, written
 
-KMER, SLOTS, TUPLE, DIGITS = 2, 64, 2, 4
+SLOTS, DIGITS = 64, 8
+#: A sketch's hash has 34 bits; the lower 30 bits of its value are the place of the k-mer (a string has under 2^30 words).
+PLACE = 30
 BLANKS = " \t\n\x0b\f\r"
 EMPTY = "-" * DIGITS
 
 
-def _slot(p: Column) -> Column:
-    return F.shiftright(p, 64 - SLOTS.bit_length() + 1)
+def multipliers(slots: int = SLOTS, seed: int = 1) -> list[tuple[int, int]]:
+    """Two odd numbers under 2^31 for each sketch: their products with 32-bit numbers don't overflow."""
+    draw = random.Random(seed)
+    return [(draw.getrandbits(30) * 2 + 1, draw.getrandbits(30) * 2 + 1) for _ in range(slots)]
 
 
-def with_fingerprints(df: DataFrame, texts: dict[str, str]) -> DataFrame:
-    """df with a fingerprint column for each text column: texts is {fingerprint: text}.
+def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """texts (keys, text), a row for each value of the keys -> (keys, fingerprint).
 
-    A fingerprint is SLOTS groups of DIGITS hexadecimal digits; a sketch without k-mers is written as dashes. A text of fewer
-    than KMER words has one k-mer, all its words; a text without words (null too) has none. Each step is a column of its own, so that an
-    array is made once and lambdas only look into it.
+    The k-mers are pairs of words. A fingerprint is SLOTS groups of DIGITS hexadecimal digits. A text of one word has one
+    k-mer, that word; a text without words (null too) has none, and dashes for digits. A lone k-mer is its own tuple.
+    Texts that are partitioned by keys, or some of them, are not shuffled.
     """
-    each = list(texts.items())
-
-    def step(name: str, make) -> None:
-        nonlocal df
-        df = df.withColumns({f"_{name}_{out}": make(lambda c, out=out: F.col(f"_{c}_{out}"), text) for out, text in each})
-
-    step("trim", lambda c, text: F.coalesce(F.btrim(F.col(text), F.lit(BLANKS)), F.lit("")))
-    step("words", lambda c, text: F.when(c("trim") == "", F.array().cast("array<string>")).otherwise(F.split(c("trim"), r"[ \t\n\x0B\f\r]+")))
-    step("h", lambda c, text: F.transform(c("words"), lambda w: F.xxhash64(w)))
-    step("grams", lambda c, text: F.when(F.size(c("h")) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(c("h")) - KMER, F.lit(0))), lambda i: F.xxhash64(*[F.get(c("h"), i + j) for j in range(KMER)]))))
-    # equal k-mers side by side, in the order of the text; only where a text has any
-    step("lone", lambda c, text: F.size(F.array_distinct(c("grams"))) == F.size(c("grams")))
-    step("sorted", lambda c, text: F.when(~c("lone"), F.sort_array(F.transform(c("grams"), lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
-    step("heads", lambda c, text: F.filter(F.sequence(F.lit(0), F.size(c("sorted")) - 1), lambda j: (j == 0) | (F.get(c("sorted"), j)["g"] != F.get(c("sorted"), j - 1)["g"])))
-    step("nth", lambda c, text: F.flatten(F.zip_with(c("heads"), F.concat(F.slice(c("heads"), F.lit(2), F.size(c("heads"))), F.array(F.size(c("sorted")))), lambda a, b: F.sequence(F.lit(1), b - a))))
-    numbered = lambda c, text: F.when(c("lone"), F.transform(c("grams"), lambda g, i: F.struct(F.xxhash64(g, F.lit(1)).alias("p"), i.alias("i")))).otherwise(F.zip_with(c("sorted"), c("nth"), lambda s, n: F.struct(F.xxhash64(s["g"], n).alias("p"), s["i"].alias("i"))))
-    step("ranked", lambda c, text: F.sort_array(numbered(c, text)))
-    # sorted by hash, the k-mers of a sketch stand together, least first
-    step("least", lambda c, text: F.filter(c("ranked"), lambda x, j: (j < TUPLE) | (_slot(F.get(c("ranked"), j - TUPLE)["p"]) != _slot(x["p"]))))
-
-    def tupled(c, text):
-        def one(x, j):
-            after = F.get(c("least"), j + 1)
-            pair = F.when(after["i"] > x["i"], F.xxhash64(x["p"], after["p"])).otherwise(F.xxhash64(after["p"], x["p"]))
-            first = (j == 0) | (_slot(F.get(c("least"), j - 1)["p"]) != _slot(x["p"]))
-            value = F.when(_slot(after["p"]) == _slot(x["p"]), pair).otherwise(F.xxhash64(x["p"]))
-            return F.when(first, F.struct(_slot(x["p"]).alias("slot"), F.right(F.lpad(F.lower(F.hex(value)), 16, "0"), F.lit(DIGITS)).alias("digits")))
-
-        return F.filter(F.transform(c("least"), one), lambda e: e.isNotNull())
-
-    step("sketch", tupled)
-    half = SLOTS // 2
-
-    def spelled(sketch):
-        def gap_and_digits(e, j):
-            before = F.coalesce(F.get(sketch, j - 1)["slot"], F.lit(-half - 1))
-            return F.concat(F.repeat(F.lit(EMPTY), (e["slot"] - before - 1).cast("int")), e["digits"])
-
-        return F.rpad(F.array_join(F.transform(sketch, gap_and_digits), ""), SLOTS * DIGITS, "-")
-
-    df = df.withColumns({out: spelled(F.col(f"_sketch_{out}")) for out, _ in each})
-    return df.drop(*[f"_{name}_{out}" for out, _ in each for name in ("trim", "words", "h", "grams", "lone", "sorted", "heads", "nth", "ranked", "least", "sketch")])
+    # one aggregate of generated code has the least and the greatest values of all sketches
+    texts.sparkSession.conf.set("spark.sql.codegen.maxFields", str(4 * SLOTS))
+    words = F.split(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(BLANKS)), r"[ \t\n\x0B\f\r]+")
+    rows = texts.select(*keys, words.alias("w")).select(*keys, F.size("w").alias("n"), F.posexplode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("at", "pair"))
+    rows = rows.filter("pair.b IS NOT NULL OR n = 1").select(*keys, "at", F.when(F.col("pair.a") != "", F.xxhash64("pair.a", "pair.b")).alias("gram"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "gram").orderBy("at"))
+    rows = rows.select(*keys, F.col("at").cast("long").alias("at"), F.when(F.col("gram").isNotNull(), F.xxhash64("gram", nth)).alias("p"))
+    rows = rows.select(*keys, "at", F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"), F.shiftrightunsigned("p", 32).alias("high"))
+    values = [F.shiftleft((F.col("low") * F.lit(a)).bitwiseXOR(F.col("high") * F.lit(b)), PLACE).bitwiseOR(F.col("at")) for a, b in multipliers()]
+    least = rows.groupBy(*keys).agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(values) for f, n in ((F.min, "x"), (F.max, "y"))])
+
+    def digits(i: int) -> Column:
+        x, y = F.col(f"x{i}"), F.col(f"y{i}")
+        place = lambda c: c.bitwiseAND(F.lit((1 << PLACE) - 1))
+        h = lambda c: F.shiftrightunsigned(c, PLACE)
+        pair = F.when(x == y, F.xxhash64(h(x))).when(place(x) < place(y), F.xxhash64(h(x), h(y))).otherwise(F.xxhash64(h(y), h(x)))
+        return F.when(x.isNull(), EMPTY).otherwise(F.right(F.lpad(F.lower(F.hex(pair)), 16, "0"), F.lit(DIGITS)))
+
+    return least.select(*keys, F.concat(*[digits(i) for i in range(SLOTS)]).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of sketches that agree, of those that either has; 1 for equal fingerprints (two empty ones too)."""
-    slots = F.sequence(F.lit(0), F.lit(SLOTS - 1))
+    """The share of sketches that agree; 1 for equal fingerprints (two empty ones too)."""
     part = lambda c, i: F.substring(c, i * DIGITS + 1, F.lit(DIGITS))
-    same = F.size(F.filter(slots, lambda i: (part(a, i) == part(b, i)) & (part(a, i) != EMPTY)))
-    either = F.size(F.filter(slots, lambda i: (part(a, i) != EMPTY) | (part(b, i) != EMPTY)))
-    return F.when(a == b, F.lit(1.0)).when(either > 0, same / either).otherwise(F.lit(0.0))
+    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: part(a, i) == part(b, i)))
+    return F.when(a == b, F.lit(1.0)).otherwise(same / F.lit(SLOTS))
 
 
 def successors(keys: DataFrame) -> DataFrame:
@@ -108,15 +93,21 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     docs = docs.select("id", "text", F.coalesce("id", F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(F.col("id").isNull(), "text").alias("key"))  # keys without nulls join on plain equality
     base = docs.groupBy("doc_id", "key").agg(F.first(F.struct("id", "text")).alias("row"))  # shuffled once for both of its joins
     lengths = written(docs.groupBy("doc_id", "key", F.length("text").alias("n_chars")).agg(F.count("*").cast("int").alias("copies")), "lengths")
-    wanted = successors(lengths.select("doc_id", "key")).join(lengths, ["doc_id", "key"]).withColumn("half", F.expr("CAST(n_chars div 2 AS INT)"))
+    wanted = written(successors(lengths.select("doc_id", "key")).join(lengths, ["doc_id", "key"]).withColumn("half", F.expr("CAST(n_chars div 2 AS INT)")), "successors")
+    drop_written(lengths)
     heads = base.select(F.col("doc_id").alias("next_id"), F.col("key").alias("next_key"), "row").join(wanted, ["next_id", "next_key"])
     heads = heads.select("doc_id", "key", "n_chars", "copies", "half", "next_id", "next_key", F.expr("substring(row.text, 1, half)").alias("head"))
     both = base.join(heads, ["doc_id", "key"]).select("*", "row.id", "row.text").withColumn("edited", F.expr("concat(substring(text, 1, CAST(n_chars - half AS INT)), head)"))
-    marked = with_fingerprints(both, {"fingerprint": "text", "edited_fingerprint": "edited"})
-    marked = written(marked.select("id", "doc_id", "key", "copies", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "next_id", "next_key"), "fingerprints")
-    nexts = marked.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("fingerprint").alias("_next"))
-    out = marked.join(nexts, F.expr("next_id = _id AND next_key = _key"))
-    out = out.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).withColumn("near_next", likeness(F.col("fingerprint"), F.col("_next")))
+    facts = written(both.select("id", "doc_id", "key", "copies", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "next_id", "next_key"), "edited")
+    release(docs.sparkSession)
+    each = both.select("doc_id", "key", F.explode(F.array(F.struct(F.lit(0).alias("edit"), "text"), F.struct(F.lit(1).alias("edit"), F.col("edited").alias("text")))).alias("x"))
+    marks = fingerprints(each.select("doc_id", "key", "x.edit", "x.text"), ["doc_id", "key", "edit"])
+    of = lambda edit, name: F.max(F.when(F.col("edit") == edit, F.col("fingerprint"))).alias(name)
+    marks = written(marks.groupBy("doc_id", "key").agg(of(0, "fingerprint"), of(1, "edited_fingerprint")), "fingerprints")
+    release(docs.sparkSession)
+    nexts = marks.select(F.col("doc_id").alias("next_id"), F.col("key").alias("next_key"), F.col("fingerprint").alias("next"))
+    out = facts.join(nexts, ["next_id", "next_key"]).join(marks, ["doc_id", "key"])
+    out = out.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).withColumn("near_next", likeness(F.col("fingerprint"), F.col("next")))
     out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
     return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 

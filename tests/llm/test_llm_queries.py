@@ -99,32 +99,36 @@ def test_op6_round_trip(spark, docs):
 
 def order_minhash(text):
     """One text's fingerprint, step by step."""
-    u64, s64 = lambda x: (x & (1 << 64) - 1).to_bytes(8, "little"), lambda x: x - (1 << 64) if x >> 63 else x
-    chain = lambda *xs: __import__("functools").reduce(lambda seed, x: xxhash.xxh64_intdigest(u64(x), seed), xs, 42)
+    from shelfmark.llm import orderhash
+
+    u64 = lambda x: (x & (1 << 64) - 1).to_bytes(8, "little")
+    chain = lambda *xs: __import__("functools").reduce(lambda seed, x: xxhash.xxh64_intdigest(x, seed), xs, 42)
     words = text.encode().split()
-    h = [xxhash.xxh64_intdigest(w, 42) for w in words]
-    grams = [chain(*h[i : i + 2]) for i in range(max(1, len(h) - 1))] if h else []
-    seen, pairs = {}, []
+    grams = [chain(*words[i : i + 2]) for i in range(max(1, len(words) - 1))] if words else []
+    seen, held = {}, []
     for i, g in enumerate(grams):
         seen[g] = seen.get(g, 0) + 1
-        p = xxhash.xxh64_intdigest(seen[g].to_bytes(4, "little"), chain(g))
-        pairs.append((s64(p), i, p))
+        held.append((chain(u64(g), seen[g].to_bytes(4, "little")), i))
     out = []
-    for slot in range(-32, 32):
-        least = sorted(x for x in pairs if x[0] >> 58 == slot)[:2]
-        out.append(f"{chain(*[p for _, _, p in sorted(least, key=lambda x: x[1])]):016x}"[-4:] if least else "----")
-    return "".join(out)
+    for a, b in orderhash.multipliers():
+        own = sorted((((p % (1 << 32) * a ^ (p >> 32) * b) << 30 & (1 << 64) - 1) ^ 1 << 63, i) for p, i in held)  # as signed numbers
+        own = {(h ^ 1 << 63, i) for h, i in (own[:1] + own[-1:])}
+        out.append(f"{chain(*[u64(h >> 30) for h, _ in sorted(own, key=lambda x: x[1])]):016x}"[-8:] if own else "-" * 8)
+    return out
 
 
 def test_op9_fingerprints(spark, docs):
     got = run(spark, "op9_order_minhash").sort_values("doc_id")
     texts = list(docs.text)
+    own = [order_minhash(t) for t in texts]
     for k, (r, text) in enumerate(zip(got.itertuples(), texts, strict=True)):
-        half = len(text) // 2
-        edited = text[: len(text) - half] + texts[(k + 1) % len(texts)][:half]
+        half, after = len(text) // 2, (k + 1) % len(texts)
+        edited = text[: len(text) - half] + texts[after][:half]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.fingerprint == order_minhash(text)
-        assert r.edited_fingerprint == order_minhash(edited)
+        other = order_minhash(edited)
+        assert r.fingerprint == "".join(own[k]) and r.edited_fingerprint == "".join(other)
+        alike = lambda x, y: sum(a == b for a, b in zip(x, y, strict=True)) / 64
+        assert (r.near_edited, r.near_next) == (alike(own[k], other), alike(own[k], own[after]))
     assert got.near_edited.mean() > 10 * got.near_next.mean()
 
 
