@@ -1,7 +1,8 @@
 """Language identification: a bidirectional gated recurrent network over bytes, trained in numpy.
 
-The network reads the bytes of a word between two edge marks, forwards and backwards, labels every position, and a document's
-probabilities pool the labels of all its positions. Words are read on their own, so that equal words are read once per batch.
+The network reads the bytes of a word between two edge marks, forwards and backwards, and labels every position, the edges too; bytes
+that are no letters are edges. A document's probabilities are the means over all positions of all its words. Words are read on their own, so that
+equal words are read once for a task; a long word is read piece by piece, each piece taking over the state that the one before left.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from shelfmark.shared import table
 SAMPLE_DOCS, SAMPLE_WORDS = 150, 200
 HIDDEN, EMBED, LONGEST, STEPS, BATCH, RATE, SEED = 16, 8, 24, 700, 256, 0.02, 7
 EDGE = 256  # the mark before and after a word
-CACHE = 400_000
+#: Bytes of a piece of a long word; shorter words that a task remembers.
+PIECE, CACHE = 64, 400_000
 
 
 def _sigmoid(x):
@@ -33,10 +35,10 @@ class Gru:
         self.p = {"W": scale(inputs, 3 * hidden), "U": scale(hidden, 3 * hidden), "b": np.zeros(3 * hidden, np.float32)}
         self.h = hidden
 
-    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """x (time, batch, inputs), mask (time, batch, 1): a state stands still where the mask is 0."""
+    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False, state: np.ndarray | None = None):
+        """x (time, batch, inputs), mask (time, batch, 1): a state stands still where the mask is 0. state: to begin with, else 0."""
         h, n, out, tape = self.h, x.shape[1], [], []
-        state = np.zeros((n, h), np.float32)
+        state = np.zeros((n, h), np.float32) if state is None else state
         U, fed = self.p["U"], x @ self.p["W"] + self.p["b"]
         for t in range(len(x)):
             gates = _sigmoid(fed[t, :, : 2 * h] + state @ U[:, : 2 * h])
@@ -103,9 +105,22 @@ class Network:
         return s - np.log(np.exp(s).sum(axis=2, keepdims=True))
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
-        """For each word the log probabilities of the labels, summed over its positions."""
+        """For each word the probabilities of the labels, summed over its positions."""
         ids, mask = self.laid_out(words)
-        return (self.log_probs(self.states(ids, mask)[1]) * mask).sum(axis=0)
+        return (np.exp(self.log_probs(self.states(ids, mask)[1])) * mask).sum(axis=0)
+
+    def long_score(self, word: bytes, piece: int = PIECE) -> np.ndarray:
+        """As word_scores for one word of any length, in memory for a piece: forwards for the states between pieces, then backwards."""
+        ids = np.concatenate(([EDGE], np.frombuffer(word, np.uint8), [EDGE]))
+        xs = [self.emb[ids[i : i + piece]][:, None] for i in range(0, len(ids), piece)]
+        ones, ahead, back, total = np.ones((piece, 1, 1), np.float32), [None], None, 0.0
+        for x in xs:
+            ahead.append(self.ahead.forward(x, ones, state=ahead[-1])[0][-1])
+        for x, state in zip(reversed(xs), ahead[-2::-1], strict=True):
+            forwards, backwards = self.ahead.forward(x, ones, state=state)[0], self.back.forward(x[::-1], ones, state=back)[0]
+            back = backwards[-1]
+            total = total + np.exp(self.log_probs(np.concatenate((forwards, backwards[::-1]), axis=2))).sum(axis=(0, 1))
+        return total
 
     def parameters(self):
         return [self.emb, *(g.p[k] for g in (self.ahead, self.back) for k in "WUb"), self.out, self.bias]
@@ -175,22 +190,25 @@ LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 def _predict(net: Network | None):
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-        seen: dict[bytes, np.ndarray] = {}
+        seen: dict[bytes, int] = {}
+        scores_of = np.zeros((1024, len(net.labels) if net else 0))
         for batch in B.groups(batches):
             raw, at = B.buffers(batch.column("text"))
-            counted = []
-            for text in B.texts(raw, at):
-                # bytes of letters only; the rest parts words as white space does
-                counted.append(text.lower().translate(PARTS).split())
+            # bytes of letters only; the rest parts words as white space does
+            counted = [text.lower().translate(PARTS).split() for text in B.texts(raw, at)]
             if net is not None:
-                fresh = sorted({w for own in counted for w in own}.difference(seen), key=len)
+                if len(seen) > CACHE:
+                    seen.clear()
+                fresh = sorted({w for own in counted for w in own if len(w) <= PIECE}.difference(seen), key=len)
+                if len(scores_of) < len(seen) + len(fresh):
+                    scores_of = np.concatenate((scores_of, np.zeros((len(seen) + len(fresh), len(net.labels)))))
                 i = 0
                 while i < len(fresh):
                     j = min(len(fresh), i + max(1, min(4096, 65536 // (len(fresh[i]) + 2))))
                     while j > i + 1 and len(fresh[j - 1]) > 2 * len(fresh[i]) + 8:
                         j = i + (j - i + 1) // 2
-                    for w, s in zip(fresh[i:j], net.word_scores(fresh[i:j]), strict=True):
-                        seen[w] = s
+                    scores_of[len(seen) : len(seen) + j - i] = net.word_scores(fresh[i:j])
+                    seen.update(zip(fresh[i:j], range(len(seen), len(seen) + j - i), strict=True))
                     i = j
             langs, scores = [], []
             for own, text in zip(counted, batch.column("text"), strict=True):
@@ -198,13 +216,15 @@ def _predict(net: Network | None):
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                total = np.sum([seen[w] for w in own], axis=0, dtype=np.float64) / (sum(map(len, own)) + 2 * len(own))
-                p = np.exp(total - total.max())
+                known = [k for w in own if (k := seen.get(w)) is not None]
+                total = scores_of[known].sum(axis=0)
+                for w in own if len(known) < len(own) else ():
+                    if len(w) > PIECE:
+                        total = total + net.long_score(w)
+                p = total / (sum(map(len, own)) + 2 * len(own))
                 k = int(p.argmax())
                 langs.append(net.labels[k])
-                scores.append(float(p[k] / p.sum()))
-            if len(seen) > CACHE:
-                seen.clear()
+                scores.append(float(min(1.0, p[k])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
     return run
@@ -216,7 +236,7 @@ PARTS = bytes(c if LETTER[c] else 32 for c in range(256))
 def identify(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, lang_pred, score: the language with the largest pooled probability, and that probability.
 
-    A document's log probabilities are the means over all positions of all its words. lang_pred is `und`, score 0, for a null text, one
+    A document's probabilities are the means over all positions of all its words. lang_pred is `und`, score 0, for a null text, one
     without a letter, and all texts if learn_from (doc_id, text, lang) has no row with both text and lang. Repeated rows and
     null doc_ids get a row each. An empty table gives an empty table. Other columns are ignored.
     """

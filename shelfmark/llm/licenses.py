@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 import numpy as np
@@ -38,27 +40,30 @@ class Scanner:
         if not tried and not based:
             return [], []
         own = WORD.findall(low.decode("utf-8"))
-        joined = " ".join(own)
+        joined, starts = " ".join(own), list(itertools.accumulate(map(len, own), lambda at, n: at + n + 1, initial=0))
+        word = lambda at: bisect.bisect_right(starts, at) - 1  # noqa: E731  the word at a place of joined
         places = []
         for phrase, label in based:
-            for m in re.finditer(rf"(?<![^ ])(?={' '.join(phrase)}(?![^ ]))", joined):
-                places.append((m.start(), label))
+            places += [(word(m.start()), label) for m in re.finditer(rf"(?<![^ ])(?={' '.join(phrase)}(?![^ ]))", joined)]
         hits = []
         for i in tried:
             label, keyword, weight, pattern = self.rules[i]
             if keyword in joined:
                 hits += [(m.start(), m.end(), i, label, weight) for m in pattern.finditer(joined)]
-        return [(joined.count(" ", 0, at), label) for at, label in places], [(label, joined.count(" ", 0, a), joined.count(" ", a, b) + 1, weight) for a, b, _, label, weight in suppressed(hits)]
+        return places, [(label, word(a), word(b - 1) - word(a) + 1, weight) for a, b, _, label, weight in resolved(hits)]
 
 
-def suppressed(hits: list[tuple]) -> list[tuple]:
-    """hits (start, end, priority, ...) without those that lie within a kept one: longer first, then the earlier rule."""
+def resolved(hits: list[tuple]) -> list[tuple]:
+    """hits (start, end, rule, ...) that an earlier rule, or the same rule further left, leaves, by start.
+
+    Rules are ordered: hits are taken rule by rule, and one that lies within a kept hit, or overlaps one, goes. What is kept has no overlaps."""
+    starts: list[int] = []
     kept: list[tuple] = []
-    for hit in sorted(hits, key=lambda h: (h[0], -h[1], h[2])):
-        if not kept or hit[1] > kept[-1][1]:  # starts ascend, and so a containing interval is the one that reaches furthest
-            if kept and hit[0] < kept[-1][1] and hit[2] > kept[-1][2]:
-                continue  # overlaps the end of one that an earlier rule found
-            kept.append(hit)
+    for hit in sorted(hits, key=lambda h: (h[2], h[0], -h[1])):
+        i = bisect.bisect_left(starts, hit[1])  # those before i start before the hit ends
+        if i == 0 or kept[i - 1][1] <= hit[0]:
+            starts.insert(i, hit[0])
+            kept.insert(i, hit)
     return kept
 
 
@@ -79,8 +84,8 @@ def _scan(batches):
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> one row each with the base places, labels, score and detections (label, first_word, n_words, weight).
 
-    One pass over the texts, without a shuffle. A rule's pattern is tried only on texts that hold its keyword. Detections
-    inside another go (of two equal ones the earlier rule stays), and so does one that runs past the end of an earlier rule's.
+    One pass over the texts, without a shuffle. A rule's pattern is tried only on texts that hold its keyword. Where detections
+    overlap, or one contains another, the earlier rule's stays and the other goes, whichever is longer.
     score is the largest weight of what was found, 0 if nothing was.
 
     Null and empty texts have no words: counts 0, first_word and last_word null, labels empty, score 0. Repeated rows and

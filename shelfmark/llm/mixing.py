@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.shared import table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-WEIGHTS, SHARE, MOST, BUCKETS, SEED = (3, 1, 2), 1.5, 2.0, 1024, "mix"
+WEIGHTS, SHARE, MOST, BUCKET_ROWS, SEED = (3, 1, 2), 1.5, 2.0, 10_000, "mix"
 
 
 def n_words(text):
@@ -35,36 +35,37 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     return s.select("source", "source_size", F.when(F.col("_level").isNull() | (F.col("_full") <= F.col("_level")), F.col("_cap")).otherwise(F.col("_w") * F.col("_level")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, buckets: int | None = None, seed: str = SEED) -> DataFrame:
     """docs (doc_id, source, size, ...) with source_size, target and taken: the words that the mix takes of each row.
 
     Each row has a random key, the MD5 of the seed and its doc_id. Rows of a source are taken in the order of their keys, whole
     epochs first, until the source's budget (its target, rounded) is spent; the last row is cut at the exact word.
     The keys are uniform, so a bucket of their leading digits is a range of about 1 / buckets of any source, however hot: the
-    words before a bucket come from sums by bucket, those before a row from a window inside its bucket.
+    words before a bucket come from sums by bucket, those before a row from a window inside its bucket. buckets: by default one for
+    each BUCKET_ROWS rows; the result is the same for any number.
 
     Null sources are one source, after all others. Null doc_ids and repeated rows are rows like others (ties go by size, and
     equal rows are interchangeable). Rows of size 0 take 0. An empty table gives an empty table. Columns of docs named
-    source_size, target or taken are replaced; all others are kept.
+    source_size, target or taken are replaced; all others are kept, whatever their names.
     """
-    docs = docs.drop("source_size", "target", "taken", "_mix_key", "_mix_bucket")
-    docs = docs.withColumn("_mix_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
-    docs = docs.withColumn("_mix_bucket", F.floor(F.conv(F.substring("_mix_key", 1, 6), 16, 10).cast("long") * buckets / (1 << 24)))
-    sums = docs.groupBy("source", "_mix_bucket").agg(F.sum("size").alias("_n"))
-    goals = targets(sums.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, share, most)
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.withColumn("_mix_before", before).drop("_n")
-    starts = starts.alias("a").join(goals.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "source_size", "target")
-    starts = starts.withColumnsRenamed({"source": "_mix_source", "_mix_bucket": "_mix_of"})
-    out = docs.join(starts, F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_bucket") == F.col("_mix_of")))
-    inside = Window.partitionBy("source", "_mix_bucket").orderBy("_mix_key", "doc_id", "size")
-    done = F.col("_mix_before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    budget = F.floor(F.col("target") + 0.5).cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.expr("_mix_budget div source_size")).otherwise(F.lit(0))
-    out = out.withColumn("_mix_done", done).withColumn("_mix_budget", budget).withColumn("_mix_epochs", epochs)
-    rest = F.col("_mix_budget") - F.col("_mix_epochs") * F.col("source_size")
-    out = out.withColumn("taken", (F.col("_mix_epochs") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("_mix_done")))).cast("long"))
-    return out.drop("_mix_key", "_mix_bucket", "_mix_before", "_mix_source", "_mix_of", "_mix_done", "_mix_budget", "_mix_epochs")
+    docs = docs.drop("source_size", "target", "taken")
+    if buckets is None:
+        buckets = max(1, docs.count() // BUCKET_ROWS)
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    # the row is one column here, so that no name in it can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), F.col("size").alias("size"), F.col("doc_id").alias("id"), key.alias("key"))
+    rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * buckets / float(1 << 32)).cast("long"))
+    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    goals = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.withColumn("before", before).drop("n").alias("a").join(goals.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(F.col("a.source").alias("of"), F.col("bucket").alias("at"), "before", "source_size", "target")
+    rows = rows.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at")))
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("done", F.col("before") + F.sum("size").over(inside) - F.col("size")).withColumn("budget", F.floor(F.col("target") + 0.5).cast("long"))
+    rows = rows.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)))
+    rest = F.col("budget") - F.col("epochs") * F.col("source_size")
+    taken = F.col("epochs") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("done")))
+    return rows.select("row.*", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.shared import drop_written, release, table, width, written
+from shelfmark.shared import drop_written, table, width, written
 
 SLOTS, DIGITS = 64, 8
 #: A sketch's hash has 34 bits; the lower 30 bits of its value are the place of the k-mer (a string has under 2^30 words).
@@ -98,15 +98,16 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     heads = base.select(F.col("doc_id").alias("next_id"), F.col("key").alias("next_key"), "row").join(wanted, ["next_id", "next_key"])
     heads = heads.select("doc_id", "key", "n_chars", "copies", "half", "next_id", "next_key", F.expr("substring(row.text, 1, half)").alias("head"))
     both = base.join(heads, ["doc_id", "key"]).select("*", "row.id", "row.text").withColumn("edited", F.expr("concat(substring(text, 1, CAST(n_chars - half AS INT)), head)"))
-    facts = written(both.select("id", "doc_id", "key", "copies", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "next_id", "next_key"), "edited")
-    release(docs.sparkSession)
     each = both.select("doc_id", "key", F.explode(F.array(F.struct(F.lit(0).alias("edit"), "text"), F.struct(F.lit(1).alias("edit"), F.col("edited").alias("text")))).alias("x"))
     marks = fingerprints(each.select("doc_id", "key", "x.edit", "x.text"), ["doc_id", "key", "edit"])
     of = lambda edit, name: F.max(F.when(F.col("edit") == edit, F.col("fingerprint"))).alias(name)
-    marks = written(marks.groupBy("doc_id", "key").agg(of(0, "fingerprint"), of(1, "edited_fingerprint")), "fingerprints")
-    release(docs.sparkSession)
-    nexts = marks.select(F.col("doc_id").alias("next_id"), F.col("key").alias("next_key"), F.col("fingerprint").alias("next"))
-    out = facts.join(nexts, ["next_id", "next_key"]).join(marks, ["doc_id", "key"])
+    marks = marks.groupBy("doc_id", "key").agg(of(0, "fingerprint"), of(1, "edited_fingerprint"))
+    # the texts lie where their k-mers do, so that one job shuffles them once
+    facts = both.select("id", "doc_id", "key", "copies", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "next_id", "next_key")
+    marked = written(facts.join(marks, ["doc_id", "key"]), "fingerprints")
+    drop_written(wanted)
+    nexts = marked.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("fingerprint").alias("next"))
+    out = marked.join(nexts, F.expr("next_id = _id AND next_key = _key"))
     out = out.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).withColumn("near_next", likeness(F.col("fingerprint"), F.col("next")))
     out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
     return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

@@ -14,10 +14,8 @@ from shelfmark.llm import bytesops as B
 from shelfmark.shared import table, written
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-#: A line is common from over LINE_DOCS documents of a host; over DEPLETED of its words in such lines reject a document.
+#: A line is common from over LINE_DOCS documents of a host, whatever the host's size; over DEPLETED of its words in such lines reject a document.
 LINE_DOCS, DEPLETED = 10, 0.5
-#: The query's SQL also asks for over this share of the host's documents.
-QUERY_SHARE = 0.1
 
 FACTS = "doc_id long, host string, text_key binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h: long, w: int>>, text string"
 
@@ -93,40 +91,41 @@ def _left(min_words: int, repeat_percent: int):
     return run
 
 
-def cleaned(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, line_docs: int = LINE_DOCS, line_share: float = 0.0, depleted: float = DEPLETED) -> DataFrame:
-    """docs (doc_id, text, host) -> one row each: doc_id, the base counts, base_failed, n_common_words, kept, kept_text, left_failed.
-
-    Lines are normalised (A-Z lowered, white space as one blank) and hashed. A host's line is common if more than line_docs
-    of the host's distinct texts hold it, whatever the host's size; texts count once, so exact copies don't make their own
-    lines common. line_share: a line must also be in over this share of them, which grows with the host. A document goes if it fails the base rules, or if over the share depleted of its words is in common lines.
-    kept_text: the text without its common lines. left_failed: it fails the base rules; a kept document should go then.
-
-    Null and empty texts have no words and fail. Null hosts are one host. Repeated rows and null doc_ids get a row each.
-    An empty table gives an empty table. Only the columns named are read; others in docs are ignored.
-    """
+def _judged(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, line_docs: int = LINE_DOCS, depleted: float = DEPLETED) -> DataFrame:
+    """DIGEST, text and common (the hashes of its lines in common) of each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
     read = docs.mapInArrow(_facts, FACTS)
-    facts = written(read.filter("n_words > 0").select("host", "text_key", "lines"), "quality-facts")
-    distinct = facts.dropDuplicates(["host", "text_key"])
-    lines = written(distinct.select("host", "text_key", F.explode("lines").alias("x")).select("host", "text_key", "x.h", "x.w"), "quality-lines")
-    sizes = distinct.groupBy("host").agg(F.count("*").alias("n_texts"))
-    often = lines.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > line_docs)
-    often = often.alias("a").join(sizes.alias("b"), F.expr("a.host <=> b.host")).filter(F.col("n") > line_share * F.col("n_texts")).select("a.host", "h")
+    facts = written(read.filter("n_words > 0").select("doc_id", "host", "text_key", F.explode("lines").alias("x")).select("doc_id", "host", "text_key", "x.h", "x.w"), "quality-lines")
+    often = facts.groupBy("host", "h", "doc_id").agg(F.lit(1)).groupBy("host", "h").agg(F.count("doc_id").alias("n")).filter(F.col("n") > line_docs).select("host", "h")
+    lines = facts.dropDuplicates(["host", "text_key", "h"])
     common = lines.alias("a").join(often.alias("b"), F.expr("a.host <=> b.host AND a.h = b.h")).groupBy("a.host", "text_key").agg(F.sum("w").alias("n_common_words"), F.collect_list("a.h").alias("common"))
     out = read.drop("lines").alias("a").join(common.alias("b"), F.expr("a.host <=> b.host AND a.text_key = b.text_key"), "left")
     failed = F.expr(f"n_words < {min_words} OR 100 * n_repeat_words > {repeat_percent} * n_words")
     shared = F.coalesce("n_common_words", F.lit(0)).cast("long")
-    out = out.select(*DIGEST[:6], failed.alias("base_failed"), shared.alias("n_common_words"), (~failed & (shared <= depleted * F.col("n_words"))).alias("kept"), "text", "common")
-    return out.mapInArrow(_left(min_words, repeat_percent), LEFT)
+    return out.select(*DIGEST[:6], failed.alias("base_failed"), shared.alias("n_common_words"), (~failed & (shared <= depleted * F.col("n_words"))).alias("kept"), "text", "common")
 
 
 def quality(docs: DataFrame, **limits) -> DataFrame:
-    """cleaned() without kept_text and left_failed."""
-    return cleaned(docs, **limits).select(DIGEST)
+    """docs (doc_id, text, host) -> one row each: doc_id, the base counts, base_failed, n_common_words, kept. limits: as in cleaned().
+
+    Lines are normalised (A-Z lowered, white space as one blank) and hashed. A host's line is common if more than line_docs
+    documents (doc_ids) of the host hold it, whatever the host's size. A document goes if it fails the base rules, or if over the
+    share depleted of its words is in common lines, which all copies of an often copied text are.
+
+    Null and empty texts have no words and fail. Null hosts are one host. Rows of one doc_id are one document in the counts, rows
+    with a null doc_id none; each row gets a row. An empty table gives an empty table. Only the columns named are read; others in docs are ignored.
+    """
+    return _judged(docs, **limits).select(DIGEST)
+
+
+def cleaned(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, line_docs: int = LINE_DOCS, depleted: float = DEPLETED) -> DataFrame:
+    """As quality(), with kept_text, the text without its common lines, and left_failed: that fails the base rules; a kept document should go then."""
+    judged = _judged(docs, host, min_words, repeat_percent, line_docs, depleted)
+    return judged.mapInArrow(_left(min_words, repeat_percent), LEFT)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"), line_share=QUERY_SHARE)
+    return quality(table(spark, sf_dir, "documents"))
 
 
 SQL = {
@@ -138,13 +137,11 @@ g AS (SELECT r, p, x, lead(x) OVER (PARTITION BY r ORDER BY p) AS y, lead(x, 2)
 c AS (SELECT r, p, z IS NOT NULL AND count(*) OVER (PARTITION BY r, x, y, z) > 1 AS rep FROM g),
 v AS (SELECT r, rep OR coalesce(lag(rep) OVER o, false) OR coalesce(lag(rep, 2) OVER o, false) AS cov FROM c WINDOW o AS (PARTITION BY r ORDER BY p)),
 rw AS (SELECT r, CAST(count_if(cov) AS BIGINT) AS n_repeat_words FROM v GROUP BY r),
-ln AS (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
-lw AS (SELECT r, host, text, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM ln),
-l AS (SELECT r, host, text, line, array_to_string(ws, ' ') AS norm, len(ws) AS nw FROM lw WHERE len(ws) > 0),
+ln AS (SELECT r, doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d),
+lw AS (SELECT r, doc_id, host, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM ln),
+l AS (SELECT r, doc_id, host, line, array_to_string(ws, ' ') AS norm, len(ws) AS nw FROM lw WHERE len(ws) > 0),
 dl AS (SELECT r, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n_dup_lines FROM l GROUP BY r),
-f AS (SELECT host, norm, count(DISTINCT text) AS n FROM l GROUP BY host, norm),
-hs AS (SELECT host, count(DISTINCT text) AS n_texts FROM l GROUP BY host),
-hot AS (SELECT f.host, f.norm FROM f JOIN hs ON f.host IS NOT DISTINCT FROM hs.host WHERE n > 10 AND n > 0.1 * n_texts),
+hot AS (SELECT host, norm FROM l GROUP BY host, norm HAVING count(DISTINCT doc_id) > 10),
 cm AS (SELECT l.r, CAST(sum(nw) AS BIGINT) AS n_common_words FROM l JOIN hot ON l.host IS NOT DISTINCT FROM hot.host AND l.norm = hot.norm GROUP BY l.r),
 b AS (SELECT w.r, doc_id, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,

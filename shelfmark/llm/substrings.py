@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.llm import bytesops as B
+from shelfmark.llm.session import free
 from shelfmark.shared import drop_written, release, table, written
 
 LENGTH, KMER = 50, 16
@@ -124,7 +125,7 @@ def _cut(batches):
     for batch in B.groups(batches):
         raw, at = B.buffers(batch.column("text"))
         totals, removed, kept = [], [], []
-        for spans, text in zip(batch.column("_spans").to_pylist(), B.texts(raw, at), strict=True):
+        for spans, text in zip(batch.columns[-1].to_pylist(), B.texts(raw, at), strict=True):  # the last column: the spans
             own = text.split()
             gone = np.zeros(len(own), bool)
             for s in spans or []:
@@ -134,8 +135,8 @@ def _cut(batches):
             totals.append(len(own))
             removed.append(int(gone.sum()))
             kept.append(b" ".join(own if not removed[-1] else [own[i] for i in np.flatnonzero(~gone)]).decode("utf-8"))
-        names = [c for c in batch.schema.names if c != "_spans"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
+        names = batch.schema.names[:-1]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
 
 
 def compacted(edges: DataFrame) -> DataFrame:
@@ -166,12 +167,15 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) ->
     A word goes if a window of `length` consecutive words over it also starts in a document with a smaller doc_id, as the
     input has it. kept_text: the words that stay, joined by one blank.
 
+    A run's source is chosen by a 64-bit hash, and cut only if the words there are the same by MD5. Should two different runs
+    have one hash, the later would be held against the wrong source and stay.
+
     Null and empty texts have no words, and texts of fewer than `length` words have no windows: all their words stay. Rows with
     a null doc_id are neither cut nor sources. Rows with equal doc_ids are not each other's sources. An empty table gives an
     empty table. All columns of docs stay; those named n_words, n_removed or kept_text are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "n_removed", "kept_text", "_spans").withColumn("text", F.col("text").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.drop("n_words", "n_removed", "kept_text").withColumn("text", F.col("text").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long"))
     source = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     # 1, 2: pieces at repeated anchors, and their distinct bodies with the first source
     every = written(source.mapInArrow(_pieces(length, kmer), PIECES), "pieces")
@@ -201,21 +205,24 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) ->
         drop_written(x)
     release(spark)
     paths = compacted(walked.select("src_doc", "src_pos", "n").distinct())
-    shifted = walked.join(paths, ["src_doc", "src_pos", "n"]).withColumn("shift", F.col("start") - F.col("src_pos")).distinct()
+    # written before it is grouped, so that Spark can split a source that very many documents repeat
+    joined = written(walked.join(paths, ["src_doc", "src_pos", "n"]), "joined")
+    shifted = joined.withColumn("shift", F.col("start") - F.col("src_pos")).distinct()
     along = Window.partitionBy("doc_id", "path", "shift").orderBy("start", "n")
     gaps = shifted.withColumn("gap", F.coalesce(F.col("start") > F.max(F.col("start") + F.col("n")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)).cast("int"))
     islands = gaps.withColumn("island", F.sum("gap").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     spans = islands.groupBy("doc_id", "src_doc", "path", "shift", "island").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) - F.min("start") + length - 1).cast("int").alias("words"))
     spans = written(spans.select("doc_id", "start", "words", "src_doc", (F.col("start") - F.col("shift")).alias("src_pos")), "spans")
     drop_written(walked)
+    drop_written(joined)
     # 5: the words at the source's coordinates, and the cut
     asked = spans.select("src_doc", "src_pos", "words").distinct().groupBy(F.col("src_doc").alias("doc_id")).agg(F.collect_list(F.struct("src_pos", "words")).alias("spans"))
     digests = written(source.join(asked, "doc_id").mapInArrow(_source_digests, "src_doc long, src_pos int, words int, digest binary").distinct(), "digests")
     release(spark)
-    checked = spans.join(digests, ["src_doc", "src_pos", "words"]).groupBy("doc_id").agg(F.collect_set(F.struct("start", "words", "digest")).alias("_spans"))
+    checked = spans.join(digests, ["src_doc", "src_pos", "words"]).groupBy("doc_id").agg(F.collect_set(F.struct("start", "words", "digest")).alias(free(docs, "spans")))
     checked = written(checked, "checked")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return docs.join(checked, "doc_id", "left").select(*docs.columns, "_spans").mapInArrow(_cut, schema)
+    return docs.join(checked, "doc_id", "left").select(*docs.columns, free(docs, "spans")).mapInArrow(_cut, schema)
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

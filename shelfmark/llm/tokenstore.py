@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import re
 import struct
@@ -24,6 +25,8 @@ WINDOW, CUT_BITS, LONGEST = 8, 8, 2048
 #: Words and parts of words that an encoder remembers.
 WORDS, PARTS = 500_000, 1_200_000
 
+#: Fixed value: what the pre-tokenizer keeps, in the tokenizers whose words are encoded on their own.
+PARTED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CORE = re.compile(r"([(\"\[]*)([a-zß-öø-ÿÀ-ÖØ-Þ]+)([.,;:!?)\"\]|]*)")
 _encoders: dict[str, Encoder] = {}
 _rolling = B.Rolling()
@@ -38,7 +41,7 @@ def default_tokenizer() -> str:
 class Encoder:
     """The ids of a text, as little-endian bytes, by way of its words.
 
-    For tokenizers that drop white space and never look across it (word_bpe_49k.json), a text's ids are those of its words in
+    For tokenizers that drop white space and never look across it (word_bpe_49k.json, by its settings), a text's ids are those of its words in
     turn, and A-Z may be lowered first. Words are kept, so that the library sees each distinct word about once per worker. A
     word of letters up to U+00FF between punctuation falls into three independent parts for its pattern, which share
     more: the letters then go to the library's model directly. Whatever else goes through the whole library call.
@@ -54,9 +57,21 @@ class Encoder:
         self.bytes_as = self._byte_letters()
 
     def _split_ok(self) -> bool:
-        """Whether the tokenizer treats white space and these parts as said: tried on a sample."""
-        words = ["it's", "(", "a", "große", ")", "test", ".", "of", ",", '"', "it", '";', "œuvre", "|"]
-        return self._ids('It\'s (a Große)\ttest.\n of, "it"; œuvre|') == [i for w in words for i in self._ids(w)]
+        """Whether the tokenizer's own settings say that white space only parts words, and that a word's parts don't see each other."""
+        held = json.loads(self.whole.to_str())
+        normal, before = ((held.get(k) or {}) for k in ("normalizer", "pre_tokenizer"))
+        steps = normal.get("normalizers", [normal] if normal else [])
+        splits = before.get("pretokenizers", [before] if before else [])
+        self.added = [t["content"].lower().encode() for t in held.get("added_tokens") or []]
+        return (
+            all(x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " ") for x in steps)
+            and any(x["type"] == "Lowercase" for x in steps)
+            and len(splits) == 2
+            and {k: splits[0].get(k) for k in ("type", "pattern", "behavior", "invert")} == {"type": "Split", "pattern": {"Regex": PARTED}, "behavior": "Removed", "invert": True}
+            and splits[1].get("type") == "ByteLevel"
+            and not splits[1].get("add_prefix_space")
+            and not splits[1].get("use_regex")
+        )
 
     def _ids(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
@@ -89,9 +104,10 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: bytes) -> bytes:
-        if not self.split_ok:
+        low = text.lower()
+        if not self.split_ok or any(x in low for x in self.added):  # added tokens are found in the text as it is written
             return np.array(self._ids(text.decode("utf-8")), "<u4").tobytes()
-        own, seen = text.lower().split(), self.seen
+        own, seen = low.split(), self.seen
         found = list(map(seen.get, own))
         if None in found:
             for i, x in enumerate(found):
@@ -187,7 +203,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     chunks: digest, n_ids, wide, data: each distinct chunk once; data is the ids, little-endian, in 32 bits each if wide, else 16, compressed
     by zstd. recipes: root (Merkle root of the digests), digests in order: one row for each distinct document. documents: part,
     doc_id, start (ids before it), n_tokens, root: in files of ascending ranges. manifest: for each part its first and last
-    doc_id, n_docs, n_tokens, start, and a SHA-256 over its documents' roots in order.
+    doc_id, n_docs, n_tokens, start, and the root of a tree over its documents in order.
 
     A null text is an empty one: it has the end id alone. Rows with a null doc_id come first. Repeated rows are documents
     of their own (ties go by root) with one recipe. An empty table gives empty files. Other columns are ignored.
@@ -209,10 +225,20 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     parts.join(_parts(spark.read.parquet(f"{path}/documents")).select("part", "root"), "part").orderBy("part").write.parquet(f"{path}/manifest")
 
 
-def _parts(documents: DataFrame) -> DataFrame:
-    """part, n_docs, n_tokens, start, root: what the documents of each part come to."""
-    held = documents.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("start", "root"))).alias("x"))
-    return held.select("part", "n_docs", "n_tokens", "start", F.sha2(F.concat_ws("", F.transform("x", lambda r: F.hex(r["root"]))), 256).alias("root"))
+def _parts(documents: DataFrame, most: int = 256) -> DataFrame:
+    """part, n_docs, n_tokens, start, root: what the documents of each part come to.
+
+    root: of a tree over the documents' starts and roots in order, with up to `most` children to a node, so that no group is larger."""
+    held = documents.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("start").alias("start"))
+    order = Window.partitionBy("part").orderBy("start", "root")
+    level = documents.select("part", (F.row_number().over(order) - 1).alias("at"), F.sha2(F.concat_ws(":", F.col("start").cast("string"), F.hex("root")), 256).alias("root"))
+    size = held.agg(F.max("n_docs")).first()[0] or 0
+    while True:
+        level = level.groupBy("part", F.floor(F.col("at") / most).alias("at")).agg(F.sort_array(F.collect_list(F.struct("at", "root"))).alias("x"))
+        level = level.select("part", "at", F.sha2(F.concat_ws("", F.transform("x", lambda r: r["root"])), 256).alias("root"))
+        size = -(-size // most)
+        if size <= 1:
+            return held.join(level.select("part", "root"), "part").select("part", "n_docs", "n_tokens", "start", "root")
 
 
 def _chunk_facts(batches):

@@ -9,7 +9,7 @@ from shelfmark.shared import scratch
 
 LONG = " ".join(f"w{i}" for i in range(60))
 #: Names that operators use inside or put out.
-EXTRA = {"size": 1, "taken": 2, "n_words": 3, "kept_text": 4, "n_tokens": 5, "h": 6, "n": 7, "key": 8, "bits": 9, "start": 10, "score": 11, "_spans": 12, "_epoch": 13}
+EXTRA = {"size": 1, "taken": 2, "n_words": 3, "kept_text": 4, "n_tokens": 5, "h": 6, "n": 7, "key": 8, "bits": 9, "start": 10, "score": 11, "_spans": 12, "_epoch": 13, "spans": 14, "epoch": 15, "document": 16, "bucket": 17, "before": 18, "budget": 19, "_mix_source": 20, "_mix_budget": 21, "row": 22, "of": 23, "at": 24}
 ROWS = [(1, LONG + " tail", "en", "a"), (2, "head " + LONG, "en", "a"), (2, "head " + LONG, "en", "a"), (3, None, None, None), (4, "", "en", ""), (5, " \n\t ", "de", "b"), (None, LONG, None, "a"), (6, "x", "de", "b"), (7, "É́\0 ▁ 🙂 " * 3000, "en", None), (8, "same same same " * 40, "en", "b")]
 
 
@@ -33,7 +33,7 @@ def test_substrings(docs, empty):
     assert out.count() == len(ROWS)
     got = {(r.doc_id, r.n_words, r.n_removed, r.kept_text[:5]) for r in out.collect()}
     assert {(1, 61, 0, "w0 w1"), (2, 61, 60, "head"), (3, 0, 0, ""), (4, 0, 0, ""), (None, 60, 0, "w0 w1"), (8, 120, 0, "same ")} <= got
-    assert {"size", "score", "n_tokens"} <= set(out.columns)
+    assert all(r[k] == v for r in out.collect() for k, v in EXTRA.items() if k not in ("n_words", "kept_text"))
     assert substrings.dedup_substrings(empty).count() == 0
 
 
@@ -190,6 +190,27 @@ def test_licenses(spark, docs, empty):
     assert [(d.label, d.first_word, d.n_words) for d in r.detections][0] == ("apache-2.0", 0, 8)
 
 
+def test_earlier_license_rules_win():
+    assert licenses.resolved([(0, 10, 5), (5, 15, 2)]) == [(5, 15, 2)] and licenses.resolved([(0, 10, 200), (2, 8, 0)]) == [(2, 8, 0)]
+    assert licenses.resolved([(0, 4, 1), (4, 9, 1), (1, 3, 0), (20, 22, 9)]) == [(1, 3, 0), (4, 9, 1), (20, 22, 9)]
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        hits = [(int(a), int(a + n), int(r)) for a, n, r in zip(rng.integers(0, 60, 30), rng.integers(1, 12, 30), rng.integers(0, 9, 30), strict=True)]
+        kept = []
+        for h in sorted(hits, key=lambda h: (h[2], h[0], -h[1])):
+            if not any(h[0] < k[1] and k[0] < h[1] for k in kept):
+                kept.append(h)
+        assert licenses.resolved(hits) == sorted(kept)
+
+
+def test_many_license_hits_end():
+    import time
+
+    began = time.time()
+    places, found = licenses.Scanner().scan(b"mit license x " * 100_000)
+    assert [x[0] for x in places] == list(range(0, 300_000, 3)) and len(found) == 100_000 and time.time() - began < 20
+
+
 def test_every_license_rule_compiles_and_has_its_keyword():
     rules = licenses.rules()
     assert len(rules) > 200
@@ -310,6 +331,8 @@ def test_mixing(spark, docs, empty):
     out = mixing.mix_sources(sized)
     rows = out.collect()
     assert len(rows) == len(ROWS) and all(0 <= r.taken <= 2 * r.size for r in rows)
+    assert all(r[k] == v for r in rows for k, v in EXTRA.items() if k not in ("size", "taken"))
+    assert sorted(map(tuple, mixing.mix_sources(sized, buckets=7).collect()), key=str) == sorted(map(tuple, rows), key=str)
     for s in {r.source for r in rows}:
         own = [r for r in rows if r.source == s]
         assert sum(r.taken for r in own) == int(own[0].target + 0.5) and own[0].source_size == sum(r.size for r in own)
@@ -366,6 +389,30 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(docs, learn.limit(0)).collect()} == {"und"}
 
 
+def test_a_document_is_labelled_as_by_plain_loops(spark):
+    """One text, a long word in it, through both recurrences position by position."""
+    learn = spark.createDataFrame([(i, "the of and that with" if i % 2 else "der die und nicht ein", "en" if i % 2 else "de") for i in range(10)], "doc_id long, text string, lang string")
+    net, text = langid.learn(learn), "The, " + "donaudampfschiff" * 12 + " 12 größe?"
+    r = langid.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), learn).first()
+    total, n = np.zeros(2), 0
+    for word in ("the", "donaudampfschiff" * 12, "größe"):
+        ids = [256, *word.encode(), 256]
+        states = []
+        for gru, order in ((net.ahead, ids), (net.back, ids[::-1])):
+            h, out, k = np.zeros(gru.h), [], gru.h
+            W, U, b = (gru.p[x].astype(float) for x in "WUb")
+            for i in order:
+                x = net.emb[i] @ W + b
+                z, r_ = (1 / (1 + np.exp(-(x[a : a + k] + h @ U[:, a : a + k]))) for a in (0, k))
+                h = h + (1 - z) * (np.tanh(x[2 * k :] + (r_ * h) @ U[:, 2 * k :]) - h)
+                out.append(h)
+            states.append(out)
+        for a, b in zip(states[0], states[1][::-1], strict=True):
+            e = np.exp(np.concatenate((a, b)) @ net.out + net.bias)
+            total, n = total + e / e.sum(), n + 1
+    assert r.lang_pred == net.labels[int(total.argmax())] and abs(r.score - total.max() / n) < 1e-4
+
+
 def test_network_gradients():
     net = langid.Network(["a", "b"], hidden=3, embed=2)
     for g in (net.ahead, net.back):
