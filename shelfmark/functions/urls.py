@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from shelfmark.functions.values import filled, trimmed
 
 
+# Ports, patterns, brand and product tokens.
 PORTS = {"http": 80, "https": 443, "ftp": 21}
 #: A URL that resolving leaves as it is: lower-case scheme and host, a path, nothing to encode, no dot segments.
 CLEAN = r"\Ahttps?://[a-z0-9.-]+/[A-Za-z0-9._~!$&*+,;=:@/?%-]*(#[A-Za-z0-9._~-]*)?\z"
@@ -56,8 +57,8 @@ def is_clean(value: Column) -> Column:
 
 
 def absolute(value: Column, base: Column) -> Column:
-    """Resolved against base; '' where there is no value or no absolute URL."""
-    return F.coalesce(_resolved(value, base), F.lit(""))
+    """Resolved against base; '' where there is no value or no absolute URL. Clean URLs are themselves: Python gets nulls for them."""
+    return F.when(is_clean(value), value).otherwise(F.coalesce(_resolved(F.when(~is_clean(value), value), base), F.lit("")))
 
 
 def normalized(value: Column, base: Column) -> Column:

@@ -1,17 +1,20 @@
 """Stored pages (page_id, url, html): titles, product listings, candidate images by tiers.
 
-One Arrow pass parses each page once and emits plain facts: listing nodes by selector, candidate URLs by tier and place. Ranking,
-gating, filtering, resolving and fallbacks are DataFrame expressions on those facts.
+One Arrow pass parses each page once and emits plain facts of the kind asked for: listing nodes by selector, or candidate URLs by tier
+and place. Ranking, gating, filtering, resolving and fallbacks are DataFrame expressions on those facts.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions.urls import absolute, css_url, first_srcset, resolve
 from shelfmark.functions.values import filled, trimmed
@@ -22,37 +25,57 @@ CLOSES = {"li": {"li"}, "p": {"p", "div", "ul", "ol", "h1", "h2", "h3", "table",
 
 
 class Node:
-    __slots__ = ("attrs", "inside", "parent", "parts", "tag")
+    """An element: the nodes and texts inside it are those from `at` + 1 and `text_at` up to `end` and `text_end`, in the page's order."""
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.inside, self.parts = tag, attrs, parent, [], []
+    __slots__ = ("at", "attrs", "end", "parent", "tag", "text_at", "text_end")
 
-    def text(self) -> str:
-        return "".join(p if isinstance(p, str) else p.text() for p in self.parts)
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, at: int, text_at: int):
+        self.tag, self.attrs, self.parent, self.at, self.text_at = tag, attrs, parent, at, text_at
+        self.end, self.text_end = at + 1, text_at
 
-    def within(self):
-        for n in self.inside:
-            yield n
-            yield from n.within()
+
+STEP = re.compile(r"""([a-z0-9*]+)|\.([\w-]+)|(:not\()?\[([\w:-]+)(?:([*^]?=)"([^"]*)")?\]\)?""")
 
 
 class Page(HTMLParser):
-    """A tree of the page; tags that are left open end where a browser would end them."""
+    """The elements of a page in its order; tags that are left open end where a browser would end them.
+
+    Elements are a flat list, and what lies inside one is a range of it: however deep a page nests, nothing recurses."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
+        self.nodes: list[Node] = []
+        self.texts: list[str] = []
+        self.open: list[Node] = []
+        self.n_open: dict[str, int] = {}
+        self.by_tag: dict[str, list[int]] = {}
+        self.by_class: dict[str, list[int]] = {}
+        self.by_attr: dict[str, list[int]] = {}
+        self.selected: dict[str, list[int]] = {}
         self.feed(html)
         self.close()
+        while self.open:
+            self._shut()
+
+    def _shut(self) -> None:
+        node = self.open.pop()
+        node.end, node.text_end = len(self.nodes), len(self.texts)
+        self.n_open[node.tag] -= 1
 
     def handle_starttag(self, tag, attrs):
-        while self.at.parent and tag in CLOSES.get(self.at.tag, ()):
-            self.at = self.at.parent
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
-        self.at.inside.append(node)
-        self.at.parts.append(node)
+        while self.open and tag in CLOSES.get(self.open[-1].tag, ()):
+            self._shut()
+        at = len(self.nodes)
+        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.open[-1] if self.open else None, at, len(self.texts))
+        self.nodes.append(node)
+        self.by_tag.setdefault(tag, []).append(at)
+        for name in node.attrs:
+            self.by_attr.setdefault(name, []).append(at)
+        for name in set(node.attrs.get("class", "").split()):
+            self.by_class.setdefault(name, []).append(at)
         if tag not in VOID:
-            self.at = node
+            self.open.append(node)
+            self.n_open[tag] = self.n_open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -60,50 +83,58 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        up = self.at
-        while up.parent and up.tag != tag:
-            up = up.parent
-        if up.parent:
-            self.at = up.parent
+        if self.n_open.get(tag):
+            while self.open[-1].tag != tag:
+                self._shut()
+            self._shut()
 
     def handle_data(self, data):
-        self.at.parts.append(data)
-
-
-STEP = re.compile(r"""([a-z0-9*]+)|\.([\w-]+)|(:not\()?\[([\w:-]+)(?:([*^]?=)"([^"]*)")?\]\)?""")
-
-
-def selector(text: str):
-    """A test of nodes for `tag.class[a][a="v"][a*="v"][a^="v"]:not([a*="v"])` with blanks for descent."""
-    chain = [[m.groups() for m in STEP.finditer(x)] for x in re.findall(r"(?:\"[^\"]*\"|\S)+", text)]
-
-    def own(node: Node, tests) -> bool:
-        for tag, cls, no, attr, how, value in tests:
-            if tag:
-                ok = node.tag == tag
-            elif cls:
-                ok = cls in node.attrs.get("class", "").split()
-            else:
-                held = node.attrs.get(attr)
-                ok = held is not None and (not how or (how == "=" and held == value) or (how == "*=" and value in held) or (how == "^=" and held.startswith(value)))
-                ok = not ok if no else ok
-            if not ok:
-                return False
-        return True
-
-    def test(node: Node) -> bool:
-        if not own(node, chain[-1]):
-            return False
-        up = node.parent
-        for tests in reversed(chain[:-1]):
-            while up is not None and not own(up, tests):
-                up = up.parent
-            if up is None:
-                return False
-            up = up.parent
-        return True
-
-    return test
+        self.texts.append(data)
+
+    def text(self, node: Node) -> str:
+        return "".join(self.texts[node.text_at : node.text_end])
+
+    def select(self, selector: str) -> list[int]:
+        """The nodes for `tag.class[a][a="v"][a*="v"][a^="v"]:not([a*="v"])` with blanks for descent, in order."""
+        if (out := self.selected.get(selector)) is None:
+            chain = [[m.groups() for m in STEP.finditer(x)] for x in re.findall(r"(?:\"[^\"]*\"|\S)+", selector)]
+            out = self._own(chain[0])
+            for tests in chain[1:]:
+                inner, reach, k = [], 0, 0
+                for i in self._own(tests):
+                    while k < len(out) and out[k] < i:  # how far those that begin before i reach
+                        reach = max(reach, self.nodes[out[k]].end)
+                        k += 1
+                    if i < reach:
+                        inner.append(i)
+                out = inner
+            self.selected[selector] = out
+        return out
+
+    def _own(self, tests) -> list[int]:
+        """The nodes that pass all tests of one step, from the shortest list of those that pass one."""
+        lists = [self.by_tag.get(tag, []) if tag else self.by_class.get(cls, []) if cls else self.by_attr.get(attr, []) for tag, cls, no, attr, _, _ in tests if not no]
+        out = min(lists, key=len) if lists else range(len(self.nodes))
+        return [i for i in out if all(self._passes(self.nodes[i], t) for t in tests)]
+
+    @staticmethod
+    def _passes(node: Node, test) -> bool:
+        tag, cls, no, attr, how, value = test
+        if tag:
+            return node.tag == tag
+        if cls:
+            return cls in node.attrs.get("class", "").split()
+        held = node.attrs.get(attr)
+        ok = held is not None and (not how or (how == "=" and held == value) or (how == "*=" and value in held) or (how == "^=" and held.startswith(value)))
+        return ok != bool(no)
+
+    def inside(self, node: Node, places: list[int]) -> list[int]:
+        return places[bisect.bisect_right(places, node.at) : bisect.bisect_left(places, node.end)]
+
+    def first_inside(self, node: Node, selector: str) -> Node | None:
+        places = self.select(selector)
+        i = bisect.bisect_right(places, node.at)
+        return self.nodes[places[i]] if i < len(places) and places[i] < node.end else None
 
 
 # Selectors, attributes and their order.
@@ -118,34 +149,39 @@ META = ['meta[property="og:image"]', 'meta[name="twitter:image"]', 'meta[name="t
 DATA_ATTRS = ["data-image", "data-images", "data-src", "data-zoom-image", "data-product-img", "data-img", "data-image-url"]
 VIDEO = ["video", "[data-video]", "[data-video-poster]"]
 ANCHORS = ['a[href*=".jpg"]', 'a[href*=".jpeg"]', 'a[href*=".png"]', 'a[href*=".webp"]']
+ITEM_NAMES, ITEM_PRICES = ["h2.product-name", "h2", "[data-name]"], ["span.regular-price", ".price", "[data-price]"]
+ITEM_IMAGES, ITEM_LINKS = ["img.small-img", "img[data-src]", "img"], ["a.product-image.figure", 'a[href*="/product"]', "a[data-url]"]
 #: Tiers that run only while fewer candidates are admitted.
 LIMITS = {2: 20, 3: 20, 4: 30, 5: 20, 6: 20, 8: 30, 10: 30}
 TIERS = 10
 
-_tests = {s: selector(s) for s in [*ITEMS, *ZOOM, *GALLERY, *PLAIN, *STYLED, *MICRODATA, *META, *VIDEO, *ANCHORS]}
 
 
 def structured(value) -> list[str]:
     """The URLs of a JSON-LD image or offers value. An array under `image` of an object is taken as its comma-joined text."""
-    if isinstance(value, str):
-        return [value]
-    if isinstance(value, list):
-        return [u for v in value for u in structured(v)]
-    if isinstance(value, dict):
-        plain = [",".join(map(str, v)) if isinstance(v, list) else v for k in ("url", "contentUrl", "image") if (v := value.get(k))]
-        return [v for v in plain if isinstance(v, str)] + structured(value.get("images"))
-    return []
+    out, left = [], [value]
+    while left:
+        v = left.pop()
+        if isinstance(v, str):
+            out.append(v)
+        elif isinstance(v, list):
+            left.extend(reversed(v))
+        elif isinstance(v, dict):
+            plain = [",".join(map(str, x)) if isinstance(x, list) else x for k in ("url", "contentUrl", "image") if (x := v.get(k))]
+            out += [x for x in plain if isinstance(x, str)]
+            left.append(v.get("images"))
+    return out
 
 
 def candidates(page: Page, url: str) -> list[dict]:
     """(tier, url) in the order in which they are looked for. src and href of images and anchors as properties are resolved; attributes are raw."""
-    nodes = list(page.root.within())
+    nodes = page.nodes
     out: list[tuple[int, str]] = []
 
     def find(selectors, each_in_turn=True):
         if each_in_turn:
-            return [n for s in selectors for n in nodes if _tests[s](n)]
-        return [n for n in nodes if any(_tests[s](n) for s in selectors)]
+            return [nodes[i] for s in selectors for i in page.select(s)]
+        return [nodes[i] for i in sorted({i for s in selectors for i in page.select(s)})]
 
     def first(n: Node, attrs) -> str:
         for a in attrs:
@@ -153,29 +189,30 @@ def candidates(page: Page, url: str) -> list[dict]:
                 return resolve(v, url) if a == "src" and n.tag == "img" else v
         return ""
 
+    def srcset(n: Node) -> list[str]:
+        return n.attrs.get("srcset", "").split(",")[0].split()[:1]
+
     out += [(1, n.attrs["href"]) for n in find(ZOOM)]
     out += [(2, first(n, ["src", "data-src", "data-zoom-image", "data-original"])) for n in find(GALLERY)]
-    for n in nodes:
-        if n.tag == "picture":
-            out += [(3, s.attrs["srcset"].split(",")[0].split()[0]) for s in n.within() if s.tag == "source" and s.attrs.get("srcset", "").split(",")[0].split()]
-            out += [(3, v) for i in [next((i for i in n.within() if i.tag == "img"), None)] if i for a in ("src", "data-src", "data-zoom-image") if (v := first(i, [a]))]
+    for n in find(["picture"]):
+        out += [(3, u) for i in page.inside(n, page.select("source")) for u in srcset(nodes[i])]
+        out += [(3, v) for i in page.inside(n, page.select("img"))[:1] for a in ("src", "data-src", "data-zoom-image") if (v := first(nodes[i], [a]))]
     for n in find(PLAIN):
         out += [(4, v) for a in PLAIN_ATTRS if (v := first(n, [a]))]
-        out += [(4, v.split(",")[0].split()[0]) for v in [n.attrs.get("srcset", "")] if v.split(",")[0].split()]
+        out += [(4, u) for u in srcset(n)]
     out += [(5, n.attrs["style"]) for n in find(STYLED, False) if "url(" in n.attrs.get("style", "")]
-    for n in nodes:
-        if n.tag == "script" and n.attrs.get("type") == "application/ld+json":
-            try:
-                payload = json.loads(n.text() or "{}")
-            except ValueError:
-                continue
-            for top in payload if isinstance(payload, list) else [payload]:
-                if isinstance(top, dict):
-                    out += [(6, u) for k in ("image", "offers") for u in structured(top.get(k))]
+    for n in find(['script[type="application/ld+json"]']):
+        try:
+            payload = json.loads(page.text(n) or "{}")
+        except (ValueError, RecursionError):
+            continue
+        for top in payload if isinstance(payload, list) else [payload]:
+            if isinstance(top, dict):
+                out += [(6, u) for k in ("image", "offers") for u in structured(top.get(k))]
     out += [(6, first(n, ["src", "content", "data-src"])) for n in find(MICRODATA, False)]
     for s in META:
         out += [(7, n.attrs.get("content") or n.attrs.get("href") or "") for n in find([s])[:1]]
-    out += [(8, n.attrs[a]) for n in nodes for a in DATA_ATTRS if n.attrs.get(a)]
+    out += [(8, n.attrs[a]) for n in find([f"[{a}]" for a in DATA_ATTRS], False) for a in DATA_ATTRS if n.attrs.get(a)]
     out += [(9, n.attrs[a]) for n in find(VIDEO, False) for a in ("poster", "data-video-poster", "data-thumbnail") if n.attrs.get(a)]
     out += [(10, first(n, ["href", "data-src", "data-image"])) for n in find(ANCHORS, False)]
     return [{"tier": t, "seq": i, "url": u} for i, (t, u) in enumerate(out) if u]
@@ -183,31 +220,43 @@ def candidates(page: Page, url: str) -> list[dict]:
 
 def listing(page: Page) -> list[dict]:
     """Nodes of every listing selector, with the facts that the item's columns are chosen from (null: no such node)."""
-    nodes, out = list(page.root.within()), []
+    out = []
     for rank, s in enumerate(ITEMS):
-        for i, item in enumerate(n for n in nodes if _tests[s](n)):
-            inner = list(item.within())
-            get = lambda test, inner=inner: next((n for n in inner if test(n)), None)
-            has = lambda n, cls: cls in n.attrs.get("class", "").split()
-            text = lambda n: n.text() if n else None
-            shown = get(lambda n: n.tag == "img" and has(n, "small-img")) or get(lambda n: n.tag == "img" and "data-src" in n.attrs) or get(lambda n: n.tag == "img")
-            links = [get(lambda n: n.tag == "a" and has(n, "product-image") and has(n, "figure")), get(lambda n: n.tag == "a" and "/product" in n.attrs.get("href", "")), get(lambda n: n.tag == "a" and "data-url" in n.attrs)]
-            out.append({"rank": rank, "item": i, "names": [text(get(t)) for t in (lambda n: n.tag == "h2" and has(n, "product-name"), lambda n: n.tag == "h2", lambda n: "data-name" in n.attrs)], "prices": [text(get(t)) for t in (lambda n: n.tag == "span" and has(n, "regular-price"), lambda n: has(n, "price"), lambda n: "data-price" in n.attrs)], "images": [shown.attrs.get(a) if shown else None for a in ("src", "data-src", "srcset", "data-lazy", "data-original")], "links": [n.attrs.get("data-url" if k == 2 else "href") if n else None for k, n in enumerate(links)]})
+        for i, at in enumerate(page.select(s)):
+            item = page.nodes[at]
+            get = lambda selector, item=item: page.first_inside(item, selector)
+            texts = lambda selectors, get=get: [page.text(n) if (n := get(x)) else None for x in selectors]
+            shown = next((n for x in ITEM_IMAGES if (n := get(x))), None)
+            links = [(n.attrs.get("data-url" if k == 2 else "href") if (n := get(x)) else None) for k, x in enumerate(ITEM_LINKS)]
+            out.append({"rank": rank, "item": i, "names": texts(ITEM_NAMES), "prices": texts(ITEM_PRICES), "images": [shown.attrs.get(a) if shown else None for a in ("src", "data-src", "srcset", "data-lazy", "data-original")], "links": links})
     return out
 
 
-FACTS = "page_id long, url string, html string, candidates array<struct<tier: int, seq: int, url: string>>, items array<struct<rank: int, item: int, names: array<string>, prices: array<string>, images: array<string>, links: array<string>>>"
+#: What a page can be asked for: each kind of fact with its type.
+FOUND = pa.list_(pa.struct([("tier", pa.int32()), ("seq", pa.int32()), ("url", pa.string())]))
+LISTED = pa.list_(pa.struct([("rank", pa.int32()), ("item", pa.int32()), *[(k, pa.list_(pa.string())) for k in ("names", "prices", "images", "links")]]))
+KINDS = {
+    "candidates": (candidates, FOUND, "array<struct<tier: int, seq: int, url: string>>"),
+    "items": (lambda page, _: listing(page), LISTED, "array<struct<rank: int, item: int, names: array<string>, prices: array<string>, images: array<string>, links: array<string>>>"),
+}
+
 
+def _parse(kind: str):
+    def run(batches):
+        facts, type_, _ = KINDS[kind]
+        for batch in batches:
+            urls, htmls = (batch.column(c).to_pylist() for c in ("url", "html"))
+            found = pa.array([facts(Page(h or ""), u or "") for u, h in zip(urls, htmls, strict=True)], type_)
+            names = [c for c in batch.schema.names if c != "html"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], found], names=[*names, kind])
 
-def _parse(frames):
-    for df in frames:
-        pages = [Page(h or "") for h in df["html"]]
-        yield df.assign(candidates=[candidates(p, u or "") for p, u in zip(pages, df["url"], strict=True)], items=[listing(p) for p in pages])
+    return run
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) with candidates and items. A null html is an empty page. Write the result if both are wanted."""
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(_parse, FACTS)
+def parse_pages(pages: DataFrame, kind: str) -> DataFrame:
+    """pages (url, html, ...) with their candidates or their items instead of html; other columns stay. A null html is an empty page."""
+    out = T.StructType([f for f in pages.schema.fields if f.name != "html"]).add(kind, KINDS[kind][2])
+    return pages.mapInArrow(_parse(kind), out)
 
 
 def title(html: Column) -> Column:
@@ -271,29 +320,30 @@ def filter_image_urls(candidates_: DataFrame) -> DataFrame:
     return first.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("seq")) - 1).cast("bigint").alias("position"), "image_url")
 
 
-def page_candidates(facts: DataFrame) -> DataFrame:
-    """(page_id, url, seq, candidate) of parsed pages: the gated tiers, or the source scan where they give nothing; none for challenge pages."""
+def page_candidates(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html), batch or stream -> (page_id, url, seq, candidate): the gated tiers, or the source scan where they give nothing; none for challenge pages."""
+    usable = pages.filter(~is_challenge(title(F.col("html"))))  # before the parse
+    facts = parse_pages(usable.select(F.col("page_id").cast("long").alias("page_id"), "url", scan_catalog_images(F.col("html")).alias("scanned"), "html"), "candidates")
     gated = facts.withColumn("found", gate_tiers(F.col("candidates")))
-    usable = gated.filter(~is_challenge(title(F.col("html"))))
-    listed = F.when(F.size("found") > 0, F.col("found")).otherwise(scan_catalog_images(F.col("html")))
-    return usable.select("page_id", "url", F.posexplode(listed).alias("seq", "candidate"))
+    return gated.select("page_id", "url", F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(F.col("scanned"))).alias("seq", "candidate"))
 
 
 def extract_images(pages: DataFrame) -> DataFrame:
     """pages -> (page_id, position, image_url), by all of the above."""
-    return filter_image_urls(page_candidates(parse_pages(pages)))
+    return filter_image_urls(page_candidates(pages))
 
 
 def image_filter_stats(pages: DataFrame) -> DataFrame:
     """(page_id, candidates, kept)"""
-    found = page_candidates(parse_pages(pages))
-    kept = filter_image_urls(found).groupBy("page_id").agg(F.count("*").alias("kept"))
-    return found.groupBy("page_id").agg(F.count("*").alias("candidates")).join(kept, "page_id", "left").select("page_id", "candidates", F.coalesce("kept", F.lit(0)).alias("kept"))
+    found = page_candidates(pages).withColumn("image_url", absolute(F.col("candidate"), F.col("url")))
+    kept = F.when((F.col("image_url") != "") & looks_like_image(F.col("image_url")), F.col("image_url"))
+    return found.groupBy("page_id").agg(F.count("*").alias("candidates"), F.count_distinct(kept).alias("kept"))
 
 
 def extract_listing(pages: DataFrame) -> DataFrame:
     """pages -> (page_id, url, item, name, price, img, product_url), raw, by the first selector that a page has any node for."""
-    best = parse_pages(pages).withColumn("best", F.array_min(F.transform("items", lambda i: i["rank"])))
+    own = parse_pages(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), "items")
+    best = own.withColumn("best", F.array_min(F.transform("items", lambda i: i["rank"])))
     items = best.select("page_id", "url", "best", F.explode("items").alias("i")).filter(F.col("i.rank") == F.col("best"))
     # the first text that isn't empty, but the first price node that exists
     name = F.coalesce(*[F.nullif(trimmed(F.col("i.names")[k]), F.lit("")) for k in range(3)], F.lit(""))
@@ -309,9 +359,13 @@ def resolve_listing(items: DataFrame) -> DataFrame:
 
 
 def enrich_listing(items: DataFrame, page_images: DataFrame, pages: DataFrame) -> DataFrame:
-    """Resolved items with images (array, in order) of the stored page of their product_url; empty where no page is stored."""
-    own = page_images.join(pages.select("page_id", F.col("url").alias("product_url")), "page_id").groupBy("product_url").agg(F.array_sort(F.collect_list(F.struct("position", "image_url"))).alias("i"))
-    return items.join(own.select("product_url", F.transform("i", lambda x: x["image_url"]).alias("source_images")), "product_url", "left").withColumn("source_images", F.coalesce("source_images", F.array().cast("array<string>")))
+    """Resolved items with images (array, in order) of the stored page of their product_url; empty where no page is stored.
+
+    Of several stored pages of one URL the one with the largest page_id counts."""
+    last = pages.groupBy(F.col("url").alias("product_url")).agg(F.max("page_id").alias("page_id"))
+    own = page_images.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("position", "image_url"))).alias("i"))
+    images = last.join(own, "page_id").select("product_url", F.transform("i", lambda x: x["image_url"]).alias("source_images"))
+    return items.join(images, "product_url", "left").withColumn("source_images", F.coalesce("source_images", F.array().cast("array<string>")))
 
 
 def missing_pages(items: DataFrame, pages: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators.jobs import job_stats
-from shelfmark.operators.pages import page_candidates, parse_pages
+from shelfmark.operators.pages import page_candidates
 
 
 def latest(updates: DataFrame) -> DataFrame:
@@ -27,4 +27,4 @@ def snapshot_then(snapshot: DataFrame, live: DataFrame) -> DataFrame:
 
 def extract_stream(pages: DataFrame) -> DataFrame:
     """pages, batch or stream -> (page_id, url, seq, candidate): gated candidates or the source scan. Stateless, for append mode."""
-    return page_candidates(parse_pages(pages))
+    return page_candidates(pages)
