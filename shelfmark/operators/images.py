@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.urls import absolute, normalized
 from shelfmark.functions.values import filled, image_id, trimmed
+from shelfmark.shared import written
 
 
 def flatten_images(jobs: DataFrame) -> DataFrame:
@@ -27,8 +28,9 @@ def display_url(image: Column, job_id: Column, api: str, base: Column) -> Column
 def normalize_products(products: DataFrame, base: Column) -> DataFrame:
     """products (name, title, price, product_url, img, images: array<string>, source_images) with clean texts and distinct URLs in their first order.
 
-    URLs are resolved on exploded rows, so that one Python batch serves all, and put together again by row."""
-    keyed = products.withColumn("_row", F.monotonically_increasing_id())
+    URLs are resolved on exploded rows, so that one Python batch serves all, and put together again by row. Rows are numbered in
+    a written table, as a plan that is run again may deal them otherwise."""
+    keyed = written(products.withColumn("_row", F.monotonically_increasing_id()), "products")
 
     def urls(name: str) -> DataFrame:
         flat = keyed.select("_row", F.posexplode(name).alias("_at", "_url")).withColumn("_url", normalized(F.col("_url"), base)).filter("_url <> ''")
@@ -76,8 +78,11 @@ def conversion_stats(images: DataFrame) -> DataFrame:
 
 
 def attach_conversion(images: DataFrame, results: DataFrame) -> DataFrame:
-    """images with the outcome of results (job_id, url, success, size, quality, error): size and quality only where converted, error only where not."""
-    r = results.select("job_id", "url", F.col("success").alias("_ok"), F.col("size").alias("_size"), F.col("quality").alias("_quality"), F.col("error").alias("_error")).dropDuplicates(["job_id", "url"])
+    """images with the outcome of results (job_id, url, success, size, quality, error): size and quality only where converted, error only where not.
+
+    Of several results of one URL a success counts before a failure, then the largest size, quality and error."""
+    r = results.groupBy("job_id", "url").agg(F.max(F.struct("success", "size", "quality", "error")).alias("r"))
+    r = r.select("job_id", "url", F.col("r.success").alias("_ok"), F.col("r.size").alias("_size"), F.col("r.quality").alias("_quality"), F.col("r.error").alias("_error"))
     ok = F.coalesce("_ok", F.lit(False))
     out = images.drop("converted", "size", "quality", "error").join(r, ["job_id", "url"], "left")
     return out.withColumns({"converted": ok, "size": F.when(ok, F.col("_size")), "quality": F.when(ok, F.col("_quality")), "error": F.when(~ok, filled(F.col("_error"), F.lit("Conversion failed")))}).drop("_ok", "_size", "_quality", "_error")

@@ -255,7 +255,7 @@ def _parse(kind: str):
 
 def parse_pages(pages: DataFrame, kind: str) -> DataFrame:
     """pages (url, html, ...) with their candidates or their items instead of html; other columns stay. A null html is an empty page."""
-    out = T.StructType([f for f in pages.schema.fields if f.name != "html"]).add(kind, KINDS[kind][2])
+    out = T.StructType([*(f for f in pages.schema.fields if f.name != "html"), T.StructField(kind, T.DataType.fromDDL(KINDS[kind][2]))])
     return pages.mapInArrow(_parse(kind), out)
 
 

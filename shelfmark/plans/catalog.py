@@ -13,7 +13,9 @@ from shelfmark.operators import pages as P
 from shelfmark.operators import requests as R
 from shelfmark.operators import seo
 from shelfmark.plans import fixtures as X
-from shelfmark.shared import ship, table
+from shelfmark.shared import scratch, ship, table
+from shelfmark.sources import tables as S
+from shelfmark.streaming import jobs as live
 from shelfmark.streaming import state
 
 QUERIES, SQL = {}, {}
@@ -70,9 +72,12 @@ def infer_model(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.model_name(F.col("url")).alias("model"))
 
 
-@query(r"""SELECT page_id, CASE WHEN regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\?.*$', '') = '' THEN 'image_1.jpg' ELSE regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\?.*$', '') END AS name FROM pages WHERE NOT contains(url, '%')""")
+LAST = r"regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\?.*$', '')"
+
+
+@query(f"SELECT page_id, CASE WHEN {LAST} = '' THEN 'image_1.jpg' ELSE url_decode({LAST}) END AS name FROM pages")
 def image_filename(spark, sf):
-    return table(spark, sf, "pages").filter(~F.col("url").contains("%")).select("page_id", U.image_filename(F.col("url"), F.lit(1)).alias("name"))
+    return table(spark, sf, "pages").select("page_id", U.image_filename(F.col("url"), F.lit(1)).alias("name"))
 
 
 @query("SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9_-]', '', 'g') AS safe FROM pages")
@@ -317,10 +322,13 @@ def normalize_logs(spark, sf):
     return L.normalize_logs(X.logs(spark, sf))
 
 
-@query(f"""WITH {X.LOGS}, k AS (SELECT *, concat_ws('|', level, source, message, coalesce(job_id, '')) AS key FROM logs),
-n AS (SELECT *, CASE WHEN key = lag(key) OVER w THEN 0 ELSE 1 END AS new FROM k WINDOW w AS (PARTITION BY source ORDER BY time, seq)),
-r AS (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY time, seq ROWS UNBOUNDED PRECEDING) AS run FROM n)
-SELECT source, min(seq) AS seq, any_value(level) AS level, any_value(message) AS message, any_value(job_id) AS job_id, count(*) AS repeats, max(time) AS time FROM r GROUP BY source, run""")
+RUNS = f"""WITH {X.LOGS}, k AS (SELECT *, concat_ws('|', level, source, message, coalesce(job_id, '')) AS key FROM logs),
+n AS (SELECT *, CASE WHEN key = lag(key) OVER w THEN 0 ELSE 1 END AS new FROM k WINDOW w AS (ORDER BY time, seq)),
+r AS (SELECT *, sum(new) OVER (ORDER BY time, seq ROWS UNBOUNDED PRECEDING) AS run FROM n)
+SELECT any_value(source) AS source, min(seq) AS seq, any_value(level) AS level, any_value(message) AS message, any_value(job_id) AS job_id, count(*) AS repeats, max(time) AS time FROM r GROUP BY run"""
+
+
+@query(RUNS)
 def collapse_logs(spark, sf):
     return L.collapse_logs(X.logs(spark, sf))
 
@@ -447,10 +455,11 @@ def alerts_cooldown(spark, sf):
 @query(f"""WITH {X.UPDATES}, r AS (SELECT *, (epoch_us(updated_at) // 1000) AS ms, status = 'running' AS run FROM updates),
 n AS (SELECT *, CASE WHEN run IS DISTINCT FROM lag(run) OVER w THEN 1 ELSE 0 END AS new, lead(ms) OVER w AS until FROM r WINDOW w AS (PARTITION BY id ORDER BY ms, seq)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY ms, seq ROWS UNBOUNDED PRECEDING) AS k FROM n),
-s AS (SELECT id, min(ms) AS started_ms, max(coalesce(until, ms)) AS until FROM g WHERE run GROUP BY id, k)
+s AS (SELECT id, min(ms) AS started_ms, max(coalesce(until, greatest(ms, epoch_us(TIMESTAMP '2024-02-01') // 1000))) AS until FROM g WHERE run GROUP BY id, k)
 SELECT id, started_ms, started_ms + 2700000 AS overdue_ms FROM s WHERE until - started_ms > 2700000""")
 def overdue_runs(spark, sf):
-    return state.overdue_stream(X.updates(spark, sf).select("id", "status", F.unix_millis(F.col("updated_at").cast("timestamp")).alias("ms"), "seq"))
+    updates = X.updates(spark, sf).select("id", "status", F.unix_millis(F.col("updated_at").cast("timestamp")).alias("ms"), "seq")
+    return state.overdue_stream(updates, now_ms=F.unix_millis(F.to_timestamp(F.lit("2024-02-01"))))
 
 
 @query(f"WITH {X.REQUESTS} SELECT job_id, min(seq) AS seq FROM requests GROUP BY 1")
@@ -463,6 +472,194 @@ def stale_feeds(spark, sf):
     return state.stale_feeds(X.logs(spark, sf).select(F.col("source").alias("feed"), "time"), F.to_timestamp(F.lit("2024-02-01")))
 
 
+@query(f"WITH {X.TIER_IMAGES} SELECT page_id, position, image_url FROM tier_images")
+def candidate_tiers(spark, sf):
+    return P.extract_images(X.tier_pages(spark, sf))
+
+
+@query(f"WITH {X.BRANCH_ITEMS} SELECT page_id, name, price, img, product_url FROM branch_items")
+def listing_branches(spark, sf):
+    return P.resolve_listing(P.extract_listing(X.branch_pages(spark, sf))).select("page_id", "name", "price", "img", "product_url")
+
+
+@query(SQL["alerts_cooldown"].replace(">= 60)", ">= 90)").replace("86400000", "1800000").replace("SELECT host, seq, ms FROM f", "SELECT host, seq FROM f"))
+def memory_cooldown(spark, sf):
+    return state.alerts(X.metrics(spark, sf)).select("host", "seq")
+
+
+@query(f"WITH {X.JOBS} SELECT id, updated_at FROM jobs WHERE CAST(id AS BIGINT) % 4 <> 0 ORDER BY updated_at DESC, id LIMIT 200")
+def list_jobs(spark, sf):
+    jobs = X.jobs(spark, sf)
+    return J.list_jobs(jobs, jobs.filter(F.col("id").cast("bigint") % 4 == 0)).limit(200).select("id", "updated_at")
+
+
+@query(f"WITH {X.JOBS} SELECT id, coalesce(CASE WHEN CAST(id AS BIGINT) % 3 <> 0 THEN updated_at END, created_at) AS shown_at FROM jobs ORDER BY shown_at DESC, id LIMIT 200")
+def client_order(spark, sf):
+    jobs = X.jobs(spark, sf).withColumn("updated_at", F.when(F.col("id").cast("bigint") % 3 != 0, F.col("updated_at")))
+    return J.client_order(jobs).limit(200).select("id", F.coalesce("updated_at", "created_at").alias("shown_at"))
+
+
+@query(f"""WITH {X.IMAGES} SELECT id, CASE position % 4 WHEN 0 THEN '{X.SHOP}' || url WHEN 1 THEN 'https://cdn.example.com' || url WHEN 2 THEN 'data:,' || url ELSE '{X.SHOP}/i' || url END AS shown FROM images""")
+def displayed_urls(spark, sf):
+    url, way = F.col("url"), F.col("position") % 4
+    value = F.when(way == 0, url).when(way == 1, F.concat(F.lit(" //cdn.example.com"), url)).when(way == 2, F.concat(F.lit("data:,"), url)).otherwise(F.concat(F.lit("i"), url))
+    return X.images(spark, sf).select("id", U.displayed(value, F.lit(X.SHOP)).alias("shown"))
+
+
+@query(f"""WITH {X.IMAGES} SELECT id, replace(url[8:], '.jpg', '') || CASE size % 3 WHEN 0 THEN '.JPEG' ELSE '.jpg' END AS name FROM images WHERE size IS NOT NULL""")
+def jpg_filename(spark, sf):
+    images = X.images(spark, sf).filter("size IS NOT NULL")
+    url = F.replace("url", F.lit(".jpg"), F.when(F.col("size") % 3 == 0, ".JPEG").when(F.col("size") % 3 == 1, ".png?w=2").otherwise(""))
+    return images.select("id", U.jpg_filename(url, F.lit(1)).alias("name"))
+
+
+@query("SELECT p_partkey, '/s/' || p_partkey || '.jpg' AS first, '/c/' || p_partkey || '.png' AS css FROM part")
+def attribute_urls(spark, sf):
+    key = F.col("p_partkey").cast("string")
+    return table(spark, sf, "part").select("p_partkey", U.first_srcset(F.concat(F.lit(" /s/"), key, F.lit(".jpg 1x, /t.jpg 2x"))).alias("first"), U.css_url(F.concat(F.lit("color: red; background-image: url('/c/"), key, F.lit(".png') "))).alias("css"))
+
+
+@query(f"""WITH {X.PRODUCTS} SELECT job_id, product_index, trim(name) AS name, CASE WHEN img = '' THEN '' ELSE '{X.SHOP}' || img END AS img, CASE WHEN n = 0 THEN '' WHEN n = 1 THEN '{X.SHOP}/media/' || partkey || '_0.jpg' ELSE '{X.SHOP}/media/' || partkey || '_0.jpg {X.SHOP}/media/' || partkey || '_1.jpg' END AS images FROM products""")
+def normalize_products(spark, sf):
+    p = X.products(spark, sf).withColumns({"title": F.concat(F.lit(" "), "name", F.lit(" ")), "name": F.lit(""), "product_url": F.lit("undefined"), "source_images": F.array(F.lit("null"), F.lit("[object X]"))})
+    out = I.normalize_products(p, F.lit(f"{X.SHOP}/"))
+    return out.filter("product_url = '' AND size(source_images) = 0").select("job_id", "product_index", "name", "img", F.array_join("images", " ").alias("images"))
+
+
+@query("SELECT p_partkey, p_name AS og_title, p_name AS twitter_title, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END AS twitter_description, 'index,follow' AS robots, 'summary_large_image' AS twitter_card FROM part")
+def seo_fill(spark, sf):
+    none = F.lit(None).cast("string")
+    own = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("title"), none.alias("description"), F.lit("").alias("og_title"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("og_description"), none.alias("og_image"), none.alias("twitter_title"), none.alias("twitter_description"), none.alias("twitter_image"), F.lit("").alias("robots"), none.alias("twitter_card"))
+    return seo.seo_fill(own).select("p_partkey", "og_title", "twitter_title", "twitter_description", "robots", "twitter_card")
+
+
+@query(f"SELECT page_id, CASE WHEN length(trim({TITLE})) BETWEEN 120 AND 160 THEN 'good' WHEN length(trim({TITLE})) = 0 THEN 'empty' ELSE 'outside' END AS description_state, page_id % 3 <> 0 AS robots_ok FROM pages")
+def seo_checks(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", F.lit("x").alias("title"), P.title(F.col("html")).alias("description"), F.when(F.col("page_id") % 3 == 0, "all").otherwise("noindex,follow").alias("robots"))
+    return seo.seo_audit(pages).select("page_id", "description_state", "robots_ok")
+
+
+# files: written below the shared folder and read back
+
+
+@query("SELECT page_id, url, CAST(length(html) AS INTEGER) AS n_chars FROM pages")
+def stored_pages(spark, sf):
+    return S.read_pages(spark, f"{sf}/pages.parquet").select("page_id", "url", F.length("html").alias("n_chars"))
+
+
+@query(f"WITH {X.JOBS} SELECT id, status, images FROM jobs WHERE status IN ('completed', 'failed') ORDER BY updated_at DESC, id LIMIT 100")
+def jobs_snapshot(spark, sf):
+    path = scratch(spark, "snapshot")
+    S.write_jobs_snapshot(X.jobs(spark, sf), path)
+    return S.read_jobs(spark, path).select("id", "status", "images")
+
+
+@query(f"WITH {X.JOBS} SELECT id AS job_id, url, status FROM jobs WHERE status IN ('completed', 'failed') ORDER BY updated_at DESC, id LIMIT 100")
+def manifests(spark, sf):
+    path = scratch(spark, "manifests")
+    S.write_manifests(J.newest_finished(X.jobs(spark, sf)).withColumn("products", F.array("model")), path)
+    return spark.read.schema("job_id string, url string, status string, products array<string>").json(path).select("job_id", "url", "status")
+
+
+@query(f"WITH {X.JOBS} SELECT url, status, images, error FROM jobs")
+def exported_jobs(spark, sf):
+    path = scratch(spark, "export")
+    S.export_jobs(X.jobs(spark, sf), path)
+    return spark.read.schema("url string, status string, images bigint, error string").json(path)
+
+
+@query(f"WITH {X.JOBS} SELECT url FROM jobs WHERE CAST(id AS BIGINT) % 7 <> 0")
+def imported_urls(spark, sf):
+    path, key = scratch(spark, "import"), F.col("id").cast("bigint")
+    listed = X.jobs(spark, sf).select((key % 64).alias("file"), F.struct(F.when(key % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), "url")).alias("url"), "status").alias("job"))
+    listed.groupBy("file").agg(F.collect_list("job").alias("jobs")).select("jobs").write.option("maxRecordsPerFile", "1").json(path)
+    return S.import_urls(spark, path)
+
+
+@query("SELECT url FROM pages")
+def url_list(spark, sf):
+    path = scratch(spark, "urls")
+    table(spark, sf, "pages").select(F.concat(F.lit(" "), "url", F.lit(" \n\t\n")).alias("value")).write.text(path)
+    return S.read_url_list(spark, path)
+
+
+@query(f"WITH {X.LOGS} SELECT seq, time, message, job_id FROM logs")
+def log_files(spark, sf):
+    path = scratch(spark, "logs")
+    X.logs(spark, sf).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    return S.read_logs(spark, path).select("seq", "time", "message", "job_id")
+
+
+@query(f"WITH {X.UPDATES} SELECT seq, id, status, images FROM updates")
+def update_files(spark, sf):
+    path = scratch(spark, "updates")
+    S.write_updates(X.updates(spark, sf), path)
+    return S.read_job_updates(spark, path).select("seq", "id", "status", "images")
+
+
+@query(f"""WITH {X.JOBS}, {X.PRODUCTS}, t AS (SELECT id FROM jobs WHERE status IN ('completed', 'failed') ORDER BY updated_at DESC, id LIMIT 100),
+f AS (SELECT job_id, '/media/' || partkey || '_' || (i % 2) || '.jpg' AS url FROM (SELECT *, unnest(range(n)) AS i FROM products) UNION SELECT job_id, img FROM products WHERE n = 0 AND img <> '')
+SELECT id AS job_id, CAST(coalesce(sum(length(url) + 1), 0) AS BIGINT) AS bytes, count(url) > 0 AS has_files FROM t LEFT JOIN f ON job_id = id GROUP BY id""")
+def url_archives(spark, sf):
+    path, jobs = scratch(spark, "archives"), J.newest_finished(X.jobs(spark, sf)).select("id")
+    S.export_image_urls(X.products(spark, sf).join(jobs.withColumnRenamed("id", "job_id"), "job_id"), path)
+    found = S.archive_inventory(spark, path).select(F.element_at(F.split("job_id", "="), -1).alias("job_id"), "bytes", "has_files")
+    return jobs.withColumnRenamed("id", "job_id").join(found, "job_id", "left").select("job_id", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("has_files", F.lit(False)).alias("has_files"))
+
+
+@query(f"WITH {X.IMAGES} SELECT id, CASE WHEN converted THEN url END AS content, url AS original_url FROM images")
+def decoded_images(spark, sf):
+    images = X.images(spark, sf).withColumns({"jpg_data": F.when(F.col("position") == 9, "%%").otherwise(F.base64(F.col("url").cast("binary"))), "original_url": F.lit("")})
+    return S.decode_images(images).select("id", F.col("content").cast("string").alias("content"), "original_url")
+
+
+# streams: over files below the shared folder, until all of them are read
+
+
+def _stream(spark, df, files: int = 3):
+    path = scratch(spark, "stream")
+    df.repartitionByRange(files, "seq").sortWithinPartitions("seq").write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(f"WITH {X.LOGS} SELECT seq, time, message FROM logs ORDER BY time DESC, seq DESC LIMIT 200")
+def log_ring(spark, sf):
+    path = scratch(spark, "ring")
+    state.log_tail(_stream(spark, X.logs(spark, sf), 1), path, f"{path}-checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/current-0").select("seq", "time", "message")
+
+
+@query(RUNS)
+def collapse_stream(spark, sf):
+    path = scratch(spark, "runs")
+    state.collapse_into(_stream(spark, X.logs(spark, sf), 1), path, f"{path}-checkpoint").awaitTermination()
+    return state.read_runs(spark, path)
+
+
+@query(f"WITH {X.UPDATES}, jobs AS (SELECT id, arg_max(status, (updated_at, seq)) AS status, arg_max(images, (updated_at, seq)) AS images FROM updates GROUP BY id), o AS (SELECT {COUNTS} FROM jobs) SELECT *, CASE WHEN completed + failed = 0 THEN 0 ELSE CAST(floor(100.0 * completed / (completed + failed) + 0.5) AS BIGINT) END AS success_rate FROM o")
+def live_overview(spark, sf):
+    path = scratch(spark, "latest")
+    state.upsert_latest(_stream(spark, X.updates(spark, sf)), path, f"{path}-checkpoint", buckets=4).awaitTermination()
+    return live.live_overview(state.read_latest(spark, path, 4))
+
+
+@query(f"WITH {X.UPDATES}, h AS (SELECT max(seq) // 2 AS half FROM updates) SELECT id, arg_max(status, (updated_at, seq)) AS status, arg_max(CASE WHEN seq > half THEN 1 ELSE 0 END, (updated_at, seq)) AS origin FROM updates, h GROUP BY id")
+def snapshot_then(spark, sf):
+    updates = X.updates(spark, sf)
+    half = F.expr("(SELECT max(event_id) div 2 FROM events_of)")
+    table(spark, sf, "events").createOrReplaceTempView("events_of")
+    before = live.latest(updates.filter(F.col("seq") <= half))
+    return live.snapshot_then(before, updates).select("id", "status", "origin")
+
+
+@query(f"WITH {X.TIER_IMAGES} SELECT page_id, position, image_url FROM tier_images")
+def extract_stream(spark, sf):
+    path = scratch(spark, "found")
+    pages = _stream(spark, X.tier_pages(spark, sf).withColumn("seq", F.col("page_id")))
+    live.extract_stream(pages).writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start(path).awaitTermination()
+    return P.filter_image_urls(spark.read.parquet(path))
+
+
 def _shipped(run):
     def shipped(spark, sf):
         ship(spark)

@@ -124,3 +124,60 @@ PAGE_IMAGES = f"""page_images AS (
   UNION ALL SELECT p_partkey, 0, '{SHOP}/parts/img/' || p_partkey || '.png' FROM part WHERE p_partkey % 10 <> 9 AND p_size % 4 = 1
   UNION ALL SELECT p_partkey, 0, 'https://cdn.example.com/' || p_partkey || '.webp' FROM part WHERE p_partkey % 10 <> 9 AND p_size % 4 = 2
   UNION ALL SELECT p_partkey, 0, '{SHOP}/media/catalog/product/image/' || p_partkey || '.jpg?w=1&h=2' FROM part WHERE p_partkey % 10 <> 9 AND p_size % 4 = 3)"""
+
+
+def _cases(test, *cases):
+    out = F.when(test == 0, cases[0])
+    for i, c in enumerate(cases[1:], 1):
+        out = out.when(test == i, c)
+    return out
+
+
+def tier_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A page for each part; by p_partkey % 10 its images are in a picture, attributes, a style, JSON-LD, microdata, data attributes, a video, anchors, all over a tier's limit, or meta tags."""
+    p = table(spark, sf, "part")
+    key = F.col("p_partkey").cast("string")
+    html = lambda text: F.replace(F.lit(text), F.lit("KEY"), key)
+    body = _cases(
+        F.col("p_partkey") % 10,
+        html('<picture><source srcset="/p/KEY-a.webp 1x, /p/KEY-b.webp 2x"><img data-src="/p/KEY-c.jpg"></picture>'),
+        html('<img data-large="/m/KEY.jpg" srcset="/m/KEY-s.png 2x, /x.png"><img src="/logo-KEY.png">'),
+        html("""<div class="product" style="background-image:url('/bg/KEY.jpg')"></div>"""),
+        html('<script type="application/ld+json">{"image": ["/j/KEY-1.jpg", {"url": "/j/KEY-2.jpg", "images": ["/j/KEY-3.jpg"]}], "offers": {"url": "/buy/KEY"}}</script>'),
+        html('<div itemtype="https://schema.org/Product"><meta itemprop="image" content="/mi/KEY.jpg"></div>'),
+        html('<div data-product-img="/d/KEY.jpg" data-img="/thumbnail/KEY.jpg"></div>'),
+        html('<video poster="/v/KEY.jpg"></video>'),
+        html('<a href="/x/KEY.jpeg?q=1">z</a>'),
+        html('<div class="MagicScroll">' + "".join(f'<a class="mz-thumb" href="/z/KEY-{i}.jpg">x</a>' for i in range(20)) + '</div><div class="product" style="background-image:url(/no/KEY.jpg)"></div><img data-large="/c/KEY.jpg"><div data-image="/d/KEY.jpg"></div>'),
+        html('<meta property="og:image" content="/og/KEY.jpg"><meta property="og:image" content="/og2/KEY.jpg"><link rel="image_src" href="/ls/KEY.png">'),
+    )
+    return p.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit(f"{SHOP}/parts/"), key).alias("url"), F.concat(F.lit("<html><title>x</title><body>"), body).alias("html"))
+
+
+_ZOOMED = ", ".join(f"'/z/' || k || '-{i}.jpg'" for i in range(20))
+TIER_IMAGES = f"""tier_images AS (SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS position, '{SHOP}' || unnest(l) AS image_url FROM (SELECT p_partkey AS page_id, CASE p_partkey % 10
+  WHEN 0 THEN ['/p/' || k || '-a.webp', '/p/' || k || '-c.jpg'] WHEN 1 THEN ['/m/' || k || '.jpg', '/m/' || k || '-s.png'] WHEN 2 THEN ['/bg/' || k || '.jpg']
+  WHEN 3 THEN ['/j/' || k || '-1.jpg', '/j/' || k || '-2.jpg', '/j/' || k || '-3.jpg'] WHEN 4 THEN ['/mi/' || k || '.jpg'] WHEN 5 THEN ['/d/' || k || '.jpg'] WHEN 6 THEN ['/v/' || k || '.jpg']
+  WHEN 7 THEN ['/x/' || k || '.jpeg?q=1'] WHEN 8 THEN [{_ZOOMED}, '/c/' || k || '.jpg', '/d/' || k || '.jpg'] ELSE ['/og/' || k || '.jpg', '/ls/' || k || '.png'] END AS l
+  FROM (SELECT *, CAST(p_partkey AS VARCHAR) AS k FROM part)))"""
+
+
+def branch_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A listing page for each part; by p_partkey % 5 another selector finds its item, and other nodes hold name, price, image and link."""
+    p = table(spark, sf, "part")
+    key = F.col("p_partkey").cast("string")
+    html = lambda text: F.replace(F.replace(F.lit(text), F.lit("KEY"), key), F.lit("NAME"), F.col("p_name"))
+    body = _cases(
+        F.col("p_partkey") % 5,
+        html('<li class="item"><h2>NAME</h2><b class="price"> $KEY </b><img data-src="/i/KEY.jpg"><a href="/product/KEY">x</a></li>'),
+        html('<div data-product-id="KEY"><i data-name="1">NAME</i><i data-price="1">KEY</i><img srcset="/i/KEY.jpg 1x, /j.jpg"><a data-url="/u/KEY">x</a></div>'),
+        html('<div class="product-item"><h2 class="product-name"> </h2><h2>NAME</h2><img data-original="/o/KEY.png"></div>'),
+        html('<article class="product"><h2 class="product-name">NAME</h2><span class="regular-price"></span><i class="price">KEY</i><img src="/no.jpg"><img class="small-img" data-lazy="/l/KEY.jpg"><a class="product-image figure" href="/f/KEY">x</a></article>'),
+        html('<div class="product"><h2>late</h2></div><article class="product"><h2>NAME</h2></article>'),
+    )
+    return p.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit(f"{SHOP}/l/"), key).alias("url"), body.alias("html"))
+
+
+BRANCH_ITEMS = f"""branch_items AS (SELECT p_partkey AS page_id, CASE WHEN p_partkey % 5 = 2 THEN '' ELSE trim(p_name) END AS name, CASE p_partkey % 5 WHEN 0 THEN '$' || p_partkey WHEN 1 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS price,
+  CASE p_partkey % 5 WHEN 0 THEN '{SHOP}/i/' || p_partkey || '.jpg' WHEN 1 THEN '{SHOP}/i/' || p_partkey || '.jpg' WHEN 2 THEN '{SHOP}/o/' || p_partkey || '.png' WHEN 3 THEN '{SHOP}/l/' || p_partkey || '.jpg' ELSE '' END AS img,
+  CASE p_partkey % 5 WHEN 0 THEN '{SHOP}/product/' || p_partkey WHEN 1 THEN '{SHOP}/u/' || p_partkey WHEN 3 THEN '{SHOP}/f/' || p_partkey ELSE '' END AS product_url FROM part)"""

@@ -16,13 +16,17 @@ def latest(updates: DataFrame) -> DataFrame:
 
 
 def live_overview(snapshot: DataFrame) -> DataFrame:
-    """Counts and success rate over a table of latest states, for each micro-batch of state.upsert_latest."""
+    """Counts and success rate over a table of latest states: what state.read_latest gives, after each micro-batch of state.upsert_latest."""
     return job_stats(snapshot)
 
 
 def snapshot_then(snapshot: DataFrame, live: DataFrame) -> DataFrame:
-    """A batch of the state so far and the rows after it, as one table to start from: rows of the snapshot first (origin 0), then live ones (origin 1)."""
-    return snapshot.withColumn("origin", F.lit(0)).unionByName(live.withColumn("origin", F.lit(1)), allowMissingColumns=True)
+    """The state so far, and live updates (id, updated_at, seq, ...) after it: the latest row of each id, with origin 0 from the snapshot and 1 from live.
+
+    A live row counts only if it comes after the snapshot's row of its id, so that rows sent twice while a client catches up change nothing."""
+    both = snapshot.withColumn("origin", F.lit(0)).unionByName(live.withColumn("origin", F.lit(1)), allowMissingColumns=True)
+    rest = [c for c in both.columns if c != "id"]
+    return both.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("updated_at", "seq", -F.col("origin"))).alias("s")).select("id", "s.*")
 
 
 def extract_stream(pages: DataFrame) -> DataFrame:

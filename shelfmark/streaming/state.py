@@ -1,6 +1,6 @@
 """Stateful streams: alerts with a cooldown, throttled events, runs of equal log entries, log tails, overdue jobs, stale feeds, repeated requests.
 
-Each stream has a batch twin with the same results on the same rows. State is bounded by the number of keys; rows of a key are folded in
+Most take a batch too; where a stream knows less than a batch its docstring says so. State is bounded by the number of keys; rows of a key are folded in
 the order of time and seq within a micro-batch, and micro-batches follow each other as the source delivers them.
 """
 
@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from shelfmark.operators.logs import collapse_logs, normalize_logs
-from shelfmark.functions.values import log_key, memory_high
+from shelfmark.functions.values import memory_high
+from shelfmark.operators.logs import collapse_logs
+from shelfmark.shared import drop_written, written
 
 
 def _spaced(times: list[int], last: int | None, gap: int) -> tuple[list[bool], int | None]:
@@ -67,55 +68,67 @@ def alerts(metrics: DataFrame, cooldown_minutes: int = 30) -> DataFrame:
     return throttle(high, cooldown_minutes * 60_000, "host")
 
 
-def collapse_stream(logs: DataFrame) -> DataFrame:
-    """A stream of log entries as rows (source, seq, level, message, job_id, repeats, time): for each run of equal entries of a source the
-    row as it stands after each micro-batch; the last row of a (source, seq) is the run's. A batch gives each run once."""
-    if not logs.isStreaming:
-        return collapse_logs(logs)
-    keyed = normalize_logs(logs).withColumn("key", log_key(F.col("level"), F.col("source"), F.col("message"), F.col("job_id"))).drop("text")
+def collapse_into(logs: DataFrame, table_path: str, checkpoint: str):
+    """A started query that writes the runs of equal entries of a stream of logs, as collapse_logs has them, to table_path/runs-{batch}.
+
+    A run that goes on from the batch before is written again with its first seq and all its repeats: read_runs takes the longest
+    row of each seq. Entries of a later batch are taken to be later ones."""
+    spark = logs.sparkSession
+
+    def merge(batch: DataFrame, number: int) -> None:
+        runs = written(collapse_logs(batch), "runs")
+        same = ["level", "source", "message", "job_id"]
+        if number > 0:
+            old = spark.read.schema(runs.schema).parquet(f"{table_path}/runs-{number - 1}").orderBy(F.col("time").desc(), F.col("seq").desc()).limit(1)
+            first = runs.orderBy("time", "seq").limit(1)
+            on = F.broadcast(old.alias("o").join(first.alias("f"), [F.col(f"o.{c}").eqNullSafe(F.col(f"f.{c}")) for c in same]).select(F.col("f.seq").alias("at"), F.col("o.seq").alias("from"), F.col("o.repeats").alias("more")))  # at most one row
+            runs = runs.join(on, runs.seq == on.at, "left").select(*[c for c in runs.columns if c not in ("seq", "repeats")], F.coalesce("from", "seq").alias("seq"), (F.col("repeats") + F.coalesce("more", F.lit(0))).alias("repeats")).select(runs.columns)
+        runs.write.mode("overwrite").parquet(f"{table_path}/runs-{number}")
+
+    return logs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames)).sort_values(["time", "seq"])
-        runs: list[list] = [list(state.get)] if state.exists else []
-        for r in pdf.itertuples():
-            job = None if pd.isna(r.job_id) else r.job_id
-            if runs and runs[-1][0] == r.key:
-                runs[-1][5:] = [runs[-1][5] + 1, r.time]
-            else:
-                runs.append([r.key, r.seq, r.level, r.message, job, 1, r.time])
-        state.update(tuple(runs[-1]))
-        yield pd.DataFrame([[pdf["source"].iloc[0], *x[1:]] for x in runs], columns=["source", "seq", "level", "message", "job_id", "repeats", "time"])
 
-    out = "source string, seq long, level string, message string, job_id string, repeats long, time timestamp"
-    return keyed.groupBy("source").applyInPandasWithState(step, out, "key string, seq long, level string, message string, job_id string, repeats long, time timestamp", "update", GroupStateTimeout.NoTimeout)
+def read_runs(spark: SparkSession, table_path: str) -> DataFrame:
+    """The runs that collapse_into has written so far, each once."""
+    rows = spark.read.parquet(f"{table_path}/runs-*")
+    rest = [c for c in rows.columns if c != "seq"]
+    return rows.groupBy("seq").agg(F.max_by(F.struct(*rest), "repeats").alias("r")).select("seq", "r.*")
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def log_tail(logs: DataFrame, table_path: str, checkpoint: str, n: int = 200):
     """A started query that keeps the last n entries of a stream of logs in the Parquet table at table_path/current-{batch}.
 
-    n is small (200), so a micro-batch's own last n and the table's are merged by a top-n."""
+    n is small (200), so a micro-batch's own last n and the table's are merged by a top-n. A batch run again finds the table
+    before it; the one before that goes."""
     spark = logs.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = f"{table_path}/current-{number - 1}"
         both = batch
         if number > 0:
-            both = spark.read.schema(batch.schema).parquet(old).unionByName(batch)
+            both = spark.read.schema(batch.schema).parquet(f"{table_path}/current-{number - 1}").unionByName(batch)
         both.orderBy(F.col("time").desc(), F.col("seq").desc()).limit(n).write.mode("overwrite").parquet(f"{table_path}/current-{number}")
+        if number > 1:
+            _drop(spark, f"{table_path}/current-{number - 2}")
 
     return logs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def overdue_stream(updates: DataFrame, minutes: int = 45) -> DataFrame:
+def overdue_stream(updates: DataFrame, minutes: int = 45, now_ms: Column | int | None = None) -> DataFrame:
     """updates (id, status, ms, seq) -> (id, started_ms, overdue_ms): once for each run of a job that lasts over `minutes`.
 
-    A job that stops running in time gives nothing. On a stream the row comes with the first update that shows the time to be over, or when the
+    now_ms: the time up to which a batch looks; a job that still runs then counts as running so far. Without it its last update
+    is the end. A job that stops running in time gives nothing. On a stream the row comes with the first update that shows the time to be over, or when the
     processing-time timer of `minutes` after its first running update fires."""
     limit = minutes * 60_000
     if not updates.isStreaming:
         order = Window.partitionBy("id").orderBy("ms", "seq")
         runs = updates.withColumn("new", F.coalesce(((F.col("status") == "running") != (F.lag("status").over(order) == "running")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
-        spans = runs.withColumn("until", F.lead("ms").over(order)).groupBy("id", "run").agg(F.first("status").alias("status"), F.min("ms").alias("started_ms"), F.max(F.coalesce("until", "ms")).alias("until"))
+        spans = runs.withColumn("until", F.lead("ms").over(order)).groupBy("id", "run").agg(F.first("status").alias("status"), F.min("ms").alias("started_ms"), F.max(F.coalesce("until", F.greatest(F.col("ms"), F.lit(now_ms) if now_ms is not None else F.col("ms")))).alias("until"))
         return spans.filter((F.col("status") == "running") & (F.col("until") - F.col("started_ms") > limit)).select("id", "started_ms", (F.col("started_ms") + limit).alias("overdue_ms"))
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -147,7 +160,7 @@ def overdue_stream(updates: DataFrame, minutes: int = 45) -> DataFrame:
 
 
 def dedup_requests(requests: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """The first request of each job_id. On a stream (requested_at a timestamp) repeats within the watermark go."""
+    """The first request of each job_id. A stream (requested_at a timestamp) forgets a job_id after the watermark, and lets a repeat pass then; a batch does not."""
     if requests.isStreaming:
         return requests.withWatermark("requested_at", watermark).dropDuplicatesWithinWatermark(["job_id"])
     return requests.withColumn("_r", F.row_number().over(Window.partitionBy("job_id").orderBy("requested_at", "seq"))).filter("_r = 1").drop("_r")
@@ -159,20 +172,44 @@ def stale_feeds(updates: DataFrame, now, gap_seconds: int = 7) -> DataFrame:
     return last.withColumn("stale", F.unix_millis(now.cast("timestamp")) - F.unix_millis(F.col("last").cast("timestamp")) > gap_seconds * 1000)
 
 
-def upsert_latest(updates: DataFrame, table_path: str, checkpoint: str, then: Callable[[DataFrame], None] | None = None):
-    """A started query that folds a stream of updates into a table of the latest row of each id, at table_path/latest-{batch}, and hands that table to `then`.
+def upsert_latest(updates: DataFrame, table_path: str, checkpoint: str, then: Callable[[DataFrame], None] | None = None, buckets: int = 64):
+    """A started query that folds a stream of updates into a table of the latest row of each id, and hands that table to `then`.
 
-    Reading the table before the stream starts gives the snapshot to catch up from."""
+    Ids are dealt to `buckets` by hash. A micro-batch writes only the buckets that it touches, at table_path/bucket={k}/batch-{batch}; a
+    bucket's older versions go once it has been written twice more. read_latest reads the table; what it gives before the stream
+    starts is the snapshot to catch up from."""
     from shelfmark.streaming.jobs import latest
 
     spark = updates.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        both = batch
-        if number > 0:
-            both = spark.read.schema(batch.schema).parquet(f"{table_path}/latest-{number - 1}").unionByName(batch)
-        latest(both).select(*batch.columns).write.mode("overwrite").parquet(f"{table_path}/latest-{number}")
+        columns = batch.columns
+        new = written(latest(batch).select(*columns, F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")), "updates")
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets`
+        held = {k: [n for n in _versions(spark, f"{table_path}/bucket={k}") if n < number] for k in touched}
+        old = [f"{table_path}/bucket={k}/batch-{max(v)}" for k, v in held.items() if v]
+        both = new if not old else new.unionByName(spark.read.schema(batch.schema).parquet(*old).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")))
+        merged = written(latest(both).select(*columns, "bucket"), "latest")
+        for k in touched:
+            merged.filter(F.col("bucket") == k).drop("bucket").coalesce(1).write.mode("overwrite").parquet(f"{table_path}/bucket={k}/batch-{number}")
+            for n in sorted(held[k])[:-1]:
+                _drop(spark, f"{table_path}/bucket={k}/batch-{n}")
+        drop_written(new)
+        drop_written(merged)
         if then is not None:
-            then(spark.read.parquet(f"{table_path}/latest-{number}"))
+            then(read_latest(spark, table_path, buckets))
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    return [int(x.removeprefix("batch-")) for x in names if x.startswith("batch-")]
+
+
+def read_latest(spark: SparkSession, table_path: str, buckets: int = 64) -> DataFrame:
+    """The latest row of each id that upsert_latest has kept so far."""
+    held = [(k, v) for k in range(buckets) if (v := _versions(spark, f"{table_path}/bucket={k}"))]
+    return spark.read.parquet(*[f"{table_path}/bucket={k}/batch-{max(v)}" for k, v in held])

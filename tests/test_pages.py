@@ -62,3 +62,15 @@ def test_listing(spark):
     assert (rows[1].name, rows[1].price, rows[1].img, rows[1].product_url) == ("", "", "https://shop.example.com/i.jpg", "https://shop.example.com/u")
     assert (rows[2].name, rows[2].product_url) == ("Name", "https://shop.example.com/product/7")
     assert set(rows) == {1, 2}
+
+
+def test_a_very_deep_page(spark):
+    html = "<div class='gallery'>" * 100_000 + "<img src='a.png'>"
+    assert images(spark, html) == ["https://shop.example.com/p/a.png"]
+
+
+def test_one_stored_page_a_url(spark):
+    pages = spark.createDataFrame([(1, "u"), (2, "u")], "page_id long, url string")
+    own = spark.createDataFrame([(1, 0, "old"), (2, 0, "a"), (2, 1, "b")], "page_id long, position long, image_url string")
+    items = spark.createDataFrame([("u",), ("v",)], "product_url string")
+    assert {(r.product_url, *r.source_images) for r in P.enrich_listing(items, own, pages).collect()} == {("u", "a", "b"), ("v",)}

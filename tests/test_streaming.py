@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from shelfmark.operators.logs import collapse_logs
 from shelfmark.streaming import jobs as SJ
 from shelfmark.streaming import state as S
 
@@ -34,14 +35,13 @@ def test_alert_cooldown(spark, tmp_path):
 
 
 def test_collapse(spark, tmp_path):
-    words = "a a b a a a c".split()
-    df = spark.createDataFrame([(i, T0 + dt.timedelta(seconds=i), "info", "s", w, None) for i, w in enumerate(words)], "seq long, time timestamp, level string, source string, message string, job_id string")
-    want = [("a", 2), ("b", 1), ("a", 3), ("c", 1)]
-    assert [(r.message, r.repeats) for r in sorted(S.collapse_stream(df).collect(), key=lambda r: r.seq)] == want
-    last = {}
-    for r in drain(S.collapse_stream(feed(spark, tmp_path, df, 1)), tmp_path, "update"):
-        last[r.seq] = (r.message, r.repeats)
-    assert [last[k] for k in sorted(last)] == want
+    words, sources = "a a b a a a c a a b b".split(), "s s s s t t s s s s s".split()
+    df = spark.createDataFrame([(i, T0 + dt.timedelta(seconds=i), "info", s, w, None) for i, (w, s) in enumerate(zip(words, sources, strict=True))], "seq long, time timestamp, level string, source string, message string, job_id string")
+    want = [("a", "s", 2), ("b", "s", 1), ("a", "s", 1), ("a", "t", 2), ("c", "s", 1), ("a", "s", 2), ("b", "s", 2)]
+    assert [(r.message, r.source, r.repeats) for r in sorted(collapse_logs(df).collect(), key=lambda r: r.seq)] == want
+    path = str(tmp_path / "runs")
+    S.collapse_into(feed(spark, tmp_path, df, 2), path, str(tmp_path / "cp")).awaitTermination(120)
+    assert [(r.message, r.source, r.repeats) for r in sorted(S.read_runs(spark, path).collect(), key=lambda r: r.seq)] == want
 
 
 def test_latest(spark, tmp_path):
@@ -52,6 +52,9 @@ def test_latest(spark, tmp_path):
     q = S.upsert_latest(feed(spark, tmp_path, df, 1), str(tmp_path / "table"), str(tmp_path / "cp"), lambda t: seen.append(SJ.live_overview(t).first().completed))
     q.awaitTermination(120)
     assert seen[-1] == 3
+    assert {(r.id, r.status, r.images) for r in S.read_latest(spark, str(tmp_path / "table")).collect()} == want
+    snapshot = SJ.latest(df.filter("seq < 7"))
+    assert {(r.id, r.images, r.origin) for r in SJ.snapshot_then(snapshot, df).collect()} == {("0", 6, 0), ("1", 7, 1), ("2", 8, 1)}
 
 
 def test_overdue(spark, tmp_path):
@@ -59,6 +62,7 @@ def test_overdue(spark, tmp_path):
     df = spark.createDataFrame([("a", "running", 0, 0), ("a", "running", 50 * m, 1), ("a", "completed", 60 * m, 2), ("b", "running", 0, 3), ("b", "completed", 40 * m, 4), ("b", "running", 50 * m, 5)], "id string, status string, ms long, seq long")
     want = {("a", 0, 45 * m)}
     assert {tuple(r) for r in S.overdue_stream(df).collect()} == want
+    assert {tuple(r) for r in S.overdue_stream(df, now_ms=96 * m).collect()} == want | {("b", 50 * m, 95 * m)}
     assert {tuple(r) for r in drain(S.overdue_stream(feed(spark, tmp_path, df, 1)), tmp_path, "append")} == want
 
 
