@@ -583,10 +583,10 @@ def url_list(spark, sf):
     return S.read_url_list(spark, path)
 
 
-@query(f"WITH {X.LOGS} SELECT seq, time, message, job_id FROM logs")
+@query(f"WITH {X.LOGS} SELECT seq, date_trunc('millisecond', time) AS time, message, job_id FROM logs")  # as JSON files have it
 def log_files(spark, sf):
     path = scratch(spark, "logs")
-    X.logs(spark, sf).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    X.logs(spark, sf).write.json(path)
     return S.read_logs(spark, path).select("seq", "time", "message", "job_id")
 
 
