@@ -77,6 +77,7 @@ def _pieces(length: int, kmer: int):
             body = own.runs(sums, start, size + length - 1)
             docs = np.asarray(batch.column("doc_id").cast(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(docs[text[start]]), pa.array((start - first[text[start]]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(grams[at[head]].view(np.int64)), pa.array(body.view(np.int64))], schema=schema)
+        B.give_back()
 
     return run
 

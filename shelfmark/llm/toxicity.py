@@ -24,7 +24,7 @@ from shelfmark.shared import drop_written, table, written
 EXAMPLES, HALF_CHI2 = 2500, 20.0
 NEIGHBOURS, BLOCK, FREQUENT, FAR, PRIOR_WEIGHT = 15, 64, 16, 0.05, 0.2
 #: Bytes of words that a task remembers; scores that it remembers (of fixed size).
-WORD_BYTES, SCORES = 48 << 20, 50_000
+WORD_BYTES, SCORES = 24 << 20, 50_000
 SEED = "examples"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -91,6 +91,8 @@ def _vectors(vocabulary: dict[str, int]):
             offsets = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (term, count)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *lists], names=["doc_id", "terms", "counts"])
+        del reader
+        B.give_back()
 
     return run
 
@@ -136,7 +138,7 @@ class BlockMaxIndex:
         self.full.reshape(len(frequent), self.size)[self.row[terms[full]], places[full]] = weights[full]
         self.most = self.full.max(axis=2, initial=0)
         by = np.lexsort((places[~full], terms[~full]))
-        self.places, self.weights = places[~full][by], weights[~full][by]
+        self.places, self.weights = places[~full][by].astype(np.int32), weights[~full][by]
         self.first = np.searchsorted(terms[~full][by], np.arange(n_terms + 1))  # posting of each term
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -236,6 +238,8 @@ def _scores(model: Model, ids: list[int]):
                 scores.append(score)
                 evidence.append(near)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, near_type)], schema=schema)
+        del seen
+        B.give_back()
 
     return run
 

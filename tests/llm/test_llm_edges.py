@@ -232,6 +232,33 @@ def test_near_copies(docs, empty):
     assert nearcopies.near_copies(empty).count() == 0
 
 
+def test_a_large_group_of_near_copies(spark):
+    """Against brute force: a group with edits, chains of edits, a common passage in unrelated texts."""
+    rng = np.random.default_rng(8)
+    words = [f"v{i}" for i in range(3000)]
+    base, common, rows = list(rng.choice(words, 60)), list(rng.choice(words, 25)), []
+    for i in range(150):
+        text = list(base)
+        for at in rng.integers(0, 60, 1 + i % 3):
+            text[at] = f"edit{i}"
+        rows.append(text)
+    chain = list(rng.choice(words, 80))
+    for i in range(12):
+        chain = [*chain[:-1], f"end{i}"] if i % 2 else [f"begin{i}", *chain[1:]]
+        rows.append(list(chain))
+    rows += [[*rng.choice(words, rng.integers(0, 12)), *common] for _ in range(60)] + [rows[3], rows[3]]
+    held = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in rows]
+    root = list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, x in enumerate(held):
+        for j in range(i):
+            if len(x & held[j]) / len(x | held[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = nearcopies.near_copies(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: find(i) for i in range(len(rows))}
+
+
 @pytest.mark.parametrize("most", [0, 1, 2])
 def test_near_prints_against_brute_force(spark, most):
     rng = np.random.default_rng(most)
