@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.shared import drop_written, table, width, written
 
-SLOTS, DIGITS = 64, 8
+SLOTS, DIGITS, SPREAD = 64, 8, 4
 #: A sketch's hash has 34 bits; the lower 30 bits of its value are the place of the k-mer (a string has under 2^30 words).
 PLACE = 30
 BLANKS = " \t\n\x0b\f\r"
@@ -91,7 +91,8 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select("id", "text", F.coalesce("id", F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(F.col("id").isNull(), "text").alias("key"))  # keys without nulls join on plain equality
-    base = docs.groupBy("doc_id", "key").agg(F.first(F.struct("id", "text")).alias("row"))  # shuffled once for both of its joins
+    # shuffled once for both of its joins, to parts whose k-mers fit in memory: they are several times as large as the texts
+    base = docs.repartition(SPREAD * width(docs.sparkSession), "doc_id", "key").groupBy("doc_id", "key").agg(F.first(F.struct("id", "text")).alias("row"))
     lengths = written(docs.groupBy("doc_id", "key", F.length("text").alias("n_chars")).agg(F.count("*").cast("int").alias("copies")), "lengths")
     wanted = written(successors(lengths.select("doc_id", "key")).join(lengths, ["doc_id", "key"]).withColumn("half", F.expr("CAST(n_chars div 2 AS INT)")), "successors")
     drop_written(lengths)
