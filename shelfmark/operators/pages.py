@@ -7,6 +7,7 @@ and place. Ranking, gating, filtering, resolving and fallbacks are DataFrame exp
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import re
 from html.parser import HTMLParser
@@ -37,6 +38,12 @@ class Node:
 STEP = re.compile(r"""([a-z0-9*]+)|\.([\w-]+)|(:not\()?\[([\w:-]+)(?:([*^]?=)"([^"]*)")?\]\)?""")
 
 
+@functools.cache
+def _chain(selector: str) -> list[list[tuple]]:
+    """The steps of a selector, each as its tests."""
+    return [[m.groups() for m in STEP.finditer(x)] for x in re.findall(r"(?:\"[^\"]*\"|\S)+", selector)]
+
+
 class Page(HTMLParser):
     """The elements of a page in its order; tags that are left open end where a browser would end them.
 
@@ -97,7 +104,7 @@ class Page(HTMLParser):
     def select(self, selector: str) -> list[int]:
         """The nodes for `tag.class[a][a="v"][a*="v"][a^="v"]:not([a*="v"])` with blanks for descent, in order."""
         if (out := self.selected.get(selector)) is None:
-            chain = [[m.groups() for m in STEP.finditer(x)] for x in re.findall(r"(?:\"[^\"]*\"|\S)+", selector)]
+            chain = _chain(selector)
             out = self._own(chain[0])
             for tests in chain[1:]:
                 inner, reach, k = [], 0, 0
@@ -113,8 +120,13 @@ class Page(HTMLParser):
 
     def _own(self, tests) -> list[int]:
         """The nodes that pass all tests of one step, from the shortest list of those that pass one."""
-        lists = [self.by_tag.get(tag, []) if tag else self.by_class.get(cls, []) if cls else self.by_attr.get(attr, []) for tag, cls, no, attr, _, _ in tests if not no]
-        out = min(lists, key=len) if lists else range(len(self.nodes))
+        out = range(len(self.nodes))
+        for tag, cls, no, attr, _, _ in tests:
+            if not no:
+                own = self.by_tag.get(tag) if tag else self.by_class.get(cls) if cls else self.by_attr.get(attr)
+                if not own:
+                    return []
+                out = own if len(own) < len(out) else out
         return [i for i in out if all(self._passes(self.nodes[i], t) for t in tests)]
 
     @staticmethod
