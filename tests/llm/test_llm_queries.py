@@ -97,6 +97,39 @@ def test_op6_round_trip(spark, docs):
     assert got.lossless.all()
 
 
+def test_op6_dropout_against_brute_force(spark, docs):
+    """Every segment of every text through a plain agenda, with the draws of its document and place."""
+    from test_llm_edges import agenda
+
+    from shelfmark.llm import pieces
+
+    c, mix = pieces.codec(pieces.default_model()), lambda x: int(pieces.B.mix(np.array([x], np.uint64))[0])
+    for r, text in zip(run(spark, "op6_pieces").sort_values("doc_id").itertuples(), docs.text, strict=True):
+        if len(text) > 3000:
+            continue
+        base = int.from_bytes(hashlib.blake2b(f"{pieces.SEED}:0:{r.doc_id}".encode(), digest_size=8).digest(), "little")
+        segments = re.findall(" *[^ ]+| +", " " + text) if text else []
+        ids = [i for k, x in enumerate(segments, 1) for i in agenda(c, x, pieces.RATE, mix(base ^ mix(k)))]
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_op4_labels_against_every_rule(spark, docs):
+    """All patterns on all texts, without the keyword filter; overlaps resolved pair by pair."""
+    from shelfmark.llm import licenses
+
+    rules = licenses.rules()
+    for r, text in zip(run(spark, "op4_licenses").sort_values("doc_id").itertuples(), docs.text, strict=True):
+        joined = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)})))
+        kept = []
+        for i, (label, _, weight, pattern) in enumerate(rules):
+            for m in pattern.finditer(joined):
+                if not any(m.start() < k[1] and k[0] < m.end() for k in kept):
+                    kept.append((m.start(), m.end(), i, label, weight))
+        base = set(r.base_labels.split(",")) - {""}
+        assert set(r.labels.split(",")) - {""} == base | {k[3] for k in kept}
+        assert r.score == max([0.6 * bool(base), *(k[4] for k in kept)])
+
+
 def order_minhash(text):
     """One text's fingerprint, step by step."""
     from shelfmark.llm import orderhash
@@ -161,18 +194,48 @@ def test_pipeline_near_copies(spark):
     assert got == {doc_id for i, (doc_id, _) in enumerate(rows) if find(i) == i}
 
 
+def cut_passages(rows):
+    """rows (doc_id, text) with the words gone that a 50-word window of a smaller doc_id covers."""
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        w = t.split()
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    for i, t in rows:
+        w = t.split()
+        gone = {j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(k, k + 50)}
+        out[i] = " ".join(x for j, x in enumerate(w) if j not in gone) if gone else t
+    return out
+
+
 def test_pipeline(spark):
+    """Stage by stage, each against what its rule says of its own input."""
     import corpus_pipeline as C
 
+    from shelfmark.llm import mixing as M
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    first = docs
-    for name, stage in C.STAGES[:-1]:
-        before, docs = docs, C.written(stage(spark, docs, SF), f"test-{name}")
+    first, texts = docs, lambda d: {r.doc_id: r.text for r in d.collect()}
+    stages, before = dict(C.STAGES), docs
+    for name in ("toxicity", "simhash", "substrings"):
+        before, docs = docs, C.written(stages[name](spark, docs, SF), f"test-{name}")
         assert docs.dtypes == first.dtypes
-        if name in ("toxicity", "simhash"):
-            assert before.exceptAll(docs).count() == before.count() - docs.count()  # some rows go, none changes
-            assert docs.count() > 0.5 * before.count()
-    words = lambda d: d.select(F.sum(F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")))).first()[0]
-    assert abs(words(docs) - 1.5 * words(before)) < 50
+        was, now = texts(before), texts(docs)
+        if name == "substrings":
+            assert {k: v.split() for k, v in now.items()} == {k: v.split() for k, v in cut_passages(list(was.items())).items()}
+        else:
+            assert set(now.items()) <= set(was.items()) and len(now) > 0.5 * len(was)  # some rows go, none changes
+        if name == "toxicity":
+            rejected = run(spark, "op2_toxicity").query("predicted == 1").doc_id
+            assert set(was) - set(now) == set(rejected)
+    before, docs = docs, C.written(stages["mixing"](spark, docs, SF), "test-mixing")
+    sizes = {r.doc_id: r for r in M.mix_sources(before.withColumn("size", M.n_words(F.col("text")))).collect()}
+    taken, whole = {}, texts(before)
+    for r in docs.collect():
+        words = r.text.split()
+        assert r.text == whole[r.doc_id] or words == whole[r.doc_id].split()[: len(words)]
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + len(words)
+    assert {k: taken.get(k, 0) for k in sizes} == {k: r.taken for k, r in sizes.items()}
     out = C.STAGES[-1][1](spark, docs, SF).toPandas()
     assert len(out) == docs.count() and out.lossless.all()
+    assert out.groupby("doc_id").epoch.apply(lambda e: sorted(e) == list(range(len(e)))).all()
