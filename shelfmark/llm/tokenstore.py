@@ -12,7 +12,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -161,21 +160,26 @@ ENCODED = "doc_id long, n_tokens long, root binary, digests array<binary>, fresh
 REMEMBERED = 500_000
 
 
-def packed(chunk: bytes, press: zstandard.ZstdCompressor) -> dict:
-    """A chunk's ids for its file: 16-bit ids where all fit, else 32-bit, little-endian, compressed."""
+def packed(chunk: bytes) -> dict:
+    """A chunk's ids for its file: 16-bit ids where all fit, else 32-bit, little-endian. The file compresses them, many chunks at a time."""
     ids = np.frombuffer(chunk, "<u4")
     wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
-    return {"n_ids": len(ids), "wide": wide, "data": press.compress(chunk if wide else ids.astype("<u2").tobytes())}
+    return {"n_ids": len(ids), "wide": wide, "data": chunk if wide else ids.astype("<u2").tobytes()}
 
 
-def unpacked(data: bytes, wide: bool, press: zstandard.ZstdDecompressor) -> bytes:
-    raw = press.decompress(data)
-    return raw if wide else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
+def unpacked(data: bytes, wide: bool) -> bytes:
+    return data if wide else np.frombuffer(data[: len(data) // 2 * 2], "<u2").astype("<u4").tobytes()
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    """df in a Parquet file at path, in zstd pages, read back."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _encode(path: str, end_id: int):
     def run(batches):
-        own, end, press, sent = encoder(path), np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=3), set()
+        own, end, sent = encoder(path), np.array([end_id], "<u4").tobytes(), set()
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("fresh", pa.list_(pa.struct([("digest", pa.binary()), ("n_ids", pa.int64()), ("wide", pa.bool_()), ("data", pa.binary())])))])
         for batch in B.groups(batches):
             raw, at = B.buffers(batch.column("text"))
@@ -188,7 +192,7 @@ def _encode(path: str, end_id: int):
                     named.append(name := digest(data[x:y]))
                     if name not in sent:
                         sent.add(name)
-                        fresh.append({"digest": name} | packed(data[x:y], press))
+                        fresh.append({"digest": name} | packed(data[x:y]))
                 rows.append({"doc_id": doc_id, "n_tokens": len(data) // 4, "root": merkle(named), "digests": named, "fresh": fresh})
             if len(sent) > REMEMBERED:
                 sent.clear()
@@ -200,8 +204,8 @@ def _encode(path: str, end_id: int):
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Write the ids of docs (doc_id, text), each text's followed by end_id, as a store at path.
 
-    chunks: digest, n_ids, wide, data: each distinct chunk once; data is the ids, little-endian, in 32 bits each if wide, else 16, compressed
-    by zstd. recipes: root (Merkle root of the digests), digests in order: one row for each distinct document. documents: part,
+    chunks: digest, n_ids, wide, data: each distinct chunk once; data is the ids, little-endian, in 32 bits each if wide, else
+    16. recipes: root (Merkle root of the digests), digests in order: one row for each distinct document. documents: part,
     doc_id, start (ids before it), n_tokens, root: in files of ascending ranges. manifest: for each part its first and last
     doc_id, n_docs, n_tokens, start, and the root of a tree over its documents in order.
 
@@ -210,8 +214,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = written(docs.mapInArrow(_encode(tokenizer, end_id), ENCODED), "encoded")
-    encoded.select(F.explode("fresh").alias("c")).select("c.*").dropDuplicates(["digest"]).write.parquet(f"{path}/chunks")
+    encoded = _kept(docs.mapInArrow(_encode(tokenizer, end_id), ENCODED), scratch(spark, "encoded"))
+    _kept(encoded.select(F.explode("fresh").alias("c")).select("c.*").dropDuplicates(["digest"]), f"{path}/chunks")
     encoded.select("root", "digests").dropDuplicates(["root"]).write.parquet(f"{path}/recipes")
     ranged = encoded.select("doc_id", "n_tokens", "root").repartitionByRange(width(spark), "doc_id", "root").withColumn("part", F.spark_partition_id())
     ranged = written(ranged, "ranged")
@@ -243,11 +247,10 @@ def _parts(documents: DataFrame, most: int = 256) -> DataFrame:
 
 def _chunk_facts(batches):
     schema = pa.schema([("digest", pa.binary()), ("n_ids", pa.int64()), ("crc", pa.int64()), ("sound", pa.bool_())])
-    press = zstandard.ZstdDecompressor()
     for batch in batches:
         rows = []
         for name, n, wide, data in zip(*(batch.column(c).to_pylist() for c in ("digest", "n_ids", "wide", "data")), strict=True):
-            chunk = unpacked(data, wide, press)
+            chunk = unpacked(data, wide)
             rows.append((name, len(chunk) // 4, zlib.crc32(chunk), len(chunk) == 4 * n and digest(chunk) == name))
         yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
@@ -317,12 +320,12 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _joined(batches):
-    schema, press = pa.schema([("root", pa.binary()), ("ids", pa.binary())]), zstandard.ZstdDecompressor()
+    schema = pa.schema([("root", pa.binary()), ("ids", pa.binary())])
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
             own = sorted(r["chunks"] or (), key=lambda c: c["at"])
-            data = [b"" if c["data"] is None else unpacked(c["data"], c["wide"], press) for c in own]
+            data = [b"" if c["data"] is None else unpacked(c["data"], c["wide"]) for c in own]
             if not own or [digest(x) for x in data] != [c["digest"] for c in own] or merkle([c["digest"] for c in own]) != r["root"]:
                 raise ValueError(f"recipe {r['root'].hex()}: missing or unsound chunks")
             rows.append({"root": r["root"], "ids": b"".join(data)})
