@@ -16,7 +16,6 @@ from shelfmark.llm.license_rules import BASE_PHRASES, rules
 from shelfmark.shared import table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<label: string, first_word: long, n_words: long, weight: double>>"
 
 

@@ -110,6 +110,12 @@ def _held(n_terms: int):
     return run
 
 
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, size, values) of a column of lists without nulls."""
+    size = np.concatenate([np.zeros(0, np.int64), *(np.diff(x.offsets.to_numpy()) for x in column.chunks)]).astype(np.int64)
+    return np.cumsum(size) - size, size, np.concatenate([np.zeros(0, np.int64), *(x.flatten().to_numpy() for x in column.chunks)]).astype(np.int64)
+
+
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The whole numbers of each range start, start + 1, … of its size, one range after the other."""
     ends = np.cumsum(size)
@@ -282,13 +288,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
     held = vectors.select("terms").mapInArrow(_held(len(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df[held.column("term").to_numpy()] = held.column("n").to_numpy()
     own = vectors.join(F.broadcast(sample), "doc_id").distinct().toArrow()
-    rows = sorted(zip(*(own.column(c).to_pylist() for c in ("doc_id", "terms", "counts", "toxic")), strict=True))
-    at = np.cumsum([0, *(len(r[1]) for r in rows)])
-    terms, counts = (np.fromiter((x for r in rows for x in r[i]), np.int64, at[-1]) for i in (1, 2))
-    toxic = np.array([r[3] for r in rows], np.int64)
+    own = own.combine_chunks()
+    ids, (start, size, flat) = own.column("doc_id").to_pylist(), _lists(own.column("terms"))
+    counted = _lists(own.column("counts"))[2]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], flat[start[i] : start[i] + size[i]].tobytes(), counted[start[i] : start[i] + size[i]].tobytes()))
+    size, at = size[order], _ranges(start[order], size[order])
+    terms, counts, at = flat[at], counted[at], np.concatenate(([0], np.cumsum(size)))
+    ids, toxic = [ids[i] for i in order], own.column("toxic").to_numpy().astype(np.int64)[order]
     weight = (np.log((1 + n) / (1 + df)) + 1) * relevance(terms, at, toxic, len(vocabulary), half_chi2)
     model = Model(terms, counts, at, toxic, weight, tuple(sizes.get(c, 0) / max(1, int((toxic == c).sum())) for c in (0, 1)), k)
-    out = vectors.mapInArrow(_scores(model, [r[0] for r in rows]), "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, similarity: double>>")
+    out = vectors.mapInArrow(_scores(model, ids), "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, similarity: double>>")
     for x in (labels, sample):
         drop_written(x)
     return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
