@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.values import filled, log_key, log_level, log_text, memory_high
-from shelfmark.shared import width, written
+from shelfmark.operators.sequences import numbered_runs
 
 
 def normalize_logs(logs: DataFrame) -> DataFrame:
@@ -19,12 +19,7 @@ def collapse_logs(logs: DataFrame) -> DataFrame:
     The whole log is one sequence, as in a log panel. Entries are dealt to ranges of it; runs are found inside a range, and those
     that go on across its end by the last key of the range before, so that no task sees more than its range."""
     keyed = normalize_logs(logs).withColumn("key", log_key(F.col("level"), F.col("source"), F.col("message"), F.col("job_id")))
-    parts = written(keyed.repartitionByRange(width(logs.sparkSession), "time", "seq").withColumn("part", F.spark_partition_id()), "log-ranges")
-    inside, whole = Window.partitionBy("part").orderBy("time", "seq"), Window.partitionBy().orderBy("part")  # a row for each range
-    ends = parts.groupBy("part").agg(F.max_by("key", F.struct("time", "seq")).alias("end")).select("part", F.lag("end").over(whole).alias("before"))
-    marked = parts.join(ends, "part").withColumn("new", F.coalesce((F.col("key") != F.coalesce(F.lag("key").over(inside), F.col("before"))).cast("long"), F.lit(1)))
-    begun = marked.groupBy("part").agg(F.sum("new").alias("n")).select("part", F.coalesce(F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begun"))
-    runs = marked.withColumn("own", F.sum("new").over(inside)).join(begun, "part").withColumn("run", F.col("begun") + F.col("own"))
+    runs = numbered_runs(keyed, ["time", "seq"], lambda before: F.col("key") != before["key"])
     return runs.groupBy("run").agg(F.min("source").alias("source"), F.min("seq").alias("seq"), F.first("level").alias("level"), F.first("message").alias("message"), F.first("job_id").alias("job_id"), F.count("*").alias("repeats"), F.max("time").alias("time")).drop("run")
 
 

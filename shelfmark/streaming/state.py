@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfmark.functions.values import memory_high
 from shelfmark.operators.logs import collapse_logs
+from shelfmark.operators.sequences import numbered_runs
 from shelfmark.shared import drop_written, written
 
 
@@ -38,20 +39,22 @@ def throttle(events: DataFrame, gap_ms: int, key: str = "key") -> DataFrame:
         return pdf[ok], last
 
     if not events.isStreaming:
-        # a key's rows stream through in order, a piece at a time
+        # after a gap of gap_ms the next event is kept whatever came before: such stretches are independent, however hot their key
+        stretches = numbered_runs(events, [key, "ms", "seq"], lambda before: (F.col(key) != before[key]) | (F.col("ms") - before["ms"] >= gap_ms))
+
         def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             last, current = None, None
             for pdf in frames:
                 keep = []
-                for k, t in zip(pdf[key], pdf["ms"], strict=True):
-                    if k != current:
-                        current, last = k, None
+                for run, t in zip(pdf["run"], pdf["ms"], strict=True):
+                    if run != current:
+                        current, last = run, None
                     ok = last is None or t - last >= gap_ms
                     last = t if ok else last
                     keep.append(ok)
-                yield pdf[keep]
+                yield pdf[keep].drop(columns="run")
 
-        return events.repartition(key).sortWithinPartitions(key, "ms", "seq").mapInPandas(batch, schema)
+        return stretches.repartition("run").sortWithinPartitions("run", "ms", "seq").mapInPandas(batch, schema)
 
     def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out, last = fold(pd.concat(list(frames)), int(state.get[0]) if state.exists else None)
