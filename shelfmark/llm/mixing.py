@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.shared import table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-WEIGHTS, SHARE, MOST, BUCKET_ROWS, SEED = (3, 1, 2), 1.5, 2.0, 10_000, "mix"
+WEIGHTS, SHARE, MOST, BUCKET_ROWS, SEED = (3, 1, 2), 1.5, 2.0, 2_000, "mix"
 
 
 def n_words(text):
