@@ -16,7 +16,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.shared import drop_written, table, width, written
+from shelfmark.shared import drop_written, release, table, width, written
 
 SLOTS, DIGITS, SPREAD = 64, 8, 4
 #: A sketch's hash has 34 bits; the lower 30 bits of its value are the place of the k-mer (a string has under 2^30 words).
@@ -107,6 +107,8 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     facts = both.select("id", "doc_id", "key", "copies", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "next_id", "next_key")
     marked = written(facts.join(marks, ["doc_id", "key"]), "fingerprints")
     drop_written(wanted)
+    del base, heads, both, each, marks, facts
+    release(docs.sparkSession)
     nexts = marked.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("fingerprint").alias("next"))
     out = marked.join(nexts, F.expr("next_id = _id AND next_key = _key"))
     out = out.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).withColumn("near_next", likeness(F.col("fingerprint"), F.col("next")))
