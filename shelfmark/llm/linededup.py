@@ -47,7 +47,7 @@ class LineRuns:
         self._merged: list[str] = []
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         self._fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        names = sorted(f.getPath().getName() for f in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
+        names = sorted(n for f in self._fs.listStatus(folder) if re.match(r"\d+_\d+_", n := f.getPath().getName())) if self._fs.exists(folder) else []
         done = {n for n in names if self._fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))}
         merged = {x for n in done for x in re.findall(r"of_([0-9a-f]{32}(?:_[0-9a-f]{32})*)$", n) for x in x.split("_")}
         self.buckets = next((int(n.split("_")[1]) for n in names), width(spark))
