@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import langid, licenses, linededup, mixing, orderhash, phrases, pieces, quality, simhash, substrings, tokenstore, toxicity
+from shelfmark.llm import langid, licenses, linededup, mixing, orderhash, phrases, pieces, quality, search, simhash, substrings, tokenstore, toxicity
 from shelfmark.llm.session import ready
 
-MODULES = [substrings, toxicity, tokenstore, licenses, simhash, pieces, mixing, quality, orderhash, langid, phrases, linededup]
+MODULES = [substrings, toxicity, tokenstore, licenses, simhash, pieces, mixing, quality, orderhash, langid, search, phrases, linededup]
 
 
 def _shipped(query):
