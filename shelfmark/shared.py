@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +38,23 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors. The write's shuffle files go with it."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, each query that ends takes its shuffle files along, instead of leaving them until the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def drop_written(df: DataFrame) -> None:
