@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bytesops as B
-from shelfmark.shared import drop_written, release, table, width, written
+from shelfmark.llm.bitmaps import bitmap, maybe_in
+from shelfmark.shared import drop_written, table, width, written
 
 #: Phrases of up to LONGEST words, found LEAST times or more; one goes if a longer one has KEPT percent of its places. TOP of each language are returned.
 LONGEST, LEAST, KEPT, TOP = 4, 30, 80, 2000
@@ -47,6 +48,43 @@ def _tokens(batch: pa.RecordBatch, clashing: np.ndarray, rolling: B.Rolling):
 
 
 COUNTED = "lang string, h1 long, h2 long, h3 long, h4 long, c long"
+#: The share of documents that tells where ranges begin. It moves work between tasks and changes no result.
+SAMPLE = 0.02
+
+
+def _pair(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """What rows are sorted by first: the upper halves of the first two words' hashes."""
+    return (h1 & B.U64(0xFFFFFFFF00000000) | h2 >> B.U64(32)).view(np.int64)
+
+
+#: The same as a Column expression.
+PAIR = "h1 & -4294967296L | shiftrightunsigned(h2, 32)"
+
+
+def _pairs(clashing: np.ndarray):
+    """(s): the pair of each place of the texts."""
+
+    def run(batches):
+        rolling = B.Rolling(B.WORD_P)
+        for batch in B.groups(batches, most=8 << 20):
+            _, _, h, joined, *_ = _tokens(batch, clashing, rolling)
+            second = np.zeros(len(h), B.U64)
+            second[:-1][joined] = h[1:][joined]
+            yield pa.RecordBatch.from_arrays([pa.array(_pair(h, second))], names=["s"])
+
+    return run
+
+
+def _ranges(bounds: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """The range of each window: by its pair between bounds; a pair that is a bound, once or more often, is dealt to the ranges it lies in by its other words."""
+    s = _pair(cols[:, 0], cols[:, 1])
+    out = np.searchsorted(bounds, s, side="left")
+    at = np.flatnonzero(out < np.searchsorted(bounds, s, side="right"))
+    with np.errstate(over="ignore"):
+        rest = B.mix(cols[at, 2] * B.SEQ_P + cols[at, 3]) >> B.U64(32)
+    wide = (np.searchsorted(bounds, s[at], side="right") - out[at] + 1).astype(B.U64)
+    out[at] += (rest * wide >> B.U64(32)).astype(out.dtype)
+    return out
 
 
 def _rows(langs: list[str], r: np.ndarray) -> pa.RecordBatch:
@@ -54,8 +92,8 @@ def _rows(langs: list[str], r: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([lang, *[pa.array(np.ascontiguousarray(r[:, i])) for i in range(1, 6)]], names=["lang", "h1", "h2", "h3", "h4", "c"])
 
 
-def _windows(clashing: np.ndarray):
-    """The window of four words from each word on, with 0 after the end of its piece, and how often a group of texts has it; like windows lie together."""
+def _windows(clashing: np.ndarray, bounds: np.ndarray):
+    """The window of four words from each word on, with 0 after the end of its piece, how often a group of texts has it, and its range; like windows lie together."""
 
     def run(batches):
         rolling = B.Rolling(B.WORD_P)
@@ -78,16 +116,27 @@ def _windows(clashing: np.ndarray):
             new = np.concatenate(([True], (cols[order[1:]] != cols[order[:-1]]).any(axis=1)))
             at = np.flatnonzero(new)
             own, count = cols[order[at]], np.diff(np.append(at, n))
-            near = np.argsort((own[:, 0] & B.U64(0xFFFFFFFF00000000)) | (own[:, 1] >> B.U64(32)))
-            r = np.column_stack((codes[order[at]][near], own[near].view(np.int64), count[near]))
-            yield _rows(langs, r)
+            near = np.argsort(_pair(own[:, 0], own[:, 1]))
+            own = own[near]
+            r = np.column_stack((codes[order[at]][near], own.view(np.int64), count[near]))
+            rows = _rows(langs, r)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(_ranges(bounds, own).astype(np.int32))], names=[*rows.schema.names, "part"])
 
     return run
 
 
+def _changes(key: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1)) if len(key) else np.zeros(0, int)
+
+
 def _begins(r: np.ndarray, k: int) -> np.ndarray:
     """Where the language and the first k words change."""
-    return np.concatenate(([0], np.flatnonzero((r[1:, : k + 1] != r[:-1, : k + 1]).any(axis=1)) + 1)) if len(r) else np.zeros(0, int)
+    return _changes(r[:, : k + 1])
+
+
+def _halves(r: np.ndarray, size: int) -> np.ndarray:
+    """The upper halves of the first words: rows are in their order, so that only by them one word's rows surely lie together."""
+    return r[:, 1 : size + 1] >> 32
 
 
 def _folded(r: np.ndarray) -> np.ndarray:
@@ -99,14 +148,16 @@ def _folded(r: np.ndarray) -> np.ndarray:
 
 
 def _shortened(r: np.ndarray, least: int, levels: range, open_keys: set[tuple]) -> np.ndarray:
-    """The k-th words on (k in levels) become 0 where the first k are found fewer than `least` times. Prefixes in open_keys may have more rows elsewhere and keep their words."""
+    """The k-th words on (k in levels) become 0 where the first k are found fewer than `least` times. Rows whose upper halves are in open_keys may have others elsewhere: of them only whole windows are judged."""
     r = _folded(r)
+    halves = {size: _halves(r, size) for size in {len(x) for x in open_keys}}
+    shut = np.ones(len(r), bool)
+    for key in open_keys:
+        shut &= ~(halves[len(key)] == key).all(axis=1)
     for k in levels:
-        at = _begins(r, k)
-        rare = np.repeat(np.add.reduceat(r[:, 5], at) < least, np.diff(np.append(at, len(r)))) if len(r) else np.zeros(0, bool)
-        for key in open_keys if k < LONGEST else ():
-            rare &= ~(r[:, 1 : len(key) + 1] == key).all(axis=1)
-        r[rare, k:5] = 0
+        at = _begins(r, k) if k > 1 else _changes(_halves(r, 1))
+        rare = np.repeat(np.add.reduceat(r[:, 5], at) < least, np.diff(np.append(at, len(r))))
+        r[rare & shut if k < LONGEST else rare, k:5] = 0
     return _folded(r)
 
 
@@ -118,23 +169,24 @@ def _stepped(chunks, least: int, size: int, levels: range):
     held, open_keys, first = np.zeros((0, 6), np.int64), set(), True
     for chunk in chunks:
         held = np.concatenate((held, chunk))
+        key = _halves(held, size)
         if first:
-            open_keys.add(tuple(held[0, 1 : size + 1]))
+            open_keys.add(tuple(key[0]))
             first = False
-        cut = _begins(held, size)[-1]
+        cut = _changes(key)[-1]
         if len(held) - cut > CHUNK:
-            open_keys.add(tuple(held[-1, 1 : size + 1]))
+            open_keys.add(tuple(key[-1]))
             cut = _begins(held, LONGEST)[-1]
         if cut:
             yield _shortened(held[:cut], least, levels, open_keys)
         held = held[cut:] if cut or len(held) <= CHUNK else _folded(held)
-        open_keys = {k for k in open_keys if k == tuple(held[0, 1 : size + 1])}
+        open_keys &= {tuple(_halves(held, size)[0])}
     if len(held):
-        yield _shortened(held, least, levels, open_keys | {tuple(held[-1, 1 : size + 1])})
+        yield _shortened(held, least, levels, open_keys | {tuple(_halves(held, size)[-1])})
 
 
 def _reduced(least: int):
-    """Rows in the order of h1 to h4: equal windows are added up, and words that no phrase of `least` places can have are cut off."""
+    """Rows in the order of PAIR and h1 to h4: equal windows are added up, and words that no phrase of `least` places can have are cut off."""
 
     def run(batches):
         names: dict[str, int] = {}
@@ -158,7 +210,7 @@ def _reduced(least: int):
     return run
 
 
-def _vocabulary(clashing: np.ndarray):
+def _vocabulary(clashing: np.ndarray, bits: bytes):
     def run(batches):
         rolling, other = B.Rolling(B.WORD_P), B.Rolling(B.SEQ_P)
         schema = pa.schema([("h", pa.int64()), ("of", pa.string()), ("word", pa.string())])
@@ -166,6 +218,7 @@ def _vocabulary(clashing: np.ndarray):
             codes, langs, h, _, raw, starts, ends = _tokens(batch, clashing, rolling)
             # a second hash keeps words of one hash apart
             _, own = np.unique(h ^ B.mix(B.hash_words(raw, starts, ends, other)), return_index=True)
+            own = own[maybe_in(bits, h[own])]
             words = [raw[a:b].tobytes() for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array([langs[x] for x in codes[own].tolist()], pa.string()), pa.array(words, pa.binary()).cast(pa.string())], schema=schema)
 
@@ -175,22 +228,24 @@ def _vocabulary(clashing: np.ndarray):
 def phrase_counts(docs: DataFrame, least: int = LEAST, clashing: frozenset[int] = frozenset()) -> tuple[DataFrame, DataFrame]:
     """docs (text, lang) -> two written tables: (lang, p, f), the phrases p (hashes of 1 to 4 words) with f >= least places, and with an empty p all words of the language; (h, of, word), their words.
 
-    Windows are dealt to ranges of their words and sorted there, so that a hot word or pair spreads over ranges. In a range equal
-    windows meet and what can't reach `least` is cut off; ROLLUP sums the windows' columns to the shorter phrases. If two words
-    of phrases share a hash, all is counted again with other hashes for those."""
+    Windows are dealt to ranges of pairs of words and sorted there; a hot word spreads over ranges, and so does a hot pair, by its
+    other words. In a range equal windows meet and what can't reach `least` is cut off; ROLLUP sums the windows' columns to the
+    shorter phrases. If two words of phrases share a hash, all is counted again with other hashes for those."""
     spark = docs.sparkSession
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     clash = np.array(sorted(clashing), B.U64)
     columns = ["h1", "h2", "h3", "h4"]
-    ranges = docs.mapInArrow(_windows(clash), COUNTED).repartitionByRange(2 * width(spark), *columns).sortWithinPartitions(*columns)
+    n = 2 * width(spark)
+    cuts = F.percentile_approx("s", [i / n for i in range(1, n)], 20 * n)
+    bounds = np.array(docs.sample(SAMPLE, seed=1).mapInArrow(_pairs(clash), "s long").agg(cuts).first()[0] or [], np.int64)
+    ranges = docs.mapInArrow(_windows(clash, bounds), f"{COUNTED}, part int").repartitionById(n, F.col("part")).drop("part").sortWithinPartitions(F.expr(PAIR), *columns)
     summed = ranges.mapInArrow(_reduced(least), COUNTED).rollup("lang", *columns).agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
     k = F.when(F.col("g") == 31, -1).otherwise(sum((F.col("g") == v).cast("int") * i for i, v in enumerate((15, 7, 3, 1, 0))))
     phrase = F.slice(F.array(*columns), F.lit(1), F.greatest(F.lit(0), F.col("k")))
     full = (F.col("k") == 0) | ((F.col("k") > 0) & (F.col("f") >= least) & (F.element_at(F.array(*columns), F.greatest(F.lit(1), F.col("k"))) != 0))
     counts = written(summed.withColumn("k", k).filter(full).select("lang", phrase.alias("p"), "f"), "phrases")
-    release(spark)
     often = counts.filter("size(p) = 1").select(F.col("p")[0].alias("h"))
-    words = written(docs.mapInArrow(_vocabulary(clash), "h long, of string, word string").join(often, "h").distinct(), "phrase-words")
+    words = written(docs.mapInArrow(_vocabulary(clash, bitmap(often.select(F.col("h").alias("key")))), "h long, of string, word string").join(often, "h").distinct(), "phrase-words")
     twice = [r.h % (1 << 64) for r in words.groupBy("h").count().filter("count > 1").select("h").toLocalIterator()]
     if twice:  # about (number of words)^2 / 2^65
         drop_written(counts)

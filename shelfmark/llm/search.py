@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bytesops as B
+from shelfmark.llm.bitmaps import bitmap, maybe_in
 from shelfmark.shared import drop_written, table, written
 
 TERM = np.ones(256, bool)
@@ -25,8 +26,6 @@ TOP, BITS, ROOM = 20, 4, 4
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16)
 #: Documents of a block of the index, and items that one pass over it answers.
 BLOCK, ITEMS = 512, 500
-#: Bits of the filter of texts to score; what it lets through needlessly is dropped by the join after it.
-FILTER_BITS = 1 << 23
 
 INDEX = "width long, keys array<long>, n array<long>, most array<long>, slices binary"
 
@@ -230,46 +229,18 @@ def _scored(terms: Terms):
 
 def _let_through(bits: bytes):
     def run(batches):
-        known = np.frombuffer(bits, np.uint8)
         for batch in B.groups(batches):
             keys = np.array([_text_key(x) for x in B.texts(*B.buffers(batch.column("text")))], np.int64)
-            place = keys.view(B.U64) % B.U64(FILTER_BITS)
-            ok = (known[(place >> B.U64(3)).astype(np.int64)] >> (place & B.U64(7)).astype(np.uint8)) & 1
             rows = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text").cast(pa.string()), pa.array(keys)], names=["doc_id", "text", "key"])
-            yield rows.filter(pa.array(ok.astype(bool)))
+            yield rows.filter(pa.array(maybe_in(bits, keys)))
 
     return run
 
 
-def _bitmap(keys: DataFrame) -> bytes:
-    """FILTER_BITS bits, set at the keys' places; only places set are sent to the driver, as pages of 4096 bytes."""
-    size = 8 * 4096
-
-    def pages(batches):
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            place = batch.column("key").to_numpy().view(B.U64) % B.U64(FILTER_BITS)
-            for page in np.unique(place // B.U64(size)).tolist():
-                found.setdefault(page, np.zeros(size, bool))[(place[place // B.U64(size) == page] % B.U64(size)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in found.values()], pa.binary())], names=["page", "bits"])
-
-    def joined(batches):
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for page, bits in zip(batch.column("page").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-                found[page] = found.get(page, np.zeros(size // 8, np.uint8)) | np.frombuffer(bits, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([v.tobytes() for v in found.values()], pa.binary())], names=["page", "bits"])
-
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in keys.select("key").mapInArrow(pages, "page long, bits binary").repartition("page").mapInArrow(joined, "page long, bits binary").collect():  # at most FILTER_BITS / 8 bytes
-        out[r.page * 4096 : (r.page + 1) * 4096] |= np.frombuffer(r.bits, np.uint8)
-    return out.tobytes()
-
-
 def _exact(docs: DataFrame, wanted: DataFrame, terms: Terms) -> DataFrame:
     """wanted (q, key) -> (q, doc_id, score) of all rows whose text has the key. The texts that no key asks for don't move."""
     asked = written(wanted.groupBy("key").agg(F.collect_set("q").alias("qs")), "search-asked")  # from a table, so that Spark can split a text with very many copies
-    rows = docs.mapInArrow(_let_through(_bitmap(asked)), "doc_id long, text string, key long")
+    rows = docs.mapInArrow(_let_through(bitmap(asked)), "doc_id long, text string, key long")
     return rows.join(asked, "key").select("doc_id", "text", "qs").mapInArrow(_scored(terms), "q long, doc_id long, score long").filter("score > 0")
 
 
