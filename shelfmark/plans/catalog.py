@@ -16,7 +16,7 @@ from shelfmark.plans import fixtures as X
 from shelfmark.shared import scratch, ship, table
 from shelfmark.sources import tables as S
 from shelfmark.streaming import jobs as live
-from shelfmark.streaming import state
+from shelfmark.streaming import keyed, state
 
 QUERIES, SQL = {}, {}
 NOW_SQL = f"TIMESTAMP '{X.NOW}'"
@@ -464,7 +464,7 @@ def overdue_runs(spark, sf):
 
 @query(f"WITH {X.REQUESTS} SELECT job_id, min(seq) AS seq FROM requests GROUP BY 1")
 def dedup_requests(spark, sf):
-    return state.dedup_requests(X.requests(spark, sf)).select("job_id", "seq")
+    return keyed.requests_once(X.requests(spark, sf)).select("job_id", "seq")
 
 
 @query(f"WITH {X.LOGS} SELECT source AS feed, max(time) AS last, (epoch_us(TIMESTAMP '2024-02-01') // 1000) - (epoch_us(max(time)) // 1000) > 7000 AS stale FROM logs GROUP BY 1")
@@ -622,17 +622,38 @@ def _stream(spark, df, files: int = 3):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def _in_turn(spark, df, part, files: int):
+    """A stream of df in `files` micro-batches, by the value of part from 0."""
+    path = scratch(spark, "stream")
+    for k in range(files):
+        df.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _share(df, files: int):
+    """Which of `files` equal shares of the numbers seq a row is in."""
+    last = df.agg(F.max("seq")).first()[0] or 0
+    return F.floor(F.col("seq") * files / F.lit(last + 1))
+
+
+def _rows_of(stream, spark):
+    """What a stream puts out, in append mode."""
+    path = scratch(spark, "put-out")
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 @query(f"WITH {X.LOGS} SELECT seq, time, message FROM logs ORDER BY time DESC, seq DESC LIMIT 200")
 def log_ring(spark, sf):
-    path = scratch(spark, "ring")
-    state.log_tail(_stream(spark, X.logs(spark, sf), 1), path, f"{path}-checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/current-0").select("seq", "time", "message")
+    path, logs = scratch(spark, "ring"), X.logs(spark, sf)
+    state.log_tail(_in_turn(spark, logs, _share(logs, 4), 4), path, f"{path}-checkpoint").awaitTermination()
+    return state.read_tail(spark, path).select("seq", F.col("time").cast("timestamp_ntz").alias("time"), "message")
 
 
 @query(RUNS)
 def collapse_stream(spark, sf):
-    path = scratch(spark, "runs")
-    state.collapse_into(_stream(spark, X.logs(spark, sf), 1), path, f"{path}-checkpoint").awaitTermination()
+    path, logs = scratch(spark, "runs"), X.logs(spark, sf)
+    state.collapse_into(_in_turn(spark, logs, _share(logs, 4), 4), path, f"{path}-checkpoint").awaitTermination()
     return state.read_runs(spark, path)
 
 
@@ -640,7 +661,7 @@ def collapse_stream(spark, sf):
 def live_overview(spark, sf):
     path = scratch(spark, "latest")
     state.upsert_latest(_stream(spark, X.updates(spark, sf)), path, f"{path}-checkpoint", buckets=4).awaitTermination()
-    return live.live_overview(state.read_latest(spark, path, 4))
+    return live.live_overview(state.read_latest(spark, path))
 
 
 @query(f"WITH {X.UPDATES}, h AS (SELECT max(seq) // 2 AS half FROM updates) SELECT id, arg_max(status, (updated_at, seq)) AS status, arg_max(CASE WHEN seq > half THEN 1 ELSE 0 END, (updated_at, seq)) AS origin FROM updates, h GROUP BY id")
@@ -652,6 +673,89 @@ def snapshot_then(spark, sf):
     return live.snapshot_then(before, updates).select("id", "status", "origin")
 
 
+LATE = "updated_at - to_hours(CASE WHEN seq % 5 = 0 THEN 30 ELSE 0 END)"
+
+
+@query(f"""WITH {X.UPDATES}, u AS (SELECT id, status, images, seq, {LATE} AS tm, seq % 3 AS file, max(seq) OVER () // 2 AS half FROM updates),
+s AS (SELECT id, max((tm, seq)) AS last FROM u WHERE seq <= half GROUP BY id),
+l AS (SELECT u.*, s.last, max((tm, u.seq)) OVER (PARTITION BY u.id ORDER BY file RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM u LEFT JOIN s USING (id))
+SELECT id, seq, status, images, 0 AS origin FROM u JOIN s USING (id) WHERE (tm, seq) = last
+UNION ALL SELECT id, seq, status, images, 1 FROM l WHERE (last IS NULL OR (tm, seq) > last) AND (before IS NULL OR (tm, seq) > before)""")
+def snapshot_stream(spark, sf):
+    updates, path = X.updates(spark, sf), scratch(spark, "caught-up")
+    updates = updates.withColumn("updated_at", F.when(F.col("seq") % 5 == 0, F.timestamp_add("HOUR", F.lit(-30), F.col("updated_at"))).otherwise(F.col("updated_at")))
+    half = updates.agg(F.expr("max(seq) div 2")).first()[0]
+    live.catch_up(live.latest(updates.filter(F.col("seq") <= F.lit(half))), _in_turn(spark, updates, F.col("seq") % 3, 3), path, f"{path}-checkpoint").awaitTermination()
+    return live.caught_up(spark, path, updates.schema).select("id", "seq", "status", "images", "origin")
+
+
+FIELDS = {"status": "seq % 4 <> 1", "images": "seq % 3 <> 0", "error": "seq % 5 = 0", "products": "seq % 6 = 0 AND seq % 12 <> 0"}
+_NEWEST = ", ".join(f"arg_max([{c}], (updated_at, seq)) FILTER (WHERE {has}) AS {c}" for c, has in FIELDS.items())
+
+
+@query(f"""WITH {X.UPDATES}, u AS (SELECT id, seq, {LATE} AS updated_at, status, images, CASE WHEN seq % 10 <> 0 THEN 'e' || seq END AS error, CASE WHEN seq % 12 <> 0 THEN 'p' || seq || ',q' END AS products FROM updates),
+f AS (SELECT id, {_NEWEST} FROM u GROUP BY id HAVING NOT bool_or(seq % 97 = 3 AND CAST(id AS BIGINT) % 3 = 0))
+SELECT id, status[1] AS status, images[1] AS images, error[1] AS error, products[1] AS products FROM f""")
+def latest_fields(spark, sf):
+    u, path = X.updates(spark, sf), scratch(spark, "latest")
+    seq = F.col("seq")
+    at = F.when(seq % 5 == 0, F.timestamp_add("HOUR", F.lit(-30), F.col("updated_at"))).otherwise(F.col("updated_at"))
+    text = seq.cast("string")
+    u = u.select("id", "seq", at.alias("updated_at"), "status", "images", F.when(seq % 10 != 0, F.concat(F.lit("e"), text)).alias("error"), F.when(seq % 12 != 0, F.array(F.concat(F.lit("p"), text), F.lit("q"))).alias("products"), ((seq % 97 == 3) & (F.col("id").cast("long") % 3 == 0)).alias("deleted"))
+    has = {"status": seq % 4 != 1, "images": seq % 3 != 0, "error": seq % 5 == 0, "products": seq % 6 == 0}
+    # lines that lack a field, and lines with a null
+    line = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*[F.when(has.get(c, F.lit(True)), F.concat(F.lit(f'"{c}":'), F.coalesce(F.to_json(F.struct(c), {"ignoreNullFields": "false"}).substr(F.lit(len(c) + 5), F.length(F.to_json(F.struct(c), {"ignoreNullFields": "false"})) - len(c) - 5), F.lit("null")))) for c in u.columns])), ","), F.lit("}"))
+    lines, n = scratch(spark, "lines"), 3
+    for k in range(n):
+        u.filter(seq % n == k).select(line.alias("value")).coalesce(1).write.mode("append").text(lines)
+    schema = "id string, seq long, updated_at timestamp_ntz, status string, images long, error string, products array<string>, deleted boolean"
+    updates = live.read_partial_updates(spark, f"{lines}", schema, stream=True)
+    state.upsert_latest(updates, path, f"{path}-checkpoint").awaitTermination()
+    return state.read_latest(spark, path).select("id", "status", "images", "error", F.array_join("products", ",").alias("products"))
+
+
+_ASKED = f"""{X.UPDATES}, e AS (SELECT id AS job_id, seq, epoch_us(updated_at) // 1000 AS ms, seq % 2 = 0 AS request, status IN ('queued', 'running', 'paused') AS runs FROM updates),
+b AS (SELECT *, lag(request OR runs) OVER w AS active, ms - lag(ms) OVER w AS since FROM e WINDOW w AS (PARTITION BY job_id ORDER BY ms, seq))
+SELECT job_id, seq FROM b WHERE request AND NOT coalesce(active AND since <= 86400000, false)"""
+
+
+def _asked(spark, sf):
+    """Of the events the even ones as requests, the odd ones as updates of the jobs."""
+    u = X.updates(spark, sf)
+    return u.filter("seq % 2 = 0").select(F.col("id").alias("job_id"), "seq", F.col("updated_at").alias("requested_at")), u.filter("seq % 2 = 1").select("id", "seq", "updated_at", "status")
+
+
+@query(f"WITH {_ASKED}")
+def admitted_requests(spark, sf):
+    return keyed.admitted_requests(*_asked(spark, sf)).select("job_id", "seq")
+
+
+@query(f"WITH {_ASKED}")
+def admitted_stream(spark, sf):
+    requests, updates = _asked(spark, sf)
+    both = [_in_turn(spark, df, _share(df, 4), 4) for df in (requests, updates)]
+    return _rows_of(keyed.admitted_requests(*both, watermark="2 days"), spark).select("job_id", "seq")
+
+
+_SILENT = """e AS (SELECT CAST(user_id AS VARCHAR) AS feed, epoch_us(ts) // 1000 AS ms FROM events), m AS (SELECT max(ms) AS last FROM e),
+g AS (SELECT feed, ms, coalesce(lead(ms) OVER (PARTITION BY feed ORDER BY ms), last) AS until FROM e, m) SELECT feed, ms AS last_ms, ms + 43200000 AS stale_ms FROM g WHERE until - ms > 43200000"""
+
+
+def _feeds(spark, sf):
+    return table(spark, sf, "events").select(F.col("user_id").cast("string").alias("feed"), F.col("ts").alias("time"), F.col("event_id").alias("seq"))
+
+
+@query(f"WITH {_SILENT}")
+def silent_feeds(spark, sf):
+    return keyed.silent_feeds(_feeds(spark, sf), 43_200)
+
+
+@query(f"WITH {_SILENT}")
+def silent_stream(spark, sf):
+    feeds = _feeds(spark, sf)
+    return _rows_of(keyed.silent_feeds(_in_turn(spark, feeds, _share(feeds, 4), 4), 43_200), spark)
+
+
 @query(f"WITH {X.TIER_IMAGES} SELECT page_id, position, image_url FROM tier_images")
 def extract_stream(spark, sf):
     path = scratch(spark, "found")

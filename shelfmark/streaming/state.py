@@ -1,4 +1,4 @@
-"""Stateful streams: alerts with a cooldown, throttled events, runs of equal log entries, log tails, overdue jobs, stale feeds, repeated requests.
+"""Streams that fold events: alerts with a cooldown, throttled events, runs of equal log entries, log tails, overdue jobs, tables of latest states.
 
 Most take a batch too; where a stream knows less than a batch its docstring says so. State is bounded by the number of keys; rows of a key are folded in
 the order of time and seq within a micro-batch, and micro-batches follow each other as the source delivers them.
@@ -12,57 +12,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from shelfmark.functions.values import memory_high
-from shelfmark.operators.logs import collapse_logs
-from shelfmark.operators.sequences import numbered_runs
-from shelfmark.shared import drop_written, written
-
-
-def _spaced(times: list[int], last: int | None, gap: int) -> tuple[list[bool], int | None]:
-    """Which of the ascending times (milliseconds) come `gap` or more after the last that did."""
-    out = []
-    for t in times:
-        ok = last is None or t - last >= gap
-        out.append(ok)
-        last = t if ok else last
-    return out, last
+from shelfmark.operators.logs import numbered_log_runs
+from shelfmark.operators.sequences import spaced
+from shelfmark.shared import written
+from shelfmark.streaming.jobs import field_states, fold_fields, shown_fields
+from shelfmark.streaming.keyed import last_of_rings, log_rings
+from shelfmark.streaming.versions import VersionedTable
 
 
 def throttle(events: DataFrame, gap_ms: int, key: str = "key") -> DataFrame:
-    """events (key, ms, seq) without those that come sooner than gap_ms after the last one kept of their key. They are dropped, not put off. Batch or stream."""
-    schema = events.schema
-
-    def fold(pdf: pd.DataFrame, last: int | None) -> tuple[pd.DataFrame, int | None]:
-        pdf = pdf.sort_values(["ms", "seq"])
-        ok, last = _spaced(pdf["ms"].tolist(), last, gap_ms)
-        return pdf[ok], last
+    """events (key, ms, seq) without those that come sooner than gap_ms after the last one kept of their key. They are dropped, not put off. Batch or stream.
 
+    Null keys are one key; events without a time are dropped. A batch goes by sequences.spaced, so that a hot key is no single task."""
     if not events.isStreaming:
-        # after a gap of gap_ms the next event is kept whatever came before: such stretches are independent, however hot their key
-        stretches = numbered_runs(events, [key, "ms", "seq"], lambda before: (F.col(key) != before[key]) | (F.col("ms") - before["ms"] >= gap_ms))
-
-        def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            last, current = None, None
-            for pdf in frames:
-                keep = []
-                for run, t in zip(pdf["run"], pdf["ms"], strict=True):
-                    if run != current:
-                        current, last = run, None
-                    ok = last is None or t - last >= gap_ms
-                    last = t if ok else last
-                    keep.append(ok)
-                yield pdf[keep].drop(columns="run")
-
-        return stretches.repartition("run").sortWithinPartitions("run", "ms", "seq").mapInPandas(batch, schema)
+        return spaced(events, key, "ms", "seq", gap_ms)
 
     def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out, last = fold(pd.concat(list(frames)), int(state.get[0]) if state.exists else None)
+        pdf = pd.concat(list(frames)).sort_values(["ms", "seq"])
+        last, keep = int(state.get[0]) if state.exists else None, []
+        for t in pdf["ms"].tolist():
+            keep.append(last is None or t - last >= gap_ms)
+            last = t if keep[-1] else last
         if last is not None:
             state.update((last,))
-        yield out
+        yield pdf[keep]
 
-    return events.groupBy(key).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    return events.filter("ms IS NOT NULL").groupBy(key).applyInPandasWithState(step, events.schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def alerts(metrics: DataFrame, cooldown_minutes: int = 30) -> DataFrame:
@@ -72,30 +50,40 @@ def alerts(metrics: DataFrame, cooldown_minutes: int = 30) -> DataFrame:
 
 
 def collapse_into(logs: DataFrame, table_path: str, checkpoint: str):
-    """A started query that writes the runs of equal entries of a stream of logs, as collapse_logs has them, to table_path/runs-{batch}.
+    """A started query that writes the runs of equal entries of a stream of logs, as collapse_logs has them: those that have ended, once, at table_path/runs/batch-{n}, and the one still open at table_path/open-{n}.
 
-    A run that goes on from the batch before is written again with its first seq and all its repeats: read_runs takes the longest
-    row of each seq. Entries of a later batch are taken to be later ones."""
+    A micro-batch's runs are found by ranges; the state is the open run, one row, which the next batch's first run goes on with if
+    their entries are equal. Entries of a later batch are taken to be later ones. A batch run again finds the open run before it."""
     spark = logs.sparkSession
+    same = ["level", "source", "message", "job_id"]
 
     def merge(batch: DataFrame, number: int) -> None:
-        runs = written(collapse_logs(batch), "runs")
-        same = ["level", "source", "message", "job_id"]
-        if number > 0:
-            old = spark.read.schema(runs.schema).parquet(f"{table_path}/runs-{number - 1}").orderBy(F.col("time").desc(), F.col("seq").desc()).limit(1)
-            first = runs.orderBy("time", "seq").limit(1)
-            on = F.broadcast(old.alias("o").join(first.alias("f"), [F.col(f"o.{c}").eqNullSafe(F.col(f"f.{c}")) for c in same]).select(F.col("f.seq").alias("at"), F.col("o.seq").alias("from"), F.col("o.repeats").alias("more")))  # at most one row
-            runs = runs.join(on, runs.seq == on.at, "left").select(*[c for c in runs.columns if c not in ("seq", "repeats")], F.coalesce("from", "seq").alias("seq"), (F.col("repeats") + F.coalesce("more", F.lit(0))).alias("repeats")).select(runs.columns)
-        runs.write.mode("overwrite").parquet(f"{table_path}/runs-{number}")
+        runs = written(numbered_log_runs(batch), "runs")
+        ends = runs.agg(F.min("run").alias("first"), F.max("run").alias("last")).first()
+        held = spark.read.schema(runs.schema).parquet(f"{table_path}/open-{number - 1}").collect() if number > 0 else []  # one row at most
+        before = spark.createDataFrame(held, runs.schema)
+        if ends.first is not None and held:
+            goes_on = F.lit(True)
+            for c in same:
+                goes_on = goes_on & F.col(c).eqNullSafe(F.lit(held[0][c]))
+            goes_on = (F.col("run") == ends.first) & goes_on
+            if not runs.filter(goes_on).isEmpty():
+                runs = runs.withColumns({"seq": F.when(goes_on, F.lit(held[0].seq)).otherwise(F.col("seq")), "repeats": F.col("repeats") + F.when(goes_on, held[0].repeats).otherwise(0)})
+                before = before.limit(0)
+        last = F.col("run") == ends.last if ends.last is not None else F.lit(False)
+        ended = before.unionByName(runs.filter(~last)) if ends.last is not None else before.limit(0)
+        ended.write.mode("overwrite").parquet(f"{table_path}/runs/batch-{number}")
+        (runs.filter(last) if ends.last is not None else before).coalesce(1).write.mode("overwrite").parquet(f"{table_path}/open-{number}")
+        if number > 1:
+            _drop(spark, f"{table_path}/open-{number - 2}")
 
     return logs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_runs(spark: SparkSession, table_path: str) -> DataFrame:
-    """The runs that collapse_into has written so far, each once."""
-    rows = spark.read.parquet(f"{table_path}/runs-*")
-    rest = [c for c in rows.columns if c != "seq"]
-    return rows.groupBy("seq").agg(F.max_by(F.struct(*rest), "repeats").alias("r")).select("seq", "r.*")
+    """The runs that collapse_into has written so far, with the open one."""
+    newest = max(_numbers(spark, table_path, "open-"))
+    return spark.read.parquet(f"{table_path}/runs/*").unionByName(spark.read.parquet(f"{table_path}/open-{newest}")).drop("run")
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -103,22 +91,29 @@ def _drop(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def log_tail(logs: DataFrame, table_path: str, checkpoint: str, n: int = 200):
-    """A started query that keeps the last n entries of a stream of logs in the Parquet table at table_path/current-{batch}.
+def _numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    return [int(x.removeprefix(prefix)) for x in names if x.startswith(prefix)]
 
-    n is small (200), so a micro-batch's own last n and the table's are merged by a top-n. A batch run again finds the table
-    before it; the one before that goes."""
+
+def log_tail(logs: DataFrame, table_path: str, checkpoint: str, n: int = 200, rings: int = 8):
+    """A started query that keeps the last n entries of a stream of logs: rings in keyed state (keyed.log_rings), each of whose newest form a table at table_path has. read_tail gives the entries."""
     spark = logs.sparkSession
+    table = VersionedTable(spark, table_path, "ring", rings)
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_last", F.max("batch").over(Window.partitionBy("ring"))).filter("batch = _last").drop("_last")  # n rows of a ring, twice
 
     def merge(batch: DataFrame, number: int) -> None:
-        both = batch
-        if number > 0:
-            both = spark.read.schema(batch.schema).parquet(f"{table_path}/current-{number - 1}").unionByName(batch)
-        both.orderBy(F.col("time").desc(), F.col("seq").desc()).limit(n).write.mode("overwrite").parquet(f"{table_path}/current-{number}")
-        if number > 1:
-            _drop(spark, f"{table_path}/current-{number - 2}")
+        table.merge(batch.withColumn("batch", F.lit(number).cast("long")), number, newest)
 
-    return logs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return log_rings(logs, n, rings).writeStream.foreachBatch(merge).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_tail(spark: SparkSession, table_path: str, n: int = 200) -> DataFrame:
+    """The last n entries that log_tail has kept."""
+    return last_of_rings(VersionedTable(spark, table_path, "ring").read(), n)
 
 
 def overdue_stream(updates: DataFrame, minutes: int = 45, now_ms: Column | int | None = None) -> DataFrame:
@@ -162,57 +157,28 @@ def overdue_stream(updates: DataFrame, minutes: int = 45, now_ms: Column | int |
     return updates.groupBy("id").applyInPandasWithState(step, "id string, started_ms long, overdue_ms long", "started long, told boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def dedup_requests(requests: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """The first request of each job_id. A stream (requested_at a timestamp) forgets a job_id after the watermark, and lets a repeat pass then; a batch does not."""
-    if requests.isStreaming:
-        return requests.withWatermark("requested_at", watermark).dropDuplicatesWithinWatermark(["job_id"])
-    return requests.withColumn("_r", F.row_number().over(Window.partitionBy("job_id").orderBy("requested_at", "seq"))).filter("_r = 1").drop("_r")
-
-
 def stale_feeds(updates: DataFrame, now, gap_seconds: int = 7) -> DataFrame:
-    """(feed, last, stale): feeds by the time since their last event."""
+    """(feed, last, stale): feeds by the time since their last event, as of `now`. keyed.silent_feeds tells of each silence, on a stream as it comes."""
     last = updates.groupBy("feed").agg(F.max("time").alias("last"))
     return last.withColumn("stale", F.unix_millis(now.cast("timestamp")) - F.unix_millis(F.col("last").cast("timestamp")) > gap_seconds * 1000)
 
 
-def upsert_latest(updates: DataFrame, table_path: str, checkpoint: str, then: Callable[[DataFrame], None] | None = None, buckets: int = 64):
-    """A started query that folds a stream of updates into a table of the latest row of each id, and hands that table to `then`.
+def upsert_latest(updates: DataFrame, table_path: str, checkpoint: str, then: Callable[[DataFrame], None] | None = None, buckets: int = 8):
+    """A started query that folds a stream of updates into a table of the latest state of each id, field by field (see jobs.latest_fields), and hands that state to `then`.
 
-    Ids are dealt to `buckets` by hash. A micro-batch writes only the buckets that it touches, at table_path/bucket={k}/batch-{batch}; a
-    bucket's older versions go once it has been written twice more. read_latest reads the table; what it gives before the stream
-    starts is the snapshot to catch up from."""
-    from shelfmark.streaming.jobs import latest
-
-    spark = updates.sparkSession
+    The table has states that can be folded on, in buckets by the hash of the id (see versions.VersionedTable): a micro-batch
+    rewrites only those that it touches, in one write. read_latest reads the state; what it gives before the stream starts is the
+    snapshot to catch up from."""
+    table = VersionedTable(updates.sparkSession, table_path, "id", buckets)
 
     def merge(batch: DataFrame, number: int) -> None:
-        columns = batch.columns
-        new = written(latest(batch).select(*columns, F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")), "updates")
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets`
-        held = {k: [n for n in _versions(spark, f"{table_path}/bucket={k}") if n < number] for k in touched}
-        old = [f"{table_path}/bucket={k}/batch-{max(v)}" for k, v in held.items() if v]
-        both = new if not old else new.unionByName(spark.read.schema(batch.schema).parquet(*old).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")))
-        merged = written(latest(both).select(*columns, "bucket"), "latest")
-        for k in touched:
-            merged.filter(F.col("bucket") == k).drop("bucket").coalesce(1).write.mode("overwrite").parquet(f"{table_path}/bucket={k}/batch-{number}")
-            for n in sorted(held[k])[:-1]:
-                _drop(spark, f"{table_path}/bucket={k}/batch-{n}")
-        drop_written(new)
-        drop_written(merged)
+        table.merge(fold_fields(field_states(batch)), number, fold_fields)
         if then is not None:
-            then(read_latest(spark, table_path, buckets))
+            then(shown_fields(table.read()))
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
-    return [int(x.removeprefix("batch-")) for x in names if x.startswith("batch-")]
-
-
-def read_latest(spark: SparkSession, table_path: str, buckets: int = 64) -> DataFrame:
-    """The latest row of each id that upsert_latest has kept so far."""
-    held = [(k, v) for k in range(buckets) if (v := _versions(spark, f"{table_path}/bucket={k}"))]
-    return spark.read.parquet(*[f"{table_path}/bucket={k}/batch-{max(v)}" for k, v in held])
+def read_latest(spark: SparkSession, table_path: str) -> DataFrame:
+    """The latest fields of each id that upsert_latest has kept so far, without deleted ones; before its first batch a table without rows."""
+    return shown_fields(VersionedTable(spark, table_path, "id").read(StructType().add("id", "string").add("deleted", "boolean")))
