@@ -154,7 +154,7 @@ class _Silent(StatefulProcessor):
 
     def _rows(self, feed, times) -> pd.DataFrame:
         times = np.asarray(times, np.int64)
-        return pd.DataFrame({"feed": [feed] * len(times), "last_ms": times, "stale_ms": times + self.gap_ms})
+        return pd.DataFrame({"feed": pd.Series([feed] * len(times), dtype=object), "last_ms": times, "stale_ms": times + self.gap_ms})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ms = np.sort(np.concatenate([pdf["_ms"].to_numpy(np.int64) for pdf in _named(rows, ["feed", "_time", "_ms"])]))
@@ -219,7 +219,7 @@ class _Ring(StatefulProcessor):
             plain = pdf[names].astype(object).where(pdf[names].notna(), None)
             ring = sorted([*ring, *plain.itertuples(index=False, name=None)], key=lambda r: (r[at], r[seq]))[-self.n :]
         self.rows.put(ring)
-        yield pd.DataFrame({"ring": [key[0]] * len(ring), **{c: [r[i] for r in ring] for i, c in enumerate(names)}})
+        yield pd.DataFrame({"ring": [key[0]] * len(ring), **{c: pd.Series([r[i] for r in ring], dtype=object) for i, c in enumerate(names)}})
 
     def close(self) -> None:
         pass
