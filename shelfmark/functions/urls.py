@@ -1,10 +1,11 @@
-"""URL and file-name functions. Only resolving against a base and transliterating names need Python, on Arrow batches."""
+"""URL and file-name functions. Only transliterating names needs Python, on Arrow batches."""
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
-from urllib.parse import urljoin, urlsplit, urlunsplit
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,49 +17,126 @@ from shelfmark.functions.values import filled, trimmed
 
 # Ports, patterns, brand and product tokens.
 PORTS = {"http": 80, "https": 443, "ftp": 21}
-#: A URL that resolving leaves as it is: lower-case scheme and host, a path, nothing to encode, no dot segments.
+SCHEME = r"[A-Za-z][A-Za-z0-9+.-]*"
+URL = re.compile(rf"(?:({SCHEME}):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?", re.S)
+DOTS = r"(\A|/)\.{1,2}(/|\z)"
+#: What is percent-encoded in a path, a query and a fragment.
+ENCODED = {"path": r"""[^!-~]|["<>`{}]""", "query": r"""[^!-~]|["<>']""", "fragment": r"""[^!-~]|["<>`]"""}
+#: A URL that resolving leaves as it is, if it has no dot segment: lower-case scheme and host, a path, nothing to encode.
 CLEAN = r"\Ahttps?://[a-z0-9.-]+/[A-Za-z0-9._~!$&*+,;=:@/?%-]*(#[A-Za-z0-9._~-]*)?\z"
-DOTS = r"/\.{1,2}(/|\z|\?|#)"
+#: Plain paths, and bases to which they can be joined as they are.
+PATH = re.compile(r"/?[A-Za-z0-9_~!$&*+,=%-][A-Za-z0-9._~!$&*+,=/%-]*")
+BASE = re.compile(r"(https?://[a-z0-9.-]+)(/(?:[A-Za-z0-9._~!$&*+,=%-]*/)*)?[A-Za-z0-9._~!$&*+,=%-]*(?:[?#]|\Z)")
 
 
+JAVA_BASE = BASE.pattern.replace(r"\Z", r"\z")
+
+
+def _stripped(text: str) -> str:
+    return re.sub(r"[\t\n\r]", "", text).strip("".join(map(chr, range(33))))
+
+
+def _without_dots(path: str) -> str:
+    out, parts = [], path.split("/")[1:]
+    for x in parts:
+        if x == "..":
+            del out[-1:]
+        elif x != ".":
+            out.append(x)
+    return "/" + "/".join(out + [""] * (parts[-1] in (".", "..")))
+
+
+@functools.lru_cache(1024)
 def resolve(value: str | None, base: str | None) -> str:
-    """value against base as a browser would; '' if there is no absolute URL."""
+    """value against base as a browser would; '' if there is no absolute URL. The same as absolute(), for use while a page is parsed."""
     if not value:
         return ""
-    try:
-        own = re.sub(r"[\t\n\r]", "", value).strip("".join(map(chr, range(33))))
-        joined = own if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", own) else urljoin(base or "", own)
-        parts = urlsplit(joined)
-        scheme = parts.scheme.lower()
-        if not scheme:
+    if PATH.fullmatch(value) and "./" not in value and value[-1] != "." and (m := BASE.match(base or "")) and "./" not in (m[2] or ""):
+        return m[1] + value if value[0] == "/" else f"{m[1]}{m[2] or '/'}{value}"
+    own = _stripped(value)
+    scheme, host, path, query, fragment = URL.fullmatch(own).groups()
+    if scheme is None:
+        scheme, b_host, b_path, b_query, _ = URL.fullmatch(_stripped(base or "")).groups()
+        if (scheme or "").lower() not in PORTS:
             return ""
-        if scheme not in PORTS:
-            return scheme + joined[len(scheme) :]
-        host = (parts.hostname or "").lower()
-        if not host or " " in host:
-            return ""
-        port = "" if parts.port in (None, PORTS[scheme]) else f":{parts.port}"
-        user = f"{parts.netloc.rpartition('@')[0]}@" if "@" in parts.netloc else ""
-        if re.search(r"(^|/)\.{1,2}(/|$)", parts.path):
-            parts = urlsplit(urljoin(joined, parts.path or "/"))._replace(query=parts.query, fragment=parts.fragment)
-        encode = lambda x, also="": "".join(c if 33 <= ord(c) < 127 and c not in '"<>' + also else "".join(f"%{b:02X}" for b in c.encode()) for c in x)
-        return urlunsplit((scheme, f"{user}{host}{port}", encode(parts.path or "/", "`{}"), encode(parts.query, "'"), encode(parts.fragment, "`")))
-    except ValueError:
+        if host is None:
+            host = b_host
+            if not path:
+                path, query = b_path, b_query if query is None else query
+            elif path[0] != "/":
+                path = (b_path[: b_path.rfind("/") + 1] or "/") + path
+    elif scheme.lower() not in PORTS:
+        return scheme.lower() + own[len(scheme) :]
+    scheme = scheme.lower()
+    user, at, host = (host or "").rpartition("@")
+    host, port = re.fullmatch(r"(.*?)(?::([0-9]*))?", host, re.S).groups()
+    if not host or " " in host or ":" in host or int(port or 0) > 65535:
         return ""
-
-
-@F.pandas_udf(T.StringType())
-def _resolved(value: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([resolve(v, b) for v, b in zip(value, base, strict=True)])
-
-
-def is_clean(value: Column) -> Column:
-    return F.coalesce(value.rlike(CLEAN) & ~value.rlike(DOTS), F.lit(False))
+    port = "" if not port or int(port) == PORTS[scheme] else f":{int(port)}"
+    if re.search(r"(^|/)\.{1,2}(/|\Z)", path):
+        path = _without_dots(path)
+    encode = lambda x, kind: re.sub(ENCODED[kind], lambda m: "".join(f"%{b:02X}" for b in m[0].encode(errors="replace")), x)
+    return f"{scheme}://{user}{at}{host.lower()}{port}{encode(path or '/', 'path')}" + (f"?{encode(query, 'query')}" if query else "") + (f"#{encode(fragment, 'fragment')}" if fragment else "")
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _encode(text: Column, kind: str) -> Column:
+    hexed = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+    chars = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c.rlike(f"(?s){ENCODED[kind]}"), hexed(c)).otherwise(c))
+    return F.when(text.rlike(ENCODED[kind]), F.array_join(chars, "")).otherwise(text)
+
+
+def _with_parts(text: Column, then: Callable[[Column], Column]) -> Column:
+    """then(parts of a URL); has_host and has_query tell empty ones from absent ones."""
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\t\n\r]", ""), r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
+    begun = lambda t: F.struct(F.lower(F.regexp_extract(t, rf"\A({SCHEME}):", 1)).alias("scheme"), F.regexp_replace(t, rf"\A{SCHEME}:", "").alias("rest"))
+    told = lambda x: F.struct(x["scheme"].alias("scheme"), x["rest"].alias("rest"), F.regexp_extract(x["rest"], r"\A//([^/?#]*)", 1).alias("host"), x["rest"].startswith("//").alias("has_host"), F.regexp_replace(x["rest"], r"\A//[^/?#]*", "").alias("tail"))
+    split = lambda x: F.struct(*[x[c].alias(c) for c in ("scheme", "rest", "host", "has_host")], F.regexp_extract(x["tail"], r"\A([^?#]*)", 1).alias("path"), F.regexp_extract(x["tail"], r"\A[^?#]*\?([^#]*)", 1).alias("query"), x["tail"].rlike(r"\A[^?#]*\?").alias("has_query"), F.regexp_extract(x["tail"], r"(?s)\A[^#]*#(.*)\z", 1).alias("fragment"))
+    return _let(text, lambda t: _let(begun(t), lambda x: _let(told(x), lambda y: _let(split(y), then))))
+
+
+def _undotted(path: Column) -> Column:
+    none = F.array().cast("array<string>")
+    fold = lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(x)))
+    joined = lambda parts: F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), none, fold), F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)), "/"))
+    return F.when(path == "", "/").when(path.rlike(DOTS), _let(F.split(path, "/", -1), joined)).otherwise(path)
+
+
+def _joined(v: Column, b: Column) -> Column:
+    """The URL of the parts v against those of a base."""
+    own, known = v["scheme"] != "", lambda x: x["scheme"].isin(*PORTS)
+    bare = (v["scheme"] == "") & ~v["has_host"]
+    folder = F.regexp_extract(b["path"], r"(?s)\A(.*/)", 1)
+    path = F.when(~bare | v["path"].startswith("/"), v["path"]).when(v["path"] == "", b["path"]).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), v["path"]))
+    query = F.when(bare & (v["path"] == "") & ~v["has_query"], b["query"]).otherwise(v["query"])
+    place = F.when(bare, b["host"]).otherwise(v["host"])
+    first = F.struct(F.when(own, v["scheme"]).otherwise(b["scheme"]).alias("scheme"), F.regexp_extract(place, r"(?s)\A(.*@)", 1).alias("user"), F.regexp_replace(place, r"(?s)\A.*@", "").alias("place"), path.alias("path"), query.alias("query"))
+    digits = lambda x: F.regexp_extract(x["place"], r":([0-9]*)\z", 1)
+    second = lambda x: F.struct(*[x[c].alias(c) for c in ("scheme", "user", "path", "query")], F.regexp_extract(x["place"], r"(?s)\A(.*?)(:[0-9]*)?\z", 1).alias("host"), F.when(digits(x) != "", F.coalesce(digits(x).try_cast("int"), F.lit(1 << 20))).alias("port"))
+    usual = F.create_map(*[F.lit(x) for pair in PORTS.items() for x in pair])
+    tail = lambda mark, text, kind: F.when(text == "", "").otherwise(F.concat(F.lit(mark), _encode(text, kind)))
+    port = lambda x: F.when(x["port"].isNull() | (x["port"] == F.try_element_at(usual, x["scheme"])), "").otherwise(F.concat(F.lit(":"), x["port"].cast("string")))
+    url = lambda x: F.concat(x["scheme"], F.lit("://"), x["user"], F.lower(x["host"]), port(x), _let(_undotted(x["path"]), lambda p: _encode(p, "path")), tail("?", x["query"], "query"), tail("#", v["fragment"], "fragment"))
+    bad = lambda x: (x["host"] == "") | x["host"].contains(" ") | x["host"].contains(":") | F.coalesce(x["port"] > 65535, F.lit(False))
+    return F.when(own & ~known(v), F.concat(v["scheme"], F.lit(":"), v["rest"])).when(~own & ~known(b), "").otherwise(_let(first, lambda x: _let(second(x), lambda y: F.when(bad(y), "").otherwise(url(y)))))
 
 
 def absolute(value: Column, base: Column) -> Column:
-    """Resolved against base; '' where there is no value or no absolute URL. Clean URLs are themselves: Python gets nulls for them."""
-    return F.when(is_clean(value), value).otherwise(F.coalesce(_resolved(F.when(~is_clean(value), value), base), F.lit("")))
+    """value against base as a browser would; '' where there is no value or no absolute URL.
+
+    Column expressions only: the parts of both are split by patterns, the path is merged and its dot segments are folded, and what may
+    not stand in a URL is percent-encoded. Ports that are the scheme's default go, the host is lowered; other schemes than http, https and
+    ftp keep their text. Empty segments stay. Clean URLs, and plain paths on plain bases, take a short way to the same result."""
+    base = F.coalesce(base, F.lit(""))
+    clean = value.rlike(CLEAN) & ~value.rlike(r"/\.{1,2}(/|\z|\?|#)")
+    plain = value.rlike(rf"\A{PATH.pattern}\z") & ~value.contains("./") & ~value.endswith(".") & base.rlike(rf"\A{JAVA_BASE}") & ~base.contains("./")
+    folder = F.regexp_extract(base, rf"\A{JAVA_BASE}", 2)
+    short = F.concat(F.regexp_extract(base, rf"\A{JAVA_BASE}", 1), F.when(value.startswith("/"), "").when(folder == "", "/").otherwise(folder), value)
+    return F.when(F.coalesce(value, F.lit("")) == "", "").when(clean, value).when(plain, short).otherwise(_with_parts(value, lambda v: _with_parts(base, lambda b: _joined(v, b))))
 
 
 def normalized(value: Column, base: Column) -> Column:

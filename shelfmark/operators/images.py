@@ -130,8 +130,8 @@ def same_images(a: Column, b: Column) -> Column:
 
 
 def sample_image(images: DataFrame, seed: int = 0) -> DataFrame:
-    """One image of each job, by a seeded hash of its URL."""
-    w = Window.partitionBy("job_id").orderBy(F.xxhash64(F.lit(seed), "url"), "url", "position")
+    """One image of each job, by a seeded hash of its URL; a null URL comes first."""
+    w = Window.partitionBy("job_id").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "url")), "url", "position")
     return images.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 

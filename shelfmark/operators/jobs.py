@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.urls import model_name
 from shelfmark.functions.values import filled, finite, is_active, percent, trimmed
+from shelfmark.operators.sequences import positions
 
 COUNTS = ("images", "total_items", "processed_items")
 STOPPED = "Stopped by user"
@@ -170,8 +171,21 @@ def merge_jobs(server: DataFrame, local: DataFrame, deleted: DataFrame | None =
     return client_order(normalize_jobs(without(merged, deleted)))
 
 
-def signature(jobs: DataFrame) -> DataFrame:
-    return jobs.select("id", "status", F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("id", "status", "images", "processed_items", "total_items", "model")]).alias("signature"))
+def signature(jobs: DataFrame, *more: str) -> DataFrame:
+    return jobs.select("id", "status", *more, F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("id", "status", "images", "processed_items", "total_items", "model")]).alias("signature"))
+
+
+def list_signature(jobs: DataFrame, block: int = 1000) -> DataFrame:
+    """(n, signature): one row that changes if any job of the list or their order does; the order is client_order's.
+
+    An MD5 over the signatures of each block of rows, one over those of each `block` blocks, and one over these, each in order: blocks
+    are digested where they lie, and only digests meet. An empty list has the MD5 of an empty text."""
+    at = -F.unix_micros(F.coalesce(F.col("updated_at").cast("timestamp"), F.col("created_at").cast("timestamp"), F.timestamp_micros(F.lit(0))))
+    rows = positions(signature(jobs.withColumn("_at", at), "_at").select("signature", "_at", "id"), ["_at", "id"])
+    joined = lambda of: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", of))), lambda x: x[of]), "\n"))
+    blocks = rows.select(F.col("position").alias("at"), F.expr(f"position div {block}").alias("to"), "signature").groupBy("to").agg(F.count("*").alias("n"), joined("signature").alias("signature"))
+    above = blocks.select(F.col("to").alias("at"), F.expr(f"to div {block}").alias("to"), "n", "signature").groupBy("to").agg(F.sum("n").alias("n"), joined("signature").alias("signature"))
+    return above.select(F.col("to").alias("at"), "n", "signature").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"), joined("signature").alias("signature"))
 
 
 def diff_jobs(prev: DataFrame, cur: DataFrame) -> DataFrame:

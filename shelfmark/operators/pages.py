@@ -28,10 +28,10 @@ CLOSES = {"li": {"li"}, "p": {"p", "div", "ul", "ol", "h1", "h2", "h3", "table",
 class Node:
     """An element: the nodes and texts inside it are those from `at` + 1 and `text_at` up to `end` and `text_end`, in the page's order."""
 
-    __slots__ = ("at", "attrs", "end", "parent", "tag", "text_at", "text_end")
+    __slots__ = ("at", "attrs", "end", "tag", "text_at", "text_end")
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, at: int, text_at: int):
-        self.tag, self.attrs, self.parent, self.at, self.text_at = tag, attrs, parent, at, text_at
+    def __init__(self, tag: str, attrs: dict[str, str], at: int, text_at: int):
+        self.tag, self.attrs, self.at, self.text_at = tag, attrs, at, text_at
         self.end, self.text_end = at + 1, text_at
 
 
@@ -44,20 +44,66 @@ def _chain(selector: str) -> list[list[tuple]]:
     return [[m.groups() for m in STEP.finditer(x)] for x in re.findall(r"(?:\"[^\"]*\"|\S)+", selector)]
 
 
+class Selectors:
+    """Selectors of one or two steps, found in one pass: a step is looked up by a class, tag or attribute that it asks for, as an element starts."""
+
+    def __init__(self, selectors):
+        self.steps: list[tuple] = []
+        self.by: dict[str, dict[str, list[int]]] = {"class": {}, "tag": {}, "attr": {}}
+        self.ends: dict[int, list[tuple[str, int | None]]] = {}
+        self.around: set[int] = set()
+        self.names = frozenset(selectors)
+        known: dict[tuple, int] = {}
+        for s in sorted(self.names):
+            ids = []
+            for tests in map(tuple, _chain(s)):
+                if tests not in known:
+                    known[tests] = len(self.steps)
+                    self.steps.append(tests)
+                    kind, name = min((0, cls) if cls else (1, tag) if tag else (2, attr) for tag, cls, no, attr, _, _ in tests if not no)
+                    self.by[("class", "tag", "attr")[kind]].setdefault(name, []).append(known[tests])
+                ids.append(known[tests])
+            if len(ids) > 2:
+                raise ValueError(f"a selector of more than two steps: {s}")
+            self.ends.setdefault(ids[-1], []).append((s, ids[0] if len(ids) > 1 else None))
+            self.around.update(ids[:-1])
+
+    def passed(self, tag: str, attrs: dict[str, str]) -> list[int]:
+        """The steps that an element passes."""
+        found = list(self.by["tag"].get(tag, ()))
+        classes = attrs["class"].split() if "class" in attrs else ()
+        for c in dict.fromkeys(classes):
+            found += self.by["class"].get(c, ())
+        for a in attrs:
+            found += self.by["attr"].get(a, ())
+        return [k for k in found if all(_passes(tag, classes, attrs, t) for t in self.steps[k])]
+
+
+def _passes(tag: str, classes, attrs: dict[str, str], test) -> bool:
+    own, cls, no, attr, how, value = test
+    if own:
+        return tag == own
+    if cls:
+        return cls in classes
+    held = attrs.get(attr)
+    ok = held is not None and (not how or (how == "=" and held == value) or (how == "*=" and value in held) or (how == "^=" and held.startswith(value)))
+    return ok != bool(no)
+
+
 class Page(HTMLParser):
-    """The elements of a page in its order; tags that are left open end where a browser would end them.
+    """The elements of a page in its order, and where selectors find them; tags that are left open end where a browser would end them.
 
-    Elements are a flat list, and what lies inside one is a range of it: however deep a page nests, nothing recurses."""
+    Elements are a flat list, and what lies inside one is a range of it: however deep a page nests, nothing recurses. As an element starts its
+    steps are looked up; a selector of two steps also asks whether an element of its first step is open."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, selectors: Selectors):
         super().__init__(convert_charrefs=True)
+        self.selectors = selectors
         self.nodes: list[Node] = []
         self.texts: list[str] = []
-        self.open: list[Node] = []
+        self.open: list[tuple[Node, list[int]]] = []
         self.n_open: dict[str, int] = {}
-        self.by_tag: dict[str, list[int]] = {}
-        self.by_class: dict[str, list[int]] = {}
-        self.by_attr: dict[str, list[int]] = {}
+        self.n_around: dict[int, int] = dict.fromkeys(selectors.around, 0)
         self.selected: dict[str, list[int]] = {}
         self.feed(html)
         self.close()
@@ -65,23 +111,28 @@ class Page(HTMLParser):
             self._shut()
 
     def _shut(self) -> None:
-        node = self.open.pop()
+        node, steps = self.open.pop()
         node.end, node.text_end = len(self.nodes), len(self.texts)
         self.n_open[node.tag] -= 1
+        for k in steps:
+            self.n_around[k] -= 1
 
     def handle_starttag(self, tag, attrs):
-        while self.open and tag in CLOSES.get(self.open[-1].tag, ()):
+        while self.open and tag in CLOSES.get(self.open[-1][0].tag, ()):
             self._shut()
         at = len(self.nodes)
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.open[-1] if self.open else None, at, len(self.texts))
+        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, at, len(self.texts))
         self.nodes.append(node)
-        self.by_tag.setdefault(tag, []).append(at)
-        for name in node.attrs:
-            self.by_attr.setdefault(name, []).append(at)
-        for name in set(node.attrs.get("class", "").split()):
-            self.by_class.setdefault(name, []).append(at)
+        steps = self.selectors.passed(tag, node.attrs)
+        for k in steps:
+            for name, around in self.selectors.ends.get(k, ()):
+                if around is None or self.n_around[around]:
+                    self.selected.setdefault(name, []).append(at)
         if tag not in VOID:
-            self.open.append(node)
+            outer = [k for k in steps if k in self.n_around]
+            for k in outer:
+                self.n_around[k] += 1
+            self.open.append((node, outer))
             self.n_open[tag] = self.n_open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
@@ -91,7 +142,7 @@ class Page(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.n_open.get(tag):
-            while self.open[-1].tag != tag:
+            while self.open[-1][0].tag != tag:
                 self._shut()
             self._shut()
 
@@ -102,43 +153,10 @@ class Page(HTMLParser):
         return "".join(self.texts[node.text_at : node.text_end])
 
     def select(self, selector: str) -> list[int]:
-        """The nodes for `tag.class[a][a="v"][a*="v"][a^="v"]:not([a*="v"])` with blanks for descent, in order."""
-        if (out := self.selected.get(selector)) is None:
-            chain = _chain(selector)
-            out = self._own(chain[0])
-            for tests in chain[1:]:
-                inner, reach, k = [], 0, 0
-                for i in self._own(tests):
-                    while k < len(out) and out[k] < i:  # how far those that begin before i reach
-                        reach = max(reach, self.nodes[out[k]].end)
-                        k += 1
-                    if i < reach:
-                        inner.append(i)
-                out = inner
-            self.selected[selector] = out
-        return out
-
-    def _own(self, tests) -> list[int]:
-        """The nodes that pass all tests of one step, from the shortest list of those that pass one."""
-        out = range(len(self.nodes))
-        for tag, cls, no, attr, _, _ in tests:
-            if not no:
-                own = self.by_tag.get(tag) if tag else self.by_class.get(cls) if cls else self.by_attr.get(attr)
-                if not own:
-                    return []
-                out = own if len(own) < len(out) else out
-        return [i for i in out if all(self._passes(self.nodes[i], t) for t in tests)]
-
-    @staticmethod
-    def _passes(node: Node, test) -> bool:
-        tag, cls, no, attr, how, value = test
-        if tag:
-            return node.tag == tag
-        if cls:
-            return cls in node.attrs.get("class", "").split()
-        held = node.attrs.get(attr)
-        ok = held is not None and (not how or (how == "=" and held == value) or (how == "*=" and value in held) or (how == "^=" and held.startswith(value)))
-        return ok != bool(no)
+        """The nodes for one of the page's selectors, `tag.class[a][a="v"][a*="v"][a^="v"]:not([a*="v"])` with a blank for descent, in order."""
+        if selector not in self.selectors.names:
+            raise KeyError(selector)
+        return self.selected.get(selector, [])
 
     def inside(self, node: Node, places: list[int]) -> list[int]:
         return places[bisect.bisect_right(places, node.at) : bisect.bisect_left(places, node.end)]
@@ -166,6 +184,9 @@ ITEM_IMAGES, ITEM_LINKS = ["img.small-img", "img[data-src]", "img"], ["a.product
 #: Tiers that run only while fewer candidates are admitted.
 LIMITS = {2: 20, 3: 20, 4: 30, 5: 20, 6: 20, 8: 30, 10: 30}
 TIERS = 10
+JSON_LD = 'script[type="application/ld+json"]'
+FOR_IMAGES = Selectors([*ZOOM, *GALLERY, "picture", "source", "img", *PLAIN, *STYLED, JSON_LD, *MICRODATA, *META, *(f"[{a}]" for a in DATA_ATTRS), *VIDEO, *ANCHORS])
+FOR_ITEMS = Selectors([*ITEMS, *ITEM_NAMES, *ITEM_PRICES, *ITEM_IMAGES, *ITEM_LINKS])
 
 
 
@@ -213,7 +234,7 @@ def candidates(page: Page, url: str) -> list[dict]:
         out += [(4, v) for a in PLAIN_ATTRS if (v := first(n, [a]))]
         out += [(4, u) for u in srcset(n)]
     out += [(5, n.attrs["style"]) for n in find(STYLED, False) if "url(" in n.attrs.get("style", "")]
-    for n in find(['script[type="application/ld+json"]']):
+    for n in find([JSON_LD]):
         try:
             payload = json.loads(page.text(n) or "{}")
         except (ValueError, RecursionError):
@@ -244,21 +265,21 @@ def listing(page: Page) -> list[dict]:
     return out
 
 
-#: What a page can be asked for: each kind of fact with its type.
+#: What a page can be asked for: each kind of fact with its selectors and its type.
 FOUND = pa.list_(pa.struct([("tier", pa.int32()), ("seq", pa.int32()), ("url", pa.string())]))
 LISTED = pa.list_(pa.struct([("rank", pa.int32()), ("item", pa.int32()), *[(k, pa.list_(pa.string())) for k in ("names", "prices", "images", "links")]]))
 KINDS = {
-    "candidates": (candidates, FOUND, "array<struct<tier: int, seq: int, url: string>>"),
-    "items": (lambda page, _: listing(page), LISTED, "array<struct<rank: int, item: int, names: array<string>, prices: array<string>, images: array<string>, links: array<string>>>"),
+    "candidates": (candidates, FOR_IMAGES, FOUND, "array<struct<tier: int, seq: int, url: string>>"),
+    "items": (lambda page, _: listing(page), FOR_ITEMS, LISTED, "array<struct<rank: int, item: int, names: array<string>, prices: array<string>, images: array<string>, links: array<string>>>"),
 }
 
 
 def _parse(kind: str):
     def run(batches):
-        facts, type_, _ = KINDS[kind]
+        facts, selectors, type_, _ = KINDS[kind]
         for batch in batches:
             urls, htmls = (batch.column(c).to_pylist() for c in ("url", "html"))
-            found = pa.array([facts(Page(h or ""), u or "") for u, h in zip(urls, htmls, strict=True)], type_)
+            found = pa.array([facts(Page(h or "", selectors), u or "") for u, h in zip(urls, htmls, strict=True)], type_)
             names = [c for c in batch.schema.names if c != "html"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], found], names=[*names, kind])
 
@@ -267,7 +288,7 @@ def _parse(kind: str):
 
 def parse_pages(pages: DataFrame, kind: str) -> DataFrame:
     """pages (url, html, ...) with their candidates or their items instead of html; other columns stay. A null html is an empty page."""
-    out = T.StructType([*(f for f in pages.schema.fields if f.name != "html"), T.StructField(kind, T.DataType.fromDDL(KINDS[kind][2]))])
+    out = T.StructType([*(f for f in pages.schema.fields if f.name != "html"), T.StructField(kind, T.DataType.fromDDL(KINDS[kind][3]))])
     return pages.mapInArrow(_parse(kind), out)
 
 

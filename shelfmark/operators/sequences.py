@@ -47,6 +47,14 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     return written(df.repartitionByRange(width(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id()), "numbered")
 
 
+def positions(df: DataFrame, order: list[str]) -> DataFrame:
+    """df, written, with `position`: 0, 1, 2, ... in the order of the columns `order`. Ranges are numbered apart, and the rows of the ranges before are added, from a row for each range."""
+    rows, row = numbered(df, order), F.col("_i").bitwiseAND((1 << 33) - 1)
+    whole = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(F.shiftright("_i", 33).alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(whole), F.lit(0)).alias("_before"))
+    return rows.withColumn("_part", F.shiftright("_i", 33)).join(F.broadcast(sizes), "_part").select(*df.columns, (F.col("_before") + row).alias("position"))
+
+
 def _next(rows: DataFrame, key: str, time: str, gap: int) -> DataFrame:
     """rows (key, time, _i, _start) -> (a, b): each row's number and that of the first one of its key that comes gap or more later, if that begins no stretch.
 

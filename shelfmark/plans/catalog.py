@@ -613,6 +613,57 @@ def decoded_images(spark, sf):
     return S.decode_images(images).select("id", F.col("content").cast("string").alias("content"), "original_url")
 
 
+@query(f"WITH {X.JOBS}, {X.PRODUCTS} SELECT id AS job_id, url, status, count(name) AS products, coalesce(string_agg(name || '=' || n, '|' ORDER BY product_index), '') AS listed FROM jobs LEFT JOIN products ON job_id = id GROUP BY id, url, status")
+def all_manifests(spark, sf):
+    path = scratch(spark, "manifests")
+    own = X.products(spark, sf).groupBy(F.col("job_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("product_index", "name", "price", "img", "images"))).alias("products"))
+    S.write_manifests(X.jobs(spark, sf).join(own, "id", "left"), path, folders=False)
+    read = spark.read.schema("job_id string, url string, status string, products array<struct<name: string, price: string, img: string, images: array<string>>>").json(path)
+    listed = F.array_join(F.transform("products", lambda p: F.concat(p["name"], F.lit("="), F.size(p["images"]).cast("string"))), "|")
+    return read.select("job_id", "url", "status", F.coalesce(F.size("products"), F.lit(0)).cast("bigint").alias("products"), F.coalesce(listed, F.lit("")).alias("listed"))
+
+
+@query(SQL["gallery_urls"])
+def url_lists(spark, sf):
+    path = scratch(spark, "url-lists")
+    S.export_image_urls(X.products(spark, sf), path, folders=False)
+    return spark.read.schema("job_id string, urls array<string>").json(path).select("job_id", F.posexplode("urls").alias("position", "url")).withColumn("position", F.col("position").cast("bigint"))
+
+
+@query(f"""WITH {X.JOBS}, s AS (SELECT row_number() OVER (ORDER BY updated_at DESC, id) - 1 AS i, concat_ws(':', id, status, images, processed_items, total_items, model) AS s FROM jobs),
+b AS (SELECT i // 1000 AS i, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY i)) AS s FROM s GROUP BY 1),
+a AS (SELECT i // 1000 AS i, sum(n) AS n, md5(string_agg(s, chr(10) ORDER BY i)) AS s FROM b GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n, md5(string_agg(s, chr(10) ORDER BY i)) AS signature FROM a""")
+def list_signature(spark, sf):
+    return J.list_signature(X.jobs(spark, sf))
+
+
+@query(f"WITH {X.IMAGES} SELECT job_id, url, position FROM images QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY md5('5:' || url), url, position) = 1")
+def sampled_images(spark, sf):
+    return I.sample_image(X.images(spark, sf).select("job_id", "url", "position"), 5)
+
+
+def _image_folders(spark, sf):
+    """A folder for each supplier with a picture's header."""
+    path = scratch(spark, "pictures")
+    X.image_files(spark, sf).select("s_suppkey", F.col("content").cast("string").alias("value")).write.partitionBy("s_suppkey").text(path)
+    return path
+
+
+@query("""SELECT s_suppkey, ['png', 'jpeg', 'gif', 'webp', 'webp', 'webp', 'png'][s_suppkey % 7 + 1] AS format, CASE WHEN s_suppkey % 7 < 6 THEN (1 + s_suppkey % 5000) || ' × ' || (1 + s_nationkey * 11) END AS dimensions, s_suppkey % 7 < 6 AS decodable FROM supplier""")
+def image_dimensions(spark, sf):
+    found = S.image_inventory(spark, _image_folders(spark, sf))
+    return found.select(F.regexp_extract("path", "s_suppkey=([0-9]+)", 1).cast("bigint").alias("s_suppkey"), "format", "dimensions", "decodable")
+
+
+@query("SELECT s_suppkey, true AS in_a_day, false AS now FROM supplier")
+def expired_folders(spark, sf):
+    path, key = _image_folders(spark, sf), F.element_at(F.split("job_id", "="), -1).cast("bigint").alias("s_suppkey")
+    later = S.expired_paths(spark, path, F.current_timestamp() + F.expr("INTERVAL 25 HOURS")).select(key, F.lit(True).alias("in_a_day"))
+    now = S.expired_paths(spark, path, F.current_timestamp()).select(key, F.lit(True).alias("now"))
+    return later.join(now, "s_suppkey", "full_outer").select("s_suppkey", F.coalesce("in_a_day", F.lit(False)).alias("in_a_day"), F.coalesce("now", F.lit(False)).alias("now"))
+
+
 # streams: over files below the shared folder, until all of them are read
 
 

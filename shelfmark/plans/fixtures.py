@@ -181,3 +181,24 @@ def branch_pages(spark: SparkSession, sf: str) -> DataFrame:
 BRANCH_ITEMS = f"""branch_items AS (SELECT p_partkey AS page_id, CASE WHEN p_partkey % 5 = 2 THEN '' ELSE trim(p_name) END AS name, CASE p_partkey % 5 WHEN 0 THEN '$' || p_partkey WHEN 1 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS price,
   CASE p_partkey % 5 WHEN 0 THEN '{SHOP}/i/' || p_partkey || '.jpg' WHEN 1 THEN '{SHOP}/i/' || p_partkey || '.jpg' WHEN 2 THEN '{SHOP}/o/' || p_partkey || '.png' WHEN 3 THEN '{SHOP}/l/' || p_partkey || '.jpg' ELSE '' END AS img,
   CASE p_partkey % 5 WHEN 0 THEN '{SHOP}/product/' || p_partkey WHEN 1 THEN '{SHOP}/u/' || p_partkey WHEN 3 THEN '{SHOP}/f/' || p_partkey ELSE '' END AS product_url FROM part)"""
+
+
+def image_files(spark: SparkSession, sf: str) -> DataFrame:
+    """(s_suppkey, content): the header of a picture for each supplier; by s_suppkey % 7 a PNG, JPEG, GIF, WebP (lossy, lossless, extended), or a PNG cut off in its size."""
+    s = table(spark, sf, "supplier")
+    w, h = 1 + F.col("s_suppkey") % 5000, 1 + F.col("s_nationkey").cast("long") * 11
+    big = lambda x, n: F.lpad(F.hex(x), 2 * n, "0")
+    little = lambda x, n: F.concat(*[F.lpad(F.hex(F.shiftright(x, 8 * i) % 256), 2, "0") for i in range(n)])
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4), F.lit("0806000000"))
+    riff = lambda kind, rest: F.concat(F.lit(f"52494646000000005745425056503{kind}00000000"), rest)
+    content = _cases(
+        F.col("s_suppkey") % 7,
+        png,
+        F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFFFDB000500C0C2FFC2000B08"), big(h, 2), big(w, 2), F.lit("01011100FFD9")),
+        F.concat(F.lit("474946383961"), little(w, 2), little(h, 2), F.lit("000000")),
+        riff("820", F.concat(F.lit("3000009D012A"), little(w, 2), little(h, 2))),
+        riff("84C", F.concat(F.lit("2F"), little((w - 1) + (h - 1) * 16384, 4))),
+        riff("858", F.concat(F.lit("00000000"), little(w - 1, 3), little(h - 1, 3))),
+        F.substring(png, 1, 40),
+    )
+    return s.select("s_suppkey", F.unhex(content).alias("content"))

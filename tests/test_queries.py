@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in "orders lineitem part events pages".split():
+    for t in "orders lineitem part events pages supplier".split():
         con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     return con
 

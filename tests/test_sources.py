@@ -66,3 +66,15 @@ def test_seo(spark):
     df = spark.createDataFrame([("t" * 50, "", "https://x", "index,follow", "", "", "", "", "", "", "")], "title string, description string, canonical_url string, robots string, og_title string, og_description string, og_image string, twitter_title string, twitter_description string, twitter_image string, twitter_card string")
     r = seo.seo_audit(seo.seo_fill(df)).first()
     assert (r.title_state, r.description_state, r.canonical_ok, r.robots_ok, r.og_title, r.twitter_card) == ("good", "empty", True, True, "t" * 50, "summary_large_image")
+
+
+def test_image_sizes(spark):
+    h = bytes.fromhex
+    app, frame = "FFE1000800000000" + "0000", "FFC0000B080021004301011100"
+    files = {
+        "many": (h("FFD8" + app * 300 + frame), "jpeg", 67, 33), "fill": (h("FFD8FFFFFF" + frame[2:]), "jpeg", 67, 33), "marks": (h("FFD8FFD0FF01" + frame), "jpeg", 67, 33), "table": (h("FFD8FFC40004FFC0" + frame), "jpeg", 67, 33),
+        "scan": (h("FFD8FFDA0004FFC0" + frame), "jpeg", None, None), "cut": (h("FFD8" + frame[:14]), "jpeg", None, None), "lost": (h("FFD8FFE1FFFF00"), "jpeg", None, None), "bad": (h("FFD8FF00"), "jpeg", None, None),
+        "gif": (b"GIF87a\x02\x01\x03\x00", "gif", 258, 3), "lossy": (h("524946460000000057454250565038200000000030000 09D012A05C0070 0".replace(" ", "")), "webp", 5, 7), "empty": (b"", None, None, None), "null": (None, None, None, None), "text": (b"PNG", None, None, None), "riff": (b"RIFF0000WAVE", None, None, None),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in files.items()], "path string, content binary").withColumn("width", F.lit("x"))
+    assert {r.path: (r.format, r.width, r.height) for r in S.image_sizes(df).collect()} == {k: v[1:] for k, v in files.items()}
