@@ -19,6 +19,7 @@ from shelfmark.functions.values import filled, trimmed
 PORTS = {"http": 80, "https": 443, "ftp": 21}
 SCHEME = r"[A-Za-z][A-Za-z0-9+.-]*"
 URL = re.compile(rf"(?:({SCHEME}):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?", re.S)
+HOST = r"\[[0-9A-Fa-f:.]+\]|[^:\[\]]*"
 DOTS = r"(\A|/)\.{1,2}(/|\z)"
 #: What is percent-encoded in a path, a query and a fragment.
 ENCODED = {"path": r"""[^!-~]|["<>`{}]""", "query": r"""[^!-~]|["<>']""", "fragment": r"""[^!-~]|["<>`]"""}
@@ -69,14 +70,15 @@ def resolve(value: str | None, base: str | None) -> str:
         return scheme.lower() + own[len(scheme) :]
     scheme = scheme.lower()
     user, at, host = (host or "").rpartition("@")
-    host, port = re.fullmatch(r"(.*?)(?::([0-9]*))?", host, re.S).groups()
-    if not host or " " in host or ":" in host or int(port or 0) > 65535:
+    found = re.fullmatch(rf"({HOST})(?::([0-9]*))?", host)
+    host, port = found.groups() if found else ("", "")
+    if not host or " " in host or int(port or 0) > 65535:
         return ""
     port = "" if not port or int(port) == PORTS[scheme] else f":{int(port)}"
     if re.search(r"(^|/)\.{1,2}(/|\Z)", path):
         path = _without_dots(path)
     encode = lambda x, kind: re.sub(ENCODED[kind], lambda m: "".join(f"%{b:02X}" for b in m[0].encode(errors="replace")), x)
-    return f"{scheme}://{user}{at}{host.lower()}{port}{encode(path or '/', 'path')}" + (f"?{encode(query, 'query')}" if query else "") + (f"#{encode(fragment, 'fragment')}" if fragment else "")
+    return f"{scheme}://{user}{at}{host.lower()}{port}{encode(path or '/', 'path')}" + (f"?{encode(query, 'query')}" if query is not None else "") + (f"#{encode(fragment, 'fragment')}" if fragment is not None else "")
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -91,11 +93,11 @@ def _encode(text: Column, kind: str) -> Column:
 
 
 def _with_parts(text: Column, then: Callable[[Column], Column]) -> Column:
-    """then(parts of a URL); has_host and has_query tell empty ones from absent ones."""
+    """then(parts of a URL); has_host, has_query and has_fragment tell empty ones from absent ones."""
     text = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\t\n\r]", ""), r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
     begun = lambda t: F.struct(F.lower(F.regexp_extract(t, rf"\A({SCHEME}):", 1)).alias("scheme"), F.regexp_replace(t, rf"\A{SCHEME}:", "").alias("rest"))
     told = lambda x: F.struct(x["scheme"].alias("scheme"), x["rest"].alias("rest"), F.regexp_extract(x["rest"], r"\A//([^/?#]*)", 1).alias("host"), x["rest"].startswith("//").alias("has_host"), F.regexp_replace(x["rest"], r"\A//[^/?#]*", "").alias("tail"))
-    split = lambda x: F.struct(*[x[c].alias(c) for c in ("scheme", "rest", "host", "has_host")], F.regexp_extract(x["tail"], r"\A([^?#]*)", 1).alias("path"), F.regexp_extract(x["tail"], r"\A[^?#]*\?([^#]*)", 1).alias("query"), x["tail"].rlike(r"\A[^?#]*\?").alias("has_query"), F.regexp_extract(x["tail"], r"(?s)\A[^#]*#(.*)\z", 1).alias("fragment"))
+    split = lambda x: F.struct(*[x[c].alias(c) for c in ("scheme", "rest", "host", "has_host")], F.regexp_extract(x["tail"], r"\A([^?#]*)", 1).alias("path"), F.regexp_extract(x["tail"], r"\A[^?#]*\?([^#]*)", 1).alias("query"), x["tail"].rlike(r"\A[^?#]*\?").alias("has_query"), F.regexp_extract(x["tail"], r"(?s)\A[^#]*#(.*)\z", 1).alias("fragment"), x["tail"].contains("#").alias("has_fragment"))
     return _let(text, lambda t: _let(begun(t), lambda x: _let(told(x), lambda y: _let(split(y), then))))
 
 
@@ -112,16 +114,16 @@ def _joined(v: Column, b: Column) -> Column:
     bare = (v["scheme"] == "") & ~v["has_host"]
     folder = F.regexp_extract(b["path"], r"(?s)\A(.*/)", 1)
     path = F.when(~bare | v["path"].startswith("/"), v["path"]).when(v["path"] == "", b["path"]).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), v["path"]))
-    query = F.when(bare & (v["path"] == "") & ~v["has_query"], b["query"]).otherwise(v["query"])
+    asks = F.when(bare & (v["path"] == "") & ~v["has_query"], F.struct(b["has_query"].alias("has"), b["query"].alias("text"))).otherwise(F.struct(v["has_query"].alias("has"), v["query"].alias("text")))
     place = F.when(bare, b["host"]).otherwise(v["host"])
-    first = F.struct(F.when(own, v["scheme"]).otherwise(b["scheme"]).alias("scheme"), F.regexp_extract(place, r"(?s)\A(.*@)", 1).alias("user"), F.regexp_replace(place, r"(?s)\A.*@", "").alias("place"), path.alias("path"), query.alias("query"))
+    first = F.struct(F.when(own, v["scheme"]).otherwise(b["scheme"]).alias("scheme"), F.regexp_extract(place, r"(?s)\A(.*@)", 1).alias("user"), F.regexp_replace(place, r"(?s)\A.*@", "").alias("place"), path.alias("path"), asks.alias("asks"))
     digits = lambda x: F.regexp_extract(x["place"], r":([0-9]*)\z", 1)
-    second = lambda x: F.struct(*[x[c].alias(c) for c in ("scheme", "user", "path", "query")], F.regexp_extract(x["place"], r"(?s)\A(.*?)(:[0-9]*)?\z", 1).alias("host"), F.when(digits(x) != "", F.coalesce(digits(x).try_cast("int"), F.lit(1 << 20))).alias("port"))
+    second = lambda x: F.struct(*[x[c].alias(c) for c in ("scheme", "user", "path", "asks")], F.regexp_extract(x["place"], rf"\A({HOST})(:[0-9]*)?\z", 1).alias("host"), F.when(digits(x) != "", F.coalesce(digits(x).try_cast("int"), F.lit(1 << 20))).alias("port"))
     usual = F.create_map(*[F.lit(x) for pair in PORTS.items() for x in pair])
-    tail = lambda mark, text, kind: F.when(text == "", "").otherwise(F.concat(F.lit(mark), _encode(text, kind)))
+    tail = lambda mark, has, text, kind: F.when(~has, "").otherwise(F.concat(F.lit(mark), _encode(text, kind)))
     port = lambda x: F.when(x["port"].isNull() | (x["port"] == F.try_element_at(usual, x["scheme"])), "").otherwise(F.concat(F.lit(":"), x["port"].cast("string")))
-    url = lambda x: F.concat(x["scheme"], F.lit("://"), x["user"], F.lower(x["host"]), port(x), _let(_undotted(x["path"]), lambda p: _encode(p, "path")), tail("?", x["query"], "query"), tail("#", v["fragment"], "fragment"))
-    bad = lambda x: (x["host"] == "") | x["host"].contains(" ") | x["host"].contains(":") | F.coalesce(x["port"] > 65535, F.lit(False))
+    url = lambda x: F.concat(x["scheme"], F.lit("://"), x["user"], F.lower(x["host"]), port(x), _let(_undotted(x["path"]), lambda p: _encode(p, "path")), tail("?", x["asks"]["has"], x["asks"]["text"], "query"), tail("#", v["has_fragment"], v["fragment"], "fragment"))
+    bad = lambda x: (x["host"] == "") | x["host"].contains(" ") | F.coalesce(x["port"] > 65535, F.lit(False))
     return F.when(own & ~known(v), F.concat(v["scheme"], F.lit(":"), v["rest"])).when(~own & ~known(b), "").otherwise(_let(first, lambda x: _let(second(x), lambda y: F.when(bad(y), "").otherwise(url(y)))))
 
 
