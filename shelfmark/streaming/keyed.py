@@ -5,10 +5,12 @@ Each takes a batch too, with the same rows. Null keys are one key. State is kept
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -28,8 +30,9 @@ def _named(rows: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.Data
 
 
 def _stateful(df: DataFrame) -> None:
-    """Queries of this session that start from now on keep their state in RocksDB, as keyed processors need it."""
+    """Queries of this session that start from now on keep their state in RocksDB, as keyed processors need it. The processors are sent whole: what sets them up on the driver may not find this package."""
     ship(df.sparkSession)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
