@@ -44,14 +44,16 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
     words before a bucket come from sums by bucket, those before a row from a window inside its bucket. buckets: by default one for
     each BUCKET_ROWS rows; the result is the same for any number.
 
-    Null sources are one source, after all others. Null doc_ids and repeated rows are rows like others (ties go by size, and
-    equal rows are interchangeable). Rows of size 0 take 0. An empty table gives an empty table. Columns of docs named
+    Null sources are one source, after all others. Null doc_ids and repeated rows are rows like others: the key of a row without a
+    doc_id is made of its size and of what the row holds, so that such rows spread over the buckets (ties go by size; equal rows are
+    interchangeable, and share a bucket). Rows of size 0 take 0. An empty table gives an empty table. Columns of docs named
     source_size, target or taken are replaced; all others are kept, whatever their names.
     """
     docs = docs.drop("source_size", "target", "taken")
     if buckets is None:
         buckets = max(1, docs.count() // BUCKET_ROWS)
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    held = F.concat_ws(":", F.lit("null"), F.col("size").cast("string"), F.xxhash64(F.struct("*").cast("string")).cast("string"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), held)))
     # the row is one column here, so that no name in it can clash
     rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), F.col("size").alias("size"), F.col("doc_id").alias("id"), key.alias("key"))
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * buckets / float(1 << 32)).cast("long"))

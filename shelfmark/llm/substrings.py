@@ -187,22 +187,23 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) ->
     release(spark)
     bodies = written(pieces.groupBy("anchor", "body", "n").agg(F.min(F.struct("doc_id", "start")).alias("s")).select("anchor", "body", "n", F.col("s.doc_id").alias("src_doc"), F.col("s.start").alias("src_pos")), "bodies")
     # 3: window by window where an anchor has several bodies
-    several = bodies.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor")
+    # what is grouped on a join's key is written before that join, so that Spark can split a hot key
+    several = written(bodies.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"), "several")
     partial = written(bodies.join(several, "anchor", "left_semi"), "partial")
     listed = partial.groupBy(F.col("src_doc").alias("doc_id")).agg(F.collect_list(F.struct(F.col("src_pos").alias("start"), "n", "body")).alias("pieces"))
     windows = written(source.join(listed, "doc_id").mapInArrow(_windows(length), "body long, off int, window long, src_doc long, src_pos int"), "windows")
     release(spark)
-    firsts = windows.groupBy("window").agg(F.min(F.struct("src_doc", "src_pos")).alias("s"))
+    firsts = written(windows.groupBy("window").agg(F.min(F.struct("src_doc", "src_pos")).alias("s")), "firsts")
     matched = windows.select("body", "off", "window").join(firsts, "window").select("body", "off", F.col("s.src_doc").alias("src_doc"), (F.col("s.src_pos") - F.col("off")).alias("base"))
     by = Window.partitionBy("body", "src_doc", "base").orderBy("off")
     parts = matched.withColumn("island", F.col("off") - F.row_number().over(by)).groupBy("body", "src_doc", "base", "island").agg(F.min("off").alias("off"), F.count("*").cast("int").alias("n"))
     parts = parts.select("body", "off", "n", "src_doc", (F.col("base") + F.col("off")).alias("src_pos"))
-    whole = bodies.join(partial.select("anchor").distinct(), "anchor", "left_anti").select("body", F.lit(0).alias("off"), "n", "src_doc", "src_pos")
+    whole = bodies.join(several, "anchor", "left_anti").select("body", F.lit(0).alias("off"), "n", "src_doc", "src_pos")
     edges = whole.union(parts)
     # 4: each document's repeated edges, compacted to spans along paths of the source
     walked = pieces.select("doc_id", "start", "body").join(edges, "body").filter("src_doc < doc_id").select("doc_id", (F.col("start") + F.col("off")).alias("start"), "n", "src_doc", "src_pos")
     walked = written(walked, "walked")
-    for x in (pieces, bodies, partial, windows):
+    for x in (pieces, anchors, bodies, several, partial, windows, firsts):
         drop_written(x)
     release(spark)
     paths = compacted(walked.select("src_doc", "src_pos", "n").distinct())

@@ -281,6 +281,37 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_hub_is_split(spark):
+    """The join of a step, as components() writes it: a node with most of the links is dealt to several tasks."""
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        links = spark.range(1, 300_000, 1, 8).selectExpr("IF(id % 4 = 0, id, 0L) AS a", "id AS b")
+        joined = graph.written(links, "hub").join(graph.written(links.groupBy("a").agg(F.min("b").alias("m")), "hub-least"), "a")
+        joined.write.format("noop").mode("overwrite").save()
+        assert joined.count() == 299_999 and "skew=true" in _final_plan(joined)
+        roots = graph.components(spark.range(1, 20_000).selectExpr("0L AS a", "id AS b"))
+        assert roots.count() == 20_000 and roots.filter("root <> 0").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _final_plan(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_without_a_doc_id_spread(spark):
+    """Many null doc_ids don't share a bucket, and the budget is still met to the word."""
+    rows = spark.range(4000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'s' AS source", "1 + id % 7 AS size", "id AS other")
+    out = mixing.mix_sources(rows, buckets=40).collect()
+    assert sum(r.taken for r in out) == int(out[0].target + 0.5) and {r.other for r in out} == set(range(4000))
+    assert sorted(r.taken for r in out) == sorted(r.taken for r in mixing.mix_sources(rows, buckets=1).collect())
+
+
 def test_pieces(spark, docs, empty):
     import sentencepiece
 
@@ -369,7 +400,7 @@ def test_mixing(spark, docs, empty):
 def test_quality(spark, docs, empty):
     out = quality.quality(docs)
     assert out.count() == len(ROWS)
-    assert {tuple(r) for r in out.filter("doc_id IN (3, 4, 5)").drop("doc_id").collect()} == {(0, 0, 0, 0, 0, True, 0, False)}
+    assert {tuple(r) for r in out.filter("doc_id IN (3, 4, 5)").drop("doc_id").collect()} == {(0, 0, 0, 0, 0, True, 0, False, True)}
     assert quality.quality(empty).count() == 0
     lines = [(i, "\n".join([f"own {i} " + " ".join(f"u{i}x{j}" for j in range(60)), "Common  LINE here"] + ["also common " * 40] * (i % 2)), "h") for i in range(30)]
     got = {r.doc_id: (r.kept, r.n_common_words) for r in quality.quality(spark.createDataFrame(lines, "doc_id long, text string, source string")).collect()}
@@ -390,7 +421,9 @@ def test_common_lines_go(spark, docs, empty):
     assert {(r.kept, r.left_failed) for r in got.values() if r.doc_id % 2} == {(True, False), (False, True)} and got[99].left_failed
     assert (got[0].kept, got[0].n_words, got[0].left_failed) == (True, 55, False)
     short = quality.cleaned(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_words=54).filter("doc_id = 0").first()
-    assert (short.kept, short.left_failed) == (True, True)
+    assert (short.kept, short.base_failed, short.left_failed) == (False, False, True)  # what is left of it has 52 words
+    hot = [(i, f"{own(i, 60)}\nevery host's line", None) for i in range(400)]
+    assert {(r.n_common_words, r.kept) for r in quality.quality(spark.createDataFrame(hot, "doc_id long, text string, source string")).collect()} == {(3, True)}
     assert sorted(r.kept_text for r in quality.cleaned(docs).collect()) == sorted(t or "" for _, t, _, _ in ROWS) and quality.cleaned(empty).count() == 0
 
 
