@@ -12,23 +12,24 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bytesops as B
-from shelfmark.shared import drop_written, scratch, table, width, written
+from shelfmark.llm.session import BATCH_BYTES
+from shelfmark.shared import drop_written, scratch, shuffles_dropped, table, width, written
 
 END_ID = 1
 #: A chunk ends where the hash of WINDOW ids has its low CUT_BITS bits 0, and after LONGEST ids at the latest.
 WINDOW, CUT_BITS, LONGEST = 8, 8, 2048
-#: Words and parts of words that an encoder remembers.
-WORDS, PARTS = 500_000, 1_200_000
+#: Words and parts of words that an encoder remembers, and the bytes that each of the two may hold.
+WORDS, PARTS, MOST_BYTES = 500_000, 1_200_000, 64 << 20
 
 #: Fixed value: what the pre-tokenizer keeps, in the tokenizers whose words are encoded on their own.
 PARTED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CORE = re.compile(r"([(\"\[]*)([a-zß-öø-ÿÀ-ÖØ-Þ]+)([.,;:!?)\"\]|]*)")
 _encoders: dict[str, Encoder] = {}
-_rolling = B.Rolling()
 
 
 def default_tokenizer() -> str:
@@ -38,7 +39,7 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """The ids of a text, as little-endian bytes, by way of its words.
+    """The ids of texts by way of their words.
 
     For tokenizers that drop white space and never look across it (word_bpe_49k.json, by its settings), a text's ids are those of its words in
     turn, and A-Z may be lowered first. Words are kept, so that the library sees each distinct word about once per worker. A
@@ -51,7 +52,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole, self.most, self.most_parts = Tokenizer.from_file(path), words, parts
-        self.model, self.seen, self.parts = self.whole.model, {}, {}
+        self.model, self.seen, self.parts, self.held, self.held_parts = self.whole.model, {}, {}, 0, 0
         self.split_ok = self._split_ok()
         self.bytes_as = self._byte_letters()
 
@@ -89,12 +90,12 @@ class Encoder:
             else:
                 ids = self._ids(text)
             out = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.parts) < self.most_parts:
+            if len(self.parts) < self.most_parts and self.held_parts < MOST_BYTES:
                 self.parts[text] = out
+                self.held_parts += len(text) + len(out)
         return out
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8")
+    def _word(self, text: str) -> bytes:
         if m := CORE.fullmatch(text):
             a, core, z = m.groups()
             out = self._part(core.lower(), True)
@@ -102,22 +103,40 @@ class Encoder:
         ids = self._ids(text)
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: bytes) -> bytes:
-        low = text.lower()
-        if not self.split_ok or any(x in low for x in self.added):  # added tokens are found in the text as it is written
-            return np.array(self._ids(text.decode("utf-8")), "<u4").tobytes()
-        own, seen = low.split(), self.seen
-        found = list(map(seen.get, own))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    w = own[i]
-                    if w not in seen:
-                        seen[w] = self._word(w)
-                    found[i] = seen[w]
-            if len(seen) > self.most:
-                seen.clear()
-        return b"".join(found)
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words. Words are remembered until MOST_BYTES are; a text's first words are mostly its most frequent."""
+        out = list(map(self.seen.get, words))
+        for i, x in enumerate(out):
+            if x is None:
+                out[i] = x = self._word(words[i])
+                if len(self.seen) < self.most and self.held < MOST_BYTES:
+                    self.seen[words[i]] = x
+                    self.held += len(words[i]) + len(x)
+        return out
+
+    def batch(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, at): the ids of all texts, end_id after each text's, and the place where each text's begin and the last ends.
+
+        Arrow splits the texts and finds the distinct words; numpy lays out the ids of their occurrences. A null text is an empty one.
+        """
+        low = pc.ascii_lower(column.cast(pa.string()).fill_null(""))
+        alone = np.full(len(low), not self.split_ok)
+        for x in self.added:  # added tokens are found in the text as it is written
+            alone |= pc.match_substring(low, x.decode()).to_numpy(zero_copy_only=False)
+        split = pc.ascii_split_whitespace(pc.if_else(pa.array(alone), "", low) if alone.any() else low)
+        words, bounds = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        distinct = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary), "\n")[0].as_py().split("\n")  # no word has a line's end
+        held = [*self._of_words(distinct if len(words.dictionary) else []), struct.pack("<I", end_id)]
+        index = np.insert(words.indices.to_numpy(), bounds[1:] - bounds[0], len(held) - 1)
+        for i in np.flatnonzero(alone).tolist():  # one word, the whole text, before its end id
+            held.append(np.array(self._ids(column[i].as_py() or ""), "<u4").tobytes())
+            index[bounds[i] - bounds[0] + i] = len(held) - 1
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        flat, start = np.frombuffer(b"".join(held), "<u4"), np.cumsum(size) - size
+        n = size[index]
+        done = np.cumsum(n)
+        ids = flat[np.repeat(start[index] - (done - n), n) + np.arange(done[-1] if len(done) else 0)]
+        return ids, np.concatenate(([0], done))[np.concatenate(([0], bounds[1:] - bounds[0] + np.arange(1, len(low) + 1)))]
 
 
 def encoder(path: str) -> Encoder:
@@ -126,21 +145,31 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def cuts(ids: np.ndarray, window: int = WINDOW, bits: int = CUT_BITS, longest: int = LONGEST) -> np.ndarray:
-    """The ends of the chunks. A cut depends on the window before it only, so equal passages have equal chunks inside."""
+def cuts(ids: np.ndarray, texts: np.ndarray | None = None, window: int = WINDOW, bits: int = CUT_BITS, longest: int = LONGEST) -> np.ndarray:
+    """The ends of the chunks of texts that follow each other; texts: their ends, by default one.
+
+    A cut depends on the window (a power of two) before it only, so equal passages have equal chunks inside. No window goes over a text's
+    begin: a text of no more ids than a window is one chunk.
+    """
     n = len(ids)
-    at = np.arange(1, n + 1)
-    h = _rolling.ranges(_rolling.sums(B.mix(ids.astype(np.uint64) + np.uint64(1))), np.maximum(at - window, 0), at)
-    ends = np.flatnonzero(h & np.uint64((1 << bits) - 1) == 0) + 1
-    out, last = [], 0
-    for e in [*ends[ends < n].tolist(), n]:
-        while e - last > longest:
-            last += longest
-            out.append(last)
-        if e > last:
-            out.append(e)
-            last = e
-    return np.array(out, np.int64)
+    texts = np.array([n] if texts is None else texts, np.int64)
+    with np.errstate(over="ignore"):
+        h, width, power = B.mix(ids.astype(np.uint64) + np.uint64(1)), 1, B.SEQ_P
+        while width < window:  # of the width ids up to each place, then of twice as many
+            h[width:] += power * h[:-width].copy()
+            width, power = 2 * width, power * power
+    hit = h >> np.uint64(64 - bits) == 0
+    for i in range(window - 1):
+        begins = np.concatenate(([0], texts[:-1])) + i
+        hit[begins[begins < n]] = False
+    hit[texts[texts > 0] - 1] = True
+    ends = np.flatnonzero(hit) + 1
+    gaps = np.diff(ends, prepend=0)
+    more = (gaps - 1) // longest  # cuts inside gaps that are longer than a chunk may be
+    if more.any():
+        begin, k = np.repeat(ends - gaps, more), np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+        ends = np.sort(np.concatenate((ends, begin + longest * (k + 1))))
+    return ends
 
 
 def merkle(digests: list[bytes]) -> bytes:
@@ -160,43 +189,50 @@ ENCODED = "doc_id long, n_tokens long, root binary, digests array<binary>, fresh
 REMEMBERED = 500_000
 
 
-def packed(chunk: bytes) -> dict:
-    """A chunk's ids for its file: 16-bit ids where all fit, else 32-bit, little-endian. The file compresses them, many chunks at a time."""
-    ids = np.frombuffer(chunk, "<u4")
-    wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
-    return {"n_ids": len(ids), "wide": wide, "data": chunk if wide else ids.astype("<u2").tobytes()}
-
-
 def unpacked(data: bytes, wide: bool) -> bytes:
+    """A chunk's ids in 32 bits each, from its file's: those in 16 bits where all fit, else in 32."""
     return data if wide else np.frombuffer(data[: len(data) // 2 * 2], "<u2").astype("<u4").tobytes()
 
 
 def _kept(df: DataFrame, path: str) -> DataFrame:
     """df in a Parquet file at path, in zstd pages, read back."""
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _listed(values: pa.Array, ends: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), values)
+
+
 def _encode(path: str, end_id: int):
     def run(batches):
-        own, end, sent = encoder(path), np.array([end_id], "<u4").tobytes(), set()
-        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("fresh", pa.list_(pa.struct([("digest", pa.binary()), ("n_ids", pa.int64()), ("wide", pa.bool_()), ("data", pa.binary())])))])
-        for batch in B.groups(batches):
-            raw, at = B.buffers(batch.column("text"))
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), B.texts(raw, at), strict=True):
-                data = own.encode(text) + end
-                bounds = [0, *(4 * cuts(np.frombuffer(data, "<u4"))).tolist()]
-                named, fresh = [], []
-                for x, y in zip(bounds, bounds[1:], strict=False):
-                    named.append(name := digest(data[x:y]))
-                    if name not in sent:
-                        sent.add(name)
-                        fresh.append({"digest": name} | packed(data[x:y]))
-                rows.append({"doc_id": doc_id, "n_tokens": len(data) // 4, "root": merkle(named), "digests": named, "fresh": fresh})
+        own, sent = encoder(path), set()
+        for batch in B.groups(batches, most=BATCH_BYTES):
+            ids, at = own.batch(batch.column("text"), end_id)
+            ends = cuts(ids, at[1:])
+            last = np.searchsorted(ends, at[1:]) + 1  # the number of chunks up to each text's end
+            wide = np.maximum.reduceat(ids, np.concatenate(([0], ends[:-1]))) > 0xFFFF
+            words, halves = ids.astype("<u4").tobytes(), ids.astype("<u2").tobytes()
+            bounds = [0, *ends.tolist()]
+            names = [digest(words[4 * x : 4 * y]) for x, y in zip(bounds, bounds[1:], strict=False)]
+            fresh, fresh_ends, first = [], [], 0
+            for to in last.tolist():
+                for k in range(first, to):
+                    if names[k] not in sent:
+                        sent.add(names[k])
+                        fresh.append(k)
+                fresh_ends.append(len(fresh))
+                first = to
             if len(sent) > REMEMBERED:
                 sent.clear()
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            data = [words[4 * bounds[k] : 4 * bounds[k + 1]] if wide[k] else halves[2 * bounds[k] : 2 * bounds[k + 1]] for k in fresh]
+            sizes = np.diff(ends, prepend=0)
+            chunks = pa.StructArray.from_arrays([pa.array([names[k] for k in fresh], pa.binary()), pa.array(sizes[fresh], pa.int64()), pa.array(wide[fresh]), pa.array(data, pa.binary())], ["digest", "n_ids", "wide", "data"])
+            lasts = last.tolist()
+            roots = [merkle(names[x:y]) for x, y in zip([0, *lasts], lasts, strict=False)]
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(at)), pa.array(roots, pa.binary()), _listed(pa.array(names, pa.binary()), lasts), _listed(chunks, fresh_ends)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "root", "digests", "fresh"])
 
     return run
 
