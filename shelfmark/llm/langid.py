@@ -174,7 +174,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = S
     slim = near.select("lang", "h", F.slice(F.array_sort(F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), 1, sample_words)["w"].alias("words"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "words"))
     rows = slim.withColumn("rank", rank).filter(F.col("rank") <= sample_docs).collect()
-    pairs = sorted({(r.lang, w.lower().encode()) for r in rows for w in r.words})
+    pairs = sorted({(r.lang, w.encode().lower()) for r in rows for w in r.words})
     if not pairs:
         return None
     net = Network(labels)
