@@ -257,6 +257,19 @@ def test_a_large_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: find(i) for i in range(len(rows))}
 
 
+def test_bitmaps_bound_the_difference():
+    """Bitmaps never differ in more bits than their sets in shingles; sets of any size, empty ones too."""
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 7, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for gone in (0, 1, n // 3):
+            b = np.unique(np.concatenate((a[gone:], rng.integers(0, 1 << 63, gone).astype(np.uint64))))
+            x, y = nearcopies._bitmap(a), nearcopies._bitmap(b)
+            assert len(x) == nearcopies.SKETCH
+            bits = sum(((int(i) ^ int(j)) & (1 << 64) - 1).bit_count() for i, j in zip(x, y, strict=True))
+            assert bits <= len(np.setxor1d(a, b)) and (gone or bits == 0)
+
+
 @pytest.mark.parametrize("most", [0, 1, 2])
 def test_near_prints_against_brute_force(spark, most):
     rng = np.random.default_rng(most)
