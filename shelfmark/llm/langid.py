@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from shelfmark.llm import bytesops as B
 from shelfmark.shared import table
 
-#: The training sample: at most so many documents of each language, with at most so many distinct words of each document.
-SAMPLE_DOCS, SAMPLE_WORDS = 150, 200
-HIDDEN, EMBED, LONGEST, STEPS, BATCH, RATE, SEED = 16, 8, 24, 700, 256, 0.02, 7
+#: The training sample: at most so many documents of each language, read whole.
+SAMPLE_DOCS = 150
+#: Backpropagation goes through so many bytes: longer words are trained on in consecutive pieces.
+THROUGH = 24
+HIDDEN, EMBED, STEPS, BATCH, RATE, SEED = 16, 8, 700, 256, 0.02, 7
 EDGE = 256  # the mark before and after a word
 #: Bytes of a piece of a long word; shorter words that a task remembers.
 PIECE, CACHE = 64, 400_000
@@ -159,9 +161,9 @@ class Network:
                 p -= now * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Network | None:
-    """Fit on docs (doc_id, text, lang): of each language the sample_docs documents with the least hash of doc_id and text, and of
-    each of those the sample_words distinct words with the least hash (and at most LONGEST bytes). None if no row has text and lang."""
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network | None:
+    """Fit on docs (doc_id, text, lang): on all distinct words of the sample_docs documents of each language with the least hash of
+    doc_id and length of text. None if no row has text and lang."""
     docs = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.xxhash64(F.col("doc_id").cast("string"), F.length("text")).alias("h"), "text")
     sizes = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     labels = sorted(sizes)
@@ -170,11 +172,12 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = S
     # a bound on the hash that leaves about twice the sample of each language, then the exact cut
     share = F.element_at(F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, (2 * sample_docs + 50) / sizes[k]))]), F.col("lang"))
     near = docs.filter((F.col("h") / float(1 << 64) + 0.5) <= share)
-    words = F.filter(F.array_distinct(F.split("text", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+")), lambda w: (w != "") & (F.octet_length(w) <= LONGEST))
-    slim = near.select("lang", "h", F.slice(F.array_sort(F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), 1, sample_words)["w"].alias("words"))
+    words = F.array_sort(F.array_distinct(F.split("text", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "words"))
-    rows = slim.withColumn("rank", rank).filter(F.col("rank") <= sample_docs).collect()
-    pairs = sorted({(r.lang, w.encode().lower()) for r in rows for w in r.words})
+    chosen = near.select("lang", "h", words.alias("words")).withColumn("rank", rank).filter(F.col("rank") <= sample_docs)
+    rows = chosen.select("lang", F.explode("words").alias("word")).filter("word <> ''").distinct().collect()
+    held = ((r.lang, r.word.encode().lower()) for r in rows)
+    pairs = sorted({(lang, w[i : i + THROUGH]) for lang, w in held for i in range(0, len(w), THROUGH)})
     if not pairs:
         return None
     net = Network(labels)
@@ -236,7 +239,8 @@ PARTS = bytes(c if LETTER[c] else 32 for c in range(256))
 def identify(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, lang_pred, score: the language with the largest pooled probability, and that probability.
 
-    A document's probabilities are the means over all positions of all its words. lang_pred is `und`, score 0, for a null text, one
+    A document's probabilities are the means over all positions of all its words. The network is fitted on at most SAMPLE_DOCS
+    documents of each language. lang_pred is `und`, score 0, for a null text, one
     without a letter, and all texts if learn_from (doc_id, text, lang) has no row with both text and lang. Repeated rows and
     null doc_ids get a row each. An empty table gives an empty table. Other columns are ignored.
     """
