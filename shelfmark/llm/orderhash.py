@@ -92,22 +92,24 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select("id", "text", F.coalesce("id", F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(F.col("id").isNull(), "text").alias("key"))  # keys without nulls join on plain equality
     # shuffled once for both of its joins, to parts whose k-mers fit in memory: they are several times as large as the texts
-    base = docs.repartition(SPREAD * width(docs.sparkSession), "doc_id", "key").groupBy("doc_id", "key").agg(F.first(F.struct("id", "text")).alias("row"))
-    lengths = written(docs.groupBy("doc_id", "key", F.length("text").alias("n_chars")).agg(F.count("*").cast("int").alias("copies")), "lengths")
+    base = docs.repartition(SPREAD * width(docs.sparkSession), "doc_id", "key").groupBy("doc_id", "key").agg(F.first("text").alias("text"))
+    lengths = written(docs.groupBy("doc_id", "key", F.length("text").alias("n_chars")).agg(F.count("*").cast("int").alias("copies"), F.first("id").alias("id")), "lengths")
     wanted = written(successors(lengths.select("doc_id", "key")).join(lengths, ["doc_id", "key"]).withColumn("half", F.expr("CAST(n_chars div 2 AS INT)")), "successors")
     drop_written(lengths)
-    heads = base.select(F.col("doc_id").alias("next_id"), F.col("key").alias("next_key"), "row").join(wanted, ["next_id", "next_key"])
-    heads = heads.select("doc_id", "key", "n_chars", "copies", "half", "next_id", "next_key", F.expr("substring(row.text, 1, half)").alias("head"))
-    both = base.join(heads, ["doc_id", "key"]).select("*", "row.id", "row.text").withColumn("edited", F.expr("concat(substring(text, 1, CAST(n_chars - half AS INT)), head)"))
+    # fingerprints and digests need the same columns of texts and heads, so that they share what is shuffled; the rest joins later
+    heads = base.select(F.col("doc_id").alias("next_id"), F.col("key").alias("next_key"), "text").join(wanted, ["next_id", "next_key"])
+    heads = heads.select("doc_id", "key", "half", F.expr("substring(text, 1, half)").alias("head"))
+    both = base.join(heads, ["doc_id", "key"]).withColumn("edited", F.expr("concat(substring(text, 1, CAST(length(text) - half AS INT)), head)"))
     each = both.select("doc_id", "key", F.explode(F.array(F.struct(F.lit(0).alias("edit"), "text"), F.struct(F.lit(1).alias("edit"), F.col("edited").alias("text")))).alias("x"))
     marks = fingerprints(each.select("doc_id", "key", "x.edit", "x.text"), ["doc_id", "key", "edit"])
     of = lambda edit, name: F.max(F.when(F.col("edit") == edit, F.col("fingerprint"))).alias(name)
     marks = marks.groupBy("doc_id", "key").agg(of(0, "fingerprint"), of(1, "edited_fingerprint"))
     # the texts lie where their k-mers do, so that one job shuffles them once
-    facts = both.select("id", "doc_id", "key", "copies", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "next_id", "next_key")
-    marked = written(facts.join(marks, ["doc_id", "key"]), "fingerprints")
+    facts = both.select("doc_id", "key", F.sha2("edited", 256).alias("edited_sha256"))
+    known = wanted.select("id", "doc_id", "key", "copies", F.col("n_chars").cast("long").alias("n_chars"), "next_id", "next_key")
+    marked = written(facts.join(marks, ["doc_id", "key"]).join(known, ["doc_id", "key"]), "fingerprints")
     drop_written(wanted)
-    del base, heads, both, each, marks, facts
+    del base, heads, both, each, marks, facts, known
     release(docs.sparkSession)
     nexts = marked.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("fingerprint").alias("next"))
     out = marked.join(nexts, F.expr("next_id = _id AND next_key = _key"))
