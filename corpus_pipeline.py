@@ -29,7 +29,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (5-word shingles, Jaccard similarity of 0.8 or more) the document with the smallest doc_id stays."""
+    """Of each component of near copies (5-word shingles, Jaccard similarity of 0.8 or more) the document with the smallest doc_id stays.
+
+    op5's fingerprints and their links come first, each link is checked on the shingles, and a join on shingles adds the pairs that no radius of bits holds."""
     ready(spark)
     gone = near_copies(docs).filter("component_id < doc_id").select("doc_id").distinct()
     return docs.join(written(gone, "copies"), "doc_id", "left_anti").select(COLUMNS)

@@ -1,4 +1,4 @@
-"""Near copies by the exact Jaccard similarity of word shingles: a prefix-filtered join, a bound from parity bitmaps, then verification of every candidate.
+"""Near copies by the exact Jaccard similarity of word shingles: SimHash links and a prefix-filtered join, a bound from parity bitmaps, then verification of every candidate.
 
 A set's bitmap has SKETCH words of 64 bits; each shingle flips one of them. Two bitmaps differ in at most as many bits as their sets
 differ in shingles, so a pair whose bitmaps differ in more than the similarity allows is none, whatever else its texts hold.
@@ -9,11 +9,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bytesops as B
 from shelfmark.llm.graph import components
+from shelfmark.llm.simhash import fingerprint, near_prints
 from shelfmark.shared import drop_written, release, written
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -22,6 +23,8 @@ BUCKETS = 1 << 16
 #: Longs of a bitmap. Of sets with some thousands of shingles it rules out little; they are verified.
 SKETCH = 8
 SKETCHES = [f"s{i}" for i in range(SKETCH)]
+#: So many of a set's first shingles tell whether a pair has met before. It decides the speed only.
+EARLY = 32
 #: Sets that a task knows it has sent already.
 REMEMBERED = 200_000
 
@@ -60,19 +63,24 @@ def _bitmap(held: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _prints(column: pa.Array) -> pa.Array:
+    """The SimHash of each text, as op5 has it; 0 without words."""
+    return pa.array([fingerprint(own, seed=SEED) if (own := text.lower().split()) else 0 for text in B.texts(*B.buffers(column))], pa.uint64()).view(pa.int64())
+
+
 def _facts(shingle: int):
-    """(doc_id, id of the set, its size, its bitmap s0, s1, ...) of each text, and a last row for each task with its buckets' counts."""
+    """(doc_id, id of the set, its size, the text's SimHash, the set's bitmap s0, s1, ...) of each text, and a last row for each task with its buckets' counts."""
 
     def run(batches):
-        names = ["doc_id", "id", "size", *SKETCHES]
+        names = ["doc_id", "id", "size", "bits", *SKETCHES]
         schema = pa.schema([*((name, pa.int64()) for name in names), ("counts", pa.list_(pa.int64()))])
         counts, own = np.zeros(BUCKETS, np.int64), Shingles(shingle)
         for batch in B.groups(batches):
             sets = own(batch.column("text"))
             counts += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
             ids, sizes = pa.array([_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())
-            bits = [pa.array(column) for column in np.array([_bitmap(x) for x in sets]).T]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), ids, sizes, *bits, pa.nulls(len(ids), schema.field("counts").type)], schema=schema)
+            sketches = [pa.array(column) for column in np.array([_bitmap(x) for x in sets]).T]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), ids, sizes, _prints(batch.column("text")), *sketches, pa.nulls(len(ids), schema.field("counts").type)], schema=schema)
         yield pa.RecordBatch.from_pylist([dict.fromkeys(names) | {"counts": counts.tolist()}], schema=schema)
         del own
         B.give_back()
@@ -126,11 +134,30 @@ def _verified(shingle: int, similarity: float):
     return run
 
 
+def _linked(every: DataFrame) -> DataFrame:
+    """(a, b) of the facts: sets of texts with one fingerprint, each against the least, and the least of each two fingerprints that are linked."""
+    sets = every.filter("counts IS NULL").select("bits", "id").distinct()
+    leads = written(sets.groupBy("bits").agg(F.min("id").alias("lead")), "copies-prints")
+    near = written(near_prints(leads.select("bits")), "copies-near")
+    own = sets.join(leads, "bits").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    lead = lambda end: leads.select(F.col("bits").alias(end), F.col("lead").alias(f"lead_{end}"))
+    other = near.join(lead("a"), "a").join(lead("b"), "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
+    return own.union(other).filter("a <> b")
+
+
+def _met(parts: DataFrame, test: Column) -> DataFrame:
+    """(a, b) of parts (h, id, part, early, ...): the sets of different parts that meet in a shingle h and pass the test. A pair that shares many shingles gives a row for the first of them alone, if both have it among their `early` ones."""
+    once = F.coalesce(F.try_element_at(F.array_intersect("a.early", "b.early"), F.lit(1)) == F.col("a.h"), F.lit(True))
+    pairs = parts.alias("a").join(parts.alias("b"), F.expr("a.h = b.h AND a.id < b.id AND a.part <> b.part") & test & once)
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, component_id): a row each; component_id is the smallest doc_id that a chain of near copies reaches.
 
     Near copies have a Jaccard similarity of their shingle sets of `similarity` (over 0) or more. Equal sets are one class before pairs are
-    made. Two sets that similar share one of their first n - ceil(similarity * n) + 1 shingles in any common order, so that no pair
+    made. SimHash goes first: texts whose fingerprints are equal or linked (see simhash.near_prints) are verified, as no radius of
+    bits is sure to hold all similar pairs, nor only such. The join finds the rest. Two sets that similar share one of their first n - ceil(similarity * n) + 1 shingles in any common order, so that no pair
     is missed; rare shingles go first. Of the sets that meet in a shingle, first each is held against one of them, the least; then only
     pairs of different components are left to try, so that a large group of near copies costs pairs in proportion to its
     members. Of both, the pairs whose bitmaps don't rule them out are verified on the texts. Sets are of 64-bit hashes.
@@ -142,7 +169,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
         raise ValueError("similarity must be over 0 and at most 1")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = written(docs.mapInArrow(_facts(shingle), "doc_id long, id long, size long, " + "".join(f"{s} long, " for s in SKETCHES) + "counts array<long>"), "copies-facts")
+    every = written(docs.mapInArrow(_facts(shingle), "doc_id long, id long, size long, bits long, " + "".join(f"{s} long, " for s in SKETCHES) + "counts array<long>"), "copies-facts")
     counts = np.zeros(BUCKETS, np.int64)
     for r in every.filter("counts IS NOT NULL").select(F.posexplode("counts").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
         counts[r["at"]] = r["n"]
@@ -160,7 +187,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     able = F.expr(f"a.n >= {similarity} * b.n - 1e-6 AND b.n >= {similarity} * a.n - 1e-6 AND least(a.n - a.at, b.n - b.at) >= {similarity} / (1 + {similarity}) * (a.n + b.n) - 1e-6")
     leads = shared.filter("id = lead").select("h", "id", "n", "at").distinct()
     pairs = leads.alias("a").join(shared.alias("b"), F.expr("a.h = b.h AND a.id <> b.id") & able)
-    pairs = written(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "copies-pairs")
+    pairs = written(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).union(_linked(every)).distinct(), "copies-pairs")
     # sets of m and n shingles that similar differ in at most (1 - similarity) / (1 + similarity) * (m + n) of them
     apart = "+".join(f"bit_count(a.{s} ^ b.{s})" for s in SKETCHES)
     close = F.expr(f"{apart} <= {1 - similarity} / {1 + similarity} * (a.size + b.size) + 1e-6")
@@ -182,10 +209,14 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     known = written(components(verified(written(likely, "copies-likely"))).select(F.col("node").alias("id"), F.col("root").alias("part")), "copies-known")
     parts = written(shared.join(known, "id", "left").select("h", "id", "n", "at", F.coalesce("part", "id").alias("part")), "copies-parts")
     drop_written(shared)
-    mixed = written(parts.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("h"), "copies-several")
-    parts = written(parts.join(mixed, "h", "left_semi").join(sketches, "id"), "copies-mixed")
-    rest = parts.alias("a").join(parts.alias("b"), F.expr("a.h = b.h AND a.id < b.id AND a.part <> b.part") & able & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    rest = verified(written(rest.join(pairs, ["a", "b"], "left_anti"), "copies-rest"))
+    # of shingles with the same sets the first one in the common order says all: equal lists by two sums of 64-bit hashes
+    sums = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)")).alias(f"sum{k}") for k in range(2)]
+    mixed = parts.distinct().groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q"), *sums, F.min(F.struct("id", "at")).alias("first")).filter("p < q")
+    mixed = written(mixed.groupBy("sum0", "sum1").agg(F.min_by("h", F.col("first.at")).alias("h")).select("h"), "copies-several")
+    parts = written(parts.join(mixed, "h", "left_semi").distinct(), "copies-mixed")
+    early = parts.groupBy("id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), 1, EARLY).alias("early"))  # a set's shingles
+    parts = written(parts.join(sketches, "id").join(early, "id"), "copies-sketched")
+    rest = verified(written(_met(parts, able & close).distinct().join(pairs, ["a", "b"], "left_anti"), "copies-rest"))
     # what is left links parts, each of which is one node now
     of = lambda end: known.select(F.col("id").alias(end), F.col("part").alias(f"part_{end}"))
     between = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))

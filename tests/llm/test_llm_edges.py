@@ -257,6 +257,31 @@ def test_a_large_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: find(i) for i in range(len(rows))}
 
 
+def test_near_copies_start_from_simhash_links(spark):
+    """The facts have op5's fingerprints, and all sets of linked fingerprints hang together before shingles are joined."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.integers(0, 400, 600)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(base) + " " + " ".join(base[:1]), " ".join(f"z{i}" for i in rng.integers(0, 400, 300)), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    schema = "doc_id long, id long, size long, bits long, " + "".join(f"{s} long, " for s in nearcopies.SKETCHES) + "counts array<long>"
+    facts = nearcopies.written(docs.mapInArrow(nearcopies._facts(5), schema), "test-facts")
+    own = {r.doc_id: r for r in facts.filter("counts IS NULL").collect()}
+    links = {r.doc_id: (r.bits, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert {i: r.bits for i, r in own.items()} == {i: bits for i, (bits, _) in links.items()}
+    part = {r.id: r.id for r in own.values()}
+    for a, b in nearcopies._linked(facts).collect():
+        part = {k: part[a] if v == part[b] else v for k, v in part.items()}
+    assert all((part[own[i].id] == part[own[j].id]) == (links[i][1] == links[j][1]) for i in own for j in own)
+    assert len({r.id for r in own.values()}) > len(set(part.values()))
+
+
+def test_a_pair_that_shares_many_shingles_meets_once(spark):
+    rows = [(h, i, i, sorted({5, 7, 9, i})) for i in (1, 2, 3) for h in (5, 7, 9)] + [(40, 1, 1, [5, 7]), (40, 4, 4, [11])]
+    parts = spark.createDataFrame(rows, "h long, id long, part long, early array<long>")
+    met = [tuple(r) for r in nearcopies._met(parts, F.lit(True)).collect()]
+    assert sorted(met) == [(1, 2), (1, 3), (1, 4), (2, 3)]
+
+
 def test_bitmaps_bound_the_difference():
     """Bitmaps never differ in more bits than their sets in shingles; sets of any size, empty ones too."""
     rng = np.random.default_rng(4)
