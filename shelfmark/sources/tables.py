@@ -161,8 +161,17 @@ def archive_inventory(spark: SparkSession, folder: str, jobs: DataFrame | None =
     return sums.select("job_id", zero("files"), zero("bytes"), F.round(F.coalesce("bytes", F.lit(0)) / 1048576, 2).alias("megabytes"), (F.coalesce("files", F.lit(0)) > 0).alias("has_files"))
 
 
+def folder_times(spark: SparkSession, folder: str) -> DataFrame:
+    """(job_id, modified): when the newest file of each job's folder was written."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime")
+    return files.withColumn("job_id", _folder(F.col("path"), folder)).filter("job_id IS NOT NULL").groupBy("job_id").agg(F.max("modificationTime").alias("modified"))
+
+
+def expired(times: DataFrame, now: Column, hours: float = 24) -> DataFrame:
+    """Of folder_times those older than `hours`."""
+    return times.filter(F.unix_millis(now.cast("timestamp")) - F.unix_millis("modified") > int(hours * 3_600_000))
+
+
 def expired_paths(spark: SparkSession, folder: str, now: Column, hours: float = 24) -> DataFrame:
     """(job_id, modified) of job folders whose newest file is older than `hours`. Nothing is deleted."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime")
-    last = files.withColumn("job_id", _folder(F.col("path"), folder)).filter("job_id IS NOT NULL").groupBy("job_id").agg(F.max("modificationTime").alias("modified"))
-    return last.filter(F.unix_millis(now.cast("timestamp")) - F.unix_millis("modified") > int(hours * 3_600_000))
+    return expired(folder_times(spark, folder), now, hours)
