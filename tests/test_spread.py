@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.plans import fixtures as X
 
@@ -15,3 +16,20 @@ tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_small_files_are_dealt_out(spark, rows):
     """Each file of the tables is one small row group, so that without dealing it is one task."""
     assert rows(spark, SF).rdd.getNumPartitions() >= 16
+
+
+@tables
+def test_products_are_dealt_by_their_job_once(spark):
+    own = X.products(spark, SF).groupBy("job_id").agg(F.collect_list("name").alias("names"))
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(job_id") == 1 and "Exchange hashpartitioning(l_orderkey" not in plan
+
+
+def test_repeated_parts_leave_the_numbers_of_lines(spark, tmp_path):
+    """A part that is there twice gives two rows of one number, and an unknown part uses up a number, as in the SQL."""
+    line = [(1, k, part, 0, 2.0, 1.0, 0.0, 0.0, "N", "O", None) for k, part in enumerate((5, 6, 7))]
+    kinds = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    spark.createDataFrame(line, kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(5, "a", 1.0), (5, "b", 1.0), (7, "c", 1.0)], "p_partkey long, p_name string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted((r.product_index, r.name) for r in X.products(spark, str(tmp_path)).collect())
+    assert got == [(0, "a"), (0, "b"), (2, "c")]
