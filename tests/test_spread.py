@@ -12,7 +12,7 @@ tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
 @tables
-@pytest.mark.parametrize("rows", [X.image_files])
+@pytest.mark.parametrize("rows", [X.image_files, X.product_pages, X.tier_pages, X.branch_pages])
 def test_small_files_are_dealt_out(spark, rows):
     """Each file of the tables is one small row group, so that without dealing it is one task."""
     assert rows(spark, SF).rdd.getNumPartitions() >= 16
