@@ -2,9 +2,11 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.operators import pages as P
 from shelfmark.plans import fixtures as X
 
 SF = "/root/testdata/sf0.001"
@@ -18,6 +20,15 @@ def test_small_files_are_dealt_out(spark, rows):
     assert rows(spark, SF).rdd.getNumPartitions() >= 16
 
 
+def test_pages_are_parsed_in_bounded_batches():
+    n = 2 * P.PAGES_AT_ONCE + 1
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(n)), "url": ["https://a.example/"] * n, "html": ['<li class="item"><h2>x</h2></li>'] * n})
+    out = list(P._parse("items")(iter([batch])))
+    assert [b.num_rows for b in out] == [P.PAGES_AT_ONCE, P.PAGES_AT_ONCE, 1]
+    assert [x for b in out for x in b.column("page_id").to_pylist()] == list(range(n))
+    assert all(len(x) == 1 for b in out for x in b.column("items").to_pylist())
+
+
 @tables
 def test_products_are_dealt_by_their_job_once(spark):
     own = X.products(spark, SF).groupBy("job_id").agg(F.collect_list("name").alias("names"))
