@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import bytesops as B
 from shelfmark.llm.bitmaps import bitmap, maybe_in
+from shelfmark.llm.session import ready
 from shelfmark.shared import drop_written, table, width, written
 
 #: Phrases of up to LONGEST words, found LEAST times or more; one goes if a longer one has KEPT percent of its places. TOP of each language are returned.
@@ -17,6 +18,10 @@ LONGEST, LEAST, KEPT, TOP = 4, 30, 80, 2000
 #: Rows that a task folds at once. SALTS: into how many parts a language is ranked first.
 CHUNK, SALTS = 100_000, 64
 BREAKS = b".,;:!?\n\x0b\x0c\r"
+#: Bytes of text whose equal windows a task adds up before it sends them, and rows that it sends at once.
+FOLDED, ROWS = 8 << 20, 50_000
+#: Distinct words that a task knows it has sent already.
+REMEMBERED = 500_000
 
 
 def _tokens(batch: pa.RecordBatch, clashing: np.ndarray, rolling: B.Rolling):
@@ -41,7 +46,7 @@ def _tokens(batch: pa.RecordBatch, clashing: np.ndarray, rolling: B.Rolling):
         h[again] = [xxhash.xxh64_intdigest(langs[codes[i]].encode() + b" " + raw[starts[i] : ends[i]].tobytes(), seed) for i in again]
         again = again[np.isin(h[again], clashing)]
     h[h == 0] = 1
-    stops = np.concatenate(([0], np.cumsum(stop[raw])))[starts]
+    stops = np.searchsorted(np.flatnonzero(stop[raw]), starts)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     joined = (stops[1:] == stops[:-1]) & (text[1:] == text[:-1])
     return codes, langs, h, joined, raw, starts, ends
@@ -66,7 +71,7 @@ def _pairs(clashing: np.ndarray):
 
     def run(batches):
         rolling = B.Rolling(B.WORD_P)
-        for batch in B.groups(batches, most=8 << 20):
+        for batch in B.groups(batches):
             _, _, h, joined, *_ = _tokens(batch, clashing, rolling)
             second = np.zeros(len(h), B.U64)
             second[:-1][joined] = h[1:][joined]
@@ -92,35 +97,63 @@ def _rows(langs: list[str], r: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([lang, *[pa.array(np.ascontiguousarray(r[:, i])) for i in range(1, 6)]], names=["lang", "h1", "h2", "h3", "h4", "c"])
 
 
+def _read(batches, clashing: np.ndarray, rolling: B.Rolling, most: int = FOLDED):
+    """(langs, codes, hashes, ahead) of the words of groups of texts, about `most` bytes each: what _tokens has, read in small parts of which only this stays; ahead: how many words, 3 at most, follow in the same piece."""
+    names: dict[str, int] = {}
+    parts, size = [], 0
+    for batch in B.groups(batches):
+        codes, langs, h, joined, raw, *_ = _tokens(batch, clashing, rolling)
+        size += len(raw)
+        to = np.array([names.setdefault(x, len(names)) for x in langs] or [0], np.int32)
+        ahead, on = np.zeros(len(h), np.int8), np.ones(len(h), bool)
+        for k in range(1, LONGEST):
+            on[: max(0, len(h) - k)] &= joined[k - 1 :]
+            on[max(0, len(h) - k) :] = False
+            ahead += on
+        parts.append((to[codes], h, ahead))
+        del codes, h, joined, raw, on
+        if size >= most:
+            yield list(names), *map(np.concatenate, zip(*parts, strict=True))
+            parts, size = [], 0
+    if parts:
+        yield list(names), *map(np.concatenate, zip(*parts, strict=True))
+
+
 def _windows(clashing: np.ndarray, bounds: np.ndarray):
-    """The window of four words from each word on, with 0 after the end of its piece, how often a group of texts has it, and its range; like windows lie together."""
+    """The window of four words from each word on, with 0 after the end of its piece, how often a group of texts has it, and its range; like windows lie together.
+
+    Windows stay places of their first words. Their columns are made one at a time to compare them, and for ROWS of them to send."""
 
     def run(batches):
-        rolling = B.Rolling(B.WORD_P)
-        for batch in B.groups(batches, most=8 << 20):
-            codes, langs, h, joined, *_ = _tokens(batch, clashing, rolling)
+        for langs, codes, h, ahead in _read(batches, clashing, B.Rolling(B.WORD_P)):
             n = len(h)
             if not n:
                 continue
-            cols, go = np.zeros((n, LONGEST), B.U64), np.ones(n, bool)
-            cols[:, 0] = h
-            for k in range(1, LONGEST):
-                go[: max(0, n - k)] &= joined[k - 1 :]
-                go[max(0, n - k) :] = False
-                cols[go, k] = h[np.flatnonzero(go) + k]
-            key = cols[:, 0]
+
+            def column(at: np.ndarray, k: int, h=h, ahead=ahead) -> np.ndarray:
+                return np.where(ahead[at] >= k, h[np.minimum(at + k, len(h) - 1)], B.U64(0))
+
+            key = h
             with np.errstate(over="ignore"):
                 for k in range(1, LONGEST):
-                    key = B.mix(key * B.SEQ_P + cols[:, k])
-            order = np.argsort(key, kind="stable")
-            new = np.concatenate(([True], (cols[order[1:]] != cols[order[:-1]]).any(axis=1)))
+                    key = B.mix(key * B.SEQ_P + column(np.arange(n), k))
+            order = np.argsort(key)
+            # the key rules equal windows in; the columns decide
+            new = np.concatenate(([True], key[order[1:]] != key[order[:-1]]))
+            del key
+            for k in range(LONGEST):
+                x = column(order, k)
+                new[1:] |= x[1:] != x[:-1]
             at = np.flatnonzero(new)
-            own, count = cols[order[at]], np.diff(np.append(at, n))
-            near = np.argsort(_pair(own[:, 0], own[:, 1]))
-            own = own[near]
-            r = np.column_stack((codes[order[at]][near], own.view(np.int64), count[near]))
-            rows = _rows(langs, r)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(_ranges(bounds, own).astype(np.int32))], names=[*rows.schema.names, "part"])
+            own, count = order[at], np.diff(np.append(at, n))
+            del order, new, at, x
+            near = np.argsort(_pair(h[own], column(own, 1)))
+            for i in range(0, len(near), ROWS):
+                some = own[near[i : i + ROWS]]
+                cols = np.column_stack([column(some, k) for k in range(LONGEST)])
+                rows = _rows(langs, np.column_stack((codes[some], cols.view(np.int64), count[near[i : i + ROWS]])))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(_ranges(bounds, cols).astype(np.int32))], names=[*rows.schema.names, "part"])
+        B.give_back()
 
     return run
 
@@ -214,11 +247,13 @@ def _vocabulary(clashing: np.ndarray, bits: bytes):
     def run(batches):
         rolling, other = B.Rolling(B.WORD_P), B.Rolling(B.SEQ_P)
         schema = pa.schema([("h", pa.int64()), ("of", pa.string()), ("word", pa.string())])
-        for batch in B.groups(batches, most=8 << 20):
+        sent = np.zeros(0, B.U64)
+        for batch in B.groups(batches):
             codes, langs, h, _, raw, starts, ends = _tokens(batch, clashing, rolling)
             # a second hash keeps words of one hash apart
-            _, own = np.unique(h ^ B.mix(B.hash_words(raw, starts, ends, other)), return_index=True)
-            own = own[maybe_in(bits, h[own])]
+            both, own = np.unique(h ^ B.mix(B.hash_words(raw, starts, ends, other)), return_index=True)
+            new = maybe_in(bits, h[own]) & ~np.isin(both, sent, assume_unique=True)
+            own, sent = own[new], np.concatenate((sent if len(sent) < REMEMBERED else sent[:0], both[new]))
             words = [raw[a:b].tobytes() for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array([langs[x] for x in codes[own].tolist()], pa.string()), pa.array(words, pa.binary()).cast(pa.string())], schema=schema)
 
@@ -288,6 +323,7 @@ def collocations(docs: DataFrame, least: int = LEAST, kept: int = KEPT, top: int
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark, ROWS)
     return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
 

@@ -10,10 +10,10 @@ from shelfmark.shared import ship
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
-def ready(spark: SparkSession) -> None:
-    """Send the package to the executors and bound the batches that their Python workers get."""
+def ready(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Send the package to the executors and bound the batches that their Python workers get, by bytes and, for rows without texts of their own, by more rows."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
