@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,8 +105,8 @@ def lower(raw: np.ndarray) -> np.ndarray:
     return np.where(up, raw + np.uint8(32), raw)
 
 
-def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, rolling: Rolling, block: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each word, in blocks of about block bytes, so that long texts need no more memory."""
+def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, rolling: Rolling, block: int = 1 << 17) -> np.ndarray:
+    """A 64-bit hash of each word, in blocks of about block bytes, so that long texts need no more memory: a byte takes over 50 while it is hashed."""
     out = np.empty(len(starts), U64)
     i = 0
     while i < len(starts):
@@ -132,5 +133,17 @@ def texts(raw: np.ndarray, at: np.ndarray) -> Iterator[bytes]:
 def give_back() -> None:
     """Return the memory that a task has freed to the system: its worker process goes on to other tasks."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
+
+
+def returning(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a task's pass over batches, with what it held given back when it ends."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        yield from run(batches)  # run's own variables are gone by then
+        give_back()
+
+    return whole

@@ -82,10 +82,8 @@ def _facts(shingle: int):
             sketches = [pa.array(column) for column in np.array([_bitmap(x) for x in sets]).T]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), ids, sizes, _prints(batch.column("text")), *sketches, pa.nulls(len(ids), schema.field("counts").type)], schema=schema)
         yield pa.RecordBatch.from_pylist([dict.fromkeys(names) | {"counts": counts.tolist()}], schema=schema)
-        del own
-        B.give_back()
 
-    return run
+    return B.returning(run)
 
 
 def _prefixes(shingle: int, counts: np.ndarray, similarity: float):
@@ -107,7 +105,7 @@ def _prefixes(shingle: int, counts: np.ndarray, similarity: float):
                 names, ns = (np.repeat(np.array([r[i] for r in rows], np.int64), size) for i in (1, 2))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[0] for r in rows])), pa.array(names), pa.array(ns.astype(np.int32)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in size]))], names=["h", "id", "n", "at"])
 
-    return run
+    return B.returning(run)
 
 
 def _verified(shingle: int, similarity: float):
@@ -131,7 +129,7 @@ def _verified(shingle: int, similarity: float):
                             keep.append(j)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep, pa.int64())), batch.column("b").take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
-    return run
+    return B.returning(run)
 
 
 def _linked(every: DataFrame) -> DataFrame:

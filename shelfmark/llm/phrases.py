@@ -77,7 +77,7 @@ def _pairs(clashing: np.ndarray):
             second[:-1][joined] = h[1:][joined]
             yield pa.RecordBatch.from_arrays([pa.array(_pair(h, second))], names=["s"])
 
-    return run
+    return B.returning(run)
 
 
 def _ranges(bounds: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -153,9 +153,8 @@ def _windows(clashing: np.ndarray, bounds: np.ndarray):
                 cols = np.column_stack([column(some, k) for k in range(LONGEST)])
                 rows = _rows(langs, np.column_stack((codes[some], cols.view(np.int64), count[near[i : i + ROWS]])))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(_ranges(bounds, cols).astype(np.int32))], names=[*rows.schema.names, "part"])
-        B.give_back()
 
-    return run
+    return B.returning(run)
 
 
 def _changes(key: np.ndarray) -> np.ndarray:
@@ -240,7 +239,7 @@ def _reduced(least: int):
         for r in _stepped(_stepped(chunks(), least, 2, range(LONGEST, 1, -1)), least, 1, range(1, 0, -1)):
             yield _rows(list(names), r)
 
-    return run
+    return B.returning(run)
 
 
 def _vocabulary(clashing: np.ndarray, bits: bytes):
@@ -257,7 +256,7 @@ def _vocabulary(clashing: np.ndarray, bits: bytes):
             words = [raw[a:b].tobytes() for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array([langs[x] for x in codes[own].tolist()], pa.string()), pa.array(words, pa.binary()).cast(pa.string())], schema=schema)
 
-    return run
+    return B.returning(run)
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, clashing: frozenset[int] = frozenset()) -> tuple[DataFrame, DataFrame]:

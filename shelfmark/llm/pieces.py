@@ -336,7 +336,7 @@ def _encode(path: str, rate: float, seed: int):
             more = [pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(coded, pa.binary()), pa.array(decoded, pa.string()), pa.array([a == b for a, b in zip(texts, decoded, strict=True)])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *more], names=[*names[:-2], "n_tokens", "ids", "decoded", "lossless"])
 
-    return run
+    return B.returning(run)
 
 
 def encode_pieces(docs: DataFrame, model: str, rate: float = RATE, seed: int = SEED, epoch: str | None = None, name: str = "doc_id") -> DataFrame:

@@ -27,7 +27,7 @@ def _prints(shingle: int, seed: int):
                     out[i] = fingerprint(own, shingle, seed)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out.view(np.int64))], schema=schema)
 
-    return run
+    return B.returning(run)
 
 
 def fingerprint(own: list[bytes], shingle: int = SHINGLE, seed: int = SEED, block: int = 1 << 16) -> int:

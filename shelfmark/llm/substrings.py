@@ -77,9 +77,8 @@ def _pieces(length: int, kmer: int):
             body = own.runs(sums, start, size + length - 1)
             docs = np.asarray(batch.column("doc_id").cast(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(docs[text[start]]), pa.array((start - first[text[start]]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(grams[at[head]].view(np.int64)), pa.array(body.view(np.int64))], schema=schema)
-        B.give_back()
 
-    return run
+    return B.returning(run)
 
 
 def _windows(length: int):
@@ -104,13 +103,14 @@ def _windows(length: int):
                 doc = batch.column("doc_id")[i].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(body, n)), pa.array(off.astype(np.int32)), pa.array(own.runs(sums, pos, length).view(np.int64)), pa.array(np.full(len(pos), doc, np.int64)), pa.array(pos.astype(np.int32))], schema=schema)
 
-    return run
+    return B.returning(run)
 
 
 def _digest(words: list[bytes]) -> bytes:
     return hashlib.md5(b" ".join(words)).digest()
 
 
+@B.returning
 def _source_digests(batches):
     schema = pa.schema([("src_doc", pa.int64()), ("src_pos", pa.int32()), ("words", pa.int32()), ("digest", pa.binary())])
     for batch in B.groups(batches):
@@ -122,6 +122,7 @@ def _source_digests(batches):
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+@B.returning
 def _cut(batches):
     for batch in B.groups(batches):
         raw, at = B.buffers(batch.column("text"))

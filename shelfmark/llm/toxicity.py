@@ -29,6 +29,7 @@ SEED = "examples"
 WORD = re.compile(r"[^\W\d_]+")
 
 
+@B.returning
 def _terms(batches):
     """(term): the distinct terms of a task's texts."""
     found: set[str] = set()
@@ -91,10 +92,8 @@ def _vectors(vocabulary: dict[str, int]):
             offsets = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (term, count)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *lists], names=["doc_id", "terms", "counts"])
-        del reader
-        B.give_back()
 
-    return run
+    return B.returning(run)
 
 
 def _held(n_terms: int):
@@ -107,7 +106,7 @@ def _held(n_terms: int):
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["term", "n"])
 
-    return run
+    return B.returning(run)
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,10 +243,8 @@ def _scores(model: Model, ids: list[int]):
                 scores.append(score)
                 evidence.append(near)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, near_type)], schema=schema)
-        del seen
-        B.give_back()
 
-    return run
+    return B.returning(run)
 
 
 def relevance(terms: np.ndarray, at: np.ndarray, toxic: np.ndarray, n_terms: int, half: float = HALF_CHI2) -> np.ndarray:

@@ -1,11 +1,13 @@
 """Memory that the text operators' Python passes take, and their results in small parts."""
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from shelfmark.llm import phrases
+from shelfmark.llm import bytesops, nearcopies, phrases, substrings, toxicity
 
 
 def windows(rows: list[tuple[str, str]], bounds=()) -> tuple[Counter, list[int]]:
@@ -34,3 +36,25 @@ def test_windows_add_up_over_the_parts_that_are_read():
     langs, codes, h, ahead = read[0]
     assert langs == ["de", "en"] and len(codes) == len(h) == len(ahead) == 3 * 180_000
     assert ahead[:3].tolist() == [1, 0, 2] and ahead[-1] == 0 and len(set(h.tolist())) == 6
+
+
+def test_hashing_words_takes_little_memory():
+    raw = np.frombuffer(b"some words " * (1 << 17), np.uint8)
+    starts, ends, _ = bytesops.words(raw, np.array([0, len(raw)]))
+    tracemalloc.start()
+    hashed = bytesops.hash_words(raw, starts, ends, bytesops.Rolling())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak - hashed.nbytes < 16 << 20 and len(set(hashed.tolist())) == 2
+    assert (hashed == bytesops.hash_words(raw, starts, ends, bytesops.Rolling(), 1 << 20)).all()
+
+
+TEXTS = pa.RecordBatch.from_pylist([{"doc_id": i, "text": "a b c d e f g " * 20, "terms": [0], "y": "a", "x": "a", "a": 1, "b": 2} for i in range(3)])
+
+
+@pytest.mark.parametrize("run", [toxicity._terms, toxicity._held(2), nearcopies._facts(5), nearcopies._prefixes(5, np.zeros(nearcopies.BUCKETS, np.int64), 0.8), nearcopies._verified(5, 0.8), substrings._pieces(50, 16), phrases._windows(np.zeros(0, np.uint64), np.zeros(0, np.int64))])
+def test_passes_give_their_memory_back(run, monkeypatch):
+    calls = []
+    monkeypatch.setattr(bytesops, "give_back", lambda: calls.append(1))
+    list(run(iter([TEXTS.append_column("lang", pa.array(["en"] * 3))])))
+    assert len(calls) == 1
