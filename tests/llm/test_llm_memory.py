@@ -1,13 +1,14 @@
 """Memory that the text operators' Python passes take, and their results in small parts."""
 
 import tracemalloc
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from shelfmark.llm import bytesops, nearcopies, phrases, substrings, toxicity
+from shelfmark.llm import bytesops, nearcopies, phrases, substrings, tokenstore, toxicity
 
 
 def windows(rows: list[tuple[str, str]], bounds=()) -> tuple[Counter, list[int]]:
@@ -58,3 +59,25 @@ def test_passes_give_their_memory_back(run, monkeypatch):
     monkeypatch.setattr(bytesops, "give_back", lambda: calls.append(1))
     list(run(iter([TEXTS.append_column("lang", pa.array(["en"] * 3))])))
     assert len(calls) == 1
+
+
+def test_crcs_of_many_documents_join_at_once():
+    rng = np.random.default_rng(0)
+    data = [rng.bytes(4 * n) for n in (3, 0, 1, 2048, 7, 700, 1)]
+    bounds = np.array([0, 3, 3, 4, 7])
+    sizes = np.array([len(x) for x in data])
+    got = tokenstore.crcs_joined(np.array([zlib.crc32(x) for x in data]), sizes, bounds)
+    assert got.tolist() == [zlib.crc32(b"".join(data[a:b])) for a, b in zip(bounds, bounds[1:])]
+
+
+def test_document_facts_of_chunks_in_any_order():
+    names = [tokenstore.digest(x) for x in (b"aaaa", b"bbbb", b"cccc")]
+    chunk = lambda at, k, sound=True: {"at": at, "digest": names[k], "n_ids": 1, "crc": zlib.crc32([b"aaaa", b"bbbb", b"cccc"][k]), "sound": sound}
+    lost = {"at": 1, "digest": names[1], "n_ids": None, "crc": None, "sound": False}
+    roots = [tokenstore.merkle(names), tokenstore.merkle(names[:2]), tokenstore.merkle(names[:2]), b"other", tokenstore.merkle([])]
+    chunks = [[chunk(2, 2), chunk(0, 0), chunk(1, 1)], [lost, chunk(0, 0)], [chunk(0, 0), chunk(2, 1)], [chunk(0, 0)], []]
+    kind = pa.schema([("root", pa.binary()), ("chunks", pa.list_(pa.struct([("at", pa.int32()), ("digest", pa.binary()), ("n_ids", pa.int64()), ("crc", pa.int64()), ("sound", pa.bool_())])))])
+    batch = pa.RecordBatch.from_pylist([{"root": None, "chunks": [chunk(0, 0)]}] + [{"root": r, "chunks": c} for r, c in zip(roots, chunks)], schema=kind).slice(1)
+    out = next(tokenstore._document_facts(iter([batch]))).to_pylist()
+    assert [r["sound"] for r in out] == [True, False, False, False, True]
+    assert [r["n_ids"] for r in out] == [3, 1, 2, 1, 0] and out[0]["ids_crc32"] == zlib.crc32(b"aaaabbbbcccc")
