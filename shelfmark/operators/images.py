@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.urls import absolute, normalized
+from shelfmark.functions.urls import absolute, normalized, normalized_lists
 from shelfmark.functions.values import filled, image_id, trimmed
-from shelfmark.shared import written
 
 
 def flatten_images(jobs: DataFrame) -> DataFrame:
@@ -28,18 +27,11 @@ def display_url(image: Column, job_id: Column, api: str, base: Column) -> Column
 def normalize_products(products: DataFrame, base: Column) -> DataFrame:
     """products (name, title, price, product_url, img, images: array<string>, source_images) with clean texts and distinct URLs in their first order.
 
-    URLs are resolved on exploded rows, so that one Python batch serves all, and put together again by row. Rows are numbered in
-    a written table, as a plan that is run again may deal them otherwise."""
-    keyed = written(products.withColumn("_row", F.monotonically_increasing_id()), "products")
-
-    def urls(name: str) -> DataFrame:
-        flat = keyed.select("_row", F.posexplode(name).alias("_at", "_url")).withColumn("_url", normalized(F.col("_url"), base)).filter("_url <> ''")
-        return flat.groupBy("_row").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_url"))), lambda x: x["_url"])).alias(name))
-
-    out = keyed.drop("images", "source_images").join(urls("images"), "_row", "left").join(urls("source_images"), "_row", "left")
+    Nothing is dealt anew: the lists of a batch of rows are resolved where they lie."""
     title = F.col("title") if "title" in products.columns else F.lit("")
-    none = F.array().cast("array<string>")
-    return out.withColumns({"name": trimmed(filled(F.col("name"), title, F.lit(""))), "price": trimmed(F.coalesce("price", F.lit(""))), "product_url": normalized(F.col("product_url"), base), "img": normalized(F.col("img"), base), "images": F.coalesce("images", none), "source_images": F.coalesce("source_images", none)}).drop("_row")
+    urls = lambda name: normalized_lists(F.col(name), base)
+    one = lambda name: F.coalesce(F.get(normalized_lists(F.array(name), base), F.lit(0)), F.lit(""))
+    return products.withColumns({"name": trimmed(filled(F.col("name"), title, F.lit(""))), "price": trimmed(F.coalesce("price", F.lit(""))), "product_url": one("product_url"), "img": one("img"), "images": urls("images"), "source_images": urls("source_images")})
 
 
 def gallery(products: DataFrame) -> DataFrame:

@@ -1,0 +1,27 @@
+"""URLs of lists are resolved where the rows lie, as the Column expression has it."""
+
+from pyspark.sql import functions as F
+
+from shelfmark.functions import urls as U
+from shelfmark.operators import images as I
+
+ODD = ["", " ", "null", "undefined", "[Object Foo]", "[object Foo] x", "a.jpg", " /b/../c.png ", "//h.example/x", "HTTP://A.B:80/é?q=ü#f", "data:,x", "mailto:x", "?q", "#f", "http://", "a b/./c", "https://x.com/a.jpg", None, "﻿a.jpg"]
+
+
+def test_normalize_is_normalized(spark):
+    bases = ["https://x.com/", "https://x.com/d/e?q", "", None, "nothing"]
+    df = spark.createDataFrame([(u, b) for u in ODD for b in bases], "u string, b string")
+    rows = df.select("u", "b", U.normalized(F.col("u"), F.col("b")).alias("n"), U.normalized_lists(F.array("u", "u"), F.col("b")).alias("ns")).collect()
+    assert len(rows) == len(ODD) * len(bases)
+    for r in rows:
+        assert U.normalize(r.u, r.b) == r.n and r.ns == [x for x in [r.n] if x], r
+
+
+def test_products_are_normalized_without_a_shuffle(spark):
+    schema = "name string, title string, price string, product_url string, img string, images array<string>, source_images array<string>"
+    df = spark.createDataFrame([(" n ", "t", " 1", "undefined", "/i.jpg", ["b", None, "a", "/b", "null"], None), ("", " t ", None, None, None, [], ODD)], schema)
+    out = I.normalize_products(df, F.lit("https://x.com/"))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    a, b = sorted(out.collect(), key=lambda r: r.name)
+    assert a.asDict() == {"name": "n", "title": "t", "price": "1", "product_url": "", "img": "https://x.com/i.jpg", "images": ["https://x.com/b", "https://x.com/a"], "source_images": []}
+    assert (b.name, b.price, b.product_url, b.img, b.images) == ("t", "", "", "", []) and len(b.source_images) == len(set(b.source_images)) > 5
