@@ -1,6 +1,6 @@
 """Streams with a state for each key: events after a snapshot, requests of jobs that aren't active, feeds that fall silent, rings of the last entries.
 
-Each takes a batch too, with the same rows. Null keys are one key. State is kept in RocksDB, below the query's checkpoint.
+Each takes a batch too, with the same rows. Null keys are one key. State is kept in RocksDB, below the query's checkpoint, in a table for each bucket of keys.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 from shelfmark.functions.values import ACTIVE
 from shelfmark.operators.sequences import with_before
@@ -22,6 +23,8 @@ from shelfmark.shared import ship
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NEVER = -(1 << 62)
+#: Keys of a stream share so many calls and states; a checkpoint holds for one number only.
+BUCKETS = 256
 
 
 def _named(rows: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
@@ -40,6 +43,67 @@ def _us(time: Column) -> Column:
     return F.coalesce(F.unix_micros(time.cast("timestamp")), F.lit(NEVER))
 
 
+def _dealt(df: DataFrame, key: Column) -> DataFrame:
+    """df with `_key`, the key as a text that is never null (see _undealt), and `_bucket`, its hash among BUCKETS."""
+    return df.withColumn("_key", F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit(""))).withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(BUCKETS)).cast("int"))
+
+
+def _undealt(key: Column) -> Column:
+    """The key, as a string, that _dealt made a text of."""
+    return F.when(key != "", key.substr(F.lit(2), F.length(key)))
+
+
+def _as_texts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with the longs among columns as texts: in pandas a column that has nulls is one of doubles, which round them."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns if df.schema[c].dataType == LongType()})
+
+
+def _as_before(df: DataFrame, schema: StructType) -> DataFrame:
+    return df.select([F.col(f.name).cast(f.dataType) if f.dataType == LongType() else F.col(f.name) for f in schema])
+
+
+class _Bucketed(StatefulProcessor):
+    """What is known of all keys of a bucket, as one table in one value.
+
+    A call for each key costs milliseconds, whatever it has to do. So keys share BUCKETS of them, and a bucket's rows are folded as columns."""
+
+    known_of: dict[str, type]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "rows binary")
+
+    def held(self) -> pd.DataFrame:
+        found = self.known.get()
+        if found is None:
+            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in self.known_of.items()})
+        return pa.ipc.open_stream(bytes(found[0])).read_pandas()
+
+    def hold(self, rows: pd.DataFrame) -> None:
+        if not len(rows):
+            self.known.clear()
+            return
+        sink, data = pa.BufferOutputStream(), pa.Table.from_pandas(rows[list(self.known_of)], preserve_index=False)
+        with pa.ipc.new_stream(sink, data.schema) as out:
+            out.write_table(data)
+        self.known.update((sink.getvalue().to_pybytes(),))
+
+    def wake(self, times: np.ndarray) -> None:
+        """The bucket's only timer, at the first of times."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if len(times):
+            self.handle.registerTimer(int(times.min()))
+
+    def close(self) -> None:
+        pass
+
+
+def _due(times: np.ndarray, timerValues, expiredTimerInfo) -> np.ndarray:
+    """Which of times have passed, now that a timer has fired."""
+    return times <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+
+
 class _After(StatefulProcessor):
     """Rows that come after all earlier ones of their key; the state is the last (us, seq)."""
 
@@ -83,40 +147,43 @@ def later_rows(snapshot: DataFrame, live: DataFrame) -> DataFrame:
     return live.withColumns(order).groupBy("id").transformWithStateInPandas(_After(live.columns), live.schema, "append", "none", initialState=start.groupBy("id"))
 
 
-class _Admitted(StatefulProcessor):
-    """Requests of jobs that aren't active; the state is whether the job is, and since when nothing was heard of it."""
+class _Admitted(_Bucketed):
+    """Requests of jobs that aren't active; known are the active jobs, and since when nothing was heard of each."""
+
+    known_of = {"_key": object, "_ms": np.int64, "_seq": np.int64}
 
     def __init__(self, expiry_ms: int, columns: list[str]):
         self.expiry_ms, self.columns = expiry_ms, columns
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.job = handle.getValueState("job", "active boolean, ms long, seq long")
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(_named(rows, [*self.columns, "_time", "_seq", "_request", "_runs", "_ms"])).sort_values(["_ms", "_seq"])
-        active, last, last_seq = self.job.get() if self.job.exists() else (False, NEVER, NEVER)
-        keep = []
-        for request, runs, ms, seq in zip(pdf["_request"], pdf["_runs"], pdf["_ms"], pdf["_seq"], strict=True):
-            keep.append(bool(request) and not (active and ms - last <= self.expiry_ms))
-            if (ms, seq) >= (last, last_seq):
-                active, last, last_seq = bool(request or runs), int(ms), int(seq)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if active:
-            self.job.update((True, last, last_seq))
-            self.handle.registerTimer(last + self.expiry_ms + 1)
-        else:
-            self.job.clear()
-        yield pdf[keep][self.columns]
+        pdf = pd.concat(_named(rows, [*self.columns, "_time", "_seq", "_request", "_runs", "_ms", "_key", "_bucket"]), ignore_index=True)
+        held = self.held()
+        n = len(held)
+        both = lambda c: np.concatenate((held[c].to_numpy(np.int64), pdf[c].to_numpy(np.int64)))
+        ms, seq, own = both("_ms"), both("_seq"), np.arange(n + len(pdf)) < n  # own: what is known of a job
+        request = np.append(np.zeros(n, bool), pdf["_request"].to_numpy(bool))
+        active = own | request | np.append(np.zeros(n, bool), pdf["_runs"].to_numpy(bool))
+        job, keys = pd.factorize(np.concatenate((held["_key"].to_numpy(object), pdf["_key"].to_numpy(object))))
+        # each job's events in order, what is known of it before those of the same time and seq
+        order = np.lexsort((~own, seq, ms, job))
+        ms, seq, own, request, active, job = (x[order] for x in (ms, seq, own, request, active, job))
+        first = np.append(True, job[1:] != job[:-1])
+        passed = np.cumsum(own)
+        passed -= np.maximum.accumulate(np.where(first, passed - own, 0))
+        late = np.isin(job, job[own]) & (passed == 0)  # events before what is known of the job change nothing
+        busy = ~first & np.append(False, active[:-1]) & (np.diff(ms, prepend=ms[:1]) <= self.expiry_ms)
+        stays = np.append(job[1:] != job[:-1], True) & active
+        self.hold(pd.DataFrame({"_key": keys[job[stays]], "_ms": ms[stays], "_seq": seq[stays]}))
+        self.wake(ms[stays] + self.expiry_ms + 1)
+        yield pdf.iloc[order[request & ~busy & ~late] - n][self.columns]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.job.clear()
+        held = self.held()
+        stays = held[~_due(held["_ms"].to_numpy() + self.expiry_ms + 1, timerValues, expiredTimerInfo)]
+        self.hold(stays)
+        self.wake(stays["_ms"].to_numpy() + self.expiry_ms + 1)
         return iter([])
 
-    def close(self) -> None:
-        pass
-
 
 def _with_updates(requests: DataFrame, updates: DataFrame) -> DataFrame:
     """Both as rows of one table: the columns of requests, _time, _ms, _seq, _request, _runs (an update with an active status)."""
@@ -142,47 +209,49 @@ def admitted_requests(requests: DataFrame, updates: DataFrame, expiry_minutes: i
         active = same & (before["_request"] | before["_runs"]) & (F.col("_ms") - before["_ms"] <= expiry)
         return marked.filter(F.col("_request") & ~F.coalesce(active, F.lit(False))).select(requests.columns)
     _stateful(both)
-    return both.withWatermark("_time", watermark).groupBy("job_id").transformWithStateInPandas(_Admitted(expiry, requests.columns), requests.schema, "append", "eventTime")
+    both = both.withColumn("_seq", F.coalesce("_seq", F.lit(NEVER)))  # as the batch has it: nulls first
+    rows = _as_texts(_dealt(both, F.col("job_id")), requests.columns).withWatermark("_time", watermark)
+    out = rows.groupBy("_bucket").transformWithStateInPandas(_Admitted(expiry, requests.columns), _as_texts(requests, requests.columns).schema, "append", "eventTime")
+    return _as_before(out, requests.schema)
+
 
+class _Silent(_Bucketed):
+    """A row for each time that nothing came for longer than the gap, by a timer where no event tells; known is the last time of each feed, and whether its silence was told."""
 
-class _Silent(StatefulProcessor):
-    """A row for each time that nothing came for longer than the gap, by a timer where no event tells."""
+    known_of = {"_key": object, "_ms": np.int64, "_told": bool}
 
     def __init__(self, gap_ms: int):
         self.gap_ms = gap_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "ms long, told boolean")
-
-    def _rows(self, feed, times) -> pd.DataFrame:
-        times = np.asarray(times, np.int64)
-        return pd.DataFrame({"feed": pd.Series([feed] * len(times), dtype=object), "last_ms": times, "stale_ms": times + self.gap_ms})
+    def _rows(self, feeds: np.ndarray, times: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"_key": feeds, "last_ms": times, "stale_ms": times + self.gap_ms})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ms = np.sort(np.concatenate([pdf["_ms"].to_numpy(np.int64) for pdf in _named(rows, ["feed", "_time", "_ms"])]))
-        told = False
-        if self.last.exists():
-            last, told = self.last.get()
-            ms = np.concatenate(([last], ms[ms > last]))
-        silent = ms[:-1][np.diff(ms) > self.gap_ms]
-        if told and len(silent) and silent[0] == ms[0]:
-            silent = silent[1:]
-        told = told and len(ms) == 1
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.last.update((int(ms[-1]), told))
-        if not told:
-            self.handle.registerTimer(int(ms[-1]) + self.gap_ms)
-        yield self._rows(key[0], silent)
+        held = self.held()
+        came = [pdf[["_key", "_ms"]] for pdf in _named(rows, ["feed", "_time", "_ms", "_key", "_bucket"])]
+        every = pd.concat([held[["_key", "_ms"]], *came]) if len(held) else pd.concat(came)
+        own, ms = np.arange(len(every)) < len(held), every["_ms"].to_numpy(np.int64)
+        told = np.zeros(len(every), bool)
+        told[: len(held)] = held["_told"].to_numpy(bool)
+        feed, keys = pd.factorize(every["_key"].to_numpy(object))
+        least = np.full(len(keys), 2 * NEVER)
+        least[feed[own]] = ms[own]
+        counts = np.flatnonzero(own | (ms > least[feed]))  # events that are older than the last one change nothing
+        counts = counts[np.lexsort((ms[counts], feed[counts]))]
+        feed, ms, told = feed[counts], ms[counts], told[counts]
+        ends = np.append(feed[1:] != feed[:-1], True)
+        silent = np.append(np.diff(ms) > self.gap_ms, False) & ~ends & ~told
+        self.hold(pd.DataFrame({"_key": keys[feed[ends]], "_ms": ms[ends], "_told": told[ends]}))
+        self.wake(ms[ends & ~told] + self.gap_ms)
+        yield self._rows(keys[feed[silent]], ms[silent])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, told = self.last.get()
-        self.last.update((last, True))
-        yield self._rows(key[0], [] if told else [last])
-
-    def close(self) -> None:
-        pass
+        held = self.held()
+        told, ms = held["_told"].to_numpy(bool), held["_ms"].to_numpy()
+        new = ~told & _due(ms + self.gap_ms, timerValues, expiredTimerInfo)
+        self.hold(held.assign(_told=told | new))
+        self.wake(ms[~told & ~new] + self.gap_ms)
+        yield self._rows(held["_key"].to_numpy(object)[new], ms[new])
 
 
 def silent_feeds(events: DataFrame, gap_seconds: int = 7, watermark: str = "0 seconds", now_ms: Column | int | None = None) -> DataFrame:
@@ -201,8 +270,8 @@ def silent_feeds(events: DataFrame, gap_seconds: int = 7, watermark: str = "0 se
         silent = before["feed"].eqNullSafe(F.col("feed")) & (F.col("_ms") - before["_ms"] > gap)
         return marked.filter(F.coalesce(silent, F.lit(False))).select("feed", before["_ms"].alias("last_ms"), (before["_ms"] + gap).alias("stale_ms"))
     _stateful(events)
-    schema = StructType([timed.schema["feed"]]).add("last_ms", "long").add("stale_ms", "long")
-    return timed.withWatermark("_time", watermark).groupBy("feed").transformWithStateInPandas(_Silent(gap), schema, "append", "eventTime")
+    rows = _dealt(timed, F.col("feed")).withWatermark("_time", watermark).groupBy("_bucket").transformWithStateInPandas(_Silent(gap), "_key string, last_ms long, stale_ms long", "append", "eventTime")
+    return rows.select(_undealt(F.col("_key")).cast(timed.schema["feed"].dataType).alias("feed"), "last_ms", "stale_ms")
 
 
 class _Ring(StatefulProcessor):
