@@ -104,36 +104,30 @@ def _due(times: np.ndarray, timerValues, expiredTimerInfo) -> np.ndarray:
     return times <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
 
 
-class _After(StatefulProcessor):
-    """Rows that come after all earlier ones of their key; the state is the last (us, seq)."""
+class _After(_Bucketed):
+    """Rows that come after all earlier ones of their key; known is the last (us, seq) of each."""
+
+    known_of = {"_key": object, "_us": np.int64, "_seq": np.int64}
 
     def __init__(self, columns: list[str]):
         self.columns = columns
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us long, seq long")
-
-    def _newest(self, pdf: pd.DataFrame) -> tuple[int, int]:
-        return max(zip(pdf["_us"].tolist(), pdf["_seq"].tolist(), strict=True))
+    def _newest(self, *rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([r[list(self.known_of)] for r in rows if len(r)]).sort_values(["_us", "_seq"]).drop_duplicates("_key", keep="last")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        at = self._newest(initialState)
-        if not self.last.exists() or at > tuple(self.last.get()):
-            self.last.update(at)
+        self.hold(self._newest(self.held(), initialState))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = tuple(self.last.get()) if self.last.exists() else (NEVER, NEVER)
-        last = before
-        for pdf in _named(rows, [*self.columns, "_us", "_seq"]):
+        before = last = self.held()
+        index, us0, seq0 = pd.Index(before["_key"]), np.append(before["_us"].to_numpy(np.int64), NEVER), np.append(before["_seq"].to_numpy(np.int64), NEVER)
+        for pdf in _named(rows, [*self.columns, "_us", "_seq", "_key", "_bucket"]):
+            at = index.get_indexer(pdf["_key"])  # -1, the last: NEVER
             us, seq = pdf["_us"].to_numpy(), pdf["_seq"].to_numpy()
-            later = (us > before[0]) | ((us == before[0]) & (seq > before[1]))
-            last = max(last, self._newest(pdf))
-            yield pdf[later].drop(columns=["_us", "_seq"])
-        if last != before:
-            self.last.update(last)
-
-    def close(self) -> None:
-        pass
+            last = self._newest(last, pdf)
+            yield pdf[(us > us0[at]) | ((us == us0[at]) & (seq > seq0[at]))][self.columns]
+        if last is not before:
+            self.hold(last)
 
 
 def later_rows(snapshot: DataFrame, live: DataFrame) -> DataFrame:
@@ -143,8 +137,10 @@ def later_rows(snapshot: DataFrame, live: DataFrame) -> DataFrame:
     passes once. A null updated_at comes before all times."""
     _stateful(live)
     order = {"_us": _us(F.col("updated_at")), "_seq": F.coalesce(F.col("seq").cast("long"), F.lit(NEVER))}
-    start = snapshot.select("id", "updated_at", "seq").withColumns(order).select("id", "_us", "_seq")
-    return live.withColumns(order).groupBy("id").transformWithStateInPandas(_After(live.columns), live.schema, "append", "none", initialState=start.groupBy("id"))
+    start = _dealt(snapshot.select("id", "updated_at", "seq").withColumns(order), F.col("id")).select("_key", "_us", "_seq", "_bucket")
+    rows = _as_texts(_dealt(live.withColumns(order), F.col("id")), live.columns)
+    out = rows.groupBy("_bucket").transformWithStateInPandas(_After(live.columns), _as_texts(live, live.columns).schema, "append", "none", initialState=start.groupBy("_bucket"))
+    return _as_before(out, live.schema)
 
 
 class _Admitted(_Bucketed):

@@ -80,6 +80,29 @@ def test_a_bucket_of_jobs_is_one_call():
     assert list(processor.handleExpiredTimer((3,), At(end), At(handle.timers[0]))) == [] and handle.value is None and not handle.timers
 
 
+def test_a_bucket_of_ids_is_one_call():
+    rng = np.random.default_rng(2)
+    processor, handle = started(K._After(["id", "n"]))
+    rows = lambda n, m: pd.DataFrame({"_key": [f"=i{k}" for k in rng.integers(0, 30, m)], "_us": rng.integers(n, n + 50, m), "_seq": rng.integers(0, 5, m), "_bucket": 1})
+    last = {}
+    start = rows(0, 60)
+    for some in (start[:40], start[40:]):
+        processor.handleInitialState((1,), some, None)
+    for k, us, seq, _ in start.itertuples(index=False):
+        last[k] = max(last.get(k, (K.NEVER, K.NEVER)), (us, seq))
+    got, want = [], []
+    for part in range(3):
+        pdf = rows(20 * part, 200)
+        pdf = pd.concat([pd.DataFrame({"id": pdf["_key"].str[1:], "n": 1000 * part + np.arange(200)}), pdf[["_us", "_seq", "_key", "_bucket"]]], axis=1)
+        want += [r.n for r in pdf.itertuples() if (r._3, r._4) > last.get(r._5, (K.NEVER, K.NEVER))]
+        for r in pdf.itertuples():
+            last[r._5] = max(last.get(r._5, (K.NEVER, K.NEVER)), (r._3, r._4))
+        for out in processor.handleInputRows((1,), iter([pdf[:80], pdf[80:]]), None):
+            assert list(out.columns) == ["id", "n"]
+            got += out["n"].tolist()
+    assert got == want and len(want) > 50 and handle.calls <= 4 + 2 * 3
+
+
 def test_a_bucket_of_feeds_is_told_by_one_timer():
     processor, handle = started(K._Silent(10))
     rows = pd.DataFrame([("a", None, 0, "=a", 0), ("a", None, 20, "=a", 0), ("b", None, 5, "=b", 0), (None, None, 30, "", 0)], columns=["feed", "_time", "_ms", "_key", "_bucket"])
