@@ -64,7 +64,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
     same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("key"))).orderBy(F.length("text").desc(), "key")
     numbered = docs.select("doc_id", "text", "source", F.xxhash64("text").alias("key")).withColumn("epoch", F.row_number().over(same) - 1).drop("key")
-    return encode_pieces(numbered, default_model(), epoch="epoch").select("doc_id", "source", "epoch", "n_tokens", "ids", "lossless")
+    return encode_pieces(numbered, default_model(), epoch="epoch", narrow=True).select("doc_id", "source", "epoch", "n_tokens", "ids", "lossless")
 
 
 STAGES = [("toxicity", toxicity), ("simhash", simhash), ("substrings", substrings), ("mixing", mixing), ("pieces", pieces)]

@@ -13,6 +13,7 @@ segments have an agenda of their own each time.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import itertools
@@ -36,6 +37,8 @@ LOOKALIKE = "\udfff"
 SHORT, SEGMENTS, NODES = 32, 400_000, 4_000_000
 #: Segments that are walked at a time.
 SLICE = 200_000
+#: (segments, nodes, segments at a time, bytes of texts at a time) where other work has left an executor little memory: about a third of it, for more merging of what was forgotten.
+NARROW = (100_000, 700_000, 100_000, 1 << 19)
 SEGMENT = re.compile(" *[^ ]+| +")
 _codecs: dict[str, Codec] = {}
 _encoders: dict[tuple, Encoder] = {}
@@ -74,13 +77,17 @@ class Codec:
                     pairs.append((a * n + b, rank[i], i))
         table_ = np.array(sorted(pairs), np.int64).reshape(-1, 3)
         self.n, self.keys, self.ranks, self.merged = n, table_[:, 0], table_[:, 1], table_[:, 2]
-        self.pairs = {k: (r, i) for k, r, i in table_.tolist()}
         self.byte = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.char = np.full(0x110000, -1, np.int64)
+        self.char = np.full(0x110000, -1, np.int32)
         for text, i in self.piece.items():
             if len(text) == 1:
                 self.char[ord(text)] = i
 
+    @functools.cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """(rank, merged id) of each pair, for long segments only: most workers meet none."""
+        return {k: (r, i) for k, r, i in zip(self.keys.tolist(), self.ranks.tolist(), self.merged.tolist(), strict=True)}
+
     def _look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged id) of each pair, rank NONE where there is none."""
         key = np.where((a >= 0) & (b >= 0), a.astype(np.int64) * self.n + b, -1)
@@ -149,7 +156,7 @@ class Codec:
     def merge_long(self, segment: str, limit: int, keyed: int) -> np.ndarray:
         """The ids of a segment of any length, by an agenda in a heap."""
         size, n = len(segment), self.n
-        first = self.symbols([segment])
+        first = self.symbols([segment]).astype(np.int64)
         rank, _ = self._look(first[:-1], first[1:])
         ids, after, before = first.tolist(), list(range(1, size + 1)), list(range(-1, size - 1))
         at = np.flatnonzero(rank < NONE)
@@ -216,10 +223,11 @@ class Trees:
 
 
 class Encoder:
-    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, short: int = SHORT, segments: int = SEGMENTS, nodes: int = NODES):
+    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, short: int = SHORT, segments: int = SEGMENTS, nodes: int = NODES, walked: int | None = None):
         if not 0 <= rate < 1:
             raise ValueError("rate must be at least 0 and less than 1")
         self.codec, self.rate, self.seed, self.short, self.most = codec(path), rate, seed, short, (segments, nodes)
+        self.walked = walked
         self.limit, self.trees = int(rate * (1 << 64)), Trees()
 
     def _walk(self, segments: list[str], keyed: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -298,10 +306,11 @@ class Encoder:
         places = np.concatenate([np.zeros(0, np.uint64), *(np.arange(1, len(c) + 1, dtype=np.uint64) for c in cut)])
         keyed = B.mix(np.repeat(np.array(bases, np.uint64), [len(c) for c in cut]) ^ B.mix(places))
         sizes, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-        for i in range(0, len(own), SLICE):
-            some, key = own[i : i + SLICE], keyed[i : i + SLICE]
+        walked = self.walked or SLICE
+        for i in range(0, len(own), walked):
+            some, key = own[i : i + walked], keyed[i : i + walked]
             if len(self.trees.roots) > self.most[0] or self.trees.n_nodes > self.most[1]:
-                self.trees = Trees()
+                self.trees = t = Trees()  # those before go at once
             found, long = self._walk(some, key)
             t = self.trees
             size = t.at[found + 1] - t.at[found]
@@ -317,18 +326,18 @@ class Encoder:
         return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def encoder(path: str, rate: float, seed: int) -> Encoder:
+def encoder(path: str, rate: float, seed: int, narrow: bool = False) -> Encoder:
     """One for each worker, so that later tasks find its trees."""
-    if (path, rate, seed) not in _encoders:
+    if (path, rate, seed, narrow) not in _encoders:
         _encoders.clear()
-        _encoders[path, rate, seed] = Encoder(path, rate, seed)
-    return _encoders[path, rate, seed]
+        _encoders[path, rate, seed, narrow] = Encoder(path, rate, seed, SHORT, *NARROW[:3]) if narrow else Encoder(path, rate, seed)
+    return _encoders[path, rate, seed, narrow]
 
 
-def _encode(path: str, rate: float, seed: int):
+def _encode(path: str, rate: float, seed: int, narrow: bool = False):
     def run(batches):
-        own = encoder(path, rate, seed)
-        for batch in B.groups(batches):
+        own = encoder(path, rate, seed, narrow)
+        for batch in B.groups(batches, most=NARROW[3]) if narrow else B.groups(batches):
             names = batch.schema.names  # the last two: epoch and document
             texts = [t or "" for t in batch.column("text").to_pylist()]
             coded = own.encode_all(texts, batch.columns[-2].fill_null(0).to_pylist(), batch.columns[-1].to_pylist())
@@ -339,11 +348,11 @@ def _encode(path: str, rate: float, seed: int):
     return B.returning(run)
 
 
-def encode_pieces(docs: DataFrame, model: str, rate: float = RATE, seed: int = SEED, epoch: str | None = None, name: str = "doc_id") -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, rate: float = RATE, seed: int = SEED, epoch: str | None = None, name: str = "doc_id", narrow: bool = False) -> DataFrame:
     """docs (text, ...) with n_tokens, ids (little-endian unsigned 32-bit), decoded (the text that the ids decode to) and lossless.
 
     epoch: a column that numbers the repeats of a document; each is cut with other keys. name: the column that names the
-    document; without it all rows are one document. The same seed, document, epoch and text always give the same ids.
+    document; without it all rows are one document. narrow: with less memory and more time (see NARROW), the same ids. The same seed, document, epoch and text always give the same ids.
 
     Null and empty texts have no ids and decode to an empty text, lossless. Rows are independent: repeated rows and null doc_ids get a row each. An
     empty table gives an empty table. Columns of docs stay; those named n_tokens, ids, decoded or lossless are replaced.
@@ -353,7 +362,7 @@ def encode_pieces(docs: DataFrame, model: str, rate: float = RATE, seed: int = S
     schema = T.StructType([*docs.schema.fields, *[T.StructField(*x) for x in more]])
     more = [free(docs, x) for x in ("epoch", "document")]
     docs = docs.select("*", (F.col(epoch).cast("long") if epoch else F.lit(0).cast("long")).alias(more[0]), (F.col(name).cast("string") if name in docs.columns else F.lit("")).alias(more[1]))
-    return docs.mapInArrow(_encode(model, rate, seed), schema)
+    return docs.mapInArrow(_encode(model, rate, seed, narrow), schema)
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from shelfmark.llm import bytesops, nearcopies, phrases, substrings, tokenstore, toxicity
+from shelfmark.llm import bytesops, nearcopies, phrases, pieces, substrings, tokenstore, toxicity
 
 
 def windows(rows: list[tuple[str, str]], bounds=()) -> tuple[Counter, list[int]]:
@@ -81,3 +81,23 @@ def test_document_facts_of_chunks_in_any_order():
     out = next(tokenstore._document_facts(iter([batch]))).to_pylist()
     assert [r["sound"] for r in out] == [True, False, False, False, True]
     assert [r["n_ids"] for r in out] == [3, 1, 2, 1, 0] and out[0]["ids_crc32"] == zlib.crc32(b"aaaabbbbcccc")
+
+
+def test_a_narrow_encoder_walks_and_remembers_less(monkeypatch):
+    words = [f"{a}{b}" for a in ("wonder", "Kette", "plage", "tier", "über", "x9") for b in range(30_000)]
+    batch = pa.RecordBatch.from_pylist([{"text": " ".join(words[i::7]), "epoch": i, "document": str(i)} for i in range(14)] + [{"text": None, "epoch": None, "document": None}])
+    walk, seen, ids = pieces.Encoder._walk, [], {}
+    monkeypatch.setattr(pieces.Encoder, "_walk", lambda self, segments, keyed: seen.append((len(segments), len(self.trees.roots), self.trees.n_nodes)) or walk(self, segments, keyed))
+    for narrow in (False, True):
+        pieces._encoders.clear()
+        seen.clear()
+        ids[narrow] = [x for o in pieces._encode(pieces.default_model(), pieces.RATE, pieces.SEED, narrow)(iter([batch])) for x in o.column("ids").to_pylist()]
+    most = np.array(seen).max(axis=0)
+    pieces._encoders.clear()
+    assert ids[True] == ids[False] and len(ids[True]) == 15 and (most <= [100_000, 100_000, 700_000]).all()
+
+
+def test_the_codec_makes_its_pairs_for_long_segments_only():
+    own = pieces.Codec(pieces.default_model())
+    assert "pairs" not in vars(own) and own.char.dtype == np.int32
+    assert own.merge_long(" " + "ab" * 50, 0, 1).tolist() == own.sp.encode("ab" * 50) and "pairs" in vars(own)
