@@ -124,6 +124,12 @@ def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The whole numbers of each range start, start + 1, … of its size, one range after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+
+
 def texts(raw: np.ndarray, at: np.ndarray) -> Iterator[bytes]:
     data = raw.tobytes()
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):

@@ -169,8 +169,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = written(docs.mapInArrow(_facts(shingle), "doc_id long, id long, size long, bits long, " + "".join(f"{s} long, " for s in SKETCHES) + "counts array<long>"), "copies-facts")
     counts = np.zeros(BUCKETS, np.int64)
-    for r in every.filter("counts IS NOT NULL").select(F.posexplode("counts").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
-        counts[r["at"]] = r["n"]
+    found = every.filter("counts IS NOT NULL").select(F.posexplode("counts").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
     facts = every.filter("counts IS NULL").select("doc_id", "id")
     of_class = every.filter("counts IS NULL").groupBy("id").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("size", *SKETCHES)])
     sketched = written(of_class, "copies-classes")

@@ -14,11 +14,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bytesops as B
-from shelfmark.shared import drop_written, table, written
+from shelfmark.shared import drop_written, release, table, written
 
 #: At most so many examples of each class. Chi-square (1 degree of freedom) at which a term's relevance is a half.
 EXAMPLES, HALF_CHI2 = 2500, 20.0
@@ -81,11 +82,11 @@ class Reader:
         return both // n, both % n, count
 
 
-def _vectors(vocabulary: dict[str, int]):
-    """(doc_id, terms, counts) of each text, over the vocabulary."""
+def _vectors(vocabulary: pa.Array):
+    """(doc_id, terms, counts) of each text, over the vocabulary. Tasks make a dict of it, so that the driver needs none."""
 
     def run(batches):
-        reader = Reader(vocabulary)
+        reader = Reader({t: i for i, t in enumerate(vocabulary.to_pylist())})
         for batch in B.groups(batches):
             raw, at = B.buffers(batch.column("text"))
             text, term, count = reader.read(list(B.texts(raw, at)))
@@ -110,15 +111,9 @@ def _held(n_terms: int):
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, size, values) of a column of lists without nulls."""
+    """(start, size, values) of a column of lists of ints without nulls."""
     size = np.concatenate([np.zeros(0, np.int64), *(np.diff(x.offsets.to_numpy()) for x in column.chunks)]).astype(np.int64)
-    return np.cumsum(size) - size, size, np.concatenate([np.zeros(0, np.int64), *(x.flatten().to_numpy() for x in column.chunks)]).astype(np.int64)
-
-
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The whole numbers of each range start, start + 1, … of its size, one range after the other."""
-    ends = np.cumsum(size)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+    return np.cumsum(size) - size, size, np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy() for x in column.chunks)])
 
 
 class BlockMaxIndex:
@@ -133,7 +128,7 @@ class BlockMaxIndex:
         self.order, self.n_blocks = np.lexsort((np.arange(n), strongest)), -(-n // block)  # like with like, for tight bounds
         self.place = np.empty(n, np.int64)
         self.place[self.order] = np.arange(n)
-        self.size, places = self.n_blocks * block, self.place[np.repeat(np.arange(n), np.diff(at))]
+        self.size, places = self.n_blocks * block, np.repeat(self.place.astype(np.int32), np.diff(at))
         held = np.bincount(terms, minlength=n_terms)
         frequent = np.flatnonzero(held * FREQUENT > n)
         self.row = np.full(n_terms, -1)
@@ -142,9 +137,10 @@ class BlockMaxIndex:
         self.full = np.zeros((len(frequent), self.n_blocks, block))
         self.full.reshape(len(frequent), self.size)[self.row[terms[full]], places[full]] = weights[full]
         self.most = self.full.max(axis=2, initial=0)
-        by = np.lexsort((places[~full], terms[~full]))
-        self.places, self.weights = places[~full][by].astype(np.int32), weights[~full][by]
-        self.first = np.searchsorted(terms[~full][by], np.arange(n_terms + 1))  # posting of each term
+        by = np.flatnonzero(~full)
+        by = by[np.lexsort((places[by], terms[by]))]
+        self.places, self.weights = places[by], weights[by]
+        self.first = np.concatenate(([0], np.cumsum(np.where(self.row < 0, held, 0))))  # posting of each term
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the largest inner product over 0 (exact; equal ones by number), and the products.
@@ -152,7 +148,7 @@ class BlockMaxIndex:
         Rare terms are added up over their lists. What the frequent ones can add is bounded by block: only blocks that may reach
         the k-th sum so far are added up in full."""
         size = self.first[terms + 1] - self.first[terms]
-        at = _ranges(self.first[terms], size)
+        at = B.ranges(self.first[terms], size)
         sums = np.bincount(self.places[at], np.repeat(weights, size) * self.weights[at], minlength=self.size).astype(float)
         if without >= 0:
             sums[self.place[without]] = 0
@@ -180,11 +176,13 @@ class Model:
         self.weight, self.k, self.toxic = weight, k, toxic.astype(float)
         self.share = np.where(toxic == 1, rates[1], rates[0])
         self.prior = float((self.toxic * self.share).sum() / self.share.sum()) if len(toxic) else 0.0
-        vectors = [self.vector(terms[a:b], counts[a:b]) for a, b in zip(at, at[1:], strict=False)]
-        self.index = BlockMaxIndex(terms, np.concatenate([np.zeros(0), *vectors]), at, len(weight))
+        vectors = np.zeros(len(terms))
+        for a, b in zip(at, at[1:], strict=False):
+            vectors[a:b] = self.vector(terms[a:b], counts[a:b])
+        self.index = BlockMaxIndex(terms, vectors, at, len(weight))
         self.slope, self.shift = 1.0, 0.0
         if 0 < self.prior < 1:
-            votes = np.array([self.vote(terms[a:b], v, without=i)[0] for i, (a, b, v) in enumerate(zip(at, at[1:], vectors, strict=False))])
+            votes = np.array([self.vote(terms[a:b], vectors[a:b], without=i)[0] for i, (a, b) in enumerate(zip(at, at[1:], strict=False))])
             self.slope, self.shift = calibration(votes, self.toxic, self.share)
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -258,6 +256,22 @@ def relevance(terms: np.ndarray, at: np.ndarray, toxic: np.ndarray, n_terms: int
     return chi2 / (chi2 + half)
 
 
+def fitted(own: pa.Table, held: np.ndarray, n: int, sizes: dict[int, int], half_chi2: float = HALF_CHI2, k: int = NEIGHBOURS) -> tuple[Model, list[int]]:
+    """The model of the examples own (doc_id, terms, counts, toxic), and their doc_ids. held: of n documents those that have each term; sizes: learning rows by class.
+
+    What is made of all entries of the vectors has 4 bytes for each, but for their weights, and goes as soon as it is used: all this is the driver's memory."""
+    own = own.combine_chunks()
+    ids, toxic = own.column("doc_id").to_pylist(), own.column("toxic").to_numpy().astype(np.int64)
+    (start, size, terms), counts = _lists(own.column("terms")), _lists(own.column("counts"))[2]
+    del own
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], terms[start[i] : start[i] + size[i]].tobytes(), counts[start[i] : start[i] + size[i]].tobytes()))
+    own_ranges = [slice(start[i], start[i] + size[i]) for i in order]
+    terms, counts = (np.concatenate([np.zeros(0, np.int32), *(x[r] for r in own_ranges)]) for x in (terms, counts))
+    at, ids, toxic = np.concatenate(([0], np.cumsum(size[order]))), [ids[i] for i in order], toxic[order]
+    weight = (np.log((1 + n) / (1 + held)) + 1) * relevance(terms, at, toxic, len(held), half_chi2)
+    return Model(terms, counts, at, toxic, weight, tuple(sizes.get(c, 0) / max(1, int((toxic == c).sum())) for c in (0, 1)), k), ids
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, half_chi2: float = HALF_CHI2, k: int = NEIGHBOURS) -> DataFrame:
     """docs (doc_id, text), labels (doc_id, toxic) -> doc_id, score, predicted, evidence, a row for each row of docs.
 
@@ -279,22 +293,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
     sample = written(labels.filter("toxic = 0").orderBy(*order).limit(examples).union(labels.filter("toxic = 1").orderBy(*order).limit(examples)), "examples")
     # what goes to the driver is bounded by the sample: its terms, how many documents have each, its vectors
     found = docs.join(F.broadcast(sample.select("doc_id")), "doc_id").select("text").mapInArrow(_terms, "term string").distinct().toArrow()
-    vocabulary = {t: i for i, t in enumerate(sorted(found.column("term").to_pylist()))}
+    vocabulary = found.column("term").combine_chunks()
+    vocabulary = vocabulary.take(pc.sort_indices(vocabulary))
     vectors = written(docs.mapInArrow(_vectors(vocabulary), "doc_id long, terms array<int>, counts array<int>"), "vectors")
     n, df = vectors.count(), np.zeros(len(vocabulary))
     held = vectors.select("terms").mapInArrow(_held(len(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df[held.column("term").to_numpy()] = held.column("n").to_numpy()
-    own = vectors.join(F.broadcast(sample), "doc_id").distinct().toArrow()
-    own = own.combine_chunks()
-    ids, (start, size, flat) = own.column("doc_id").to_pylist(), _lists(own.column("terms"))
-    counted = _lists(own.column("counts"))[2]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], flat[start[i] : start[i] + size[i]].tobytes(), counted[start[i] : start[i] + size[i]].tobytes()))
-    size, at = size[order], _ranges(start[order], size[order])
-    terms, counts, at = flat[at], counted[at], np.concatenate(([0], np.cumsum(size)))
-    ids, toxic = [ids[i] for i in order], own.column("toxic").to_numpy().astype(np.int64)[order]
-    weight = (np.log((1 + n) / (1 + df)) + 1) * relevance(terms, at, toxic, len(vocabulary), half_chi2)
-    model = Model(terms, counts, at, toxic, weight, tuple(sizes.get(c, 0) / max(1, int((toxic == c).sum())) for c in (0, 1)), k)
+    del found, vocabulary, held
+    release(docs.sparkSession)  # the driver's JVM gives way to what follows
+    model, ids = fitted(vectors.join(F.broadcast(sample), "doc_id").distinct().toArrow(), df, n, sizes, half_chi2, k)
+    B.give_back()
     out = vectors.mapInArrow(_scores(model, ids), "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, similarity: double>>")
+    del model, ids
+    B.give_back()
     for x in (labels, sample):
         drop_written(x)
     return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

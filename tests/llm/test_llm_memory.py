@@ -101,3 +101,18 @@ def test_the_codec_makes_its_pairs_for_long_segments_only():
     own = pieces.Codec(pieces.default_model())
     assert "pairs" not in vars(own) and own.char.dtype == np.int32
     assert own.merge_long(" " + "ab" * 50, 0, 1).tolist() == own.sp.encode("ab" * 50) and "pairs" in vars(own)
+
+
+def test_the_toxicity_model_is_made_in_few_bytes_an_entry():
+    rng, n, each, n_terms = np.random.default_rng(5), 400, 1000, 20_000
+    own = [np.sort(rng.choice(n_terms, each, replace=False)) for _ in range(n)]
+    lists = pa.array([x.tolist() for x in own], pa.list_(pa.int32()))
+    counts = pa.array([rng.integers(1, 4, each).tolist() for _ in range(n)], pa.list_(pa.int32()))
+    table = pa.table({"doc_id": pa.array(range(n), pa.int64()), "terms": lists, "counts": counts, "toxic": pa.array([i % 2 for i in range(n)], pa.int32())})
+    held = np.bincount(np.concatenate(own), minlength=n_terms).astype(float)
+    tracemalloc.start()
+    model, ids = toxicity.fitted(table, held, n, {0: n, 1: n})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids == list(range(n)) and model.index.first[-1] == len(model.index.weights)
+    assert peak < 75 * n * each
