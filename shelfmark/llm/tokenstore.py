@@ -6,7 +6,6 @@ import functools
 import hashlib
 import json
 import os
-import re
 import struct
 import zlib
 
@@ -23,12 +22,18 @@ from shelfmark.shared import drop_written, scratch, shuffles_dropped, table, wid
 END_ID = 1
 #: A chunk ends where the hash of WINDOW ids has its low CUT_BITS bits 0, and after LONGEST ids at the latest.
 WINDOW, CUT_BITS, LONGEST = 8, 8, 2048
-#: Words and parts of words that an encoder remembers, and the bytes that each of the two may hold.
-WORDS, PARTS, MOST_BYTES = 500_000, 1_200_000, 64 << 20
+#: Parts of words that an encoder remembers, and the bytes that they and their ids may hold.
+PARTS, MOST_BYTES = 1_200_000, 64 << 20
 
 #: Fixed value: what the pre-tokenizer keeps, in the tokenizers whose words are encoded on their own.
 PARTED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CORE = re.compile(r"([(\"\[]*)([a-zß-öø-ÿÀ-ÖØ-Þ]+)([.,;:!?)\"\]|]*)")
+#: What a byte of a word is: 1 of a letter up to U+00FF, 2 a digit, 3 another printable ASCII character, 0 for the library. The apostrophe may begin a part of
+#: letters; 0xC3 begins the letters over U+00BF, and signs with these two bytes; words with the first bytes of other characters are odd by them.
+KIND = np.zeros(256, np.uint8)
+KIND[0x21:0x7F] = 3
+KIND[[0x27, 0x97, 0xB7]] = 0
+KIND[0x30:0x3A] = 2
+KIND[[*range(0x61, 0x7B), *range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0), 0xC3]] = 1
 _encoders: dict[str, Encoder] = {}
 
 
@@ -42,17 +47,17 @@ class Encoder:
     """The ids of texts by way of their words.
 
     For tokenizers that drop white space and never look across it (word_bpe_49k.json, by its settings), a text's ids are those of its words in
-    turn, and A-Z may be lowered first. Words are kept, so that the library sees each distinct word about once per worker. A
-    word of letters up to U+00FF between punctuation falls into three independent parts for its pattern, which share
-    more: the letters then go to the library's model directly. Whatever else goes through the whole library call.
+    turn, and A-Z may be lowered first. A word of letters up to U+00FF, digits and other ASCII characters but the apostrophe falls into
+    independent parts for its pattern: runs of letters, digits, runs of others. They are found as arrays of bytes and go to the library's model
+    directly, each distinct one about once per worker. Words with anything else are one part, for the whole library call.
     """
 
-    def __init__(self, path: str, words: int = WORDS, parts: int = PARTS):
+    def __init__(self, path: str, parts: int = PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole, self.most, self.most_parts = Tokenizer.from_file(path), words, parts
-        self.model, self.seen, self.parts, self.held, self.held_parts = self.whole.model, {}, {}, 0, 0
+        self.whole, self.most = Tokenizer.from_file(path), parts
+        self.model, self.parts, self.held = self.whole.model, {}, 0
         self.split_ok = self._split_ok()
         self.bytes_as = self._byte_letters()
 
@@ -83,36 +88,38 @@ class Encoder:
         rest = [b for b in range(256) if b not in plain]
         return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def _part(self, text: str, letters: bool) -> bytes:
-        if (out := self.parts.get(text)) is None:
-            if letters:
-                ids = [t.id for t in self.model.tokenize(text if text.isascii() else "".join(map(self.bytes_as.__getitem__, text.encode())))]
-            else:
+    def _of_parts(self, parts: list[str], odd: list[bool]) -> list[bytes]:
+        """The ids of distinct parts, odd: for the whole library. They are remembered until MOST_BYTES are; a text's first parts are mostly its most frequent."""
+        out = list(map(self.parts.get, parts))
+        for i in [i for i, x in enumerate(out) if x is None]:
+            text = parts[i]
+            if odd[i]:
                 ids = self._ids(text)
-            out = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.parts) < self.most_parts and self.held_parts < MOST_BYTES:
-                self.parts[text] = out
-                self.held_parts += len(text) + len(out)
+            else:
+                ids = [t.id for t in self.model.tokenize(text if text.isascii() else "".join(map(self.bytes_as.__getitem__, text.encode())))]
+            out[i] = x = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.parts) < self.most and self.held < MOST_BYTES:
+                self.parts[text] = x
+                self.held += len(text) + len(x)
         return out
 
-    def _word(self, text: str) -> bytes:
-        if m := CORE.fullmatch(text):
-            a, core, z = m.groups()
-            out = self._part(core.lower(), True)
-            return (self._part(a, False) if a else b"") + out + (self._part(z, False) if z else b"")
-        ids = self._ids(text)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words. Words are remembered until MOST_BYTES are; a text's first words are mostly its most frequent."""
-        out = list(map(self.seen.get, words))
-        for i, x in enumerate(out):
-            if x is None:
-                out[i] = x = self._word(words[i])
-                if len(self.seen) < self.most and self.held < MOST_BYTES:
-                    self.seen[words[i]] = x
-                    self.held += len(words[i]) + len(x)
-        return out
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, n): the ids of distinct words, one after the other, and how many each has."""
+        raw, at = B.buffers(words)
+        kind, begins = KIND[raw], np.zeros(len(raw) + 1, bool)
+        begins[at] = True
+        odd = np.repeat(B.per_text(kind == 0, at) > 0, np.diff(at))
+        begins[1:-1] |= ~odd[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        starts = np.flatnonzero(begins[:-1])
+        low = np.where(~odd & (raw >= 0x80) & (raw < 0x9F), raw + np.uint8(32), raw)  # À to Þ
+        parts = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw)).astype(np.int32)), pa.py_buffer(low)]).dictionary_encode()
+        index, odd_parts = parts.indices.to_numpy(), np.zeros(len(parts.dictionary), bool)
+        odd_parts[index] = odd[starts]
+        distinct = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(parts.dictionary)], pa.int32()), parts.dictionary), "\n")[0].as_py().split("\n")  # no word has a line's end
+        held = self._of_parts(distinct if len(parts.dictionary) else [], odd_parts.tolist())
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        n = size[index]
+        return np.frombuffer(b"".join(held), "<u4")[B.ranges((np.cumsum(size) - size)[index], n)], B.per_text(n, np.searchsorted(starts, at))
 
     def batch(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, at): the ids of all texts, end_id after each text's, and the place where each text's begin and the last ends.
@@ -125,18 +132,16 @@ class Encoder:
             alone |= pc.match_substring(low, x.decode()).to_numpy(zero_copy_only=False)
         split = pc.ascii_split_whitespace(pc.if_else(pa.array(alone), "", low) if alone.any() else low)
         words, bounds = split.flatten().dictionary_encode(), split.offsets.to_numpy()
-        distinct = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary), "\n")[0].as_py().split("\n")  # no word has a line's end
-        held = [*self._of_words(distinct if len(words.dictionary) else []), struct.pack("<I", end_id)]
-        index = np.insert(words.indices.to_numpy(), bounds[1:] - bounds[0], len(held) - 1)
+        flat, size = self._of_words(words.dictionary)
+        others = [np.array([end_id], "<u4")]
+        index = np.insert(words.indices.to_numpy(), bounds[1:] - bounds[0], len(size))
         for i in np.flatnonzero(alone).tolist():  # one word, the whole text, before its end id
-            held.append(np.array(self._ids(column[i].as_py() or ""), "<u4").tobytes())
-            index[bounds[i] - bounds[0] + i] = len(held) - 1
-        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
-        flat, start = np.frombuffer(b"".join(held), "<u4"), np.cumsum(size) - size
+            index[bounds[i] - bounds[0] + i] = len(size) + len(others)
+            others.append(np.array(self._ids(column[i].as_py() or ""), "<u4"))
+        flat, size = np.concatenate((flat, *others)), np.concatenate((size, [len(x) for x in others]))
         n = size[index]
-        done = np.cumsum(n)
-        ids = flat[np.repeat(start[index] - (done - n), n) + np.arange(done[-1] if len(done) else 0)]
-        return ids, np.concatenate(([0], done))[np.concatenate(([0], bounds[1:] - bounds[0] + np.arange(1, len(low) + 1)))]
+        ids, done = flat[B.ranges((np.cumsum(size) - size)[index], n)], np.concatenate(([0], np.cumsum(n)))
+        return ids, done[np.concatenate(([0], bounds[1:] - bounds[0] + np.arange(1, len(low) + 1)))]
 
 
 def encoder(path: str) -> Encoder:

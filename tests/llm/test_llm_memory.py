@@ -116,3 +116,18 @@ def test_the_toxicity_model_is_made_in_few_bytes_an_entry():
     tracemalloc.stop()
     assert ids == list(range(n)) and model.index.first[-1] == len(model.index.weights)
     assert peak < 75 * n * each
+
+
+def test_parts_of_words_go_to_the_model_and_only_odd_words_to_the_library(monkeypatch):
+    own = tokenstore.Encoder(tokenstore.default_tokenizer())
+    plain = ["a$$$", "Heat***", "are.***", "x1y22.5%", "(Ärger),", "ÀÝÞßÿ-naïve", "~^_`{|}", "--", "3", "é.é"]
+    odd = ["it's", "'Tis", "x×y", "a÷", "µm", "Ÿ", "été", "中文1", "\x01a", "a\x7f", "a b", "ª1", "½", "a\u0085b", "🙂x", "''s", "İ", "don’t"]
+    texts = [" ".join([*plain, *odd]), *plain, *odd, "", None, "  ", "a$$$\n\tit's  3", " ".join(reversed([*odd, *plain])), "x " * 50]
+    monkeypatch.setattr(own, "_ids", lambda text, asked=own._ids: seen.append(text) or asked(text))
+    seen: list[str] = []
+    for _ in range(2):  # remembered the second time
+        ids, at = own.batch(pa.array(texts), 7)
+        assert [ids[x:y].tolist() for x, y in zip(at, at[1:], strict=False)] == [[*own.whole.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+    assert sorted(seen) == sorted(tokenstore.pc.ascii_lower(pa.array(odd)).to_pylist())
+    few = tokenstore.Encoder(tokenstore.default_tokenizer(), parts=3)
+    assert few.batch(pa.array(texts), 7)[0].tolist() == ids.tolist() and len(few.parts) == 3
