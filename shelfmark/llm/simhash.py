@@ -63,7 +63,8 @@ def near_prints(prints: DataFrame, most: int = MOST, segments: int = SEGMENTS) -
     A bit that differs moves one segment's popcount by one, and so the Manhattan distance of two points is at most the number
     of differing bits. Two points within 2 have a grid point within 1 of both. Each point is therefore sent to itself and
     to its neighbours one step away (2 * segments + 1 cells of the grid, 64-bit keys), points that meet in a cell are kept
-    if their bits differ in at most `most` places, and repeated pairs go.
+    if their bits differ in at most `most` places, and repeated pairs go. Both sides are sorted: Spark sizes what explode makes
+    as its input, and would send it whole to the driver as small.
     """
     if not 0 <= most <= 2:
         raise ValueError("most must be 0, 1 or 2: one step from both ends covers a distance of 2")
@@ -78,7 +79,7 @@ def near_prints(prints: DataFrame, most: int = MOST, segments: int = SEGMENTS) -
     kind = "long" if exact else "decimal(38,0)"
     cells = F.transform(F.array(*[F.lit(str(s)).cast(kind) for s in steps]), lambda s: F.col("point") + s)
     spread = prints.select("bits", point.alias("point")).select("bits", F.explode(cells).alias("cell"))
-    pairs = spread.alias("a").join(spread.alias("b"), F.expr(f"a.cell = b.cell AND a.bits < b.bits AND bit_count(a.bits ^ b.bits) <= {most}"))
+    pairs = spread.alias("a").hint("merge").join(spread.alias("b"), F.expr(f"a.cell = b.cell AND a.bits < b.bits AND bit_count(a.bits ^ b.bits) <= {most}"))
     return pairs.select(F.col("a.bits").alias("a"), F.col("b.bits").alias("b")).distinct()
 
 
