@@ -144,9 +144,11 @@ def _linked(every: DataFrame) -> DataFrame:
 
 
 def _met(parts: DataFrame, test: Column) -> DataFrame:
-    """(a, b) of parts (h, id, part, early, ...): the sets of different parts that meet in a shingle h and pass the test. A pair that shares many shingles gives a row for the first of them alone, if both have it among their `early` ones."""
+    """(a, b) of parts (h, id, part, early, ...): the sets of different parts that meet in a shingle h and pass the test. A pair that shares many shingles gives a row for the first of them alone, if both have it among their `early` ones.
+
+    Both sides are sorted: their bitmaps and early shingles repeat in each row of a set, so that written, by which Spark sizes them, they are a sixth of what a broadcast would be."""
     once = F.coalesce(F.try_element_at(F.array_intersect("a.early", "b.early"), F.lit(1)) == F.col("a.h"), F.lit(True))
-    pairs = parts.alias("a").join(parts.alias("b"), F.expr("a.h = b.h AND a.id < b.id AND a.part <> b.part") & test & once)
+    pairs = parts.alias("a").hint("merge").join(parts.alias("b"), F.expr("a.h = b.h AND a.id < b.id AND a.part <> b.part") & test & once)
     return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 

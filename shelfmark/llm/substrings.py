@@ -202,14 +202,15 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) ->
     whole = bodies.join(several, "anchor", "left_anti").select("body", F.lit(0).alias("off"), "n", "src_doc", "src_pos")
     edges = whole.union(parts)
     # 4: each document's repeated edges, compacted to spans along paths of the source
-    walked = pieces.select("doc_id", "start", "body").join(edges, "body").filter("src_doc < doc_id").select("doc_id", (F.col("start") + F.col("off")).alias("start"), "n", "src_doc", "src_pos")
+    # the tables of edges and spans are sorted for their joins: by their files, a tenth of what a broadcast would be, Spark takes them for small
+    walked = pieces.select("doc_id", "start", "body").hint("merge").join(edges, "body").filter("src_doc < doc_id").select("doc_id", (F.col("start") + F.col("off")).alias("start"), "n", "src_doc", "src_pos")
     walked = written(walked, "walked")
     for x in (pieces, anchors, bodies, several, partial, windows, firsts):
         drop_written(x)
     release(spark)
     paths = compacted(walked.select("src_doc", "src_pos", "n").distinct())
     # written before it is grouped, so that Spark can split a source that very many documents repeat
-    joined = written(walked.join(paths, ["src_doc", "src_pos", "n"]), "joined")
+    joined = written(walked.hint("merge").join(paths, ["src_doc", "src_pos", "n"]), "joined")
     shifted = joined.withColumn("shift", F.col("start") - F.col("src_pos")).distinct()
     along = Window.partitionBy("doc_id", "path", "shift").orderBy("start", "n")
     gaps = shifted.withColumn("gap", F.coalesce(F.col("start") > F.max(F.col("start") + F.col("n")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)).cast("int"))
@@ -222,10 +223,10 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) ->
     asked = spans.select("src_doc", "src_pos", "words").distinct().groupBy(F.col("src_doc").alias("doc_id")).agg(F.collect_list(F.struct("src_pos", "words")).alias("spans"))
     digests = written(source.join(asked, "doc_id").mapInArrow(_source_digests, "src_doc long, src_pos int, words int, digest binary").distinct(), "digests")
     release(spark)
-    checked = spans.join(digests, ["src_doc", "src_pos", "words"]).groupBy("doc_id").agg(F.collect_set(F.struct("start", "words", "digest")).alias(free(docs, "spans")))
+    checked = spans.hint("merge").join(digests, ["src_doc", "src_pos", "words"]).groupBy("doc_id").agg(F.collect_set(F.struct("start", "words", "digest")).alias(free(docs, "spans")))
     checked = written(checked, "checked")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return docs.join(checked, "doc_id", "left").select(*docs.columns, free(docs, "spans")).mapInArrow(_cut, schema)
+    return docs.join(checked.hint("merge"), "doc_id", "left").select(*docs.columns, free(docs, "spans")).mapInArrow(_cut, schema)
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
